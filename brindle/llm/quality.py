@@ -15,7 +15,7 @@ from .common import cut, pick
 
 _SYMBOLS = b"#*$%&|<>"
 _ENDS = (b".", b"!", b"?", b":", b";", b'"', "…".encode(), "”".encode(), "。".encode())
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_distinct_words", "n_digits")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_distinct_words", "n_digits", "n_marked_lines")
 #: The window of repeated words, and the base rule.
 WINDOW = 5
 _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -75,7 +75,7 @@ def measure(texts: list[str], size: int = 2_000_000) -> np.ndarray:
             out[end, 1] = len(text) - spaces
             out[end, 2] = len(data) - len(data.translate(None, _SYMBOLS))
             out[end, 3] = len(lines) - len(set(lines))
-            out[end, 5:] = len(lines), ended, len(set(own)), len(data) - len(data.translate(None, b"0123456789"))
+            out[end, 5:] = len(lines), ended, len(set(own)), len(data) - len(data.translate(None, b"0123456789")), sum(len(x) > len(x.translate(None, _SYMBOLS)) for x in lines)
             end += 1
         numbers = defaultdict(count().__next__)
         ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
@@ -110,14 +110,17 @@ def rules() -> dict:
     repeated, duplicate = F.col("n_repeat_words") / words, F.col("n_dup_lines") / lines
     ended, distinct = F.col("n_ended_lines") / lines, F.col("n_distinct_words") / words
     digits = F.col("n_digits") / F.greatest("word_chars", F.lit(1))
-    per_line = F.col("n_words") / lines
+    per_line, marked = F.col("n_words") / lines, F.col("n_marked_lines") / lines
+    density = F.col("n_symbols") / F.greatest("word_chars", F.lit(1))
     return {
         "length": _vote(F.col("n_words") >= 50, F.col("n_words") < 10),
         "symbols": _vote(symbols < 0.02, symbols > 0.1),
+        "marked_lines": _vote(marked == 0, marked > 0.3),
+        "density": _vote(density < 0.004, density > 0.025),
         "word_size": _vote((mean >= 2.5) & (mean <= 9), (mean < 2) | (mean > 12)),
         "repeats": _vote(repeated < 0.05, repeated > 0.2),
         "lines": _vote(duplicate == 0, duplicate > 0.3),
-        "sentences": _vote(ended > 0.8, ended < 0.3),
+        "sentences": _vote(ended > 0.9, ended < 0.5),
         "variety": _vote(distinct > 0.25, distinct < 0.1),
         "digits": _vote(digits < 0.1, digits > 0.3),
         "layout": _vote(per_line >= 5, per_line < 2),
@@ -140,9 +143,11 @@ def fit(patterns: dict[int, int], steps: int = 200) -> dict[int, float]:
     """Posterior probability of good quality of each pattern of votes, by expectation-maximisation.
 
     Two classes; given the class, rules vote independently.  For each rule the two accuracies (a vote is
-    right on good, on bad texts) are estimated; abstentions say nothing.  They start at 0.8, are kept
-    between 0.55 and 0.99 (a rule is better than chance), and the share of good texts between 0.5 and
-    0.99, with a few pseudo-counts, so that any set of patterns, even one, has a result.
+    right on good, on bad texts) are estimated; abstentions say nothing.  Texts that two rules or more
+    call bad start as bad with probability 0.9, others as good.  Accuracies stay at most 0.99; on good
+    texts a rule is better than chance, and on bad ones it may be blind, but a vote for good never
+    counts against it.  The share of good texts stays between 0.5 and 0.99.  Small pseudo-counts let
+    any set of patterns, even one, have a result.
     """
     if not patterns:
         return {}
@@ -151,17 +156,15 @@ def fit(patterns: dict[int, int], steps: int = 200) -> dict[int, float]:
     weight = np.array([patterns[c] for c in codes], dtype=float)
     votes = np.stack([codes // 3**k % 3 - 1 for k in range(m - 1, -1, -1)], axis=1)
     yes, no = (votes == 1).astype(float), (votes == -1).astype(float)
-    right_good, right_bad, share = np.full(m, 0.8), np.full(m, 0.8), 0.8
+    good = np.where(no.sum(axis=1) >= 2, 0.1, 0.9)
     for _ in range(steps):
-        odds = np.log(share / (1 - share)) + yes @ np.log(right_good / (1 - right_bad)) + no @ np.log((1 - right_good) / right_bad)
-        good = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         g, b = weight * good, weight * (1 - good)
-        new_good = np.clip((g @ yes + 8) / (g @ (yes + no) + 10), 0.55, 0.99)
-        new_bad = np.clip((b @ no + 8) / (b @ (yes + no) + 10), 0.55, 0.99)
-        share = float(np.clip((g.sum() + 8) / (weight.sum() + 10), 0.5, 0.99))
-        moved = max(abs(new_good - right_good).max(), abs(new_bad - right_bad).max())
-        right_good, right_bad = new_good, new_bad
-        if moved < 1e-9:
+        right_good = np.clip((g @ yes + 1.6) / (g @ (yes + no) + 2), 0.55, 0.99)
+        right_bad = np.clip((b @ no + 1) / (b @ (yes + no) + 2), 1 - right_good, 0.99)
+        share = float(np.clip((g.sum() + 1.8) / (weight.sum() + 2), 0.5, 0.99))
+        odds = np.log(share / (1 - share)) + yes @ np.log(right_good / (1 - right_bad)) + no @ np.log((1 - right_good) / right_bad)
+        before, good = good, 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        if abs(good - before).max() < 1e-9:
             break
     return {int(c): float(p) for c, p in zip(codes, good)}
 
@@ -169,14 +172,15 @@ def fit(patterns: dict[int, int], steps: int = 200) -> dict[int, float]:
 def scored(measured: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """``measured`` with base_failed, quality (the posterior) and kept.
 
-    The patterns of votes are counted over all rows (of ``counted``, where that has the same rows more cheaply);
-    only their counts reach the driver.
+    The patterns of votes are counted over all rows that the base rule leaves (of ``counted``, where that has
+    the same rows more cheaply); only their counts reach the driver.  What the base rule rejects is bad
+    already: were it counted, the bad class would be a picture of it.
     """
-    counts = (counted if counted is not None else measured).groupBy(vote_code().alias("code")).agg(F.count("*").alias("n")).collect()
+    counts = (counted if counted is not None else measured).where(~base_failed()).groupBy(vote_code().alias("code")).agg(F.count("*").alias("n")).collect()
     posterior = fit({r.code: r.n for r in counts})
     pairs = [F.lit(x) for c, p in posterior.items() for x in (c, p)]
     table = F.create_map(*pairs) if pairs else F.create_map(F.lit(0), F.lit(0.0))
-    out = measured.withColumn("base_failed", base_failed()).withColumn("quality", F.element_at(table, vote_code()))
+    out = measured.withColumn("base_failed", base_failed()).withColumn("quality", F.when(F.col("base_failed"), 0.0).otherwise(F.element_at(table, vote_code())))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts
+from . import licences, mixing, packing, quality, simhash, token_counts, warc, winnowing
 
 
 def queries():
     return {
+        "op1_source_mixing": mixing.query,
+        "op2_licence_scan": licences.query,
+        "op3_quality_rules": quality.query,
+        "op5_winnowing_fingerprints": winnowing.query,
         "op6_best_fit_packing": packing.query,
+        "op7_simhash_near_duplicates": simhash.query,
         "op9_token_counts": token_counts.query,
+        "op10_warc_archive": warc.query,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op10_warc_archive": warc.SQL}
