@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licences, mixing, packing, quality, simhash, token_counts, warc, winnowing
+from . import grammar, licences, mixing, packing, quality, simhash, token_counts, warc, winnowing
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_source_mixing": mixing.query,
         "op2_licence_scan": licences.query,
         "op3_quality_rules": quality.query,
+        "op4_grammar_token_files": grammar.query,
         "op5_winnowing_fingerprints": winnowing.query,
         "op6_best_fit_packing": packing.query,
         "op7_simhash_near_duplicates": simhash.query,
