@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import grammar, licences, mixing, packing, quality, simhash, token_counts, warc, winnowing
+from . import chat, grammar, licences, mixing, packing, quality, simhash, token_counts, warc, winnowing
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_winnowing_fingerprints": winnowing.query,
         "op6_best_fit_packing": packing.query,
         "op7_simhash_near_duplicates": simhash.query,
+        "op8_chat_role_repair": chat.query,
         "op9_token_counts": token_counts.query,
         "op10_warc_archive": warc.query,
     }
