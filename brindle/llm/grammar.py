@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pick, shared_path
-from .tokens import encoder, id_bytes
+from .tokens import id_bytes, id_encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -146,14 +146,14 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, shard
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("terminals", pa.int32()), ("rules", pa.binary()), ("symbol_bytes", pa.int32()), ("symbols", pa.binary()), ("samples", pa.binary()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("doc_starts", pa.binary()), ("n_tokens", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = encoder(vocabulary, id_bytes)
+        lib = id_encoder(vocabulary)
         terminals, end = lib.library.get_vocab_size(), id_bytes([END_ID])
         docs, ends, data, total, seq, part = [], [], [], 0, 0, 0
         for b in batches:
             part = b.column(2)[0].as_py() if b.num_rows else part
             texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            for doc, pieces in zip(b.column(0).to_pylist(), lib.batches(texts)):
-                data.append(b"".join(pieces) + end)
+            for doc, text in zip(b.column(0).to_pylist(), texts):
+                data.append(b"".join(lib.values(text)) + end)
                 total += len(data[-1]) // 4
                 docs.append(doc)
                 ends.append(total)

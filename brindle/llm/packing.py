@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, pick, running_totals, slice_count
-from .tokens import encoder, id_bytes
+from .tokens import id_bytes, id_encoder
 
 VOCABULARY = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 2048
@@ -25,12 +25,12 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int =
     end, width = id_bytes([END_ID]), 4 * capacity
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = encoder(vocabulary, id_bytes)
+        lib = id_encoder(vocabulary)
         for b in batches:
             texts = ["" if t is None else t for t in b.column(1).to_pylist()]
             row, piece, length, crc, ids = [], [], [], [], []
-            for i, parts in enumerate(lib.batches(texts)):
-                data = b"".join(parts) + end
+            for i, text in enumerate(texts):
+                data = b"".join(lib.values(text)) + end
                 for k, at in enumerate(range(0, len(data), width)):
                     some = data[at : at + width]
                     row.append(i)

@@ -1,95 +1,134 @@
 """Token ids of whole texts, by the tokenizers library, with worker-side caches.
 
-A text is cut before spaces into pieces that the library would tokenise alike on their own; a piece
-already met in this Python worker comes from its cache.  Where cutting could change a result (special
-strings, mixed runs of white space) the library gets the whole text.
+A text is cut at spaces into pieces that the library would tokenise alike on their own; a piece already
+met in this Python worker comes from its cache.  A new piece is cut into the vocabulary's pre-tokens, and
+the library's model encodes those that are new.  Where cutting could change a result (special strings,
+white space next to white space, rare characters) the library gets the whole text or piece.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+import regex
 
-import numpy as np  # noqa: E402
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from .common import tokenizer_path  # noqa: E402
 
-#: White space on both sides of a space, or before a last one: a byte-level pattern would join them.
-_JOINED = re.compile(r"\s (?:\s|\Z)")
+_SPACES = re.compile(r"\s")
+#: Characters whose classes and lower case are the same in every version of Unicode.
+_PLAIN = re.compile(r"[ -~¡-¬®-ɏ]+")
+#: How the byte-level vocabularies, and the one with word ends, split a text.
+_BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_WORD_ENDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a vocabulary: itself if it prints, else the next above 255."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def joins_spaces(text: str) -> bool:
+    """Whether a byte-level pattern may join white space: any next to other, at an end, or of a rarer kind."""
+    if not text or not text.replace("\n", "").isprintable() and _SPACES.search(text.replace(" ", "").replace("\n", "")):
+        return bool(text)
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
+
+
+class Generations(dict):
+    """A cache of ``limit`` to twice as many entries: when it is full, what isn't used again goes."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class PieceEncoder:
-    """Pieces of texts and their ids; ``value`` turns the ids of a piece into what is cached."""
+    """Pieces of texts and their values; ``value`` turns a list of ids into what is cached, ``join`` adds values up.
 
-    def __init__(self, name: str, value, limit: int = 400_000):
+    A piece stands for itself with a space before it, where the vocabulary keeps spaces; the first
+    piece of a line starts with "\\n" for a line that follows another, and with "\\t" for the first line.
+    """
+
+    def __init__(self, name: str, value, join, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_path(name))
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.keeps_spaces = self.library.normalizer is None
-        self.value, self.limit = value, limit
-        self.young: dict = {}
-        self.old: dict = {}
+        self.split = (_BYTE_LEVEL if self.keeps_spaces else _WORD_ENDS).findall
+        self.letters = byte_letters()
+        self.value, self.join = value, join
+        self.tokens = Generations(self._token, limit)
+        self.cache = Generations(self._piece, limit)
+
+    def _token(self, pre: str):
+        return self.value([t.id for t in self.model.tokenize(pre.encode().decode("latin-1").translate(self.letters))])
+
+    def _piece(self, piece: str):
+        if self.keeps_spaces:
+            text = piece[1:] if piece[:1] == "\t" else piece if piece[:1] == "\n" else " " + piece
+            if piece[:1] == "\n" and _PLAIN.fullmatch(piece, 1):
+                return self.join([self.tokens["\n"], *map(self.tokens.__getitem__, self.split(piece[1:]))])
+        else:
+            text = piece
+        if not _PLAIN.fullmatch(text):
+            return self.whole(text)
+        return self.join(map(self.tokens.__getitem__, self.split(text if self.keeps_spaces else text.lower())))
 
     def whole(self, text: str):
         return self.value(self.library.encode(text, add_special_tokens=False).ids)
 
     def pieces(self, text: str) -> list[str] | None:
         """None: the text must go to the library whole."""
-        if any(s in text for s in self.special):
-            return None
-        parts = text.split(" ")
+        for s in self.special:
+            if s in text:
+                return None
         if not self.keeps_spaces:
-            return parts
-        if _JOINED.search(text):
+            return text.split(" ")
+        if joins_spaces(text):
             return None
-        return [parts[0], *[" " + p for p in parts[1:]]]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Afterwards ``young`` has all these pieces."""
-        young, old = self.young, self.old
-        if len(young) > self.limit:
-            old = self.old = young
-            young = self.young = {}
-        new = pieces - young.keys()
-        for p in new & old.keys():
-            young[p] = old[p]
-        new = [p for p in new if p not in young]
-        value = self.value
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, self.library.encode_batch(some, add_special_tokens=False)):
-                young[p] = value(e.ids)
-
-    def batches(self, texts: list[str], size: int = 4_000_000):
-        """Lists of cached values for each text, in order; about ``size`` characters are looked up at once."""
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= size):
-                chars += len(texts[end])
-                end += 1
-            cut = [self.pieces(t) for t in texts[at:end]]
-            self.learn(set().union(*[c for c in cut if c is not None]))
-            get = self.young.__getitem__
-            for text, c in zip(texts[at:end], cut):
-                yield [self.whole(text)] if c is None else map(get, c)
-            at = end
+        return ("\t" + text).replace("\n", " \n").split(" ")
+
+    def values(self, text: str):
+        """Cached values of the text's pieces, in order."""
+        pieces = self.pieces(text)
+        return [self.whole(text)] if pieces is None else map(self.cache.__getitem__, pieces)
 
 
 def id_bytes(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit ids."""
-    return np.array(ids, dtype="<u4").tobytes()
+    return array("I", ids).tobytes()
 
 
 _encoders: dict = {}
 
 
-def encoder(name: str, value) -> PieceEncoder:
-    """One for each vocabulary and kind of value in a Python worker."""
-    key = (name, value.__name__)
-    if key not in _encoders:
-        _encoders[key] = PieceEncoder(name, value)
-    return _encoders[key]
+def id_encoder(name: str) -> PieceEncoder:
+    """The encoder to ids of this Python worker."""
+    if (name, "ids") not in _encoders:
+        _encoders[name, "ids"] = PieceEncoder(name, id_bytes, b"".join)
+    return _encoders[name, "ids"]
+
+
+def length_encoder(name: str) -> PieceEncoder:
+    """The encoder to numbers of ids of this Python worker."""
+    if (name, "lengths") not in _encoders:
+        _encoders[name, "lengths"] = PieceEncoder(name, len, sum)
+    return _encoders[name, "lengths"]
