@@ -209,7 +209,8 @@ def sized(docs: DataFrame) -> DataFrame:
 def taken_parts(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``parts``, each joined with the slots that take its block; ``take`` words from ``from_word`` on."""
     parts, mix = mixture(docs, **options)
-    joined = parts.join(mix.select("s", "block", "words", "epoch"), ["s", "block"], "left")
+    # the planner can't see how many slots a shard has, and would broadcast them all
+    joined = parts.join(mix.select("s", "block", "words", "epoch").hint("merge"), ["s", "block"], "left")
     return joined.withColumn("take", F.coalesce(F.least("n_words", F.greatest(F.lit(0), F.col("words") - F.col("offset"))), F.lit(0)))
 
 
