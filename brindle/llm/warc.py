@@ -12,6 +12,8 @@ LEAST_BYTES = 100
 #: Fixed value: the profile of a revisit with identical payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _LINE = "\r\n"
+#: Stands for a null page_id in a join.
+NO_PAGE = -(2**63)
 
 
 def record_id(page: Column) -> Column:
@@ -57,10 +59,10 @@ def write_archive(pages: DataFrame, path: str) -> None:
     revisit = (F.col("bytes") >= LEAST_BYTES) & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     joined = keyed.join(groups, "digest").withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
     joined.select("page_id", "digest", F.encode(record_headers(), "UTF-8").alias("header")).write.parquet(f"{path}/records")
-    first = groups.withColumnRenamed("digest", "_d")
-    same = (F.col("digest") == F.col("_d")) & F.col("page_id").eqNullSafe(F.col("refers_to"))
-    stored = rows.select("page_id", "digest", "payload").join(first, same, "left_semi")
-    stored.dropDuplicates(["digest", "page_id"]).select("digest", "payload").write.parquet(f"{path}/payloads")
+    # plain keys, so that payloads move once: equal rows meet where the join has put them
+    first = groups.select("digest", F.coalesce("refers_to", F.lit(NO_PAGE)).alias("key"))
+    stored = rows.select("digest", F.coalesce("page_id", F.lit(NO_PAGE)).alias("key"), "payload").join(first, ["digest", "key"], "left_semi")
+    stored.dropDuplicates(["digest", "key"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def _header(name: str) -> Column:
