@@ -57,10 +57,11 @@ def yaml_files(spark: SparkSession, path: str, schema: str, parse) -> DataFrame:
     """Rows of YAML files: ``parse(document)`` gives tuples of ``schema``; files are read in the tasks."""
     import yaml
 
+    names = T.StructType.fromDDL(schema).names
+
     def rows(batches):
         import pandas as pd
 
-        names = T.StructType.fromDDL(schema).names if hasattr(T.StructType, "fromDDL") else [c.split()[0] for c in schema.split(",")]
         for b in batches:
             found = [r for text in b["value"] for r in parse(yaml.safe_load(text))]
             yield pd.DataFrame(found, columns=names)
