@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import context, dedupe, guard, metrics, registry
+from ..operators import cache, context, dedupe, guard, metrics, registry
 from ..sources.tables import candidates_json, exposition, latest, table
 from ..streaming import stateful
 
@@ -267,6 +267,53 @@ def semi_anti(s, d):
     return with_orders.join(without, "c_mktsegment", "full_outer").select("c_mktsegment", F.coalesce("n_with", F.lit(0)).alias("n_with"), F.coalesce("n_without", F.lit(0)).alias("n_without"))
 
 
+def _cascade(s, d):
+    """Every vector whose id is divisible by 20 asks; labels under 3 are in the exact cache, odd vectors in the semantic one."""
+    e = table(s, d, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("question"), F.col("embedding").alias("v"))
+    exact = s.createDataFrame([(f"label {i}", f"exact {i}") for i in range(3)], "question string, answer string").select(F.sha2("question", 256).alias("key"), "answer")
+    semantic = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("id"), F.concat(F.lit("near "), F.col("label").cast("string")).alias("a"), F.col("embedding").alias("v"))
+    return cache.cascade(asked, exact, semantic, F.lit("generated"), 0.3)
+
+
+def cache_cascade(s, d):
+    return _cascade(s, d).select("qid", "answer", "source")
+
+
+def cache_summary(s, d):
+    return cache.summary(_cascade(s, d)).withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+_DOT = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+_CASCADE = f"""WITH n AS (SELECT q.vec_id AS qid, q.label, arg_max(b.label, {_DOT}) AS near, max({_DOT}) AS score FROM embeddings q, embeddings b WHERE q.vec_id % 20 = 0 AND b.vec_id % 2 = 1 GROUP BY ALL),
+c AS (SELECT qid, CASE WHEN label < 3 THEN 'exact ' || label WHEN score >= 0.3 THEN 'near ' || near ELSE 'generated' END AS answer, CASE WHEN label < 3 THEN 'prompt_cache' WHEN score >= 0.3 THEN 'semantic_cache' ELSE 'llm' END AS source FROM n)"""
+
+
+def semantic_insert(s, d):
+    """The odd vectors put behind the even ones in a semantic cache."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("q").alias("q"), F.col("label").cast("string").alias("a"), F.col("embedding").alias("v"))
+    return cache.insert_vectors(e.where("id % 2 = 0"), e.where("id % 2 = 1").withColumnRenamed("id", "o"), "o").select("id", "a")
+
+
+def answer_by_route(s, d):
+    rows = table(s, d, "documents").select("doc_id", F.left("text", F.lit(60)).alias("query"), F.substr("text", F.lit(61), F.lit(200)).alias("context"), ((F.col("doc_id") % 10) / 10 - 0.2).alias("max_score"), F.when(F.col("doc_id") % 3 == 0, "kb").otherwise("small_model").alias("target"))
+    return cache.answer_by_route(rows, 0.5).select("doc_id", "answer", "tokens", F.round("cost", 9).alias("cost"))
+
+
+def _words_sql(x):
+    return rf"(len(list_filter(string_split_regex(regexp_replace({x}, '^\s+|\s+$', '', 'g'), '\s+'), lambda w: regexp_matches(w, '[\x00-\x7F]'))) + len(regexp_extract_all({x}, '[一-鿿]')))"
+
+
+_BY_ROUTE = f"""WITH r AS (SELECT doc_id, left(text, 60) AS q, substr(text, 61, 200) AS c, doc_id % 10 > 2 AS hit, doc_id % 3 = 0 AS kb FROM documents),
+a AS (SELECT *, CASE WHEN hit THEN '{cache.FOUND}' || c ELSE '{cache.NO_HIT}' END AS s FROM r), t AS (SELECT *, CAST({_words_sql('q')} + {_words_sql('s')} AS INTEGER) AS n FROM a)
+SELECT doc_id, CASE WHEN kb THEN c ELSE s END AS answer, CASE WHEN kb THEN 0 ELSE n END AS tokens, CASE WHEN kb THEN 0 ELSE round(n / 1000 * 0.5e0, 9) END::DOUBLE AS cost FROM t"""
+
+
+def chain_route(s, d):
+    kind = cache.chain_route(F.when(F.col("doc_id") % 4 > 0, F.col("text")), ("under the", "en la"))
+    return table(s, d, "documents").groupBy(kind.alias("chain")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     "guard_input_enforce": (_gate("enforce"), _gate_sql("enforce")),
     "guard_input_report": (_gate("report"), _gate_sql("report")),
@@ -310,4 +357,9 @@ QUERIES = {
     "session_counts": (session_counts, "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts, n DESC ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k"),
     "rollup_revenue": (revenue_rollup, "SELECT r_name, n_name, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)"),
     "semi_anti": (semi_anti, "SELECT c_mktsegment, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS n_with, count(*) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders)) AS n_without FROM customer GROUP BY 1"),
+    "cache_cascade": (cache_cascade, f"{_CASCADE} SELECT * FROM c"),
+    "cache_summary": (cache_summary, f"{_CASCADE} SELECT count(*) AS requests, count(*) FILTER (source = 'prompt_cache') AS exact_hits, count(*) FILTER (source = 'semantic_cache') AS semantic_hits, count(*) FILTER (source = 'llm') AS misses, round(count(*) FILTER (source <> 'llm') / count(*), 6) AS hit_rate FROM c"),
+    "semantic_cache_insert": (semantic_insert, "SELECT vec_id AS id, CAST(label AS VARCHAR) AS a FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT (SELECT max(vec_id) FROM embeddings WHERE vec_id % 2 = 0) + row_number() OVER (ORDER BY vec_id), CAST(label AS VARCHAR) FROM embeddings WHERE vec_id % 2 = 1"),
+    "answer_by_route": (answer_by_route, _BY_ROUTE),
+    "chain_route": (chain_route, "SELECT CASE WHEN doc_id % 4 = 0 OR trim(text) = '' THEN 'summary' WHEN contains(lower(text), 'under the') OR contains(lower(text), 'en la') THEN 'pricing' ELSE 'faq' END AS chain, count(*) AS n FROM documents GROUP BY 1"),
 }

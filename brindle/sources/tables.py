@@ -44,7 +44,7 @@ def faq_texts(rows: DataFrame, column: str = "json") -> DataFrame:
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as rows (path, text)."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def file_versions(spark: SparkSession, path: str) -> DataFrame:
@@ -66,7 +66,7 @@ def yaml_files(spark: SparkSession, path: str, schema: str, parse) -> DataFrame:
             found = [r for text in b["value"] for r in parse(yaml.safe_load(text))]
             yield pd.DataFrame(found, columns=names)
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(rows, schema)
+    return spark.read.text(path, wholetext=True).mapInPandas(rows, schema)
 
 
 def yaml_version(document: dict | None) -> str:

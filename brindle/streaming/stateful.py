@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -124,11 +125,12 @@ def add_to_kb(path: str) -> Callable[[DataFrame, int], None]:
 
     def add(batch: DataFrame, version: int) -> None:
         spark = batch.sparkSession
-        from_path = spark.createDataFrame([], batch.schema)
-        jvm = spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        try:
             from_path = spark.read.parquet(path).where(F.col("kb_version") < version).select(*batch.columns)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            from_path = spark.createDataFrame([], batch.schema)
         new_texts(batch, from_path).write.mode("overwrite").parquet(f"{path}/kb_version={version}")
 
     return add
