@@ -31,6 +31,7 @@ def byte_letters() -> dict[int, str]:
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in prints]
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+_MARKS = frozenset(".,;:!?")
 
 
 def joins_spaces(text: str) -> bool:
@@ -75,13 +76,21 @@ class PieceEncoder:
         self.split = (_BYTE_LEVEL if self.keeps_spaces else _WORD_ENDS).findall
         self.letters = byte_letters()
         self.value, self.join = value, join
-        self.tokens = Generations(self._token, limit)
+        self.tokens = Generations(self._token, limit * 3 // 2)
         self.cache = Generations(self._piece, limit)
 
     def _token(self, pre: str):
         return self.value([t.id for t in self.model.tokenize(pre.encode().decode("latin-1").translate(self.letters))])
 
     def _piece(self, piece: str):
+        # a word, and a word with one mark behind it, need no splitting
+        head, word = (piece[0], piece[1:]) if self.keeps_spaces and piece[:1] in ("\n", "\t") else ("", piece)
+        word, mark = (word[:-1], word[-1]) if word[-1:] in _MARKS else (word, "")
+        if word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
+            low = word.lower() if not self.keeps_spaces else word if head else " " + word
+            if self.keeps_spaces or low.isalpha():
+                parts = [self.tokens["\n"], self.tokens[low]] if head == "\n" else [self.tokens[low]]
+                return self.join([*parts, self.tokens[mark]] if mark else parts)
         if self.keeps_spaces:
             text = piece[1:] if piece[:1] == "\t" else piece if piece[:1] == "\n" else " " + piece
             if piece[:1] == "\n" and _PLAIN.fullmatch(piece, 1):
@@ -101,7 +110,7 @@ class PieceEncoder:
             if s in text:
                 return None
         if not self.keeps_spaces:
-            return text.split(" ")
+            return text.replace("\n", " ").split(" ")
         if joins_spaces(text):
             return None
         return ("\t" + text).replace("\n", " \n").split(" ")
