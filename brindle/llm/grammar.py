@@ -84,12 +84,15 @@ def compress(ids: np.ndarray, terminals: int) -> Shard:
         if len(frequent) > 4 * ROUND_PAIRS:
             frequent = frequent[np.argpartition(times[frequent], -4 * ROUND_PAIRS)[-4 * ROUND_PAIRS :]]
         frequent = frequent[np.lexsort((ordered[cuts[frequent]], -times[frequent]))]
-        lefts, rights, taken = set(), set(), []
+        lefts, rights, taken, slots = set(), set(), [], set()
+        mix, down = keys.dtype.type(0x9E3779B97F4A7C15 >> (64 - 8 * keys.itemsize)), keys.dtype.type(8 * keys.itemsize - 16)
         shift, mask = 8 * seq.itemsize, (1 << 8 * seq.itemsize) - 1
-        for key in ordered[cuts[frequent]].tolist():
+        candidates = ordered[cuts[frequent]]
+        for key, slot in zip(candidates.tolist(), ((candidates * mix) >> down).tolist()):
             a, b = key >> shift, key & mask
-            if a == b or a in rights or b in lefts:
+            if a == b or a in rights or b in lefts or slot in slots:  # one pair a slot; another may come next round
                 continue
+            slots.add(slot)
             lefts.add(a)
             rights.add(b)
             taken.append(key)
@@ -97,23 +100,23 @@ def compress(ids: np.ndarray, terminals: int) -> Shard:
                 break
         if not taken:
             break
-        by_key = np.sort(np.array(taken, dtype=keys.dtype))
-        is_left, is_right = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
-        is_left[list(lefts)] = True
-        is_right[list(rights)] = True
-        maybe = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
-        rule = np.minimum(np.searchsorted(by_key, keys[maybe]), len(by_key) - 1)
-        found = by_key[rule] == keys[maybe]
-        places, rule = maybe[found], rule[found]
+        by_rule = np.array(taken, dtype=keys.dtype)
+        rule_in = np.zeros(1 << 16, dtype=np.uint16)
+        rule_in[(by_rule * mix) >> down] = np.arange(1, len(taken) + 1)
+        rule = rule_in[(keys * mix) >> down]
+        places = np.flatnonzero(rule)
+        rule = rule[places].astype(np.int64) - 1
+        found = by_rule[rule] == keys[places]
+        places, rule = places[found], rule[found]
         keep = np.ones(len(seq), dtype=bool)
         keep[places + 1] = False
         saved = len(places) / len(seq)
         seq = seq.copy()
         seq[places] = (size + rule).astype(kind)
         seq = seq[keep]
-        left += (by_key >> by_key.dtype.type(shift)).tolist()
-        right += (by_key & by_key.dtype.type(mask)).tolist()
-        size += len(by_key)
+        left += (by_rule >> by_rule.dtype.type(shift)).tolist()
+        right += (by_rule & by_rule.dtype.type(mask)).tolist()
+        size += len(by_rule)
         if saved < LEAST_GAIN:
             break
     return Shard(terminals, np.array(left, dtype=np.uint32), np.array(right, dtype=np.uint32), seq)
