@@ -57,27 +57,39 @@ def fires(times, last: int | None, quiet: int) -> tuple[list[bool], int | None]:
 
 
 def _batch(events: DataFrame, decide: Callable, name: str) -> DataFrame:
-    """events(key, at, …) with the decision for each, per key in order of at; ties in order of the other columns."""
+    """events(key, at, …) with the decision for each, per key in order of at; ties in order of the other columns.
+
+    Rows are sorted by key and time and pass through in batches, with the open key's state carried along: a
+    key with most of the events never stands in memory whole.
+    """
     others = [c for c in events.columns if c not in ("key", "at")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields) + f", {name} boolean"
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", *others], kind="stable")
-        return rows.assign(**{name: decide(rows["at"].tolist())})
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for rows in batches:
+            out: list[bool] = []
+            runs = (rows["key"] != rows["key"].shift()).cumsum()
+            for _, run in rows.groupby(runs, sort=False):
+                if run["key"].iloc[0] != key:
+                    key, state = run["key"].iloc[0], None
+                made, state = decide(run["at"].tolist(), state)
+                out += made
+            yield rows.assign(**{name: out})
 
-    return events.groupBy("key").applyInPandas(one, schema)
+    return events.repartition("key").sortWithinPartitions("key", "at", *others).mapInPandas(work, schema)
 
 
 def limit_batch(events: DataFrame, limit: int = LIMIT, window: int = WINDOW_S) -> DataFrame:
-    return _batch(events, lambda times: admit(times, [], limit, window)[0], "admitted")
+    return _batch(events, lambda times, log: admit(times, log or [], limit, window), "admitted")
 
 
 def cache_batch(events: DataFrame, ttl: int = TTL_S) -> DataFrame:
-    return _batch(events, lambda times: hits(times, None, ttl)[0], "hit")
+    return _batch(events, lambda times, written: hits(times, written, ttl), "hit")
 
 
 def debounce_batch(events: DataFrame, quiet: int = DEBOUNCE_S) -> DataFrame:
-    return _batch(events, lambda times: fires(times, None, quiet)[0], "fired")
+    return _batch(events, lambda times, last: fires(times, last, quiet), "fired")
 
 
 def _stream(events: DataFrame, decide: Callable, name: str, state: str) -> DataFrame:
