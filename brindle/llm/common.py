@@ -21,6 +21,16 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_{p}").alias(n) for p, n in zip(places, names)])
 
 
+def with_row_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as c0, c1, ... with k1 and k2, 128 bits of hashes of each row's doc_id and text; and doc_id, text, k1 and k2 alone."""
+    columns = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    own = [F.col(f"c{columns.index(n)}") for n in ("doc_id", "text")]
+    parts = [x for c in own for x in (c.isNull(), c)]
+    plain = plain.withColumn("k1", F.xxhash64(F.lit(1), *parts)).withColumn("k2", F.xxhash64(F.lit(2), *parts))
+    return plain, plain.select(own[0].alias("doc_id"), own[1].alias("text"), "k1", "k2")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

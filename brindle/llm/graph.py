@@ -37,3 +37,10 @@ def connected(edges: DataFrame) -> DataFrame:
         now = cut(downward(small))
         before, seen = seen, state(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def first_rows(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """k1 and k2 of the first row of each component of ``points(point, first)`` under ``edges(a, b)``; first ends with k1 and k2."""
+    roots = connected(edges).withColumnRenamed("node", "point")
+    least = points.join(roots, "point", "left").groupBy(F.coalesce("root", "point").alias("root")).agg(F.min("first").alias("first"))
+    return least.select("first.k1", "first.k2")

@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pick
-from .graph import connected
+from .common import cut, pick, with_row_keys
+from .graph import connected, first_rows
 
 SHINGLE_WORDS, SEED, THRESHOLD = 3, 42, 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -59,14 +59,16 @@ def fingerprints_of(texts: list[str], size: int = 2_000_000) -> np.ndarray:
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id and fp (the fingerprint as a signed long) of every row of ``docs(doc_id, text, ...)``, then its other columns."""
+    others = docs.schema.fields[2:]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints_of(texts).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints_of(texts).view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *[f.name for f in others]])
 
-    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in others)
+    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long{kinds}")
 
 
 @cache
@@ -175,13 +177,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, in all their columns, whose doc_id names its component; of rows that repeat an id, one."""
-    columns = docs.columns
-    at = columns.index("doc_id")
-    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
-    kept = components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k")).distinct()
-    same = F.col(f"c{at}").eqNullSafe(F.col("k"))
-    return plain.join(kept, same, "left_semi").dropDuplicates([f"c{at}"]).toDF(*columns)
+    """One row of each component of ``docs``, in all its columns: that of the smallest doc_id, null last.
+
+    A row is told by its id and text, so rows without an id, or with one id and different texts, are
+    dropped only for a row of their own component.  Of one id's rows that with the smallest fingerprint
+    stays; of rows equal in id and text, any.
+    """
+    plain, keyed = with_row_keys(docs)
+    rows = cut(with_fingerprints(keyed))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "k1", "k2")
+    points = cut(rows.groupBy("fp").agg(F.min(first).alias("first")))
+    kept = first_rows(points.withColumnRenamed("fp", "point"), links(points.select("fp")))
+    return plain.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).drop("k1", "k2").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

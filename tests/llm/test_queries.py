@@ -76,6 +76,16 @@ def test_odd_values(spark, odd, tmp_path):
     assert all(r.taken <= 3 * r["size"] for r in m) and sum(r["size"] for r in m if r.doc_id == 5) == 12
 
 
+def test_first_rows_without_ids(spark):
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(words[n * 40 : n * 40 + 40])
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, None), (3, text(2)), (3, text(3)), (3, text(3)), (2, text(4)), (9, text(4)), (9, text(5)), (None, text(4))]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, k1 int").repartition(3)
+    got = simhash.keep_first(df)
+    want = [(None, text(0)), (None, text(1)), (None, None), (3, text(2)), (3, text(3)), (2, text(4)), (9, text(5))]
+    assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_mixing(docs, texts):
     rows = mixing.mixed_words(docs).collect()
     sources = {r.doc_id: r.source for r in docs.collect()}
