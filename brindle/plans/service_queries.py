@@ -149,6 +149,11 @@ def prompt_render(s, d):
     return table(s, d, "documents").select("doc_id", X.render(t, {"lang": F.col("lang"), "text": F.left("text", F.lit(40))}).alias("prompt"))
 
 
+def prompt_render_whole(s, d):
+    t = F.lit("[{{ lang }}] {{text}} {{ missing }}|")
+    return table(s, d, "documents").select("doc_id", X.render(t, {"lang": F.col("lang"), "text": F.col("text")}).alias("prompt"))
+
+
 def contexts(s, d):
     """The texts of each conversation's assistant, joined in order."""
     return context.joined(table(s, d, "conversations").where("role = 'assistant'"), ["conv_id"], "turn")
@@ -190,6 +195,21 @@ def answer_sources(s, d):
     return table(s, d, "documents").groupBy(src.alias("source_kind")).agg(F.count("*").alias("n"))
 
 
+def _turns(s, d):
+    """Whole questions of the chats and the whole answers that follow them."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(s, d, "conversations").withColumn("answer", F.lead("text").over(w)).withColumn("next", F.lead("role").over(w))
+    return c.where("role = 'user' and next = 'assistant'").select("conv_id", "turn", F.col("text").alias("q"), F.col("answer").alias("c"))
+
+
+_TURNS = "(SELECT conv_id, turn, text AS q, a AS c FROM (SELECT *, lead(text) OVER w AS a, lead(role) OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND n = 'assistant')"
+
+
+def answer_sources_whole(s, d):
+    src = metrics.answer_source(F.col("q"), F.col("c"), F.length("q") % 100, {"License": "(?i)license", "the": "(?i)the"})
+    return _turns(s, d).groupBy(src.alias("source_kind")).agg(F.count("*").alias("n"))
+
+
 def questions(s, d):
     rules = {"licen[sc]e": ["Which licence is it?", "May it be shared?"], r"\|": ["What is in the table?"]}
     return metrics.questions(table(s, d, "documents").select("doc_id", "text"), X.focus("text"), rules).select("doc_id", "question")
@@ -300,6 +320,11 @@ def answer_by_route(s, d):
     return cache.answer_by_route(rows, 0.5).select("doc_id", "answer", "tokens", F.round("cost", 9).alias("cost"))
 
 
+def answer_by_route_whole(s, d):
+    rows = _turns(s, d).select("conv_id", "turn", F.col("q").alias("query"), F.col("c").alias("context"), ((F.col("conv_id") % 10) / 10 - 0.2).alias("max_score"), F.when(F.col("conv_id") % 3 == 0, "kb").otherwise("small_model").alias("target"))
+    return cache.answer_by_route(rows, 0.5).select("conv_id", "turn", "answer", "tokens", F.round("cost", 9).alias("cost"))
+
+
 def _words_sql(x):
     return rf"(len(list_filter(string_split_regex(regexp_replace({x}, '^\s+|\s+$', '', 'g'), '\s+'), lambda w: regexp_matches(w, '[\x00-\x7F]'))) + len(regexp_extract_all({x}, '[一-鿿]')))"
 
@@ -309,6 +334,16 @@ a AS (SELECT *, CASE WHEN hit THEN '{cache.FOUND}' || c ELSE '{cache.NO_HIT}' EN
 SELECT doc_id, CASE WHEN kb THEN c ELSE s END AS answer, CASE WHEN kb THEN 0 ELSE n END AS tokens, CASE WHEN kb THEN 0 ELSE round(n / 1000 * 0.5e0, 9) END::DOUBLE AS cost FROM t"""
 
 
+_BY_ROUTE_WHOLE = f"""WITH r AS (SELECT *, conv_id % 10 > 2 AS hit, conv_id % 3 = 0 AS kb FROM {_TURNS}),
+a AS (SELECT *, CASE WHEN hit THEN '{cache.FOUND}' || c ELSE '{cache.NO_HIT}' END AS s FROM r), t AS (SELECT *, CAST({_words_sql('q')} + {_words_sql('s')} AS INTEGER) AS n FROM a)
+SELECT conv_id, turn, CASE WHEN kb THEN c ELSE s END AS answer, CASE WHEN kb THEN 0 ELSE n END AS tokens, CASE WHEN kb THEN 0 ELSE round(n / 1000 * 0.5e0, 9) END::DOUBLE AS cost FROM t"""
+
+
+def chain_route_whole(s, d):
+    kind = cache.chain_route(F.col("text"), ("under the", "en la"))
+    return table(s, d, "documents").groupBy(kind.alias("chain")).agg(F.count("*").alias("n"))
+
+
 def chain_route(s, d):
     kind = cache.chain_route(F.when(F.col("doc_id") % 4 > 0, F.col("text")), ("under the", "en la"))
     return table(s, d, "documents").groupBy(kind.alias("chain")).agg(F.count("*").alias("n"))
@@ -362,4 +397,8 @@ QUERIES = {
     "semantic_cache_insert": (semantic_insert, "SELECT vec_id AS id, CAST(label AS VARCHAR) AS a FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT (SELECT max(vec_id) FROM embeddings WHERE vec_id % 2 = 0) + row_number() OVER (ORDER BY vec_id), CAST(label AS VARCHAR) FROM embeddings WHERE vec_id % 2 = 1"),
     "answer_by_route": (answer_by_route, _BY_ROUTE),
     "chain_route": (chain_route, "SELECT CASE WHEN doc_id % 4 = 0 OR trim(text) = '' THEN 'summary' WHEN contains(lower(text), 'under the') OR contains(lower(text), 'en la') THEN 'pricing' ELSE 'faq' END AS chain, count(*) AS n FROM documents GROUP BY 1"),
+    "prompt_render_whole": (prompt_render_whole, "SELECT doc_id, '[' || lang || '] ' || text || ' |' AS prompt FROM documents"),
+    "answer_sources_whole": (answer_sources_whole, f"SELECT CASE WHEN (regexp_matches(q, '(?i)license') AND NOT contains(c, 'License')) OR (regexp_matches(q, '(?i)the') AND NOT contains(c, 'the')) THEN 'RULE_OVERRIDE' WHEN length(q) % 100 >= 80 THEN 'KB_MATCH' ELSE 'MODEL_GENERATED' END AS source_kind, count(*) AS n FROM {_TURNS} GROUP BY 1"),
+    "answer_by_route_whole": (answer_by_route_whole, _BY_ROUTE_WHOLE),
+    "chain_route_whole": (chain_route_whole, "SELECT CASE WHEN trim(text) = '' THEN 'summary' WHEN contains(lower(text), 'under the') OR contains(lower(text), 'en la') THEN 'pricing' ELSE 'faq' END AS chain, count(*) AS n FROM documents GROUP BY 1"),
 }
