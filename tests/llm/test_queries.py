@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, grammar, licences, mixing, packing, quality, registry, simhash, token_counts, warc, winnowing
+from brindle.llm import chat, grammar, licences, mixing, near_copies, packing, quality, registry, simhash, token_counts, warc, winnowing
 
 from ..compare import duck_rows, spark_rows
 
@@ -86,6 +86,47 @@ def test_first_rows_without_ids(spark):
     assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_near_dedup_of_edited_copies(spark, docs, texts, monkeypatch):
+    """The pipeline's stage against all pairs, with copies that differ in a few words or in one passage."""
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(3)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, None), (None, "no id"), (7, "of one id"), (7, "and another text")]
+    for i, t in texts.items():
+        w = t.split()
+        if len(w) > 60:
+            for n in (1, len(w) // 100, len(w) // 50):
+                new = list(w)
+                for at in rng.integers(0, len(w), n):
+                    new[at] = f"edit{rng.integers(1000)}"
+                rows.append((10_000 + len(rows), " ".join(new)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [near_copies.shingles(t or "").tolist() for _, t in rows]
+    sets, like, root = [set(s) for s in sets], 0, list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    for n, i in enumerate(order):
+        for j in order[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            either = len(sets[i]) + len(sets[j]) - both
+            if not either or both / either >= 0.8:
+                like += sets[i] != sets[j]
+                root[find(j)] = find(i)
+    groups = defaultdict(set)
+    for i in range(len(rows)):
+        groups[find(i)].add(i)
+    want = sorted(str(rows[min(g, key=order.index)][0]) for g in groups.values())
+    for crowded in (64, 2):
+        monkeypatch.setattr(near_copies, "CROWDED", crowded)
+        got = P.near_dedup(spark, df, "").collect()
+        assert like > 100 and sorted(str(r.doc_id) for r in got) == want
+
+
 def test_mixing(docs, texts):
     rows = mixing.mixed_words(docs).collect()
     sources = {r.doc_id: r.source for r in docs.collect()}
