@@ -154,15 +154,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, shard
         docs, ends, data, total, seq, part = [], [], [], 0, 0, 0
         for b in batches:
             part = b.column(2)[0].as_py() if b.num_rows else part
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            for doc, text in zip(b.column(0).to_pylist(), texts):
-                data.append(b"".join(lib.values(text)) + end)
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                data.append(b"".join(lib.values(text.as_py() or "")) + end)
                 total += len(data[-1]) // 4
                 docs.append(doc)
                 ends.append(total)
                 if total >= shard_tokens:
                     yield pa.RecordBatch.from_pylist([_record(part, seq, terminals, docs, ends, data)], schema)
                     docs, ends, data, total, seq = [], [], [], 0, seq + 1
+        lib.forget()
         if docs:
             yield pa.RecordBatch.from_pylist([_record(part, seq, terminals, docs, ends, data)], schema)
 

@@ -27,10 +27,9 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = id_encoder(vocabulary)
         for b in batches:
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
             row, piece, length, crc, ids = [], [], [], [], []
-            for i, text in enumerate(texts):
-                data = b"".join(lib.values(text)) + end
+            for i, text in enumerate(b.column(1)):
+                data = b"".join(lib.values(text.as_py() or "")) + end
                 for k, at in enumerate(range(0, len(data), width)):
                     some = data[at : at + width]
                     row.append(i)
@@ -42,6 +41,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int =
             pieces = np.array(piece, dtype=np.int32)
             columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(pieces), pa.array(pieces.astype(np.int64) * capacity), pa.array(length, pa.int32()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * keep_ids, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
+        lib.forget()
 
     return docs.mapInArrow(encode, schema)
 

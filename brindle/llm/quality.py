@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, pick
+from .common import cut, pick, shared_path
 
 _SYMBOLS = b"#*$%&|<>"
 _ENDS = (b".", b"!", b"?", b":", b";", b'"', "…".encode(), "”".encode(), "。".encode())
@@ -85,17 +85,18 @@ def measure(texts: list[str], size: int = 2_000_000) -> np.ndarray:
     return out
 
 
-def with_measures(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, whose last column is the text, with ``measures`` in place of it."""
-    names = docs.columns[:-1]
+@F.arrow_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
+def measures(texts: pa.Array) -> pa.Array:
+    """MEASURES of each text, as a struct; only texts reach Python, and only numbers come back."""
+    found = [measure([t.as_py() or "" for t in texts.slice(at, 500)]) for at in range(0, len(texts), 500)]
+    m = np.concatenate(found) if found else np.zeros((0, len(MEASURES)), dtype=np.int64)
+    return pa.StructArray.from_arrays([pa.array(m[:, i]) for i in range(len(MEASURES))], list(MEASURES))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = measure(["" if t is None else t for t in b.column(b.num_columns - 1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], *[pa.array(m[:, i]) for i in range(len(MEASURES))]], [*names, *MEASURES])
 
-    kinds = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names]
-    return docs.mapInArrow(work, ", ".join([*kinds, *[f"{m} long" for m in MEASURES]]))
+def with_measures(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, whose last column is the text, with MEASURES in place of it."""
+    names = docs.columns[:-1]
+    return docs.select(*names, measures(docs.columns[-1]).alias("_m")).select(*names, "_m.*")
 
 
 def _vote(good, bad):
@@ -114,9 +115,9 @@ def rules() -> dict:
     density = F.col("n_symbols") / F.greatest("word_chars", F.lit(1))
     return {
         "length": _vote(F.col("n_words") >= 50, F.col("n_words") < 10),
-        "symbols": _vote(symbols < 0.02, symbols > 0.1),
+        # how many, by words and by characters, is one witness; on how many lines they stand is another
+        "symbols": _vote((symbols < 0.02) & (density < 0.004), (symbols > 0.1) | (density > 0.025)),
         "marked_lines": _vote(marked == 0, marked > 0.3),
-        "density": _vote(density < 0.004, density > 0.025),
         "word_size": _vote((mean >= 2.5) & (mean <= 9), (mean < 2) | (mean > 12)),
         "repeats": _vote(repeated < 0.05, repeated > 0.2),
         "lines": _vote(duplicate == 0, duplicate > 0.3),
@@ -143,10 +144,10 @@ def fit(patterns: dict[int, int], steps: int = 200) -> dict[int, float]:
     """Posterior probability of good quality of each pattern of votes, by expectation-maximisation.
 
     Two classes; given the class, rules vote independently.  For each rule the two accuracies (a vote is
-    right on good, on bad texts) are estimated; abstentions say nothing.  Texts that two rules or more
-    call bad start as bad with probability 0.9, others as good.  Accuracies stay at most 0.99; on good
+    right on good, on bad texts) are estimated; abstentions say nothing.  Texts that a rule calls bad
+    start as bad with probability 0.9, others as good.  Accuracies stay at most 0.99; on good
     texts a rule is better than chance, and on bad ones it may be blind, but a vote for good never
-    counts against it.  The share of good texts stays between 0.5 and 0.99.  Small pseudo-counts let
+    counts against it.  The share of good texts stays between 0.01 and 0.99.  Small pseudo-counts let
     any set of patterns, even one, have a result.
     """
     if not patterns:
@@ -156,12 +157,12 @@ def fit(patterns: dict[int, int], steps: int = 200) -> dict[int, float]:
     weight = np.array([patterns[c] for c in codes], dtype=float)
     votes = np.stack([codes // 3**k % 3 - 1 for k in range(m - 1, -1, -1)], axis=1)
     yes, no = (votes == 1).astype(float), (votes == -1).astype(float)
-    good = np.where(no.sum(axis=1) >= 2, 0.1, 0.9)
+    good = np.where(no.any(axis=1), 0.1, 0.9)
     for _ in range(steps):
         g, b = weight * good, weight * (1 - good)
         right_good = np.clip((g @ yes + 1.6) / (g @ (yes + no) + 2), 0.55, 0.99)
         right_bad = np.clip((b @ no + 1) / (b @ (yes + no) + 2), 1 - right_good, 0.99)
-        share = float(np.clip((g.sum() + 1.8) / (weight.sum() + 2), 0.5, 0.99))
+        share = float(np.clip((g.sum() + 1.8) / (weight.sum() + 2), 0.01, 0.99))
         odds = np.log(share / (1 - share)) + yes @ np.log(right_good / (1 - right_bad)) + no @ np.log((1 - right_good) / right_bad)
         before, good = good, 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         if abs(good - before).max() < 1e-9:
@@ -169,19 +170,20 @@ def fit(patterns: dict[int, int], steps: int = 200) -> dict[int, float]:
     return {int(c): float(p) for c, p in zip(codes, good)}
 
 
-def scored(measured: DataFrame, counted: DataFrame | None = None) -> DataFrame:
-    """``measured`` with base_failed, quality (the posterior) and kept.
+def posteriors(coded: DataFrame) -> DataFrame:
+    """(code, quality) of every pattern of votes in ``coded(code)``, null codes left out.
 
-    The patterns of votes are counted over all rows that the base rule leaves (of ``counted``, where that has
-    the same rows more cheaply); only their counts reach the driver.  What the base rule rejects is bad
-    already: were it counted, the bad class would be a picture of it.
+    Patterns are counted over all rows; only their counts reach the driver, 3 ** rules at most (59,049 rows of
+    12 bytes), so the table may be broadcast whatever the corpus.
     """
-    counts = (counted if counted is not None else measured).where(~base_failed()).groupBy(vote_code().alias("code")).agg(F.count("*").alias("n")).collect()
-    posterior = fit({r.code: r.n for r in counts})
-    pairs = [F.lit(x) for c, p in posterior.items() for x in (c, p)]
-    table = F.create_map(*pairs) if pairs else F.create_map(F.lit(0), F.lit(0.0))
-    out = measured.withColumn("base_failed", base_failed()).withColumn("quality", F.when(F.col("base_failed"), 0.0).otherwise(F.element_at(table, vote_code())))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+    counts = coded.where("code is not null").groupBy("code").agg(F.count("*").alias("n")).collect()
+    table = sorted(fit({r.code: r.n for r in counts}).items())
+    return F.broadcast(coded.sparkSession.createDataFrame(table, "code int, quality double"))
+
+
+def code_or_null():
+    """vote_code, null where the base rule fails: such a text is bad already; were it counted, the bad class would be a picture of the rule."""
+    return F.when(~base_failed(), vote_code())
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -191,20 +193,25 @@ def quality(docs: DataFrame) -> DataFrame:
     Repeated rows give repeated rows; null ids pass through; an empty table gives an empty one; other
     columns are ignored.
     """
-    return scored(cut(with_measures(pick(docs, "doc_id", "text"))))
+    measured = cut(with_measures(pick(docs, "doc_id", "text")).withColumn("code", code_or_null()))
+    joined = measured.join(posteriors(measured.select("code")), "code", "left").withColumn("quality", F.coalesce("quality", F.lit(0.0)))
+    return joined.withColumn("base_failed", F.col("code").isNull()).withColumn("kept", F.col("quality") >= 0.5).drop("code")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs``, in all their columns.
 
-    Texts are measured twice, once for the counts and once beside the rows, so that no text is shuffled.
+    Each text is measured once: rows that the base rule leaves are written with their pattern of votes, and
+    read again once the patterns' posteriors are known, so no text is shuffled.
     """
-    columns = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
-    text = f"c{columns.index('text')}"
-    counted = with_measures(plain.select(F.lit(0).alias("_"), text))
-    rows = scored(with_measures(plain.withColumn("_text", F.col(text))), counted)
-    return rows.where("kept").select(*[f"c{i}" for i in range(len(columns))]).toDF(*columns)
+    spark, columns = docs.sparkSession, docs.columns
+    own = [f"c{i}" for i in range(len(columns))]
+    plain = docs.toDF(*own)
+    path = shared_path(spark, "votes")
+    measured = plain.withColumn("_m", measures(f"c{columns.index('text')}")).select(*own, "_m.*")
+    measured.withColumn("code", code_or_null()).where("code is not null").select(*own, "code").write.parquet(path)
+    voted = spark.read.parquet(path)
+    return voted.join(posteriors(voted.select("code")), "code").where("quality >= 0.5").select(*own).toDF(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

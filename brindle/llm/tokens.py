@@ -3,7 +3,7 @@
 A text is cut at spaces into pieces that the library would tokenise alike on their own; a piece already
 met in this Python worker comes from its cache.  A new piece is cut into the vocabulary's pre-tokens, and
 the library's model encodes those that are new.  Where cutting could change a result (special strings,
-white space next to white space, rare characters) the library gets the whole text or piece.
+rare characters) the library gets the whole text or piece.
 """
 
 from __future__ import annotations
@@ -19,8 +19,15 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from .common import tokenizer_path  # noqa: E402
 
 _SPACES = re.compile(r"\s")
+#: White space as Unicode has it; characters that other tables take for white space, or once did.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECES = re.compile(rf"[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]?[^{_WHITE}]+|[{_WHITE}]")
+_UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 #: Characters whose classes and lower case are the same in every version of Unicode.
 _PLAIN = re.compile(r"[ -~¡-¬®-ɏ]+")
+_MARKS = frozenset(".,;:!?")
+#: Bytes of each generation of a cache; what an entry takes beside its characters; the longest key that is kept.
+CACHE_BYTES, ENTRY, LONGEST = 24 << 20, 180, 64
 #: How the byte-level vocabularies, and the one with word ends, split a text.
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_ENDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -31,33 +38,62 @@ def byte_letters() -> dict[int, str]:
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in prints]
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
-_MARKS = frozenset(".,;:!?")
 
 
 def joins_spaces(text: str) -> bool:
-    """Whether a byte-level pattern may join white space: any next to other, at an end, or of a rarer kind."""
+    """Whether white space is anything but single spaces and line breaks between words."""
     if not text or not text.replace("\n", "").isprintable() and _SPACES.search(text.replace(" ", "").replace("\n", "")):
         return bool(text)
     return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
 
 
+def spaced_pieces(text: str) -> list[str]:
+    """Pieces of a text with any white space: a run is one piece, but for its last character, which goes with the word behind it."""
+    out = []
+    for p in _PIECES.findall(text):
+        out.append(p[1:] if p[0] == " " and len(p) > 1 and p[1] not in _WHITE else p if p[0] == "\n" and len(p) > 1 and p[1] not in _WHITE else "\t" + p)
+    return out
+
+
 class Generations(dict):
-    """A cache of ``limit`` to twice as many entries: when it is full, what isn't used again goes."""
+    """A cache of ``limit`` to twice as many bytes, by estimate: when it is full, what isn't used again goes.
+
+    Keys of more than LONGEST characters are made each time and never kept.
+    """
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.old, self.used = make, limit, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
+            if len(key) > LONGEST:
+                return value
+        self.used += ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+        if self.used > self.limit:
             self.old = dict(self)
             self.clear()
+            self.used = 0
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.used = {}, 0
+
+
+class Tiered(dict):
+    """A table of values; what it hasn't comes from ``rest``."""
+
+    def __init__(self, table: dict, rest: Generations):
+        super().__init__(table)
+        self.rest = rest
+
+    def __missing__(self, key):
+        return self.rest[key]
+
 
 class PieceEncoder:
     """Pieces of texts and their values; ``value`` turns a list of ids into what is cached, ``join`` adds values up.
@@ -66,7 +102,7 @@ class PieceEncoder:
     piece of a line starts with "\\n" for a line that follows another, and with "\\t" for the first line.
     """
 
-    def __init__(self, name: str, value, join, limit: int = 400_000):
+    def __init__(self, name: str, value, join, limit: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_path(name))
@@ -76,30 +112,43 @@ class PieceEncoder:
         self.split = (_BYTE_LEVEL if self.keeps_spaces else _WORD_ENDS).findall
         self.letters = byte_letters()
         self.value, self.join = value, join
-        self.tokens = Generations(self._token, limit * 3 // 2)
+        self.tokens = self.misses = Generations(self._token, limit)
         self.cache = Generations(self._piece, limit)
 
     def _token(self, pre: str):
         return self.value([t.id for t in self.model.tokenize(pre.encode().decode("latin-1").translate(self.letters))])
 
-    def _piece(self, piece: str):
+    def pre_tokens(self, piece: str) -> list[str] | None:
+        """The pre-tokens of a piece; None: the library must split it."""
         # a word, and a word with one mark behind it, need no splitting
         head, word = (piece[0], piece[1:]) if self.keeps_spaces and piece[:1] in ("\n", "\t") else ("", piece)
         word, mark = (word[:-1], word[-1]) if word[-1:] in _MARKS else (word, "")
         if word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
             low = word.lower() if not self.keeps_spaces else word if head else " " + word
             if self.keeps_spaces or low.isalpha():
-                parts = [self.tokens["\n"], self.tokens[low]] if head == "\n" else [self.tokens[low]]
-                return self.join([*parts, self.tokens[mark]] if mark else parts)
+                return ["\n"] * (head == "\n") + [low] + [mark] * (mark != "")
         if self.keeps_spaces:
             text = piece[1:] if piece[:1] == "\t" else piece if piece[:1] == "\n" else " " + piece
-            if piece[:1] == "\n" and _PLAIN.fullmatch(piece, 1):
-                return self.join([self.tokens["\n"], *map(self.tokens.__getitem__, self.split(piece[1:]))])
+            if text[:1] == "\n":
+                if not text.strip("\n"):
+                    return [text]
+                if _PLAIN.fullmatch(text, 1):
+                    return ["\n", *self.split(text[1:])]
         else:
             text = piece
         if not _PLAIN.fullmatch(text):
-            return self.whole(text)
-        return self.join(map(self.tokens.__getitem__, self.split(text if self.keeps_spaces else text.lower())))
+            return None
+        return self.split(text if self.keeps_spaces else text.lower())
+
+    def _piece(self, piece: str):
+        parts = self.pre_tokens(piece)
+        if parts is None:
+            return self.whole(piece if not self.keeps_spaces else piece[1:] if piece[:1] == "\t" else piece if piece[:1] == "\n" else " " + piece)
+        return self.join(map(self.tokens.__getitem__, parts))
+
+    def known(self, table: dict) -> None:
+        """Pre-tokens are looked up in ``table`` first, and in the worker's cache where it hasn't them."""
+        self.tokens = Tiered(table, self.misses)
 
     def whole(self, text: str):
         return self.value(self.library.encode(text, add_special_tokens=False).ids)
@@ -112,7 +161,7 @@ class PieceEncoder:
         if not self.keeps_spaces:
             return text.replace("\n", " ").split(" ")
         if joins_spaces(text):
-            return None
+            return None if _UNSURE.search(text) else spaced_pieces(text)
         return ("\t" + text).replace("\n", " \n").split(" ")
 
     def values(self, text: str):
@@ -120,6 +169,12 @@ class PieceEncoder:
         pieces = self.pieces(text)
         return [self.whole(text)] if pieces is None else map(self.cache.__getitem__, pieces)
 
+    def forget(self) -> None:
+        """Empties the caches, at the end of a task: a worker that is used again holds nothing meanwhile."""
+        self.cache.forget()
+        self.misses.forget()
+        self.tokens = self.misses
+
 
 def id_bytes(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit ids."""

@@ -168,6 +168,10 @@ def test_tokens(docs, texts):
     lib = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     ids = {i: lib.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
     assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.token_counts(docs).collect()} == {i: (len(texts[i].encode()), len(v)) for i, v in ids.items()}
+    spaced = docs.withColumn("text", F.regexp_replace(F.regexp_replace("text", "\n", "\n\n  "), r"\. ", ".  \t"))
+    want = {r.doc_id: len(lib.encode(r.text, add_special_tokens=False).ids) for r in spaced.collect()}
+    counted = token_counts.token_counts(spaced)
+    assert {r.doc_id: r.n_tokens for r in counted.collect()} == want and "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
 
 
 def test_token_files(spark, docs, texts, tmp_path):

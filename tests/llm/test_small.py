@@ -98,6 +98,19 @@ def test_fit_separates(monkeypatch):
     assert p[code(1, 1, 1, 1)] > 0.95 and p[code(-1, -1, 1, 1)] < 0.5 and quality.fit({}) == {}
 
 
+def test_fit_finds_a_bad_majority(monkeypatch):
+    """Held-out truth: votes drawn from known accuracies, with 15 % good texts."""
+    monkeypatch.setattr(quality, "rules", lambda: dict.fromkeys("abcdef"))
+    rng = np.random.default_rng(5)
+    truth = rng.random(20_000) < 0.15
+    right = rng.random((20_000, 6)) < np.where(truth[:, None], 0.95, 0.7)
+    votes = np.where(rng.random((20_000, 6)) < 0.2, 0, np.where(right == truth[:, None], 1, -1))
+    codes = ((votes + 1) * 3 ** np.arange(5, -1, -1)).sum(axis=1)
+    p = quality.fit(dict(zip(*(x.tolist() for x in np.unique(codes, return_counts=True)))))
+    found = np.array([p[c] for c in codes.tolist()]) >= 0.5
+    assert (found == truth).mean() > 0.93 and abs(found.mean() - 0.15) < 0.05
+
+
 @steps
 @given(st.lists(st.integers(0, 6), max_size=400))
 def test_grammar_round_trip(ids):
@@ -236,6 +249,7 @@ def test_pieces_equal_library(name):
     e = tokens.id_encoder(name)
     texts = ["", " ", "  a b", "a\n\nb", "x <|endoftext|> y", "7 7a b7", "\n", "a\nb c\n d", " a", "a ", "\tq w", "don't I'll  's 'S x's\n's", "１２ ²", "é é ́x", "İI ΑΣ Σ", "a\x1cb c\xa0d \xad", "Ünï\ncödé \n", "\U0001f600 x\U0001f600", "a\r\nb"]
     rng = random.Random(4)
+    texts += ["a  b\n\n\nc", "x\u3000 y \n z  ", "\n\n \nq", "a\x85 b\u200b \n c\r\n\r\nd", " \t's  's"]
     texts += ["".join(rng.choice(["a", "B", " ", "\n", ".", "é", "'s", "1", "\t", "ß", "中"]) for _ in range(rng.randrange(40))) for _ in range(400)]
     for t in texts:
         assert b"".join(e.values(t)) == tokens.id_bytes(e.library.encode(t, add_special_tokens=False).ids), repr(t)
