@@ -32,7 +32,7 @@ def record_headers(date: str = "2024-01-01T00:00:00Z") -> Column:
         field("WARC-Type", F.col("record_type")),
         field("WARC-Record-ID", record_id(F.col("page_id"))),
         field("WARC-Date", F.lit(date)),
-        field("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
+        field("WARC-Target-URI", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         field("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         field("WARC-Refers-To", F.when(revisit, record_id(F.col("refers_to")))),
@@ -42,9 +42,10 @@ def record_headers(date: str = "2024-01-01T00:00:00Z") -> Column:
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
-    """Writes ``path``/payloads (digest, payload) and ``path``/records (page_id, digest, header).
+    """Writes ``path``/payloads (digest, payload) and ``path``/records (page_id, url, digest, header).
 
-    pages(page_id, url, html): a null page is an empty payload, a null url has no header line.  Of records
+    pages(page_id, url, html): a null page is an empty payload, a null url has no header line.  A line break in
+    a url is percent-encoded in the header; the url itself is kept as it was, in its own column.  Of records
     with equal payloads of LEAST_BYTES or more, those with the smallest page_id are responses, others
     revisits; smaller payloads are all responses.  Groups are summed by digest before anything moves, and
     rows meet by digest and page_id, so that a group of most rows is spread.  A payload whose text differs
@@ -58,7 +59,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
     groups = groups.select("digest", F.when(clash, F.raise_error(F.lit("two payloads share a digest"))).otherwise(F.col("refers_to")).alias("refers_to"))
     revisit = (F.col("bytes") >= LEAST_BYTES) & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     joined = keyed.join(groups, "digest").withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
-    joined.select("page_id", "digest", F.encode(record_headers(), "UTF-8").alias("header")).write.parquet(f"{path}/records")
+    joined.select("page_id", "url", "digest", F.encode(record_headers(), "UTF-8").alias("header")).write.parquet(f"{path}/records")
     # plain keys, so that payloads move once: equal rows meet where the join has put them
     first = groups.select("digest", F.coalesce("refers_to", F.lit(NO_PAGE)).alias("key"))
     stored = rows.select("digest", F.coalesce("page_id", F.lit(NO_PAGE)).alias("key"), "payload").join(first, ["digest", "key"], "left_semi")
@@ -78,15 +79,20 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, header, and what the header says: digest, record_type, refers_to (a record's id)."""
-    rows = spark.read.schema("page_id long, digest string, header binary").parquet(f"{path}/records").withColumn("text", F.decode("header", "UTF-8"))
-    return rows.select("page_id", "header", F.regexp_replace(_header("WARC-Payload-Digest"), "^sha256:", "").alias("digest"), _header("WARC-Type").alias("record_type"), _header("WARC-Refers-To").alias("refers_to"))
+    """page_id, url, header, and what the header says: digest, record_type, refers_to (a record's id)."""
+    rows = spark.read.schema("page_id long, url string, digest string, header binary").parquet(f"{path}/records").withColumn("text", F.decode("header", "UTF-8"))
+    return rows.select("page_id", "url", "header", F.regexp_replace(_header("WARC-Payload-Digest"), "^sha256:", "").alias("digest"), _header("WARC-Type").alias("record_type"), _header("WARC-Refers-To").alias("refers_to"))
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record: the original bytes of each record, header and payload, those of revisits too."""
+    """page_id, record, payload: the original bytes of each record, and what it stands for.
+
+    A response is its header and payload; a revisit its header and, as its Content-Length says, an empty
+    block; its payload is found by its digest.
+    """
     end = F.encode(F.lit(_LINE * 2), "UTF-8")
-    return read_records(spark, path).join(read_payloads(spark, path), "digest").select("page_id", F.concat("header", "payload", end).alias("record"))
+    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    return read_records(spark, path).join(read_payloads(spark, path), "digest").select("page_id", F.concat("header", block, end).alias("record"), "payload")
 
 
 def archived(spark: SparkSession, path: str) -> DataFrame:
