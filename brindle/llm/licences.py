@@ -40,7 +40,18 @@ _OTHER_FREEDOM, _EXCEPTION = 0.2, 0.1
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+\-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
-_TAG_AT = re.compile(r"spdx[\x00-\x2F\x3A-\x60\x7B-\x7F]+license[\x00-\x2F\x3A-\x60\x7B-\x7F]+identifier", re.IGNORECASE | re.ASCII)
+_SEPARATE = re.compile(rb"[^ ]+")
+#: Families of the public SPDX list of licences, and how an identifier of each goes on after its name.
+_VERSIONS = {
+    "": "0bsd adsl afmparse aladdin antlr-pd apafml app-s2p beerware blessing blueoak-1.0.0 cc0-1.0 clartistic curl dotseqn dsdp egenix eurosym fair fsfap fsful fsfullr ftl glide hpnd ibm-pibs icu ijg imatix info-zip intel isc jasper-2.0 jpnic json "
+    "latex2e leptonica libpng linux-openib mit mit-0 mit-cmu mit-advertising mit-feh mit-enna mitnfa motosoto mpich2 mtll multics naumen ncsa net-snmp netcdf newsletr ngpl nlpl noweb nrl ntp oml openssl plexus postgresql psfrag psutils python-2.0 qhull rdisc rsa-md ruby saxpath sendmail "
+    "sgi-b-2.0 simpl-2.0 sissl sleepycat snia spl-1.0 swl tcl tcp-wrappers tmate tosl ucl-1.0 unicode-dfs-2016 unicode-tou unlicense upl-1.0 vim vostrom w3c wsuipa wtfpl x11 xerox xinetd xnet xpp xskat zed zlib zlib-acknowledgement",
+    r"-\d+(\.\d+)*": "apache artistic apsl bsl catosl cddl cecill cpal cpl cua-opl ecl efl epl erlpl eupl etalab eupl frameworx gfdl imlib2 lppl lpl mpl ms-pl mulanpsl nasa nbpl ngpl nosl npl odbl oclc odc-by ofl oldap osl osset-pl php qpl rpl rscpl sgi-b sissl spl upl vsl w3c watcom ypl zimbra zpl cern-ohl-p cern-ohl-s cern-ohl-w",
+    r"-\d+(\.\d+)*(-only|-or-later)?": "gpl lgpl agpl gfdl",
+    r"-\d+(\.\d+)*(-[a-z]{2,3})?": "cc-by cc-by-sa cc-by-nc cc-by-nd cc-by-nc-sa cc-by-nc-nd",
+    r"-\d-clause(-[a-z0-9-]+)?": "bsd",
+}
+_IDENTIFIER = re.compile("|".join(rf"(?:{'|'.join(re.escape(f) for f in names.split())}){more}" for more, names in _VERSIONS.items()) + r"|licenseref-[a-z0-9.\-]+|ms-(?:pl|rl)")
 
 
 def family(identifier: str) -> str:
@@ -54,12 +65,13 @@ def family(identifier: str) -> str:
     return re.sub(r"-\d+(\.\d+)*$", "", name)
 
 
-def evaluate(text: str) -> tuple[set[str], float] | None:
-    """Labels and freedom of a licence expression at the beginning of ``text``; None if there is none.
+def evaluate(text: str, start: int = 0, stop: int | None = None) -> tuple[set[str], float] | None:
+    """Labels and freedom of a licence expression that begins at ``start``; None if there is none.
 
     Shunting-yard: with binds closer than and, and closer than or.  Or lets the user choose (the
     greater freedom counts), and binds to both (the lesser), with adds a little.  Reading ends at the
-    first token that can't continue the expression; open brackets close there.
+    first token that can't continue the expression, such as a word that is no identifier of a licence
+    (_IDENTIFIER; LicenseRef- names too); open brackets close there.
     """
     labels: set[str] = set()
     values: list = []
@@ -70,7 +82,7 @@ def evaluate(text: str) -> tuple[set[str], float] | None:
         values.append(max(a, b) if op == "or" else min(a, b) if op == "and" else min(1.0, a + _EXCEPTION))
 
     operand, after_with = True, False
-    for m in _TOKEN.finditer(text):
+    for m in _TOKEN.finditer(text, start, len(text) if stop is None else stop):
         token = m.group()
         low = token.lower()
         if operand:
@@ -80,7 +92,7 @@ def evaluate(text: str) -> tuple[set[str], float] | None:
                 break
             else:
                 low = low.rstrip(".-")
-                if not low:
+                if not low or not after_with and not _IDENTIFIER.fullmatch(low.rstrip("+")):
                     break
                 if after_with:
                     values.append(0.0)
@@ -127,30 +139,39 @@ def automaton():
 
 def scan(text: str, machine) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of one text."""
-    words = text.encode().translate(_WORDS).split(b" ")
-    words = [w for w in words if w]
+    plain = text.encode().translate(_WORDS)
+    words = plain.split()
     line = f" {b' '.join(words).decode()} "
     n_base, first, last, base, labels, free = 0, None, None, set(), set(), []
-    tags = False
+    tags, seen, at = [], 0, 0  # at: the word that begins behind the space at place seen
     for end, (back, is_base, label) in machine.iter(line):
+        if label is None or is_base:
+            begin = end - back
+            at += line.count(" ", seen, begin) if begin >= seen else -line.count(" ", begin, seen)
+            seen = begin
         if label is None:
-            tags = True
+            tags.append(at + TAG.count(" "))
             continue
         labels.add(label)
         free.append(FREEDOM.get(label, _OTHER_FREEDOM))
         if is_base:
-            start = line.count(" ", 0, end - back)
             n_base += 1
-            first = start if first is None else min(first, start)
-            last = start if last is None else max(last, start)
+            first = at if first is None else min(first, at)
+            last = at if last is None else max(last, at)
             base.add(label)
-    if tags:
-        for m in _TAG_AT.finditer(text):
-            rest = text[m.end() :]
-            found = evaluate(rest[: rest.find("\n")].lstrip(" \t:=") if "\n" in rest else rest.lstrip(" \t:="))
-            if found:
-                labels |= found[0]
-                free.append(found[1])
+    if tags:  # the expression stands behind the tag's last word, on its line
+        data, wanted, done, begin, stop = text.encode(), set(tags), 0, 0, -1
+        for n, m in enumerate(_SEPARATE.finditer(plain)):
+            if n in wanted:
+                begin += len(data[done : m.end()].decode())
+                done = m.end()
+                if stop < begin:
+                    stop = text.find("\n", begin)
+                    stop = len(text) if stop < 0 else stop
+                found = evaluate(text, begin, stop)
+                if found:
+                    labels |= found[0]
+                    free.append(found[1])
     return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), min(free, default=0.0)
 
 
@@ -166,7 +187,7 @@ def licences(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton()
         for b in batches:
-            found = [scan(t or "", machine) for t in b.column(1).to_pylist()]
+            found = [scan(t.as_py() or "", machine) for t in b.column(1)]
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             columns = [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
