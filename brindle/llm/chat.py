@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut, pick
 
@@ -125,7 +126,8 @@ def repaired(chats: DataFrame) -> DataFrame:
     chains these small matrices (two a partition), and each partition then finds its own turns' path
     between the states so fixed.  Turns come by turn, nulls first, then role and text; repeated rows
     are turns of their own; a null role is an unknown one; null texts are empty; null conv_ids are one
-    conversation; an empty table gives an empty one; other columns are ignored.
+    conversation; an empty table gives an empty one; other columns are ignored.  conv_id and
+    turn may be of any type that sorts.
     """
     spark = chats.sparkSession
     rows = pick(chats, "conv_id", "turn", "role", "text")
@@ -154,7 +156,7 @@ def repaired(chats: DataFrame) -> DataFrame:
                 found = [*found, (None, 0, [[0] * 4] * 4)]
             yield pa.RecordBatch.from_arrays([pa.array([part] * 2, pa.int32()), pa.array([0, 1], pa.int32()), pa.array([f[0] for f in found], id_type), pa.array([f[1] for f in found], pa.int64()), pa.array([[x for row in f[2] for x in row] for f in found], pa.list_(pa.int64()))], ["part", "which", "conv_id", "turns", "cost"])
 
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[ids]
+    id_type, turn_type = (to_arrow_type(rows.schema[n].dataType) for n in ("conv_id", "turn"))
     found = rows.mapInArrow(ends, f"part int, which int, conv_id {ids}, turns long, cost array<long>").collect()
     # the pieces of conversations that span partitions, in order
     pieces = [r for r in sorted(found, key=lambda r: (r.part, r.which)) if r.turns]
@@ -218,7 +220,6 @@ def repaired(chats: DataFrame) -> DataFrame:
         yield from flush()
 
     turns = rows.schema["turn"].dataType.simpleString()
-    turn_type = {"bigint": pa.int64(), "int": pa.int32()}[turns]
     return rows.mapInArrow(render, f"conv_id {ids}, turn {turns}, position long, given_role string, role string, action string, inserted string, rendered string")
 
 
