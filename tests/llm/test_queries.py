@@ -251,18 +251,35 @@ def test_simhash(docs, texts):
     assert {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicates(docs).collect()} == {i: (fps[i], want[i]) for i in fps}
 
 
-def test_crowded_anchors(spark, monkeypatch):
+def test_crowded_anchors(spark):
     rng = np.random.default_rng(2)
     fps = {i: 0 if i % 3 == 0 else int(rng.integers(0, 2**63)) for i in range(120)}
     for i in range(120, 400):  # a crowd around zero, and chains
         fps[i] = fps[int(rng.integers(0, i))] ^ (1 << int(rng.integers(0, 64)))
     want = components(fps)
     signed = [(int(np.uint64(v).astype(np.int64)),) for v in set(fps.values())]
-    for crowded in (1, 4, 64):
-        monkeypatch.setattr(simhash, "CROWDED", crowded)
-        roots = {r.node: r.root for r in simhash.connected(simhash.links(spark.createDataFrame(signed, "fp long"))).collect()}
-        got = {i: roots.get(int(np.uint64(v).astype(np.int64)), int(np.uint64(v).astype(np.int64))) for i, v in fps.items()}
-        assert len(set(zip(got.values(), want.values()))) == len(set(got.values())) == len(set(want.values()))
+    roots = {r.node: r.root for r in simhash.connected(simhash.links(spark.createDataFrame(signed, "fp long"))).collect()}
+    got = {i: roots.get(int(np.uint64(v).astype(np.int64)), int(np.uint64(v).astype(np.int64))) for i, v in fps.items()}
+    assert len(set(zip(got.values(), want.values()))) == len(set(got.values())) == len(set(want.values()))
+
+
+def test_hot_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_SHARE", 0.00001)
+    assert simhash.components(spark.createDataFrame([(i, "the very same words") for i in range(5)], "doc_id long, text string")).select("component_id").distinct().count() == 1
+
+
+def test_points_belong_to_their_anchors():
+    fps = np.random.default_rng(8).integers(0, 2**63, 300, dtype=np.int64)
+    rows, anchors, flips = simhash.meetings(fps)
+    seen = np.zeros(len(fps), dtype=np.uint64)
+    for r, a, f in zip(rows, anchors, flips):
+        assert not seen[r] & f
+        seen[r] |= f
+        for i in range(64):
+            if int(f) >> i & 1:
+                point = np.array([fps[r]]).view(np.uint64) ^ np.uint64(1 << i)
+                assert simhash.anchors_of(point.view(np.int64))[1][0] == a
+    assert (seen == np.uint64(2**64 - 1)).all()
 
 
 def test_components_of_a_chain(spark):
@@ -313,8 +330,13 @@ def test_archive(spark, data, tmp_path):
     d = hashlib.sha256(big.encode()).hexdigest()[:4]
     assert {(3, d, "revisit", 2), (2, d, "response", None), (None, d, "revisit", 2)} <= got and warc.archived(spark, path).count() == 9
     assert all(r[2] == "response" for r in got if r[0] in (5, 6, 7, 8)) and spark.read.parquet(f"{path}/payloads").count() == 4
-    whole = {r.page_id: bytes(r.record) for r in warc.reconstruct(spark, path).collect()}
-    assert whole[3].startswith(b"WARC/1.1\r\nWARC-Type: revisit\r\n") and whole[3].endswith(big.encode() + b"\r\n\r\n") and b"\r\nX: y" not in whole[2]
+    records = warc.reconstruct(spark, path).collect()
+    for r in records:  # every record is as long as its header says
+        head, _, block = bytes(r.record).partition(b"\r\n\r\n")
+        size = int(re.search(rb"Content-Length: (\d+)", head)[1])
+        assert head.startswith(b"WARC/1.1\r\n") and block[size:] == b"\r\n\r\n" and block[:size] == (b"" if b"WARC-Type: revisit" in head else bytes(r.payload))
+    assert {bytes(r.payload) for r in records if r.page_id == 3} == {big.encode()} and not any(b"\r\nX: y" in bytes(r.record) for r in records)
+    assert {r.url for r in warc.read_records(spark, path).collect() if r.page_id == 2} == {"v\r\nX: y", "v"}
     empty = str(tmp_path / "none")
     warc.write_archive(pages.limit(0), empty)
     assert warc.archived(spark, empty).count() == 0

@@ -67,6 +67,7 @@ def test_scan():
     got = licences.scan("Under the MIT-License; under THE mit license! CC BY NC\n# SPDX-License-Identifier: MIT OR GPL-2.0\n", m)
     assert got == (19, 3, 0, 8, "cc-by-nc,mit", "cc-by-nc,gpl,mit", 0.3)
     assert licences.scan("", m) == (0, 0, None, None, "", "", 0.0)
+    assert licences.scan("The SPDX license identifier tells readers which licence. SPDX\nlicense identifier: bsd-3-clause", m)[5:] == ("bsd", 0.95)
     assert licences.scan("summit license the mit licensed", m)[1] == 0
 
 
@@ -211,7 +212,8 @@ def test_fingerprints():
         return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
     texts = ["", " \n", "a", "A b", "a b C", "a b c d É Q q q q q", "x y z\x1cw " * 9]
-    assert [int(x) for x in simhash.fingerprints_of(texts, 8)] == [slow(t) for t in texts]
+    for size in (1, 2, 8, 1000):
+        assert [int(x) for x in simhash.fingerprints_of(texts, size)] == [slow(t) for t in texts]
 
 
 def cheapest(roles):
