@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .text import let, norm_ws, strip
+from .text import WS, let, strip
 
 
 def _c(c: Column | str) -> Column:
@@ -18,8 +23,14 @@ def rows(docs: DataFrame, chunks: Column, doc_id: str = "doc_id") -> DataFrame:
 
 
 def _windows(text: Column, count: Column, size: int, step: int) -> Column:
-    starts = F.sequence(F.lit(0), (count - 1).cast("int"))
-    return F.when(count > 0, F.transform(starts, lambda i: F.substr(text, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    """``count`` windows, put together from pieces of ``step`` characters: the text is cut up once, whatever their number."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), 0)
+
+    def made(p: Column) -> Column:
+        starts = F.sequence(F.lit(0), (count - 1).cast("int"))
+        return F.transform(starts, lambda i: F.left(F.array_join(F.slice(p, i + 1, F.lit(-(-size // step))), ""), F.lit(size)))
+
+    return F.when(count > 0, let(pieces, made)).otherwise(F.array().cast("array<string>"))
 
 
 def fixed(c: Column | str, size: int = 20, overlap: int = 5) -> Column:
@@ -60,17 +71,34 @@ def paragraphs_capped(c: Column | str, most: int = 400, empty: str = "(空文件
     return let(cut, lambda chunks: F.when(F.size(chunks) > 0, chunks).otherwise(F.array(F.lit(empty))))
 
 
+def _by_text(cut: Callable[[str], list[str]], c: Column | str) -> Column:
+    """``cut`` over each text, in Arrow batches: a pass over its parts, where a fold over columns would copy what it has at each."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def chunks(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else cut(t))
+
+    return chunks(_c(c))
+
+
 def packed_lines(c: Column | str, most: int = 300) -> Column:
     """Lines joined while the chunk, with one more character for each break, stays within ``most``."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
-    def step(s: Column, line: Column) -> Column:
-        over = F.length(s["open"]) + F.length(line) + 1 > most
-        full = F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
-        longer = F.when(s["open"] == "", line).otherwise(F.concat(s["open"], F.lit("\n"), line))
-        return F.struct(F.when(over, full).otherwise(s["done"]).alias("done"), F.when(over, line).otherwise(longer).alias("open"))
+    def cut(text: str) -> list[str]:
+        done, held, size = [], [], 0  # size: characters of the open chunk, breaks included
+        for line in text.split("\n"):
+            if size + len(line) + 1 > most:
+                if size:
+                    done.append("\n".join(held))
+                held, size = ([line], len(line)) if line else ([], 0)
+            elif size:
+                held.append(line)
+                size += len(line) + 1
+            else:
+                held, size = ([line], len(line)) if line else ([], 0)
+        return done + (["\n".join(held)] if size else [])
 
-    return F.aggregate(F.split(_c(c), "\n"), state, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    return _by_text(cut, c)
 
 
 def packed_sentences(c: Column | str, most: int = 180, overlap: int = 40, ends: str = "。！？?") -> Column:
@@ -78,57 +106,65 @@ def packed_sentences(c: Column | str, most: int = 180, overlap: int = 40, ends:
 
     A first sentence longer than a chunk is cut, and what is past the cut, with the overlap, stays open.
     """
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    end = re.compile(f"(?<=[{re.escape(ends)}])\\s*")
 
-    def step(s: Column, one: Column) -> Column:
-        opened = s["open"]
-        fits = F.length(opened) + F.length(one) + F.when(opened == "", 0).otherwise(1) <= most
-        joined = strip(F.concat(opened, F.lit(" "), one))
-        tail = F.right(opened, F.lit(overlap)) if overlap else F.lit("")
-        rest = F.substr(one, F.lit(most - overlap + 1), F.length(one)) if overlap else F.lit("")
-        done = F.when(fits, s["done"]).otherwise(F.concat(s["done"], F.array(F.when(opened == "", F.left(one, F.lit(most))).otherwise(opened))))
-        new = F.when(fits, joined).when(opened == "", rest).otherwise(strip(F.concat(tail, F.lit(" "), one)))
-        return F.struct(done.alias("done"), new.alias("open"))
+    def cut(text: str) -> list[str]:
+        done, opened = [], ""
+        for one in filter(None, map(str.strip, end.split(text))):
+            if len(opened) + len(one) + (opened != "") <= most:
+                opened = f"{opened} {one}".strip()
+            elif opened:
+                done.append(opened)
+                opened = f"{opened[-overlap:] if overlap else ''} {one}".strip()
+            else:
+                done.append(one[:most])
+                opened = one[max(0, most - overlap) :] if overlap else ""
+        return done + [opened] * (opened != "")
 
-    return F.aggregate(kept_sentences(c, ends), state, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    return _by_text(cut, c)
 
 
-#: Words of sentences about attendance.
+#: Words of sentences about attendance; lines that open a chunk.
 ATTENDANCE = ("請假", "遲到", "面談", "考核", "緊急")
+HEADER = r"^第.*章|^\d+\."
 
 
 def by_topic(c: Column | str, keywords=ATTENDANCE, ends: str = "。！？", mark: str = "。") -> Column:
     """Neighbouring sentences with, or without, a keyword joined; each ends in ``mark``."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("boolean").alias("label"))
+    end = re.compile(f"[{re.escape(ends)}]")
 
-    def step(s: Column, one: Column) -> Column:
-        label = F.lit(False)
-        for k in keywords:
-            label = label | one.contains(k)
-        same = s["label"].isNotNull() & (s["label"] == label)
-        n = F.size(s["done"])
-        grown = F.concat(F.slice(s["done"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.element_at(s["done"], -1), one)))
-        return F.struct(F.when(same, grown).otherwise(F.concat(s["done"], F.array(one))).alias("done"), label.alias("label"))
+    def cut(text: str) -> list[str]:
+        runs: list[list[str]] = []
+        label = None
+        for one in filter(None, map(str.strip, end.split(text))):
+            now = any(k in one for k in keywords)
+            if now != label:
+                runs.append([])
+                label = now
+            runs[-1].append(one + mark)
+        return ["".join(r) for r in runs]
 
-    marked = F.transform(sentences(c, ends), lambda s: F.concat(s, F.lit(mark)))
-    return F.aggregate(marked, state, step, lambda s: s["done"])
+    return _by_text(cut, c)
 
 
-def by_rules(c: Column | str, header: str = r"^第.*章|^\d+\.") -> Column:
+def by_rules(c: Column | str, header: str = HEADER) -> Column:
     """A new chunk at each line that matches ``header``; the lines of a chunk are joined by spaces."""
-    done = F.array().cast("array<string>")
+    opens = re.compile(header)
 
-    def step(out: Column, line: Column) -> Column:
-        n = F.size(out)
-        grown = F.concat(F.slice(out, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.element_at(out, -1), F.lit(" "), line)))
-        return F.when((n == 0) | line.rlike(header), F.concat(out, F.array(line))).otherwise(grown)
+    def cut(text: str) -> list[str]:
+        runs: list[list[str]] = []
+        for line in filter(None, map(str.strip, text.split("\n"))):
+            if not runs or opens.search(line):
+                runs.append([])
+            runs[-1].append(line)
+        return [" ".join(" ".join(r).split()) for r in runs]
 
-    return F.transform(F.aggregate(_filled(F.split(_c(c), "\n")), done, step), norm_ws)
+    return _by_text(cut, c)
 
 
 def token_windows(c: Column | str, size: int = 100, overlap: int = 20) -> Column:
     """Windows of ``size`` white-space tokens; a short text stays whole."""
-    words = F.filter(F.split(_c(c), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(_c(c), f"{WS}+"), lambda w: w != "")
     step = size - overlap
 
     def windows(w: Column) -> Column:

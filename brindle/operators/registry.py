@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,43 +19,63 @@ def replay(actions: DataFrame) -> DataFrame:
     Actions: create_model (again: ok, nothing changes), create_version (again: conflict), transition (unknown
     version: not_found; a step that isn't allowed: illegal; to Production: the version there before goes
     to Archived).  Whether a step is allowed depends on the outcome of those before, so a model's actions are
-    replayed one after another; models are independent.
+    replayed one after another; models are independent.  Rows are sorted by model and pass through in batches,
+    with the open model's stages carried along, so a model's log never stands in memory whole.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        stage: dict[str, str] = {}
-        known, out = False, []
-        names = {s.lower(): s for s in STAGES}
-        for r in rows.sort_values("seq").itertuples():
-            before, after, status = stage.get(r.version), None, "ok"
-            if r.action == "create_model":
-                known = True
-            elif r.action == "create_version":
-                if not known:
-                    status = "not_found"
-                elif r.version in stage:
-                    status, after = "conflict", before
-                else:
-                    stage[r.version] = after = "None"
-            elif r.action == "transition":
-                to = names.get(str(r.to_stage).lower())
-                if before is None:
-                    status = "not_found"
-                elif to is None or (before, to) not in ALLOWED:
-                    status, after = "illegal", before
-                else:
-                    if to == "Production":
-                        for v, s in stage.items():
-                            if s == "Production" and v != r.version:
-                                stage[v] = "Archived"
-                    stage[r.version] = after = to
-            else:
-                status = "unknown_action"
-            out.append((r.seq, r.action, r.model, r.version, r.to_stage, r.actor, status, before, after))
-        return pd.DataFrame(out, columns=["seq", "action", "model", "version", "to_stage", "actor", "status", "from_stage", "stage"])
+    names = {s.lower(): s for s in STAGES}
+
+    def step(r, known: bool, stage: dict[str, str]) -> tuple[str, str | None, str | None]:
+        """Status, stage before and stage after of one action; ``stage`` is changed."""
+        before = stage.get(r.version)
+        if r.action == "create_model":
+            return "ok", before, None
+        if r.action == "create_version":
+            if not known:
+                return "not_found", before, None
+            if r.version in stage:
+                return "conflict", before, before
+            stage[r.version] = "None"
+            return "ok", before, "None"
+        if r.action != "transition":
+            return "unknown_action", before, None
+        to = names.get(str(r.to_stage).lower())
+        if before is None:
+            return "not_found", before, None
+        if to is None or (before, to) not in ALLOWED:
+            return "illegal", before, before
+        if to == "Production":
+            for v, s in stage.items():
+                if s == "Production" and v != r.version:
+                    stage[v] = "Archived"
+        stage[r.version] = to
+        return "ok", before, to
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, known, stage = None, False, {}
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                if r.model != model:
+                    model, known, stage = r.model, False, {}
+                out.append(step(r, known, stage))
+                known = known or r.action == "create_model"
+            yield rows.assign(status=[o[0] for o in out], from_stage=[o[1] for o in out], stage=[o[2] for o in out])
 
     schema = "seq long, action string, model string, version string, to_stage string, actor string, status string, from_stage string, stage string"
-    return actions.select("seq", "action", "model", "version", "to_stage", "actor").groupBy("model").applyInPandas(one, schema)
+    rows = actions.select("seq", "action", "model", "version", "to_stage", "actor")
+    return rows.repartition("model").sortWithinPartitions("model", "seq").mapInPandas(work, schema)
+
+
+def models_with_versions(models: DataFrame, versions: DataFrame) -> DataFrame:
+    """Every version beside its model, by the model's id: models(id, name, owner), versions(model_id, version, stage)."""
+    return versions.join(models.select(F.col("id").alias("model_id"), "name", "owner"), "model_id").select("name", "owner", "version", "stage")
+
+
+def at_stage(versions: DataFrame, stage: str, role: str | None = None) -> DataFrame:
+    """Versions at a stage, of one role where it is asked for."""
+    found = versions.where(F.col("stage") == stage)
+    return found if role is None else found.where(F.col("role") == role)
 
 
 def production(replayed: DataFrame) -> DataFrame:
@@ -83,6 +105,8 @@ def prompt_versions(prompts: DataFrame) -> DataFrame:
     return prompts.agg(F.array_sort(F.collect_set("version")).alias("versions"))
 
 
-def kb_version(docs: DataFrame, previous: int, dim: int, model: str) -> DataFrame:
-    """One row (kb_version, doc_count, dim, model) after an update."""
-    return docs.agg(F.count("*").alias("doc_count")).select(F.lit(previous + 1).alias("kb_version"), "doc_count", F.lit(dim).alias("dim"), F.lit(model).alias("model"))
+def kb_version(docs: DataFrame, previous: int, dim: int, model: str, stamp: int | None = None) -> DataFrame:
+    """One row, a knowledge base's manifest after an update: kb_version, version ("4-kb", or "4-kb+stamp"), doc_count, dim, model."""
+    now = previous + 1
+    name = f"{now}-kb" + (f"+{stamp}" if stamp is not None else "")
+    return docs.agg(F.count("*").alias("doc_count")).select(F.lit(now).alias("kb_version"), F.lit(name).alias("version"), "doc_count", F.lit(dim).alias("dim"), F.lit(model).alias("model"))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries times dimensions that a task holds as one matrix; more queries are searched in several passes.
 QUERY_CELLS = 4_000_000
+#: Scores (queries times rows of the base) that a task holds at once, and slices of a term's documents.
+SCORE_CELLS, TERM_SLICES = 4_000_000, 8
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -18,6 +22,15 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return flat.reshape(-1, size).astype(np.float64)
 
 
+def _least(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the n least of each row of ``key``, of equal ones the first; nan comes last."""
+    key = np.where(np.isnan(key), np.inf, key)
+    last = np.partition(key, n - 1, axis=1)[:, n - 1 : n]
+    less, equal = key < last, key == last
+    wanted = n - less.sum(axis=1, keepdims=True)
+    return np.nonzero(less | equal & (np.cumsum(equal, axis=1) <= wanted))
+
+
 def topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", query_id: str = "qid", base_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(qid, vec_id, score, rank): the k best rows of ``base`` for each query, ties to the smaller id.
 
@@ -30,7 +43,7 @@ def topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", qu
     spark = base.sparkSession
     rows = queries.select(F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("v"))
     first = rows.select(F.size("v").alias("n")).first()
-    schema = "qid long, vec_id long, score double"
+    schema = f"qid long, vec_id {base.schema[base_id].dataType.simpleString()}, score double"
     if first is None:
         return spark.createDataFrame([], schema + ", rank int")
     size = first.n
@@ -48,12 +61,10 @@ def topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", qu
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             qq = (q * q).sum(axis=1)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                base_ids, x = b.column(0).to_numpy(), _matrix(b.column(1), size)
-                order = np.argsort(base_ids, kind="stable")
-                base_ids, x = base_ids[order], x[order]
+            at_once = max(1, SCORE_CELLS // len(ids))
+            for b in (b.slice(at, at_once) for b in batches for at in range(0, b.num_rows, at_once)):
+                order = pc.sort_indices(b.column(0))
+                base_ids, x = b.column(0).take(order), _matrix(b.column(1), size)[order.to_numpy()]
                 score = q @ x.T
                 if metric == "cosine":
                     score /= np.sqrt(qq)[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
@@ -62,11 +73,10 @@ def topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", qu
                     if metric == "l2":
                         score = np.sqrt(score)
                 key = score if near_is_small else -score
-                n = min(k, x.shape[0])
-                best = np.argsort(key, axis=1, kind="stable")[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(base_ids[best].ravel()), pa.array(np.take_along_axis(score, best, axis=1).ravel())], ["qid", "vec_id", "score"])
+                row, col = _least(key, min(k, len(base_ids)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), base_ids.take(pa.array(col)), pa.array(score[row, col])], ["qid", "vec_id", "score"])
 
-        found = base.select(F.col(base_id).cast("long").alias("vec_id"), F.col(vector)).mapInArrow(work, schema)
+        found = base.select(F.col(base_id).alias("vec_id"), F.col(vector)).mapInArrow(work, schema)
         searched = found if searched is None else searched.union(found)
     order = F.col("score").asc() if near_is_small else F.col("score").desc()
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(order, "vec_id"))
@@ -120,6 +130,65 @@ def knn_votes(ranked: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def sparse_cosine(queries: DataFrame, docs: DataFrame, term: str = "term", weight: str = "weight") -> DataFrame:
-    """(qid, doc_id, score) of pairs that share a term: an inverted-list join, never queries times documents."""
-    q = queries.select("qid", F.col(term), F.col(weight).alias("wq"))
-    return q.join(docs.select("doc_id", F.col(term), F.col(weight).alias("wd")), term).groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
+    """(qid, doc_id, score) of pairs that share a term, by an inverted-list join.
+
+    A term that most documents have pairs them all with the queries that have it, as its weight counts in
+    every score; its documents fall into TERM_SLICES slices by id, and the queries' weights go to each.
+    """
+    q = queries.select("qid", F.col(term), F.col(weight).alias("wq"), F.explode(F.sequence(F.lit(0), F.lit(TERM_SLICES - 1))).alias("_slice"))
+    d = docs.select("doc_id", F.col(term), F.col(weight).alias("wd"), F.pmod(F.xxhash64("doc_id"), F.lit(TERM_SLICES)).cast("int").alias("_slice"))
+    return q.join(d, [term, "_slice"]).groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
+
+
+def best_of(scored: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, score, rank) of the k best of (qid, doc_id, score), ties to the smaller id."""
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def top_chunks(chunks: DataFrame, score: Column, m: int, query_id: str = "qid") -> DataFrame:
+    """chunks(qid, doc_id, chunk_id, text) scored anew, the m best of each query, with rank; ties in order of document and chunk."""
+    w = Window.partitionBy(query_id).orderBy(F.desc("score"), "doc_id", "chunk_id")
+    return chunks.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m)
+
+
+def zipped(chunks: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Chunks beside the vectors of the same place; a chunk without a vector, or a vector without a chunk, stops the job."""
+    both = chunks.withColumn("_a", F.lit(True)).join(vectors.withColumn("_b", F.lit(True)), keys, "full_outer")
+    broken = F.raise_error(F.lit("as many vectors as chunks are wanted"))
+    return both.withColumn(keys[0], F.when(F.col("_a").isNull() | F.col("_b").isNull(), broken).otherwise(F.col(keys[0]))).drop("_a", "_b")
+
+
+def best_alike(queries: DataFrame, base: DataFrame, most_chars: int = 8_000_000) -> DataFrame:
+    """(qid, id, score) of the text of base(id, text) most like each of queries(qid, text) with another id, 0 to 100.
+
+    Likeness is Ratcliff-Obershelp's.  Queries are sent to the tasks, ``most_chars`` characters at a time (more
+    of them: more passes); a task keeps the best of each query, and the two upper bounds of the ratio spare
+    it texts that can't be better.  Ties go to the smaller id.
+    """
+    chars = queries.agg(F.sum(F.length("text"))).first()[0] or 0
+    passes, found = max(1, -(-chars // most_chars)), None
+    for p in range(passes):
+        some = [(r.qid, r.text) for r in queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p).select("qid", "text").collect()]
+        shared = base.sparkSession.sparkContext.broadcast(some)
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best: dict[int, tuple[float, int]] = {}
+            for b in batches:
+                for i, text in zip(b.column(0).to_pylist(), b.column(1)):
+                    matcher = SequenceMatcher(None, "", text.as_py() or "")
+                    for qid, question in shared.value:
+                        if qid == i:
+                            continue
+                        score, other = best.get(qid, (-1.0, 0))
+                        matcher.set_seq1(question or "")
+                        if matcher.real_quick_ratio() >= score and matcher.quick_ratio() >= score:
+                            now = matcher.ratio()
+                            if now > score or now == score and i < other:
+                                best[qid] = (now, i)
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array([i for _, i in best.values()], pa.int64()), pa.array([100 * s for s, _ in best.values()], pa.float64())], ["qid", "id", "score"])
+
+        got = base.select("id", "text").mapInArrow(work, "qid long, id long, score double")
+        found = got if found is None else found.union(got)
+    top = F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id")))
+    return found.groupBy("qid").agg(top.alias("b")).select("qid", "b.id", "b.score")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import WS, let
 
 
 def char_grams(text: Column | str, low: int = 1, high: int = 3) -> Column:
     """All character n-grams of the lower-cased text, runs of white space as one space."""
-    folded = F.regexp_replace(F.lower(F.col(text) if isinstance(text, str) else text), r"\s+", " ")
+    folded = F.regexp_replace(F.lower(F.col(text) if isinstance(text, str) else text), f"{WS}+", " ")
 
     def grams(t: Column, n: int) -> Column:
         some = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))
@@ -21,7 +21,7 @@ def char_grams(text: Column | str, low: int = 1, high: int = 3) -> Column:
 
 def word_grams(text: Column | str) -> Column:
     """Words of the lower-cased text, split at white space, and pairs of neighbours."""
-    words = F.filter(F.split(F.lower(F.col(text) if isinstance(text, str) else text), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.col(text) if isinstance(text, str) else text), f"{WS}+"), lambda w: w != "")
 
     def both(w: Column) -> Column:
         after = F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))
@@ -57,7 +57,6 @@ def signals(scored: DataFrame, queries: DataFrame, texts: DataFrame, k: int) ->
     the mean of the positive scores in the top k; num_docs counts positive scores over all documents.
     """
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    scored = scored.persist()
     ranked = scored.where("score > 0").withColumn("rank", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("qid")))
     top = ranked.where(F.col("rank") <= k)
     # fillers: the first documents by id that aren't hits; k + k of them are enough
@@ -67,7 +66,7 @@ def signals(scored: DataFrame, queries: DataFrame, texts: DataFrame, k: int) ->
     spare = spare.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).where(F.col("r") + F.col("n_top") <= k).select("qid", "doc_id", F.lit(0.0).alias("score"))
     chosen = top.select("qid", "doc_id", "score").union(spare).join(texts.select("doc_id", F.length("text").alias("chars")), "doc_id")
     out = chosen.groupBy("qid").agg(F.max("score").alias("max_score"), F.coalesce(F.avg(F.when(F.col("score") > 0, F.col("score"))), F.lit(0.0)).alias("avg_topk"), F.sum("chars").alias("context_len"))
-    hits = ranked.groupBy("qid").agg(F.first("n").alias("num_docs"))
+    hits = top.groupBy("qid").agg(F.first("n").alias("num_docs"))
     return out.join(hits, "qid", "left").select("qid", "max_score", "avg_topk", F.coalesce("num_docs", F.lit(0)).cast("long").alias("num_docs"), F.col("context_len").cast("long"))
 
 

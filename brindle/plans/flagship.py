@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunking as C
-from ..functions.vectors import dense, hash_slots
+from ..functions.vectors import hash_embeddings
 from ..operators.context import joined
 from ..operators.search import topk
 from ..sources.tables import table
 
 
 def answer_contexts(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
-    """(qid, context): the k chunks of all documents most like each benchmark item, by hashed vectors, as one text."""
-    docs = table(spark, sf_dir, "documents")
-    chunks = C.rows(docs, C.sliding("text", 1000, 100)).withColumn("chunk", F.col("doc_id") * 100_000 + F.col("chunk_id"))
-    base = dense(hash_slots(chunks, "chunk")).withColumnRenamed("doc_id", "vec_id")
-    items = dense(hash_slots(table(spark, sf_dir, "benchmark"), "item_id")).withColumnRenamed("doc_id", "qid")
-    best = topk(items, base, k, "dot")
-    return joined(best.join(chunks.select(F.col("chunk").alias("vec_id"), "text"), "vec_id"), ["qid"], "rank")
+    """(qid, context): the k chunks of all documents most like each benchmark item, by hashed vectors, as one text.
+
+    A chunk is named by its document and number; the texts of those found are cut out of their documents again.
+    """
+    docs, cut = table(spark, sf_dir, "documents"), C.sliding("text", 1000, 100)
+    chunks = C.rows(docs, cut).withColumn("chunk", F.concat_ws(":", "doc_id", F.lpad(F.col("chunk_id").cast("string"), 9, "0")))
+    base = hash_embeddings(chunks, "chunk").withColumnRenamed("doc_id", "vec_id")
+    items = hash_embeddings(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("doc_id", "qid")
+    best = topk(items, base, k, "dot").withColumn("doc_id", F.split("vec_id", ":")[0].cast("long")).withColumn("at", F.split("vec_id", ":")[1].cast("int"))
+    found = best.join(docs.select("doc_id", "text"), "doc_id").select("qid", "rank", F.element_at(cut, F.col("at") + 1).alias("text"))
+    return joined(found, ["qid"], "rank")

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking as C
 from ..functions import text as X
-from ..functions.vectors import dense, hash_slots
+from ..functions.vectors import byte_vector, hash_embeddings, hash_slots, zero_vector
 from ..operators import dedupe as D
 from ..sources.tables import kb_records, table, web_paragraphs
 
-_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+#: White space in a pattern, with the braces doubled where a string is formatted later.
+_WS = X.WS.replace("{", "{{").replace("}", "}}")
+_STRIP = f"regexp_replace({{0}}, '^{_WS}+|{_WS}+$', '', 'g')"
 _SENT = "。！？.!?\n"
-_NORM = r"regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
+_NORM = f"regexp_replace(regexp_replace({{0}}, '^{_WS}+|{_WS}+$', '', 'g'), '{_WS}+', ' ', 'g')"
 
 
 def _docs(s, d):
@@ -96,7 +98,7 @@ def snippet(s, d):
 
 def hash_embed(s, d):
     """Sparse hashed vectors of whole texts, rounded."""
-    return hash_slots(_docs(s, d)).select("doc_id", F.col("slot").cast("int").alias("slot"), F.round("val", 6).alias("val"))
+    return hash_slots(_docs(s, d)).select("doc_id", "slot", F.round("val", 6).alias("val"))
 
 
 HASH_SQL = r"""
@@ -112,7 +114,7 @@ SELECT doc_id, CAST(slot AS INTEGER) AS slot, round(v / l, 6) AS val FROM v JOIN
 
 def hash_embed_dense(s, d):
     """Squared length of the dense form of each hashed vector: 1, or 0 for a text without tokens."""
-    e = dense(hash_slots(_docs(s, d)))
+    e = hash_embeddings(_docs(s, d))
     return e.select("doc_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length2"))
 
 
@@ -135,7 +137,7 @@ def new_texts(s, d):
 
 
 def dedupe_exact(s, d):
-    return D.first_of_each(_docs(s, d), X.content_hash("text"), "doc_id").select("doc_id")
+    return D.first_ids(_docs(s, d), X.content_hash("text"), "doc_id")
 
 
 def overlap_sources(s, d):
@@ -152,7 +154,117 @@ def split_by_key(s, d):
     return D.split_by_key(_docs(s, d).select("doc_id"), "doc_id", "s1")
 
 
+_KEPT = rf"list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?])\s*', '\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+
+
+def _packed(parts, over, restart, longer, closed):
+    """Chunks by a fold over a text's parts: the open chunk grows, or closes and starts again."""
+    step = f"{{'done': CASE WHEN {over} THEN {closed} ELSE acc.done END, 'open': CASE WHEN {over} THEN {restart} ELSE {longer} END}}"
+    none = "{'done': []::VARCHAR[], 'open': ''}"
+    fold = f"list_reduce(list_prepend({none}, list_transform({parts}, lambda p: {{'done': []::VARCHAR[], 'open': p}})), lambda acc, x: {step})"
+    return f"WITH f AS (SELECT doc_id, {fold} AS s FROM documents), c AS (SELECT doc_id, CASE WHEN s.open = '' THEN s.done ELSE list_append(s.done, s.open) END AS l FROM f) SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS chunk_id, unnest(l) AS text FROM c"
+
+
+def _islands(parts, opens, joined):
+    """Chunks of a text's parts: one begins where ``opens`` is 1."""
+    return f"WITH l AS (SELECT doc_id, {parts} AS l FROM documents), p AS (SELECT doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS x FROM l), o AS (SELECT *, {opens} AS o FROM p), g AS (SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY n) AS g FROM o) SELECT doc_id, CAST(g - 1 AS INTEGER) AS chunk_id, {joined} AS text FROM g GROUP BY doc_id, g"
+
+
+def clean_document(s, d):
+    """Every page as its clean paragraphs."""
+    return table(s, d, "pages").select("page_id", F.posexplode(X.clean_document("html")).alias("pos", "text"))
+
+
+def reply_texts(s, d):
+    return _docs(s, d).select("doc_id", X.reply("text", F.lit("2024-05-06").cast("date")).alias("reply"))
+
+
+def other_token_estimates(s, d):
+    c = table(s, d, "conversations")
+    return c.select("conv_id", "turn", X.tokens_of_pair("text", "role").alias("pair"), X.tokens_floor("text").alias("floor"), X.tokens_by_length("text", 5).alias("least_5"))
+
+
+def time_formats(s, d):
+    return table(s, d, "events").select("event_id", X.clock("ts").alias("clock"), X.iso_stamp("ts").alias("iso"))
+
+
+def fences(s, d):
+    t = F.concat(F.lit("```json\n"), F.to_json(F.struct("item_id")), F.lit("\n```"))
+    return table(s, d, "benchmark").select("item_id", X.strip_fences(t).alias("t"), X.extract_json(X.strip_fences(t)).alias("j"), X.extract_json(F.concat(F.lit("so <|x|>: "), F.to_json(F.struct("item_id")), F.lit(" end"))).alias("inner"))
+
+
+def judged_labels(s, d):
+    label = F.when(F.col("quality") == 1, F.concat(F.lit(" ok, "), F.col("doc_id").cast("string"))).otherwise("not ok")
+    return table(s, d, "labels").select("doc_id", X.judged(label).alias("label"))
+
+
+def template_dialect(s, d):
+    return _docs(s, d).select("doc_id", X.single_braces(F.concat(F.lit("{{ a }} {{b}} "), F.col("text"))).alias("t"))
+
+
+def model_names(s, d):
+    return _docs(s, d).select("doc_id", X.model_name(F.when(F.col("lang") == "en", "").otherwise("fake-x"), F.concat("source", F.lit(" or b, c/d")), "small").alias("model"))
+
+
+def byte_vectors(s, d):
+    v = byte_vector("text")
+    return _docs(s, d).select("doc_id", F.round(v[0], 6).alias("first"), F.round(v[7], 6).alias("last"), F.round(F.aggregate(zero_vector(1536), F.lit(0.0), lambda a, x: a + x), 6).alias("zero"), F.size(zero_vector(1536)).alias("dims"))
+
+
+def stream_dedupe(s, d):
+    """The first event of each user and hour, as the batch form of the streaming deduplication."""
+    e = table(s, d, "events").withColumn("key", F.concat_ws("|", "user_id", F.date_trunc("hour", "ts").cast("string")))
+    return D.first_ids(e, F.col("key"), "event_id")
+
+
+def question_status(s, d):
+    q = F.when(F.col("doc_id") % 5 == 0, " \n").otherwise(F.col("text"))
+    return D.asked(_docs(s, d).withColumn("q", q), "q").groupBy("status").agg(F.count("*").alias("n"))
+
+
+def export_slices(s, d):
+    """What an export takes by its cursor, by the last rows, and by force."""
+    docs = _docs(s, d).select("doc_id")
+    parts = [("cursor", D.new_slice(docs, "doc_id", 100)), ("since", D.new_slice(docs, "doc_id", 100, since=7)), ("all", D.new_slice(docs, "doc_id", 100, 7, True))]
+    out = None
+    for name, rows in parts:
+        rows = rows.select(F.lit(name).alias("kind"), "doc_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def mixed_sample(s, d):
+    """300 documents, a quarter of them without an answer: those of no label."""
+    docs = _docs(s, d).select("doc_id").join(table(s, d, "labels"), "doc_id", "left")
+    return D.mixed_sample(docs.where("quality is not null").select("doc_id"), docs.where("quality is null").select("doc_id"), "doc_id", 80).select("doc_id", "answerable")
+
+
+def answer_split(s, d):
+    r = D.answer_split(mixed_sample(s, d), F.col("answerable"))
+    return r.select("total", "n_answerable", "n_unanswerable", F.round("pct_answerable", 6).alias("pct_answerable"), F.round("pct_unanswerable", 6).alias("pct_unanswerable"))
+
+
+_SAMPLED = """WITH a AS (SELECT doc_id, quality IS NOT NULL AS answerable FROM documents LEFT JOIN labels USING (doc_id)),
+m AS (SELECT *, row_number() OVER (PARTITION BY answerable ORDER BY md5('s:' || doc_id), doc_id) AS r FROM a),
+p AS (SELECT doc_id, answerable FROM m WHERE r <= CASE WHEN answerable THEN 60 ELSE 20 END)"""
+_WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
+_FIRST = r"regexp_extract({0}, '^\s*([^.!?。！？]*[.!?。！？]?)', 1)"
+
 QUERIES = {
+    "clean_document": (clean_document, None),
+    "reply_texts": (reply_texts, _bullets().replace("AS points FROM u", "AS points FROM u)").replace("SELECT doc_id, array_to_string", ", v AS (SELECT doc_id, array_to_string").replace("WITH t0", "WITH t0") + f" SELECT doc_id, '{X.REPLY_HEAD}' || points || '{X.REPLY_TAIL}' || '2024-05-06）' AS reply FROM v"),
+    "other_token_estimates": (other_token_estimates, "SELECT conv_id, turn, CAST(floor(length(text) / 4 + length(role) / 4) AS INTEGER) AS pair, CAST(floor(length(text) / 4) AS INTEGER) AS floor, CAST(greatest(5, floor(length(text) / 4)) AS INTEGER) AS least_5 FROM conversations"),
+    "time_formats": (time_formats, "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS clock, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events"),
+    "fenced_json": (fences, "SELECT item_id, '{\"item_id\":' || item_id || '}' AS t, '{\"item_id\":' || item_id || '}' AS j, '{\"item_id\":' || item_id || '}' AS inner FROM benchmark"),
+    "judged_labels": (judged_labels, "SELECT doc_id, CASE WHEN quality = 1 THEN 'OK' ELSE 'Hallucination' END AS label FROM labels"),
+    "template_dialect": (template_dialect, r"SELECT doc_id, regexp_replace('{{ a }} {{b}} ' || text, '\{\{\s*(\w+)\s*\}\}', '{\1}', 'g') AS t FROM documents"),
+    "model_names": (model_names, "SELECT doc_id, CASE WHEN lang = 'en' THEN source ELSE 'small' END AS model FROM documents"),
+    "byte_vectors": (byte_vectors, "WITH b AS (SELECT doc_id, list_transform(range(0, 8), lambda i: CAST('0x' || substr(md5(text), 2 * i + 1, 2) AS INTEGER) / 255) AS v FROM documents), n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM b) SELECT doc_id, round(v[1] / n, 6) AS first, round(v[8] / n, 6) AS last, 0.0::DOUBLE AS zero, CAST(1536 AS INTEGER) AS dims FROM n"),
+    "stream_dedupe": (stream_dedupe, "SELECT min(event_id) AS event_id FROM events GROUP BY user_id, date_trunc('hour', ts)"),
+    "question_status": (question_status, f"SELECT CAST(CASE WHEN doc_id % 5 = 0 OR coalesce({_STRIP.format('text')}, '') = '' THEN 400 ELSE 200 END AS INTEGER) AS status, count(*) AS n FROM documents GROUP BY 1"),
+    "export_slices": (export_slices, "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, count(*) OVER () AS total FROM documents) SELECT 'cursor' AS kind, doc_id FROM r WHERE n > 100 UNION ALL SELECT 'since', doc_id FROM r WHERE n > total - 7 UNION ALL SELECT 'all', doc_id FROM r"),
+    "mixed_sample": (mixed_sample, f"{_SAMPLED} SELECT doc_id, answerable FROM p"),
+    "answer_split": (answer_split, f"{_SAMPLED} SELECT count(*) AS total, count(*) FILTER (answerable) AS n_answerable, count(*) FILTER (NOT answerable) AS n_unanswerable, round(100.0 * count(*) FILTER (answerable) / count(*), 6)::DOUBLE AS pct_answerable, round(100.0 * count(*) FILTER (NOT answerable) / count(*), 6)::DOUBLE AS pct_unanswerable FROM p"),
     "norm_ws": (_map(lambda: X.norm_ws("text"), "norm"), _sql(_NORM.format("text"), "norm")),
     "content_hash": (_map(lambda: X.content_hash("text"), "h"), _sql(f"sha256({_NORM.format('text')})", "h")),
     "kb_records": (lambda s, d: kb_records(_docs(s, d)), f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_NORM.format('text')} AS text, sha256({_NORM.format('text')}) AS text_hash FROM documents"),
@@ -199,12 +311,18 @@ QUERIES = {
     "chunk_sentence": (_chunks(lambda: C.sentences("text", _SENT)), _chunk_sql(rf"list_filter(list_transform(string_split_regex(text, '[。！？.!?\n]'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')")),
     "chunk_sentence_keep": (_chunks(lambda: C.kept_sentences("text", "。！？.!?")), _chunk_sql(rf"list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?])\s*', '\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')")),
     "chunk_para_cap": (_chunks(lambda: C.paragraphs_capped("text")), _chunk_sql(rf"CASE WHEN regexp_matches(text, '\S') THEN flatten(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> ''), lambda x: list_transform(range(0, length(x), 400), lambda i: substr(x, i + 1, 400)))) ELSE ['(空文件)'] END")),
-    "chunk_pack_lines": (_chunks(lambda: C.packed_lines("text")), None),
-    "chunk_pack_sentences": (_chunks(lambda: C.packed_sentences("text", 200, 40, "。！？.!?")), None),
-    "chunk_semantic": (_chunks(lambda: C.by_topic("text", ("the", "and"), "。！？.!?", ".")), None),
-    "chunk_rules": (_chunks(lambda: C.by_rules("text", r"^[A-Z]\w* \|")), None),
+    "chunk_pack_lines": (_chunks(lambda: C.packed_lines("text")), _packed("string_split(text, chr(10))", "length(acc.open) + length(x.open) + 1 > 300", "x.open", "CASE WHEN acc.open = '' THEN x.open ELSE acc.open || chr(10) || x.open END", "CASE WHEN acc.open = '' THEN acc.done ELSE list_append(acc.done, acc.open) END")),
+    "chunk_pack_sentences": (
+        _chunks(lambda: C.packed_sentences("text", 200, 40, "。！？.!?")),
+        _packed(_KEPT, "length(acc.open) + length(x.open) + CASE WHEN acc.open = '' THEN 0 ELSE 1 END > 200", f"CASE WHEN acc.open = '' THEN substr(x.open, 161) ELSE {_STRIP.format("right(acc.open, 40) || ' ' || x.open")} END", _STRIP.format("acc.open || ' ' || x.open"), "list_append(acc.done, CASE WHEN acc.open = '' THEN left(x.open, 200) ELSE acc.open END)"),
+    ),
+    "chunk_semantic": (_chunks(lambda: C.by_topic("text", ("the", "and"), "。！？.!?", ".")), _islands(rf"list_filter(list_transform(string_split_regex(text, '[。！？.!?]'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')", "CASE WHEN n = 1 OR (contains(x, 'the') OR contains(x, 'and')) <> lag(contains(x, 'the') OR contains(x, 'and')) OVER (PARTITION BY doc_id ORDER BY n) THEN 1 ELSE 0 END", "string_agg(x || '.', '' ORDER BY n)")),
+    "chunk_rules": (_chunks(lambda: C.by_rules("text", r"^[A-Z]\w* \|")), _islands(rf"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')", r"CASE WHEN n = 1 OR regexp_matches(x, '^[A-Z]\w* \|') THEN 1 ELSE 0 END", _NORM.format("string_agg(x, ' ' ORDER BY n)"))),
     "chunk_tokens": (_chunks(lambda: C.token_windows("text", 100, 20)), _chunk_sql(r"list_transform(range(0, CAST(CASE WHEN len(w) = 0 THEN 0 ELSE 1 + ceil(greatest(len(w) - 100, 0) / 80) END AS BIGINT)), lambda i: array_to_string(w[i * 80 + 1 : i * 80 + 100], ' '))").replace("FROM documents)", r"FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents))")),
     "hash_embed_sparse": (hash_embed, HASH_SQL),
-    "hash_embed_dense": (hash_embed_dense, None),
+    "hash_embed_dense": (hash_embed_dense, HASH_SQL[: HASH_SQL.rindex("SELECT")] + "SELECT doc_id, CAST(384 AS INTEGER) AS dims, CASE WHEN l > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length2 FROM documents LEFT JOIN l USING (doc_id)"),
     "language_counts": (lambda s, d: _docs(s, d).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")), "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL"),
 }
+
+# the dialects' own class of white space is ASCII alone
+QUERIES = {name: (query, sql and sql.replace(r"\s", X.WS)) for name, (query, sql) in QUERIES.items()}

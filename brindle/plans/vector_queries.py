@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.similarity import ratcliff
-from ..functions.text import content_hash
+from ..functions.text import WS, content_hash
 from ..operators import search as S
 from ..operators import tfidf as I
 from ..sources.tables import table
 
 K = 5
 _DBL = "CAST({0}.embedding AS DOUBLE[])"
-_NORM = r"regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
+_WS = WS.replace("{", "{{").replace("}", "}}")
+_NORM = f"regexp_replace(regexp_replace({{0}}, '^{_WS}+|{_WS}+$', '', 'g'), '{_WS}+', ' ', 'g')"
 
 
 def _both(s, d):

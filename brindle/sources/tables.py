@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import logging
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +31,35 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """One JSON value a line; blank lines are skipped, broken ones are nulls unless ``strict``."""
-    return spark.read.option("mode", "FAILFAST" if strict else "PERMISSIVE").schema(schema).json(path)
+    """One JSON value a line; blank lines are skipped, broken ones are nulls; ``strict``: either stops the job."""
+    if not strict:
+        return spark.read.option("mode", "PERMISSIVE").schema(schema).json(path)
+    line = F.when(F.trim("value") == "", F.raise_error(F.lit("a blank line"))).otherwise(F.col("value"))
+    return spark.read.text(path).select(F.from_json(line, schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """The items of candidate files with their query."""
+    return json_document(spark, path, CANDIDATES).select("query", F.explode("candidates").alias("c")).select("query", "c.*")
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path below the folder that driver and executors share: spark.checkpoint.dir.
+
+    Where a session names none, a local one gets a temporary folder; on a cluster that would be lost or unseen, so it is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
+        shared = spark.sparkContext.getCheckpointDir()
+    return f"{shared.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def question_bank(rows: DataFrame) -> DataFrame:
+    """(doc_id, style, question) of bank(doc_id, styles): questions by style, each in its order."""
+    return rows.select("doc_id", F.explode("styles").alias("style", "qs")).select("doc_id", "style", F.explode("qs").alias("question"))
 
 
 def reranked(spark: SparkSession, path: str, top_n: int | None = None) -> DataFrame:
@@ -76,7 +108,8 @@ def yaml_version(document: dict | None) -> str:
 def pages_by(binary: DataFrame, extract, on_error: str = "skip") -> DataFrame:
     """(path, page, text) of documents with pages: ``extract(bytes)`` yields page texts; a failing page is skipped.
 
-    The extractor (for PDF and the like) is the caller's, as no such library is assumed.
+    The extractor (for PDF and the like) is the caller's, as no such library is assumed.  Pages without text are
+    named in the task's log.
     """
 
     def rows(batches):
@@ -97,6 +130,8 @@ def pages_by(binary: DataFrame, extract, on_error: str = "skip") -> DataFrame:
                             raise
                         text = None
                     if text is not None:
+                        if not text.strip():
+                            logging.getLogger(__name__).warning("%s: page %d has no text", path, n)
                         out.append((path, n, text))
                     n += 1
             yield pd.DataFrame(out, columns=["path", "page", "text"])
@@ -134,7 +169,41 @@ def write_index(vectors: DataFrame, path: str, source: str, model: str, generate
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("id bigint, chunk string, vector array<float>").parquet(f"{path}/items")
+    """The items of an index; one that is missing, or has no item, stops the job."""
+    items = spark.read.schema("id bigint, chunk string, vector array<float>").parquet(f"{path}/items")
+    if items.isEmpty():
+        raise ValueError(f"no items in {path}")
+    return items
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """One JSON file of a small report."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def save_hashes(files: DataFrame, path: str) -> None:
+    """(path, hash) of what a gated run has built: written last, so that a run that failed is made again."""
+    files.select("path", "hash").write.mode("overwrite").parquet(path)
+
+
+def bundle(spark: SparkSession, files: str, out: str) -> str:
+    """A tar.gz of a folder's few small files at ``out`` (a driver's utility), and its digest; none there stops the job."""
+    import hashlib
+    import io
+    import tarfile
+
+    rows = spark.read.format("binaryFile").load(files).select("path", "content").orderBy("path").collect()
+    if not rows:
+        raise ValueError(f"no files in {files}")
+    data = io.BytesIO()
+    with tarfile.open(fileobj=data, mode="w:gz") as tar:
+        for r in rows:
+            info = tarfile.TarInfo(r.path.rsplit("/", 1)[-1])
+            info.size = len(r.content)
+            tar.addfile(info, io.BytesIO(r.content))
+    with open(out, "wb") as f:
+        f.write(data.getvalue())
+    return "sha256:" + hashlib.sha256(data.getvalue()).hexdigest()
 
 
 def candidates_json(ranked: DataFrame) -> DataFrame:
@@ -144,9 +213,10 @@ def candidates_json(ranked: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The row of each key with the highest version: an upsert, or a metadata map."""
-    best = Window.partitionBy(*keys).orderBy(F.col(version).desc())
-    return rows.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
+    """The row of each key with the highest version: an upsert, or a metadata map.  Rows merge before they are shuffled."""
+    others = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), version).alias("_row"))
+    return best.select(*keys, "_row.*").select(*rows.columns)
 
 
 def sha256_of_files(spark: SparkSession, path: str) -> DataFrame:
@@ -154,7 +224,19 @@ def sha256_of_files(spark: SparkSession, path: str) -> DataFrame:
     return file_versions(spark, path).select("path", F.concat(F.lit("sha256:"), "sha256").alias("digest"))
 
 
+def _label(c: str) -> Column:
+    """A label's value: back-slashes, quotes and line breaks escaped."""
+    out = F.col(c).cast("string")
+    for letter, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        out = F.replace(out, F.lit(letter), F.lit(escaped))
+    return F.concat(F.lit(f'{c}="'), F.coalesce(out, F.lit("")), F.lit('"'))
+
+
 def exposition(counters: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
-    """(line): a counter in the text format of metric scrapers."""
-    pairs = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.col(c).cast("string"), F.lit('"')) for c in labels])
-    return counters.select(F.concat(F.lit(f"{name}{{"), pairs, F.lit("} "), F.col(value).cast("string")).alias("line"))
+    """(line): a counter in the text format of metric scrapers; a histogram's buckets with le among the labels."""
+    return counters.select(F.concat(F.lit(f"{name}{{"), F.concat_ws(",", *map(_label, labels)), F.lit("} "), F.col(value).cast("string")).alias("line"))
+
+
+def exposition_json(counters: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
+    """(line): a counter as JSON: its name, labels and value."""
+    return counters.select(F.to_json(F.struct(F.lit(name).alias("name"), F.struct(*labels).alias("labels"), F.col(value).alias("value"))).alias("line"))

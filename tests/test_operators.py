@@ -51,7 +51,7 @@ def test_hash_embedder(spark):
         h = int(hashlib.sha1(t.encode()).hexdigest(), 16)
         want[h % 384] += 1.0 if h >> 1 & 1 else -1.0
     n = math.sqrt(sum(x * x for x in want))
-    got = V.dense(V.hash_slots(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first().embedding
+    got = V.hash_embeddings(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().embedding
     assert np.allclose(got, [x / n for x in want])
 
 
