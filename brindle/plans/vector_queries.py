@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import chunking as C
 from ..functions import vectors as V
 from ..functions.similarity import ratcliff
 from ..functions.text import WS, content_hash
 from ..operators import search as S
 from ..operators import tfidf as I
+from ..operators.dedupe import drifted
 from ..sources.tables import table
 
 K = 5
@@ -175,14 +177,109 @@ o AS (SELECT qid, max(score) AS max_score, avg(score) AS avg_topk, max(num_docs)
 def kb_best_match(s, d):
     """The benchmark item most like each item divisible by 20, by matching blocks, other than itself."""
     b = table(s, d, "benchmark")
-    q = b.where("item_id % 20 = 0").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    pairs = b.join(F.broadcast(q), F.col("item_id") != F.col("qid")).withColumn("score", F.round(ratcliff("question", "text") * 100, 6))
-    return pairs.groupBy("qid").agg(F.max_by("item_id", F.struct("score", -F.col("item_id"))).alias("item_id"), F.max("score").alias("score"))
+    q = b.where("item_id % 20 = 0").select(F.col("item_id").alias("qid"), "text")
+    return S.best_alike(q, b.select(F.col("item_id").alias("id"), "text")).select("qid", F.col("id").alias("item_id"), F.round("score", 6).alias("score"))
 
 
+def ratcliff_similarity(s, d):
+    """Likeness of each benchmark item to the one whose id is next."""
+    b = table(s, d, "benchmark")
+    pairs = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next")), "item_id")
+    return pairs.select("item_id", F.round(ratcliff("text", "next") * 100, 6).alias("score"))
+
+
+def tfidf_char_topk(s, d):
+    """The 3 items most like each benchmark item divisible by 20, with the distance."""
+    b = table(s, d, "benchmark")
+    w = _tfidf(b, "item_id", I.char_grams("text"), b.count())
+    scored = S.sparse_cosine(w.where("id % 20 = 0").withColumnRenamed("id", "qid"), w.withColumnRenamed("id", "doc_id"))
+    return S.best_of(scored.withColumn("score", F.round("score", 6)), 3).select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), F.round(1 - F.col("score"), 6).alias("distance"))
+
+
+def tfidf_features(s, d):
+    """The 20,000 most frequent words and word pairs of all documents, with their weights."""
+    docs = table(s, d, "documents")
+    counts = I.term_counts(docs, "doc_id", I.word_grams("text"))
+    return I.fit(counts, docs.count(), 20_000).select("term", F.round("idf", 6).alias("idf"))
+
+
+def hash_embed_topk(s, d):
+    """The 5 documents most like each benchmark item divisible by 20, by hashed vectors."""
+    docs, items = V.hash_slots(table(s, d, "documents")), V.hash_slots(table(s, d, "benchmark").where("item_id % 20 = 0"), "item_id")
+    scored = S.sparse_cosine(items.select(F.col("doc_id").alias("qid"), F.col("slot").alias("term"), F.col("val").alias("weight")), docs.select("doc_id", F.col("slot").alias("term"), F.col("val").alias("weight")))
+    return S.best_of(scored.withColumn("score", F.round("score", 6)), K).select("qid", "doc_id", "score")
+
+
+def chunk_rescoring(s, d):
+    """The 3 chunks of each benchmark item's nearest documents that hold most of its words."""
+    item = table(s, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("qid"), F.array_distinct(F.split(F.lower("text"), " ")).alias("words"))
+    near = hash_embed_topk(s, d).select("qid", "doc_id")
+    chunks = C.rows(table(s, d, "documents"), C.sliding("text", 400, 100)).join(near, "doc_id").join(item, "qid")
+    score = F.size(F.array_intersect("words", F.split(F.lower("text"), " "))).cast("double") / F.size("words")
+    return S.top_chunks(chunks, F.round(score, 6), 3).select("qid", "doc_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def rerank(s, d):
+    """The 10 nearest vectors of each query in falling order of their label, then of their place before."""
+    q, b = _both(s, d)
+    top = S.topk(q, b, 10, "cosine").withColumnRenamed("rank", "pos").join(b.select("vec_id", "label"), "vec_id")
+    return S.rerank(top, F.col("label").cast("double"), "qid").select("qid", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+def zipped_vectors(s, d):
+    """Documents beside the vectors of the same id."""
+    b = table(s, d, "embeddings")
+    docs = table(s, d, "documents").join(b.select("vec_id"), F.col("doc_id") == F.col("vec_id"), "left_semi").select("doc_id", "lang")
+    there = b.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("doc_id"), "label")
+    return S.zipped(docs, there, ["doc_id"])
+
+
+def drift_gate(s, d):
+    """Whether each vector is unlike the one whose id is next."""
+    b = table(s, d, "embeddings")
+    pairs = b.select("vec_id", F.col("embedding").alias("x")).join(b.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y")), "vec_id")
+    return drifted(pairs, V.cosine("x", "y"), 0.1).select("vec_id", "drift")
+
+
+def filtered_topk(s, d):
+    """The 5 nearest vectors of label 3, with their label: a search under a condition on metadata."""
+    q, b = _both(s, d)
+    top = S.topk(q, b.where("label = 3"), K, "cosine")
+    return top.join(b.select("vec_id", "label"), "vec_id").select("qid", "vec_id", F.round("score", 6).alias("score"), "label")
+
+
+def collection_stats(s, d):
+    b = table(s, d, "embeddings")
+    return b.agg(F.count("*").alias("total_count"), F.first(F.size("embedding")).alias("dims"))
+
+
+def keyword_docs(s, d):
+    return S.keyword_docs(table(s, d, "documents").select("doc_id", "text"), {"license": "doc_licence", "token": "doc_secret", "the": "doc_en"}, "doc_any").select("doc_id", F.array_join("doc_ids", ",").alias("docs"))
+
+
+_CHARS_TOP = f"s AS (SELECT a.id AS qid, b.id AS doc_id, round(sum(a.w * b.w), 6) AS score FROM w a JOIN w b USING (term) WHERE a.id % 20 = 0 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s)"
+_HASHED = r"""h{0} AS (SELECT {1} AS id, sha1(tok) AS h FROM (SELECT {1}, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS tok FROM {2})),
+g{0} AS (SELECT id, CAST(('0x' || h[39:40]) AS INTEGER) AS low, list_sum(list_transform(range(1, 41), lambda i: CAST(('0x' || h[i:i]) AS INTEGER))) AS s FROM h{0}),
+v{0} AS (SELECT id, low % 128 + 128 * ((2 * (s % 3 - low % 128) % 3 + 3) % 3) AS slot, sum(CASE WHEN (low & 2) > 0 THEN 1 ELSE -1 END) AS v FROM g{0} GROUP BY ALL),
+n{0} AS (SELECT id, slot, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM v{0})"""
+_NEAR = "WITH " + _HASHED.format("d", "doc_id", "documents") + ", " + _HASHED.format("q", "item_id", "(SELECT * FROM benchmark WHERE item_id % 20 = 0)") + f""",
+s AS (SELECT q.id AS qid, d.id AS doc_id, round(sum(q.v * d.v), 6) AS score FROM nq q JOIN nd d USING (slot) WHERE q.v <> 0 AND d.v <> 0 GROUP BY ALL),
+near AS (SELECT qid, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= {K})"""
+
 QUERIES = {
     "topk_cosine": (_top("cosine"), _top_sql("cosine")),
-    "topk_l2": (_top("l2"), None),
+    "topk_l2": (_top("l2"), _top_sql("l2")),
+    "ratcliff_similarity": (ratcliff_similarity, None),
+    "tfidf_char_topk": (tfidf_char_topk, f"{_CHAR_GRAMS}{_WEIGHTS}, {_CHARS_TOP} SELECT qid, doc_id, rank, round(1 - score, 6) AS distance FROM k WHERE rank <= 3"),
+    "tfidf_features": (tfidf_features, _SIGNALS.split("i AS (SELECT")[0] + "f AS (SELECT term, count(*) AS df FROM c GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 20000) SELECT term, round(ln((1.0 + (SELECT count(*) FROM t)) / (1 + df)) + 1, 6) AS idf FROM f"),
+    "hash_embed_topk": (hash_embed_topk, f"{_NEAR} SELECT * FROM near"),
+    "chunk_rescoring": (chunk_rescoring, f"{_NEAR}, c AS (SELECT doc_id, text, unnest(range(0, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE 1 + ceil(greatest(length(text) - 400, 0) / 300) END AS BIGINT))) AS i FROM documents), e AS (SELECT n.qid, c.doc_id, CAST(i AS INTEGER) AS chunk_id, list_distinct(string_split(lower(b.text), ' ')) AS w, string_split(lower(substr(c.text, i * 300 + 1, 400)), ' ') AS x FROM near n JOIN c USING (doc_id) JOIN benchmark b ON b.item_id = n.qid), r AS (SELECT qid, doc_id, chunk_id, round(len(list_filter(w, lambda a: list_contains(x, a))) / len(w), 6) AS score FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_id) AS rank FROM r) SELECT * FROM k WHERE rank <= 3"),
+    "rerank": (rerank, f"SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY label DESC, rank) AS rank FROM ({_ranked_sql('cosine', 10)}) JOIN embeddings USING (vec_id)"),
+    "zipped_vectors": (zipped_vectors, "SELECT doc_id, lang, label FROM documents JOIN embeddings ON vec_id = doc_id"),
+    "drift_gate": (drift_gate, f"SELECT a.vec_id, list_cosine_similarity({_DBL.format('a')}, {_DBL.format('b')}) < 0.1 AS drift FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"),
+    "filtered_topk": (filtered_topk, f"SELECT qid, vec_id, round(score, 6) AS score, CAST(3 AS INTEGER) AS label FROM ({_ranked_sql('cosine').replace('WHERE q.vec_id % 20 = 0', 'WHERE q.vec_id % 20 = 0 AND b.label = 3')})"),
+    "collection_stats": (collection_stats, "SELECT count(*) AS total_count, CAST(max(len(embedding)) AS INTEGER) AS dims FROM embeddings"),
+    "keyword_docs": (keyword_docs, "SELECT doc_id, CASE WHEN k = '' THEN 'doc_any' ELSE k END AS docs FROM (SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)license') THEN 'doc_licence' END, CASE WHEN regexp_matches(text, '(?i)token') THEN 'doc_secret' END, CASE WHEN regexp_matches(text, '(?i)the') THEN 'doc_en' END], lambda x: x IS NOT NULL), ',') AS k FROM documents)"),
     "topk_l2sq": (_top("l2sq"), _top_sql("l2sq")),
     "topk_overlap": (topk_overlap, f"SELECT qid, count(*) AS n_common FROM ({_ranked_sql('cosine')}) a JOIN ({_ranked_sql('l2sq')}) b USING (qid, vec_id) GROUP BY qid"),
     "nearest_threshold": (nearest_threshold, f"SELECT qid, arg_max(vec_id, score) AS vec_id, round(max(score), 6) AS score FROM ({_ranked_sql('cosine', 2)}) WHERE vec_id <> qid GROUP BY qid HAVING max(score) >= 0.3"),
@@ -198,3 +295,6 @@ QUERIES = {
     "route_decision": (route_decision, f"{_SIGNALS} SELECT qid, CASE WHEN max_score >= 0.30 OR avg_topk >= 0.12 THEN 'kb' ELSE 'small_model' END AS target FROM o"),
     "kb_best_match": (kb_best_match, None),
 }
+
+# the dialects' own class of white space is ASCII alone
+QUERIES = {name: (query, sql and sql.replace(r"\s", WS)) for name, (query, sql) in QUERIES.items()}
