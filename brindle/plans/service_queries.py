@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import cache, context, dedupe, guard, metrics, registry
-from ..sources.tables import candidates_json, exposition, latest, table
+from ..sources.tables import candidates_json, exposition, exposition_json, latest, question_bank, table
 from ..streaming import stateful
 
 #: A policy whose patterns occur in the generated texts.
@@ -112,8 +112,10 @@ def cost_by_model(s, d):
 def cache_hits(s, d):
     """Chat questions already asked before, by conversation order, without expiry."""
     q = table(s, d, "conversations").where("role = 'user'").withColumn("key", F.sha2("text", 256))
-    hit = F.row_number().over(Window.partitionBy("key").orderBy("conv_id", "turn")) > 1
-    return q.withColumn("hit", hit).groupBy("hit").agg(F.count("*").alias("n"))
+    asked = q.groupBy("key").agg(F.count("*").alias("times"))  # every time but the first is a hit; nothing of a key is sorted
+    kinds = asked.agg(F.count("*").alias("misses"), F.coalesce(F.sum(F.col("times") - 1), F.lit(0)).alias("hits"))
+    both = F.array(F.struct(F.lit(False).alias("hit"), F.col("misses").alias("n")), F.struct(F.lit(True).alias("hit"), F.col("hits").alias("n")))
+    return kinds.select(F.explode(both).alias("k")).select("k.*").where("n > 0")
 
 
 def rate_limit(s, d):
@@ -349,7 +351,190 @@ def chain_route(s, d):
     return table(s, d, "documents").groupBy(kind.alias("chain")).agg(F.count("*").alias("n"))
 
 
+def _replayed(s, d):
+    return registry.replay(_actions(s, d))
+
+
+_LOG = """WITH l AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 7 = 0 THEN 'create_model' WHEN o_orderkey % 7 <= 2 THEN 'create_version' ELSE 'transition' END AS action, 'm' || o_custkey % 50 AS model, 'v' || o_custkey % 350 AS version, ['staging', 'Production', 'Archived', 'nowhere'][o_orderkey % 4 + 1] AS to_stage FROM orders),
+g AS (SELECT model, list({'seq': seq, 'action': action, 'version': version, 'to_stage': to_stage} ORDER BY seq) AS l FROM l GROUP BY model),
+f AS (SELECT model, list_reduce(list_prepend({'known': false, 'st': MAP {}::MAP(VARCHAR, VARCHAR), 'out': []::STRUCT(seq BIGINT, action VARCHAR, version VARCHAR, to_stage VARCHAR, status VARCHAR, from_stage VARCHAR, stage VARCHAR)[], 'a': NULL::STRUCT(seq BIGINT, action VARCHAR, version VARCHAR, to_stage VARCHAR)},
+  list_transform(l, lambda a: {'known': false, 'st': MAP {}::MAP(VARCHAR, VARCHAR), 'out': []::STRUCT(seq BIGINT, action VARCHAR, version VARCHAR, to_stage VARCHAR, status VARCHAR, from_stage VARCHAR, stage VARCHAR)[], 'a': a})),
+  lambda r, x: STEP) AS r FROM g),
+o AS (SELECT model, unnest(r.out) AS o FROM f), replayed AS (SELECT o.seq, o.action, model, o.version, o.to_stage, 'ci' AS actor, o.status, o.from_stage, o.stage FROM o)"""
+_BEFORE = "r.st[x.a.version]"
+_TO = "CASE x.a.to_stage WHEN 'staging' THEN 'Staging' WHEN 'nowhere' THEN NULL ELSE x.a.to_stage END"
+_LEGAL = f"coalesce(list_contains({[f'{a}>{b}' for a, b in registry.ALLOWED]}, {_BEFORE} || '>' || {_TO}), false)"
+_STATUS = f"CASE x.a.action WHEN 'create_model' THEN 'ok' WHEN 'create_version' THEN CASE WHEN NOT r.known THEN 'not_found' WHEN {_BEFORE} IS NOT NULL THEN 'conflict' ELSE 'ok' END ELSE CASE WHEN {_BEFORE} IS NULL THEN 'not_found' WHEN NOT {_LEGAL} THEN 'illegal' ELSE 'ok' END END"
+_AFTER = f"CASE x.a.action WHEN 'create_model' THEN NULL WHEN 'create_version' THEN CASE WHEN NOT r.known THEN NULL ELSE coalesce({_BEFORE}, 'None') END ELSE CASE WHEN {_BEFORE} IS NULL THEN NULL WHEN {_LEGAL} THEN {_TO} ELSE {_BEFORE} END END"
+_DEMOTED = f"CASE WHEN x.a.action = 'transition' AND {_LEGAL} AND {_TO} = 'Production' THEN map_from_entries(list_transform(map_entries(r.st), lambda e: {{'key': e.key, 'value': CASE WHEN e.value = 'Production' THEN 'Archived' ELSE e.value END}})) ELSE r.st END"
+_STEP = f"{{'known': r.known OR x.a.action = 'create_model', 'st': CASE WHEN ({_STATUS}) = 'ok' AND x.a.action <> 'create_model' THEN map_concat({_DEMOTED}, MAP {{x.a.version: {_AFTER}}}) ELSE r.st END, 'out': list_append(r.out, {{'seq': x.a.seq, 'action': x.a.action, 'version': x.a.version, 'to_stage': x.a.to_stage, 'status': {_STATUS}, 'from_stage': {_BEFORE}, 'stage': {_AFTER}}}), 'a': x.a}}"
+_LOG = _LOG.replace("STEP", _STEP)
+#: A limiter as a fold: the times admitted within the window, and what was decided.
+_LIMITED = """WITH g AS (SELECT user_id, list({'id': event_id, 't': epoch_us(ts)} ORDER BY ts, event_id) AS l FROM events GROUP BY user_id),
+f AS (SELECT list_reduce(list_prepend({'log': []::BIGINT[], 'out': []::STRUCT(event_id BIGINT, admitted BOOLEAN)[], 'x': NULL::STRUCT(id BIGINT, t BIGINT)}, list_transform(l, lambda e: {'log': []::BIGINT[], 'out': []::STRUCT(event_id BIGINT, admitted BOOLEAN)[], 'x': e})),
+  lambda a, b: {'log': CASE WHEN len(list_filter(a.log, lambda t: b.x.t - t <= 86400000000)) < 10 THEN list_append(list_filter(a.log, lambda t: b.x.t - t <= 86400000000), b.x.t) ELSE list_filter(a.log, lambda t: b.x.t - t <= 86400000000) END,
+  'out': list_append(a.out, {'event_id': b.x.id, 'admitted': len(list_filter(a.log, lambda t: b.x.t - t <= 86400000000)) < 10}), 'x': b.x}) AS r FROM g)
+SELECT o.event_id, o.admitted FROM (SELECT unnest(r.out) AS o FROM f)"""
+#: A flag for each event of a key that depends on the last event that had it.
+_FOLDED = """WITH g AS (SELECT list({{'id': event_id, 't': epoch_us(ts)}} ORDER BY {order}) AS l FROM events GROUP BY {key}),
+f AS (SELECT list_reduce(list_prepend({{'last': {init}::BIGINT, 'out': []::STRUCT(event_id BIGINT, {flag} BOOLEAN)[], 'x': NULL::STRUCT(id BIGINT, t BIGINT)}}, list_transform(l, lambda e: {{'last': NULL::BIGINT, 'out': []::STRUCT(event_id BIGINT, {flag} BOOLEAN)[], 'x': e}})),
+  lambda a, b: {{'last': CASE WHEN {fire} THEN b.x.t ELSE a.last END, 'out': list_append(a.out, {{'event_id': b.x.id, '{flag}': {fire}}}), 'x': b.x}}) AS r FROM g)
+SELECT o.event_id, o.{flag} FROM (SELECT unnest(r.out) AS o FROM f)"""
+_FIRST = r"regexp_extract({0}, '^\s*([^.!?。！？]*[.!?。！？]?)', 1)"
+_SUMMARY = rf"""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT doc_id, text, list_transform(range(0, CAST(1 + ceil(greatest(len(w) - 100, 0) / 80) AS BIGINT)), lambda i: array_to_string(w[i * 80 + 1 : i * 80 + 100], ' ')) AS c FROM w)
+SELECT doc_id, CASE WHEN length(text) < 60 THEN text ELSE {_FIRST.format("array_to_string(list_transform(c, lambda x: " + _FIRST.format("x") + "), ' ')")} END AS summary FROM c"""
+
+
+def _questions_sql():
+    from .text_queries import _STRIP
+
+    forms = ", ".join(f"'{a}' || f || '{b}'" for a, b in (form.split("{}") for form in metrics.QUESTION_FORMS))
+    focus = rf"left(regexp_replace({_STRIP.format('text')}, '[。；；，,.;]\s*$', ''), 20)"
+    return rf"""WITH a AS (SELECT doc_id, text, {focus} AS f FROM documents),
+q AS (SELECT doc_id, unnest(list_concat(CASE WHEN regexp_matches(text, '(?i)licen[sc]e') THEN ['Which licence is it?', 'May it be shared?'] ELSE [] END, CASE WHEN regexp_matches(text, '\|') THEN ['What is in the table?'] ELSE [] END, [{forms}])) AS q FROM a),
+c AS (SELECT DISTINCT doc_id, replace(regexp_replace(q, '^[？? ]+|[？? ]+$', '', 'g'), '  ', ' ') AS question FROM q)
+SELECT doc_id, question FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('q' || question), question) AS r FROM c WHERE length(question) >= 4) WHERE r <= 2"""
+
+
+def registry_tables(s, d):
+    """Versions beside their models, from tables with a foreign key: nations of their regions."""
+    models = table(s, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit("team").alias("owner"))
+    versions = table(s, d, "nation").select(F.col("n_regionkey").alias("model_id"), F.col("n_name").alias("version"), F.when(F.col("n_nationkey") % 2 == 0, "Production").otherwise("Staging").alias("stage"))
+    return registry.models_with_versions(models, versions)
+
+
+def at_stage(s, d):
+    v = table(s, d, "documents").select("doc_id", F.col("lang").alias("role"), F.col("source").alias("stage"))
+    return registry.at_stage(v, "src0", "en").select("doc_id")
+
+
+_PROMPTS = [("faq", "v1", "A {{ q }}"), ("faq", "v2", "B {{ q }}"), ("faq", "v10", "C {{ q }}"), ("summary", "v2", "S {{ q }}")]
+
+
+def prompt_resolve(s, d):
+    """Each chat turn's prompt: the version in its header, its body, or the default."""
+    prompts = s.createDataFrame(_PROMPTS, "name string, version string, template string")
+    c = table(s, d, "conversations").select("conv_id", "turn", F.lit("faq").alias("name"), F.when(F.col("turn") % 3 == 0, "v1").alias("header_version"), F.when(F.col("conv_id") % 2 == 0, "v10").alias("body_version"))
+    return registry.resolve_prompts(c, prompts).select("conv_id", "turn", "prompt_id", "template")
+
+
+def prompt_versions(s, d):
+    return registry.prompt_versions(s.createDataFrame(_PROMPTS, "name string, version string, template string")).select(F.array_join("versions", ",").alias("versions"))
+
+
+def kb_manifest(s, d):
+    docs = table(s, d, "documents")
+    return registry.kb_version(docs, 3, 384, "hash").unionByName(registry.kb_version(docs, 3, 384, "hash", 1700000000))
+
+
+def prompts(s, d):
+    """A question to each conversation over the assistant's texts, in order."""
+    c = contexts(s, d)
+    return c.select("conv_id", context.prompt("Answer from the context.", F.col("context"), F.lit("What was said?")).alias("prompt"))
+
+
+def missing_templates(s, d):
+    """Languages for which there is no prompt."""
+    have = s.createDataFrame([("en",), ("de",)], "lang string")
+    return table(s, d, "documents").select("lang").distinct().join(have, "lang", "left_anti")
+
+
+def debounce(s, d):
+    e = _events(s, d).select("event_id", F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return stateful.debounce_batch(e, 7_200_000_000).select("event_id", "fired")
+
+
+def cache_ttl(s, d):
+    """Each event of a user, by type, as a request to a cache whose entries live a day from the miss."""
+    e = _events(s, d).select("event_id", F.concat_ws("|", "user_id", "event_type").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return stateful.cache_batch(e, 86_400_000_000).select("event_id", "hit")
+
+
+def cache_live(s, d):
+    """Entries put at the events' times that are live at one moment, and how many there are."""
+    e = _events(s, d).select(F.col("event_id").cast("string").alias("question"), "ts")
+    stored = cache.put(e, F.col("ts"), 86_400)
+    now = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    live = cache.live(stored.where(F.col("ts") <= now), now)
+    return cache.size(live).select("size").unionByName(cache.size(cache.cleared(live)))
+
+
+def request_outcomes(s, d):
+    e = _events(s, d).select(F.when(F.col("event_type") == "view", "/metrics").otherwise(F.col("event_type")).alias("event_type"), F.when(F.col("value") > 50, 500).otherwise(200).alias("status"))
+    return metrics.request_outcomes(e).select("event_type", "n", "errors", F.round("error_rate", 6).alias("error_rate"))
+
+
+def p95_by_minute(s, d):
+    """The 95th percentile, by buckets, of each minute's requests."""
+    e = _events(s, d).withColumn("minute", F.date_trunc("minute", "ts"))
+    return metrics.bucket_quantile(metrics.histogram(e, ["minute"], "value", _EDGES), ["minute"], 0.95).select("minute", F.round("value", 6).alias("p95"))
+
+
+def exposition_forms(s, d):
+    """Counters as JSON, histogram buckets as text, and labels that need escaping."""
+    n = metrics.counters(_events(s, d), ["event_type"])
+    odd = n.withColumn("event_type", F.concat(F.lit('a"b\\c\n'), "event_type"))
+    h = latency_histogram(s, d)
+    return exposition_json(n, "requests_total", ["event_type"], "n").unionByName(exposition(odd, "odd_total", ["event_type"], "n")).unionByName(exposition(h, "latency_bucket", ["event_type", "le"], "n"))
+
+
+def change_gated(s, d):
+    """Documents whose text isn't the one that an earlier run has seen."""
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"))
+    seen = docs.where("path % 3 <> 0").withColumn("hash", F.when(F.col("path") % 5 == 0, "old").otherwise(F.col("hash")))
+    return dedupe.changed_files(docs, seen).select(F.col("path").alias("doc_id"))
+
+
+def mtime_sensor(s, d):
+    """Users whose last event is behind the cursor of their file."""
+    files = _events(s, d).groupBy(F.col("user_id").alias("path")).agg(F.max("event_id").alias("mtime"))
+    cursor = files.where("path % 2 = 0").select("path", F.when(F.col("path") % 4 == 0, F.col("mtime")).otherwise(F.col("mtime") - 1).alias("last"))
+    return dedupe.fired_by_mtime(files, cursor)
+
+
+def bank_questions(s, d):
+    """Documents joined to a bank of questions by style; those without questions are left out."""
+    styles = F.create_map(F.lit("plain"), F.array(F.lit("What is it?"), F.lit("Who says so?")), F.lit("short"), F.array(F.lit("What?")))
+    bank = table(s, d, "documents").where("doc_id % 3 = 0").select("doc_id", styles.alias("styles"))
+    q = question_bank(bank)
+    return table(s, d, "documents").select("doc_id", "lang").join(q, "doc_id")
+
+
+def policy_table(s, d):
+    """Requests checked by a policy that is kept as a table."""
+    rules = s.createDataFrame([("input", 1, "(?i)license"), ("input", 0, r"\bthe\b"), ("output", 0, "x")], "stage string, ord int, pattern string")
+    g = guard.check_input(F.col("text"), guard.policy_of(rules), "enforce")
+    return table(s, d, "documents").select("doc_id", g.alias("g")).select("doc_id", "g.blocked", F.array_join("g.violations", "|").alias("violations"))
+
+
+def chained_programs(s, d):
+    """A summary, then a question and answer about it as JSON, read back; what isn't JSON falls back to the raw text."""
+    docs = table(s, d, "documents").select("doc_id", "text").where(F.length("text") >= 60)
+    step = docs.withColumn("summary", context.first_sentence(F.col("text")))
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```json\n"), F.to_json(F.struct(F.length("summary").alias("n"))), F.lit("\n```"))).otherwise(F.lit("none"))
+    return step.select("doc_id", X.extract_json(X.strip_fences(said)).alias("answer"))
+
+
 QUERIES = {
+    "registry_tables": (registry_tables, "SELECT r_name AS name, 'team' AS owner, n_name AS version, CASE WHEN n_nationkey % 2 = 0 THEN 'Production' ELSE 'Staging' END AS stage FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "registry_at_stage": (at_stage, "SELECT doc_id FROM documents WHERE source = 'src0' AND lang = 'en'"),
+    "prompt_resolve": (prompt_resolve, "WITH v AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'v1' WHEN conv_id % 2 = 0 THEN 'v10' ELSE 'v2' END AS v FROM conversations) SELECT conv_id, turn, 'faq:' || v AS prompt_id, CASE v WHEN 'v1' THEN 'A' WHEN 'v2' THEN 'B' ELSE 'C' END || ' {{ q }}' AS template FROM v"),
+    "prompt_versions": (prompt_versions, "SELECT 'v1,v10,v2' AS versions"),
+    "kb_manifest": (kb_manifest, "SELECT CAST(4 AS INTEGER) AS kb_version, v AS version, count(*) AS doc_count, CAST(384 AS INTEGER) AS dim, 'hash' AS model FROM documents, (VALUES ('4-kb'), ('4-kb+1700000000')) t(v) GROUP BY v"),
+    "context_prompts": (prompts, "SELECT conv_id, 'Answer from the context.' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) || 'Q: What was said?' || chr(10) || 'A:' AS prompt FROM conversations WHERE role = 'assistant' GROUP BY conv_id"),
+    "missing_templates": (missing_templates, "SELECT DISTINCT lang FROM documents WHERE lang NOT IN ('en', 'de')"),
+    "debounce": (debounce, _FOLDED.format(key="user_id", init="NULL", fire="a.last IS NULL OR (b.x.t - a.last >= 7200000000 AND b.x.t <> a.last)", flag="fired", order="ts, event_id")),
+    "cache_ttl": (cache_ttl, _FOLDED.format(key="user_id, event_type", init="NULL", fire="a.last IS NULL OR b.x.t - a.last >= 86400000000", flag="miss", order="ts, event_id").replace("o.miss FROM", "NOT o.miss AS hit FROM")),
+    "cache_live": (cache_live, "SELECT count(*) AS size FROM events WHERE ts <= TIMESTAMP '2024-01-15' AND ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-15' UNION ALL SELECT 0"),
+    "request_outcomes": (request_outcomes, "SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS errors, round(avg(CASE WHEN value > 50 THEN 1 ELSE 0 END), 6) AS error_rate FROM events WHERE event_type <> 'view' GROUP BY event_type"),
+    "latency_p95_by_minute": (p95_by_minute, "WITH b AS (" + _BUCKETS.replace("event_type", "date_trunc('minute', ts) AS minute").replace("GROUP BY date_trunc('minute', ts) AS minute", "GROUP BY 1") + "), w AS (SELECT *, max(n) OVER (PARTITION BY minute) AS total, coalesce(lag(n) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS low FROM b WINDOW w AS (PARTITION BY minute ORDER BY le)) SELECT minute, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (0.95 * total - below) / (n - below) END, 6) AS p95 FROM w WHERE n >= 0.95 * total AND below < 0.95 * total"),
+    "exposition_forms": (exposition_forms, f"""SELECT '{{"name":"requests_total","labels":{{"event_type":"' || event_type || '"}},"value":' || count(*) || '}}' AS line FROM events GROUP BY event_type UNION ALL SELECT 'odd_total{{event_type="a\\"b\\\\c\\n' || event_type || '"}} ' || count(*) FROM events GROUP BY event_type UNION ALL SELECT 'latency_bucket{{event_type="' || event_type || '",le="' || CASE WHEN isinf(le) THEN '+Inf' ELSE CAST(CAST(le AS INTEGER) AS VARCHAR) END || '"}} ' || n FROM ({_BUCKETS})"""),
+    "change_gated": (change_gated, "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0"),
+    "mtime_sensor": (mtime_sensor, "SELECT user_id AS path, max(event_id) AS mtime, CAST(max(event_id) AS VARCHAR) AS run_key FROM events WHERE user_id % 4 <> 0 GROUP BY user_id"),
+    "bank_questions": (bank_questions, "SELECT doc_id, lang, style, question FROM documents, (VALUES ('plain', 'What is it?'), ('plain', 'Who says so?'), ('short', 'What?')) t(style, question) WHERE doc_id % 3 = 0"),
+    "policy_table": (policy_table, r"SELECT doc_id, v <> '' AS blocked, v AS violations FROM (SELECT doc_id, CASE WHEN regexp_matches(text, '\bthe\b') THEN 'input:\bthe\b' WHEN regexp_matches(text, '(?i)license') THEN 'input:(?i)license' ELSE '' END AS v FROM documents)"),
+    "chained_programs": (chained_programs, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{\"n\":' || length(" + _FIRST.format("text").replace(r"\s", X.WS) + ") || '}' ELSE '{\"raw_output\":\"none\"}' END AS answer FROM documents WHERE length(text) >= 60"),
     "guard_input_enforce": (_gate("enforce"), _gate_sql("enforce")),
     "guard_input_report": (_gate("report"), _gate_sql("report")),
     "guard_output": (guard_output, f"SELECT doc_id, false AS blocked, {_hits(POLICY.output_patterns, 'output', 'report')} AS violations FROM documents"),
@@ -364,23 +549,23 @@ QUERIES = {
     "cost_rate_1m": (cost_rate, "SELECT date_trunc('minute', ts) AS start, round(sum(value) / 60, 6) AS rate FROM events GROUP BY 1"),
     "cost_by_model": (cost_by_model, "WITH c AS (SELECT CASE role WHEN 'user' THEN 'gpt-4o-mini' WHEN 'assistant' THEN 'gpt-4o' ELSE 'other' END AS model, CAST(greatest(1, floor(length(text) / 4)) AS INTEGER) AS n FROM conversations) SELECT model, CAST(sum(n) AS BIGINT) AS tokens, round(sum(n * CASE model WHEN 'gpt-4o-mini' THEN 0.15e-6 + 0.60e-6 WHEN 'gpt-4o' THEN 2.5e-6 + 10e-6 ELSE 0e0 END), 9) AS cost, round(sum(round(n / 1000 * 0.003e0 + n / 1000 * 0.006e0, 6)), 6) AS flat_cost FROM c GROUP BY model"),
     "cache_exact_hits": (cache_hits, "SELECT r > 1 AS hit, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS r FROM conversations WHERE role = 'user') GROUP BY 1"),
-    "rate_limit": (rate_limit, None),
+    "rate_limit": (rate_limit, _LIMITED),
     "turn_islands": (turn_islands, "SELECT conv_id, turn, role, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS island FROM (SELECT *, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS n FROM conversations)"),
     "chatml_pairs": (chatml_pairs, r"WITH c AS (SELECT *, lead(text) OVER w AS a, lead(role) OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || a || '<|im_end|>' AS chat, regexp_replace(a, '^\s+|\s+$', '', 'g') AS answer FROM c WHERE role = 'user' AND n = 'assistant'"),
     "sft_messages": (sft_messages, "SELECT conv_id, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"),
     "prompt_render": (prompt_render, "SELECT doc_id, '[' || lang || '] ' || left(text, 40) || ' |' AS prompt FROM documents"),
     "context_concat": (contexts, "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations WHERE role = 'assistant' GROUP BY conv_id"),
-    "map_reduce_summary": (map_reduce, None),
+    "map_reduce_summary": (map_reduce, _SUMMARY),
     "judge_ensemble": (judge_ensemble, "SELECT doc_id, quality = 1 AND toxic = 0 AS all_ok, quality = 1 OR toxic = 0 AS any_ok, CASE WHEN quality = 1 AND toxic = 0 THEN 'OK' WHEN quality = 0 AND toxic = 1 THEN 'Hallucination' ELSE 'REVIEW' END AS consensus FROM labels"),
     "confusion_counts": (confusion_counts, "SELECT CASE WHEN quality = 1 THEN 'OK → Hallucination' ELSE 'Hallucination → OK' END AS pair, count(*) AS n FROM labels WHERE quality = toxic GROUP BY 1"),
     "quality_bins": (quality_bins, "SELECT CASE WHEN value >= 85 THEN 'excellent' WHEN value >= 70 THEN 'good' WHEN value >= 50 THEN 'fair' ELSE 'poor' END AS bin, count(*) AS n FROM events GROUP BY 1"),
     "source_distribution": (source_distribution, "SELECT source, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS pct FROM documents GROUP BY source"),
     "topic_errors": (topic_errors, r"SELECT CASE WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'licence' WHEN regexp_matches(text, '\|') THEN 'table' WHEN regexp_matches(text, '[#*%&]{3}') THEN 'markup' ELSE 'other' END AS topic, count(*) AS n, round(avg(1 - quality), 6) AS error_rate FROM documents JOIN labels USING (doc_id) GROUP BY 1"),
     "answer_sources": (answer_sources, "SELECT CASE WHEN (regexp_matches(text, '(?i)license') AND NOT contains(left(text, 200), 'License')) OR (regexp_matches(text, '(?i)the') AND NOT contains(left(text, 200), 'the')) THEN 'RULE_OVERRIDE' WHEN length(text) % 100 >= 80 THEN 'KB_MATCH' ELSE 'MODEL_GENERATED' END AS source_kind, count(*) AS n FROM documents GROUP BY 1"),
-    "sft_questions": (questions, None),
-    "registry_replay": (lambda s, d: registry.replay(_actions(s, d)), None),
-    "registry_production": (lambda s, d: registry.production(registry.replay(_actions(s, d))), None),
-    "registry_audit": (lambda s, d: registry.audit(registry.replay(_actions(s, d))), None),
+    "sft_questions": (questions, _questions_sql()),
+    "registry_replay": (_replayed, f"{_LOG} SELECT * FROM replayed"),
+    "registry_production": (lambda s, d: registry.production(_replayed(s, d)), f"{_LOG}, m AS (SELECT *, row_number() OVER (PARTITION BY model, version ORDER BY seq DESC) AS r FROM replayed WHERE status = 'ok' AND stage IS NOT NULL), p AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY seq DESC) AS n FROM m WHERE r = 1 AND stage = 'Production') SELECT model, version FROM p WHERE n = 1"),
+    "registry_audit": (lambda s, d: registry.audit(_replayed(s, d)), f"{_LOG} SELECT seq, model, version, action, actor, from_stage, stage AS to_stage FROM replayed WHERE status = 'ok' AND action IN ('create_version', 'transition')"),
     "change_detect": (change_detect, "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus IS DISTINCT FROM p) AS n_changed FROM (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders) GROUP BY o_custkey"),
     "version_diff": (version_diff, "WITH a AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 5 <> 0) SELECT CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' WHEN a.o_orderstatus = b.s THEN 'same' ELSE 'changed' END AS change, count(*) AS n FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey GROUP BY 1"),
     "version_compare": (version_compare, "SELECT p_partkey, [p_partkey % 12, p_size] > [p_size, p_partkey % 9] AS newer FROM part"),
@@ -402,3 +587,6 @@ QUERIES = {
     "answer_by_route_whole": (answer_by_route_whole, _BY_ROUTE_WHOLE),
     "chain_route_whole": (chain_route_whole, "SELECT CASE WHEN trim(text) = '' THEN 'summary' WHEN contains(lower(text), 'under the') OR contains(lower(text), 'en la') THEN 'pricing' ELSE 'faq' END AS chain, count(*) AS n FROM documents GROUP BY 1"),
 }
+
+# the dialects' own class of white space is ASCII alone
+QUERIES = {name: (query, sql and sql.replace(r"\s", X.WS)) for name, (query, sql) in QUERIES.items()}

@@ -317,7 +317,7 @@ QUERIES = {
         _packed(_KEPT, "length(acc.open) + length(x.open) + CASE WHEN acc.open = '' THEN 0 ELSE 1 END > 200", f"CASE WHEN acc.open = '' THEN substr(x.open, 161) ELSE {_STRIP.format("right(acc.open, 40) || ' ' || x.open")} END", _STRIP.format("acc.open || ' ' || x.open"), "list_append(acc.done, CASE WHEN acc.open = '' THEN left(x.open, 200) ELSE acc.open END)"),
     ),
     "chunk_semantic": (_chunks(lambda: C.by_topic("text", ("the", "and"), "。！？.!?", ".")), _islands(rf"list_filter(list_transform(string_split_regex(text, '[。！？.!?]'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')", "CASE WHEN n = 1 OR (contains(x, 'the') OR contains(x, 'and')) <> lag(contains(x, 'the') OR contains(x, 'and')) OVER (PARTITION BY doc_id ORDER BY n) THEN 1 ELSE 0 END", "string_agg(x || '.', '' ORDER BY n)")),
-    "chunk_rules": (_chunks(lambda: C.by_rules("text", r"^[A-Z]\w* \|")), _islands(rf"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')", r"CASE WHEN n = 1 OR regexp_matches(x, '^[A-Z]\w* \|') THEN 1 ELSE 0 END", _NORM.format("string_agg(x, ' ' ORDER BY n)"))),
+    "chunk_rules": (_chunks(lambda: C.by_rules("text", r"^[A-Z]\w* \|")), _islands(rf"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')", r"CASE WHEN n = 1 OR regexp_matches(x, '^[A-Z][\p{L}\p{N}_]* \|') THEN 1 ELSE 0 END", _NORM.format("string_agg(x, ' ' ORDER BY n)"))),
     "chunk_tokens": (_chunks(lambda: C.token_windows("text", 100, 20)), _chunk_sql(r"list_transform(range(0, CAST(CASE WHEN len(w) = 0 THEN 0 ELSE 1 + ceil(greatest(len(w) - 100, 0) / 80) END AS BIGINT)), lambda i: array_to_string(w[i * 80 + 1 : i * 80 + 100], ' '))").replace("FROM documents)", r"FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents))")),
     "hash_embed_sparse": (hash_embed, HASH_SQL),
     "hash_embed_dense": (hash_embed_dense, HASH_SQL[: HASH_SQL.rindex("SELECT")] + "SELECT doc_id, CAST(384 AS INTEGER) AS dims, CASE WHEN l > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length2 FROM documents LEFT JOIN l USING (doc_id)"),
