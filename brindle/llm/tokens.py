@@ -27,7 +27,7 @@ _UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 _PLAIN = re.compile(r"[ -~¡-¬®-ɏ]+")
 _MARKS = frozenset(".,;:!?")
 #: Bytes of each generation of a cache; what an entry takes beside its characters; the longest key that is kept.
-CACHE_BYTES, ENTRY, LONGEST = 24 << 20, 180, 64
+CACHE_BYTES, ENTRY, LONGEST = 40 << 20, 180, 64
 #: How the byte-level vocabularies, and the one with word ends, split a text.
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_ENDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -116,7 +116,12 @@ class PieceEncoder:
         self.cache = Generations(self._piece, limit)
 
     def _token(self, pre: str):
-        return self.value([t.id for t in self.model.tokenize(pre.encode().decode("latin-1").translate(self.letters))])
+        if self.keeps_spaces:
+            word = pre[1:]
+            letters = "Ġ" + word if pre[0] == " " and word.isalpha() and word.isascii() else pre.encode().decode("latin-1").translate(self.letters)
+        else:
+            letters = pre.encode().decode("latin-1").translate(self.letters)
+        return self.value([t.id for t in self.model.tokenize(letters)])
 
     def pre_tokens(self, piece: str) -> list[str] | None:
         """The pre-tokens of a piece; None: the library must split it."""
@@ -144,6 +149,9 @@ class PieceEncoder:
         parts = self.pre_tokens(piece)
         if parts is None:
             return self.whole(piece if not self.keeps_spaces else piece[1:] if piece[:1] == "\t" else piece if piece[:1] == "\n" else " " + piece)
+        if len(parts) == 1:  # kept as a piece; no need to keep it twice
+            value = self.tokens.get(parts[0])
+            return self._token(parts[0]) if value is None else value
         return self.join(map(self.tokens.__getitem__, parts))
 
     def known(self, table: dict) -> None:
