@@ -16,123 +16,197 @@ from .tokens import id_bytes, id_encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-#: Tokens of a shard; pairs replaced in one round; rounds end when one saves less than this share of the symbols,
-#: when no pair occurs LEAST times, or when 16-bit symbols run out.
-SHARD_TOKENS, ROUND_PAIRS, LEAST_GAIN, LEAST = 1 << 22, 4096, 0.03, 8
-SYMBOLS = 1 << 16
+#: Tokens of a shard, and how often a pair must occur to become a rule: there is no other end.
+SHARD_TOKENS, LEAST = 1 << 21, 8
+#: A round takes the pairs that are within this share of the most frequent one; where it changes less than SMALL of
+#: the symbols, the next ones look only around what has changed.
+SHARE, SMALL = 64, 0.02
 #: Every so many symbols of a shard have their token place stored.
 SAMPLE = 4096
+_LOW = np.uint64(0xFFFFFFFF)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Shard:
-    """A shard's grammar: terminals are ids below ``terminals``, rule i is the symbol terminals + i."""
+    """A shard's grammar: terminals are ids below ``terminals``, rule i is the symbol terminals + i, lengths[i] tokens long."""
 
     terminals: int
     left: np.ndarray
     right: np.ndarray
+    lengths: np.ndarray
     symbols: np.ndarray
 
-    def lengths(self) -> np.ndarray:
-        """Tokens that each symbol expands to."""
-        out = np.ones(self.terminals + len(self.left), dtype=np.int64)
-        for i, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist())):
-            out[self.terminals + i] = out[a] + out[b]
+    def sizes(self, some: np.ndarray) -> np.ndarray:
+        """Tokens that symbols expand to."""
+        rule = some >= self.terminals
+        out = np.ones(len(some), dtype=np.int64)
+        out[rule] = self.lengths[some[rule] - self.terminals]
         return out
 
-    def expansions(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All expansions end to end, and where each symbol's begins."""
-        starts = np.cumsum(lengths) - lengths
-        flat = np.empty(int(lengths.sum()), dtype=np.uint32)
-        flat[: self.terminals] = np.arange(self.terminals)
-        for i, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist())):
-            at, n = int(starts[self.terminals + i]), int(lengths[a])
-            flat[at : at + n] = flat[starts[a] : starts[a] + n]
-            flat[at + n : at + int(lengths[self.terminals + i])] = flat[starts[b] : starts[b] + lengths[b]]
-        return flat, starts
-
-    def decode(self, first: int = 0, last: int | None = None) -> np.ndarray:
-        """The ids of the symbols from ``first`` to before ``last``."""
-        lengths = self.lengths()
-        flat, starts = self.expansions(lengths)
-        some = self.symbols[first:last]
-        n = lengths[some]
-        ends = np.cumsum(n)
-        return flat[np.repeat(starts[some] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-
-
-def compress(ids: np.ndarray, terminals: int) -> Shard:
-    """Re-Pair in rounds: each round replaces many frequent pairs that can't overlap one another.
-
-    Pairs are taken by falling frequency; a symbol that a taken pair has on its left is on no taken
-    pair's right, so that occurrences never share a symbol, and a round is the same as its pairs one
-    after another.
+    def decode(self) -> np.ndarray:
+        """All ids.  Rules are expanded level by level, each from those below it."""
+        level: list[int] = []
+        deep = [0] * self.terminals
+        for a, b in zip(self.left.tolist(), self.right.tolist()):
+            level.append(1 + max(deep[a], deep[b]))
+            deep.append(level[-1])
+        order = np.argsort(level, kind="stable")
+        long = self.lengths.astype(np.int64)
+        starts = np.zeros(len(long), dtype=np.int64)
+        starts[order] = np.cumsum(long[order]) - long[order]
+        flat = np.zeros(int(long.sum()) + 1, dtype=np.uint32)
+
+        def expanded(some: np.ndarray) -> np.ndarray:
+            n = self.sizes(some)
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            symbol = np.repeat(some, n)
+            rule = symbol >= self.terminals
+            symbol[rule] = flat[starts[symbol[rule] - self.terminals] + place[rule]]
+            return symbol
+
+        at = 0
+        for rules in np.split(order, np.flatnonzero(np.diff(np.array(level)[order])) + 1) if len(order) else ():
+            ids = expanded(np.stack([self.left[rules], self.right[rules]], axis=1).ravel())
+            flat[at : at + len(ids)] = ids
+            at += len(ids)
+        return expanded(self.symbols)
+
+    def between(self, symbols: np.ndarray, skip: int, n: int) -> tuple[list[int], int]:
+        """``n`` ids behind the first ``skip`` that ``symbols`` expand to, and how many rules had to be opened.
+
+        A symbol before or behind the wanted ids is passed by its length; only those that hold some are opened.
+        """
+        ids, opened = [], 0
+        waiting = symbols[::-1].tolist()
+        while waiting and len(ids) < n:
+            symbol = waiting.pop()
+            if symbol < self.terminals:
+                if skip:
+                    skip -= 1
+                else:
+                    ids.append(symbol)
+            elif skip >= int(self.lengths[symbol - self.terminals]):
+                skip -= int(self.lengths[symbol - self.terminals])
+            else:
+                opened += 1
+                waiting += (int(self.right[symbol - self.terminals]), int(self.left[symbol - self.terminals]))
+        return ids, opened
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and how often each can be replaced; of a run of one symbol, every other pair."""
+    ordered = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    times, pairs = np.diff(np.append(first, len(ordered))), ordered[first]
+    return pairs, np.where(pairs >> np.uint64(32) == pairs & _LOW, (times + 1) // 2, times)
+
+
+def _places_of(pairs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the keys are among the pairs (distinct, in order), and which pair it is each time; by a hash table."""
+    bits = np.uint64(64 - max(12, len(pairs).bit_length() + 3))
+    slots = (pairs * _MIX) >> bits
+    owner = np.full(1 << (64 - int(bits)), -1, dtype=np.int32)
+    owner[slots] = np.arange(len(pairs))
+    pair = owner[(keys * _MIX) >> bits]
+    found = np.flatnonzero(pair >= 0)
+    pair = pair[found].astype(np.int64)
+    other = np.flatnonzero(pairs[pair] != keys[found])
+    put_out = np.flatnonzero(owner[slots] != np.arange(len(pairs)))  # pairs that another has put out of their slot
+    known = np.ones(len(found), dtype=bool)
+    known[other] = False
+    if len(put_out):
+        at = np.minimum(np.searchsorted(pairs[put_out], keys[found[other]]), len(put_out) - 1)
+        pair[other] = put_out[at]
+        known[other] = pairs[put_out[at]] == keys[found[other]]
+    return found[known], pair[known]
+
+
+def _winners(places: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which occurrences are replaced: of two that share a symbol the one of the more frequent pair, in a run of one pair every other."""
+    touch = places[1:] == places[:-1] + 1
+    lost = np.zeros(len(places), dtype=bool)
+    lost[1:] |= touch & (rank[:-1] < rank[1:])
+    lost[:-1] |= touch & (rank[1:] < rank[:-1])
+    same = np.concatenate(([False], touch & (rank[:-1] == rank[1:])))
+    if same.any():
+        nth = np.arange(len(places))
+        lost |= (nth - np.maximum.accumulate(np.where(same, 0, nth))) & 1 == 1
+    return ~lost
+
+
+def compress(ids: np.ndarray, terminals: int, least: int = LEAST) -> Shard:
+    """Re-Pair: frequent pairs become rules until no pair occurs ``least`` times.
+
+    A round takes the most frequent pairs together (SHARE), with those of equal symbols among them; where two
+    occurrences overlap, the more frequent pair has its way, as it would have, coming first.  After a round
+    that changed little, only the pairs around new symbols are counted, for they alone can have become
+    frequent; the end is always a count of all.
     """
-    kind = np.uint16 if terminals <= SYMBOLS // 8 * 7 else np.uint32
-    most = SYMBOLS if kind == np.uint16 else 1 << 20
-    seq = ids.astype(kind)
-    left: list[int] = []
-    right: list[int] = []
-    size = terminals
-    while len(seq) > 1 and size < most:
-        keys = seq[:-1].astype(np.uint64 if kind == np.uint32 else np.uint32)
-        keys = (keys << keys.dtype.type(8 * seq.itemsize)) | seq[1:]
-        ordered = np.sort(keys)
-        cuts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        times = np.diff(np.append(cuts, len(ordered)))
-        frequent = np.flatnonzero(times >= LEAST)
-        if len(frequent) > 4 * ROUND_PAIRS:
-            frequent = frequent[np.argpartition(times[frequent], -4 * ROUND_PAIRS)[-4 * ROUND_PAIRS :]]
-        frequent = frequent[np.lexsort((ordered[cuts[frequent]], -times[frequent]))]
-        lefts, rights, taken, slots = set(), set(), [], set()
-        mix, down = keys.dtype.type(0x9E3779B97F4A7C15 >> (64 - 8 * keys.itemsize)), keys.dtype.type(8 * keys.itemsize - 16)
-        shift, mask = 8 * seq.itemsize, (1 << 8 * seq.itemsize) - 1
-        candidates = ordered[cuts[frequent]]
-        for key, slot in zip(candidates.tolist(), ((candidates * mix) >> down).tolist()):
-            a, b = key >> shift, key & mask
-            if a == b or a in rights or b in lefts or slot in slots:  # one pair a slot; another may come next round
-                continue
-            slots.add(slot)
-            lefts.add(a)
-            rights.add(b)
-            taken.append(key)
-            if len(taken) == min(ROUND_PAIRS, most - size):
+    seq, left, right, lengths = ids.astype(np.uint32), [], [], []
+    size, share, near = terminals, SHARE, None
+    long = np.ones(terminals, dtype=np.int64)
+    while len(seq) > 1:
+        a, b = (seq[:-1], seq[1:]) if near is None else (seq[near], seq[near + 1])
+        keys = (a.astype(np.uint64) << np.uint64(32)) | b
+        pairs, times = _counted(keys)
+        most = int(times.max(initial=0))
+        if most < least:
+            if near is None:
                 break
-        if not taken:
-            break
-        by_rule = np.array(taken, dtype=keys.dtype)
-        rule_in = np.zeros(1 << 16, dtype=np.uint16)
-        rule_in[(by_rule * mix) >> down] = np.arange(1, len(taken) + 1)
-        rule = rule_in[(keys * mix) >> down]
-        places = np.flatnonzero(rule)
-        rule = rule[places].astype(np.int64) - 1
-        found = by_rule[rule] == keys[places]
-        places, rule = places[found], rule[found]
-        keep = np.ones(len(seq), dtype=bool)
-        keep[places + 1] = False
-        saved = len(places) / len(seq)
-        seq = seq.copy()
-        seq[places] = (size + rule).astype(kind)
-        seq = seq[keep]
-        left += (by_rule >> by_rule.dtype.type(shift)).tolist()
-        right += (by_rule & by_rule.dtype.type(mask)).tolist()
-        size += len(by_rule)
-        if saved < LEAST_GAIN:
-            break
-    return Shard(terminals, np.array(left, dtype=np.uint32), np.array(right, dtype=np.uint32), seq)
-
-
-_FORMAT = "part int, seq int, terminals int, rules binary, symbol_bytes int, symbols binary, samples binary, doc_ids binary, null_ids binary, doc_starts binary, n_tokens long"
+            near = None
+            continue
+        frequent = times >= max(least, most // share)
+        pairs, times = pairs[frequent], times[frequent]
+        rank = np.empty(len(pairs), dtype=np.int64)
+        rank[np.argsort(-times, kind="stable")] = np.arange(len(pairs))
+        found, pair = _places_of(pairs, keys)
+        places = found if near is None else near[found]
+        won = _winners(places, rank[pair])
+        kept = np.bincount(pair[won], minlength=len(pairs))
+        made = kept >= least
+        if not made.any():  # each loses to others too often: the one that loses least
+            made = kept == kept.max()
+        symbol = np.cumsum(made) - 1 + size
+        hit = won & made[pair]
+        new, passed = places[hit], places[~hit]
+        seq[new] = symbol[pair[hit]]
+        stay = np.ones(len(seq), dtype=bool)
+        stay[new + 1] = False
+        seq = seq[stay]
+        if len(new) < SMALL * len(seq):
+            passed = passed[stay[passed]]
+            around = np.arange(len(new))  # a new symbol's place: each one before it took one away
+            near = np.unique(np.concatenate((new - around, new - around - 1, passed - np.searchsorted(new + 1, passed))))
+            near, share = near[(near >= 0) & (near < len(seq) - 1)], len(ids)
+        else:
+            near = None
+        left.append((pairs[made] >> np.uint64(32)).astype(np.uint32))
+        right.append((pairs[made] & _LOW).astype(np.uint32))
+        lengths.append(long[left[-1]] + long[right[-1]])
+        long = np.concatenate((long, lengths[-1]))
+        size += int(made.sum())
+
+    def whole(parts: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, dtype=np.uint32)
+
+    return Shard(terminals, whole(left), whole(right), whole(lengths), seq)
+
+
+_FORMAT = "part int, seq int, terminals int, rules binary, lengths binary, symbols_low binary, symbols_high binary, samples binary, doc_ids binary, null_ids binary, doc_starts binary, n_tokens long"
+_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("terminals", pa.int32())] + [(n, pa.binary()) for n in ("rules", "lengths", "symbols_low", "symbols_high", "samples", "doc_ids", "null_ids", "doc_starts")] + [("n_tokens", pa.int64())])
 
 
 def _record(part: int, seq: int, terminals: int, docs: list, ends: list[int], data: list[bytes]) -> dict:
-    """One shard as a row of the files."""
+    """One shard as a row of the files: rules with the lengths of their expansions, symbols as 16 low and 8 high bits."""
     ids = np.frombuffer(b"".join(data), dtype="<u4")
     shard = compress(ids, terminals)
-    places = np.cumsum(shard.lengths()[shard.symbols])
-    samples = np.concatenate(([0], places))[::SAMPLE]
+    if terminals + len(shard.left) > 1 << 24:
+        raise ValueError("more symbols than 24 bits hold: make shards smaller")
+    samples = np.concatenate(([0], np.cumsum(shard.sizes(shard.symbols))))[::SAMPLE]
     return {
-        "part": part, "seq": seq, "terminals": terminals, "rules": np.stack([shard.left, shard.right]).astype("<u4").tobytes(), "symbol_bytes": shard.symbols.itemsize, "symbols": shard.symbols.tobytes(),
+        "part": part, "seq": seq, "terminals": terminals, "rules": np.stack([shard.left, shard.right]).astype("<u4").tobytes(), "lengths": shard.lengths.astype("<u4").tobytes(),
+        "symbols_low": (shard.symbols & 0xFFFF).astype("<u2").tobytes(), "symbols_high": (shard.symbols >> 16).astype(np.uint8).tobytes(),
         "samples": samples.astype("<i8").tobytes(), "doc_ids": np.array([d or 0 for d in docs], dtype="<i8").tobytes(), "null_ids": bytes(d is None for d in docs),
         "doc_starts": np.array([0, *ends], dtype="<i8").tobytes(), "n_tokens": len(ids),
     }
@@ -146,8 +220,6 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, shard
     documents' ids and places.  A file is committed by Spark's writer, so a lost task is written again.
     """
     ordered = pick(docs, "doc_id", "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("terminals", pa.int32()), ("rules", pa.binary()), ("symbol_bytes", pa.int32()), ("symbols", pa.binary()), ("samples", pa.binary()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("doc_starts", pa.binary()), ("n_tokens", pa.int64())])
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = id_encoder(vocabulary)
         terminals, end = lib.library.get_vocab_size(), id_bytes([END_ID])
@@ -160,18 +232,19 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, shard
                 docs.append(doc)
                 ends.append(total)
                 if total >= shard_tokens:
-                    yield pa.RecordBatch.from_pylist([_record(part, seq, terminals, docs, ends, data)], schema)
+                    yield pa.RecordBatch.from_pylist([_record(part, seq, terminals, docs, ends, data)], _ARROW)
                     docs, ends, data, total, seq = [], [], [], 0, seq + 1
         lib.forget()
         if docs:
-            yield pa.RecordBatch.from_pylist([_record(part, seq, terminals, docs, ends, data)], schema)
+            yield pa.RecordBatch.from_pylist([_record(part, seq, terminals, docs, ends, data)], _ARROW)
 
     ordered.mapInArrow(work, _FORMAT).write.option("compression", "zstd").parquet(path)
 
 
 def _shard(row: dict) -> Shard:
     rules = np.frombuffer(row["rules"], dtype="<u4").reshape(2, -1)
-    return Shard(row["terminals"], rules[0], rules[1], np.frombuffer(row["symbols"], dtype=np.uint16 if row["symbol_bytes"] == 2 else np.uint32))
+    symbols = np.frombuffer(row["symbols_low"], dtype="<u2").astype(np.uint32) | np.frombuffer(row["symbols_high"], dtype=np.uint8).astype(np.uint32) << np.uint32(16)
+    return Shard(row["terminals"], rules[0], rules[1], np.frombuffer(row["lengths"], dtype="<u4"), symbols)
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -208,12 +281,16 @@ def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataF
 
 
 def tokens_at(row: dict, start: int, n: int) -> np.ndarray:
-    """``n`` ids from place ``start`` of a shard (a row of the files as a dict), expanding only the symbols around them."""
+    """``n`` ids from place ``start`` of a shard (a row of the files as a dict).
+
+    The samples give a symbol shortly before; from there the stored lengths lead on, and only rules that
+    hold wanted ids are opened.
+    """
     shard, samples = _shard(row), np.frombuffer(row["samples"], dtype="<i8")
     first = int(np.searchsorted(samples, start, side="right") - 1)
     last = int(np.searchsorted(samples, start + n, side="left"))
-    ids = shard.decode(first * SAMPLE, last * SAMPLE)
-    return ids[start - int(samples[first]) :][:n]
+    ids, _ = shard.between(shard.symbols[first * SAMPLE : last * SAMPLE], start - int(samples[first]), n)
+    return np.array(ids, dtype=np.uint32)
 
 
 def stored_tokens(spark: SparkSession, path: str) -> DataFrame:

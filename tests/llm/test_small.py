@@ -113,20 +113,38 @@ def test_fit_finds_a_bad_majority(monkeypatch):
 
 
 @steps
-@given(st.lists(st.integers(0, 6), max_size=400))
-def test_grammar_round_trip(ids):
+@given(st.lists(st.integers(0, 6), max_size=400), st.integers(2, 9))
+def test_grammar_round_trip(ids, least):
     ids = np.array(ids, dtype=np.uint32)
-    s = grammar.compress(ids, 7)
-    assert (s.decode() == ids).all()
+    s = grammar.compress(ids, 7, least)
+    assert len(s.decode()) == len(ids) and (s.decode() == ids).all() and s.sizes(s.symbols).sum() == len(ids)
+    pairs = [tuple(p) for p in zip(s.symbols.tolist(), s.symbols[1:].tolist())]
+    assert all(pairs.count(p) < least for p in pairs if p[0] != p[1])
+
+
+def test_grammar_goes_on_to_the_end():
+    """No pair is left that occurs often enough, in whatever round it became frequent; a run of one id folds up too."""
+    rng = np.random.default_rng(6)
+    words = [rng.integers(0, 300, rng.integers(1, 9)) for _ in range(400)]
+    ids = np.concatenate([words[i] for i in rng.zipf(1.3, 30_000) % 400]).astype(np.uint32)
+    s = grammar.compress(ids, 300)
+    pairs, times = np.unique(np.stack([s.symbols[:-1], s.symbols[1:]]), axis=1, return_counts=True)
+    assert (s.decode() == ids).all() and times[pairs[0] != pairs[1]].max() < grammar.LEAST and len(s.symbols) < len(ids) / 2
+    run = grammar.compress(np.zeros(100_000, dtype=np.uint32), 5)
+    assert len(run.symbols) < 40 and len(run.left) < 40 and len(run.decode()) == 100_000
 
 
 def test_grammar_random_access(monkeypatch):
     monkeypatch.setattr(grammar, "SAMPLE", 16)
     ids = np.array(([1, 2, 3, 4] * 50 + [5, 6]) * 20, dtype="<u4")
     row = grammar._record(0, 0, 7, [1, None], [10, len(ids)], [ids.tobytes()])
-    assert len(row["symbols"]) < 2 * len(ids) / 4 and row["null_ids"] == b"\x00\x01"
+    assert len(row["symbols_high"]) < len(ids) / 4 and row["null_ids"] == b"\x00\x01"
     for start, n in ((0, 1), (77, 300), (len(ids) - 3, 3), (5, 0)):
-        assert (grammar.tokens_at(row, start, n) == ids[start : start + n]).all()
+        got = grammar.tokens_at(row, start, n)
+        assert len(got) == n and (got == ids[start : start + n]).all()
+    shard = grammar._shard(row)
+    depth = int(np.log2(len(ids))) + 1
+    assert shard.between(shard.symbols, 1000, 5)[1] < 5 * depth < len(shard.left) * 10  # only rules around the place are opened
 
 
 @steps
