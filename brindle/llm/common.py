@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_BATCH_BYTES, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of 8 MB; the session's own choice stands, where it has made one.
+
+    A worker holds a batch and the next one: of the default of 64 MB each, a few workers would fill an executor.
+    """
+    if spark.conf.get(_BATCH_BYTES, _DEFAULT_BATCH) == _DEFAULT_BATCH:
+        spark.conf.set(_BATCH_BYTES, "8388608b")
+
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone.
@@ -16,6 +28,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     Columns are found by place, so that other columns whose names differ only in case,
     repeat, or equal a name used inside an operator do no harm.
     """
+    small_batches(df.sparkSession)
     places = [df.columns.index(n) for n in names]
     plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
     return plain.select(*[F.col(f"_{p}").alias(n) for p, n in zip(places, names)])
@@ -23,6 +36,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 def with_row_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` as c0, c1, ... with k1 and k2, 128 bits of hashes of each row's doc_id and text; and doc_id, text, k1 and k2 alone."""
+    small_batches(docs.sparkSession)
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     own = [F.col(f"c{columns.index(n)}") for n in ("doc_id", "text")]
@@ -34,13 +48,16 @@ def with_row_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where a session names none (local tests) a temporary folder takes its place.
+    Where a session names none, a local one (tests) gets a temporary folder; on a cluster that would be lost
+    with its machine, or never seen by the others, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, pick, shared_path
+from .common import cut, pick, shared_path, small_batches
 
 _SYMBOLS = b"#*$%&|<>"
 _ENDS = (b".", b"!", b"?", b":", b";", b'"', "…".encode(), "”".encode(), "。".encode())
@@ -55,7 +55,7 @@ def repeated_words(ids: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return np.bincount(doc[covered], minlength=docs)
 
 
-def measure(texts: list[str], size: int = 2_000_000) -> np.ndarray:
+def measure(texts: list[str], size: int = 500_000) -> np.ndarray:
     """MEASURES of each text, one row each; about ``size`` characters are worked on at once."""
     out = np.zeros((len(texts), len(MEASURES)), dtype=np.int64)
     at = 0
@@ -88,7 +88,7 @@ def measure(texts: list[str], size: int = 2_000_000) -> np.ndarray:
 @F.arrow_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
 def measures(texts: pa.Array) -> pa.Array:
     """MEASURES of each text, as a struct; only texts reach Python, and only numbers come back."""
-    found = [measure([t.as_py() or "" for t in texts.slice(at, 500)]) for at in range(0, len(texts), 500)]
+    found = [measure([t.as_py() or "" for t in texts.slice(at, 200)]) for at in range(0, len(texts), 200)]
     m = np.concatenate(found) if found else np.zeros((0, len(MEASURES)), dtype=np.int64)
     return pa.StructArray.from_arrays([pa.array(m[:, i]) for i in range(len(MEASURES))], list(MEASURES))
 
@@ -205,6 +205,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     read again once the patterns' posteriors are known, so no text is shuffled.
     """
     spark, columns = docs.sparkSession, docs.columns
+    small_batches(spark)
     own = [f"c{i}" for i in range(len(columns))]
     plain = docs.toDF(*own)
     path = shared_path(spark, "votes")

@@ -12,6 +12,7 @@ import os
 import re
 from array import array
 
+import pyarrow as pa
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -27,7 +28,7 @@ _UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 _PLAIN = re.compile(r"[ -~¡-¬®-ɏ]+")
 _MARKS = frozenset(".,;:!?")
 #: Bytes of each generation of a cache; what an entry takes beside its characters; the longest key that is kept.
-CACHE_BYTES, ENTRY, LONGEST = 40 << 20, 180, 64
+CACHE_BYTES, ENTRY, LONGEST = 24 << 20, 180, 64
 #: How the byte-level vocabularies, and the one with word ends, split a text.
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_ENDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -182,6 +183,7 @@ class PieceEncoder:
         self.cache.forget()
         self.misses.forget()
         self.tokens = self.misses
+        pa.default_memory_pool().release_unused()
 
 
 def id_bytes(ids: list[int]) -> bytes:
@@ -202,5 +204,5 @@ def id_encoder(name: str) -> PieceEncoder:
 def length_encoder(name: str) -> PieceEncoder:
     """The encoder to numbers of ids of this Python worker."""
     if (name, "lengths") not in _encoders:
-        _encoders[name, "lengths"] = PieceEncoder(name, len, sum)
+        _encoders[name, "lengths"] = PieceEncoder(name, len, sum, 2 * CACHE_BYTES)
     return _encoders[name, "lengths"]

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, pick, slice_count
 
-#: Characters of a k-gram and k-grams of a window: any passage of K + W - 1 = 128 characters that two texts
-#: share leaves a fingerprint in both.
-K, W = 16, 113
+#: Characters of a k-gram and k-grams of a window: any passage of K + W - 1 = 47 characters that two texts
+#: share leaves a fingerprint in both; about one k-gram in 16 is kept.
+K, W = 16, 32
+MOST_SLICES = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,7 +88,8 @@ def edited(text: str, following: str) -> str:
 
 def in_order(docs: DataFrame, slices: int) -> DataFrame:
     """(slice, doc_id, text, halo): the documents in ascending order of doc_id by slices, each slice followed by the
-    first row of the next one (of the first slice, after the last), as halo.
+    first row of the next one (of the first slice, after the last), as halo.  There are at most MOST_SLICES slices: above 40 M
+    documents a slice holds more of them, read one after another, never at once.
 
     Bounds come from the ids alone; texts move once.
     """
@@ -122,7 +124,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     total = docs.count()
-    parts = max(1, min(slice_count(total, 2_000), 20_000))
+    parts = max(1, min(slice_count(total, 2_000), MOST_SLICES))
     sliced = in_order(docs, parts)
     ordered = sliced.repartition(parts, "slice").sortWithinPartitions("slice", "halo", "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -168,6 +168,10 @@ def test_winnow_guarantee():
     shared = make(winnowing.K + winnowing.W - 1)
     a, b = (winnowing.winnow(make(300) + shared + make(200)) for _ in range(2))
     assert set(a >> np.uint64(32)) & set(b >> np.uint64(32))
+    words = [make(rng.randrange(3, 9)).replace(" ", "x") for _ in range(20)]
+    for at in range(len(words)):  # short near copies are alike in part, wherever they differ
+        near = winnowing.likeness(winnowing.winnow(" ".join(words)), winnowing.winnow(" ".join(words[:at] + ["zzzzzz"] + words[at + 1 :])))
+        assert near > 0.2
     assert winnowing.likeness(a, a) == 1 and winnowing.edited("abcd", "x") == "abx" and winnowing.edited("abcde", "xyz") == "abcxy"
 
 
