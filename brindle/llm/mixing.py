@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, pick, running_totals, slice_count
@@ -16,8 +16,11 @@ from .common import cut, pick, running_totals, slice_count
 #: Words of a block; blocks of an output shard; blocks whose shares are fixed together; seed; the cap on repeats.
 BLOCK_WORDS, SHARD_BLOCKS, GROUP_BLOCKS, SEED, MAX_EPOCHS = 256, 4096, 1 << 26, 17, 3.0
 WEIGHTS = (5.0, 2.0, 1.0)
-#: The tables of sources that tasks get are proportional to the sources; this many are a few MB.
-MAX_SOURCES = 100_000
+#: Up to so many sources (a few MB) the plan is sent to the tasks, which draw each shard's counts; of more, it stays a
+#: table, and each source's slots draw their own shards.
+SENT_SOURCES = 100_000
+#: Slots of a source that one row of that table stands for; copies of it that rows of documents are dealt to.
+RANGE_SLOTS, SALTS = 1 << 16, 16
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -66,6 +69,20 @@ def permuted(index: np.ndarray, size: int, key: int, back: bool = False) -> np.n
     return x.astype(np.int64)
 
 
+def pass_key(seed: int, source: int, epoch: int) -> int:
+    return (seed << 48) ^ (source << 16) ^ epoch
+
+
+def blocks_at(slot: np.ndarray, blocks: int, key) -> np.ndarray:
+    """The blocks at slots of a source: each run over all its blocks has its own permutation."""
+    epoch, inside = np.divmod(slot, blocks)
+    out = np.zeros(len(slot), dtype=np.int64)
+    for e in np.unique(epoch):
+        at = epoch == e
+        out[at] = permuted(inside[at], blocks, key(int(e)))
+    return out
+
+
 @dataclass
 class Plan:
     """For each source: its words, its target, its blocks, the slots the mix gives it, and the words of its last slot."""
@@ -79,17 +96,27 @@ class Plan:
     seed: int
 
     def key(self, source: int, epoch: int) -> int:
-        return (self.seed << 48) ^ (source << 16) ^ epoch
+        return pass_key(self.seed, source, epoch)
 
     def block_of(self, source: int, slot: np.ndarray) -> np.ndarray:
-        """The blocks at slots of a source: each run over all its blocks has its own permutation."""
-        n = int(self.blocks[source])
-        epoch, inside = np.divmod(slot, n)
-        out = np.zeros(len(slot), dtype=np.int64)
-        for e in np.unique(epoch):
-            at = epoch == e
-            out[at] = permuted(inside[at], n, self.key(source, int(e)))
-        return out
+        return blocks_at(slot, int(self.blocks[source]), lambda epoch: self.key(source, epoch))
+
+
+def slots_of(n: int, want: int, block: int, key) -> tuple[int, int]:
+    """Slots that just reach ``want`` words of a source of ``n``, and the words of the last one; ``key(epoch)`` permutes its blocks."""
+    if not n or not want:
+        return 0, 0
+    blocks = -(-n // block)
+    short = n - (blocks - 1) * block
+    epochs, rest = divmod(want, n)
+    if not rest:
+        epochs, rest = epochs - 1, n
+    at = int(permuted(np.array([blocks - 1]), blocks, key(epochs), back=True)[0])  # the short block's turn
+    used = -(-rest // block)
+    if at < used:
+        used = -(-(rest + block - short) // block) if rest > at * block + short else at + 1
+    words = used * block - (block - short if at < used else 0)
+    return epochs * blocks + used, (short if at == used - 1 else block) - (words - rest)
 
 
 def make_plan(sizes: list[int], weights: list[float], block: int = BLOCK_WORDS, seed: int = SEED, most: float = MAX_EPOCHS) -> Plan:
@@ -98,20 +125,7 @@ def make_plan(sizes: list[int], weights: list[float], block: int = BLOCK_WORDS,
     size = np.array(sizes, dtype=np.int64)
     plan = Plan(size, np.array(goal), -(-size // block), np.zeros_like(size), np.zeros_like(size), block, seed)
     for s, (n, want) in enumerate(zip(sizes, goal)):
-        want = round(want)
-        if not n or not want:
-            continue
-        blocks, short = int(plan.blocks[s]), n - (int(plan.blocks[s]) - 1) * block
-        epochs, rest = divmod(want, n)
-        if not rest:
-            epochs, rest = epochs - 1, n
-        at = int(permuted(np.array([blocks - 1]), blocks, plan.key(s, epochs), back=True)[0])  # the short block's turn
-        used = -(-rest // block)
-        if at < used:
-            used = -(-(rest + block - short) // block) if rest > at * block + short else at + 1
-        words = used * block - (block - short if at < used else 0)
-        last = short if at == used - 1 else block
-        plan.slots[s], plan.last[s] = epochs * blocks + used, last - (words - rest)
+        plan.slots[s], plan.last[s] = slots_of(n, round(want), block, lambda epoch, s=s: plan.key(s, epoch))
     return plan
 
 
@@ -160,9 +174,11 @@ def mixture(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, weights
     """
     spark = docs.sparkSession
     rows = docs.count()
-    sums = docs.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
+    summed = docs.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
+    sums = summed.limit(SENT_SOURCES + 1).collect()
+    if len(sums) > SENT_SOURCES:
+        table, mix = _many_sources(summed, block, seed, weights, most)
+        return _parts(docs, table, rows, block, SALTS), mix
     sums = sorted(((r.source, int(r["size"] or 0)) for r in sums), key=lambda x: (x[0] is None, x[0] or ""))
     plan = make_plan([n for _, n in sums], [weights[i % len(weights)] for i in range(len(sums))], block, seed, most)
     table = spark.createDataFrame([(s, i, n, float(t)) for i, ((s, n), t) in enumerate(zip(sums, plan.target))], "source string, s int, source_size long, target double")
@@ -189,15 +205,90 @@ def mixture(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, weights
 
     shards = int(first[-1])
     mix = spark.range(0, shards, 1, max(1, min(shards, 10_000))).mapInArrow(slots, "shard long, slot long, s long, block long, words long, epoch long")
-    small = F.broadcast(table)  # at most MAX_SOURCES rows
-    named = docs.join(small.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return _parts(docs, table, rows, block), mix
+
+
+def _parts(docs: DataFrame, table: DataFrame, rows: int, block: int, salts: int = 0) -> DataFrame:
+    """``docs`` beside their sources in ``table(source, s, source_size, target)``, a row for each block that they lie in.
+
+    Up to SENT_SOURCES sources are broadcast.  Of more, one may have most rows: its rows are dealt to ``salts`` copies of it.
+    """
+    table = table.withColumnRenamed("source", "_source")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if salts:
+        copies = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)).cast("int"))
+        named = salted.join(copies, same & (F.col("_salt") == F.col("_copy"))).drop("_source", "_copy", "_salt")
+    else:
+        named = docs.join(F.broadcast(table), same).drop("_source")
     placed = running_totals(named, ["s"], "doc_id", ["doc_id", "size", *[c for c in docs.columns if c not in ("doc_id", "size", "source")]], "size", slice_count(rows), "start")
     end = F.col("start") + F.col("size")
     inside = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")))
     parts = placed.withColumn("block", F.explode_outer(inside))
     begin = F.greatest("start", F.col("block") * block)
-    parts = parts.withColumn("offset", begin - F.col("block") * block).withColumn("from_word", begin - F.col("start")).withColumn("n_words", F.least(end, (F.col("block") + 1) * block) - begin)
-    return parts, mix
+    return parts.withColumn("offset", begin - F.col("block") * block).withColumn("from_word", begin - F.col("start")).withColumn("n_words", F.least(end, (F.col("block") + 1) * block) - begin)
+
+
+def _water_level(table: DataFrame, most: float) -> float | None:
+    """The level L at which the sources' least(most * size, L * weight) add up to all sizes; from a few sums a round."""
+    total = float(table.agg(F.sum("size")).first()[0] or 0)
+    level, before = 0.0, None
+    while before != level:
+        full = F.lit(level) * F.col("weight") > most * F.col("size")
+        r = table.agg(F.sum(F.when(full, most * F.col("size"))).alias("held"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        if not r.open:
+            return None
+        before, level = level, (total - (r.held or 0.0)) / r.open
+    return level
+
+
+def _many_sources(summed: DataFrame, block: int, seed: int, weights: tuple[float, ...], most: float) -> tuple[DataFrame, DataFrame]:
+    """``table`` and ``mix`` where the plan would be too large to send: sources stay rows.
+
+    Sources are sorted by ranges and numbered from the ranges' counts.  All slots, source by source, are
+    one run of numbers; a permutation of it gives each slot its shard and place, which is how a draw without
+    replacement deals every source's slots to the shards.  A source's slots are made by ranges of RANGE_SLOTS.
+    """
+    ranged = summed.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    ranged = cut(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+
+    def before(df: DataFrame, amount, out: str) -> DataFrame:
+        """Adds ``out``: the sum of ``amount`` over the sources before; ranges are added up first."""
+        sums = df.groupBy("_part").agg(F.sum(amount).alias("_sum"))  # a row for each range
+        starts = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+        inner = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn("_in", F.coalesce(F.sum(amount).over(inner), F.lit(0))).join(starts, F.col("_part") == F.col("_p")).withColumn(out, (F.col("_start") + F.col("_in")).cast("long")).drop("_in", "_p", "_start")
+
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("s") % len(weights) + 1).cast("int"))
+    table = cut(before(ranged, F.lit(1), "s").withColumn("weight", weight))
+    level = _water_level(table, most)
+    cap = most * F.col("size")
+    target = cap if level is None else F.least(cap.cast("double"), F.lit(level) * F.col("weight"))
+    table = table.withColumn("target", target.cast("double"))
+
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [slots_of(n, round(want), block, lambda epoch, s=s: pass_key(seed, s, epoch)) for s, n, want in zip(*(b.column(c).to_pylist() for c in ("s", "size", "target")))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]], [*b.schema.names, "slots", "last"])
+
+    plain = table.select("source", "s", "size", "target", "_part", "_at")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
+    plan = cut(before(plain.mapInArrow(planned, f"{kinds}, slots long, last long"), F.col("slots"), "first"))
+    total = int(plan.agg(F.sum("slots")).first()[0] or 0)
+    ranges = plan.where("slots > 0").select("s", "size", "slots", "last", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {RANGE_SLOTS}"))).alias("_range")).repartition("s", "_range")
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s, size, n, last, first, r in zip(*(c.to_pylist() for c in b.columns)):
+                slot = np.arange(r * RANGE_SLOTS, min(n, (r + 1) * RANGE_SLOTS))
+                blocks = -(-size // block)
+                place = permuted(first + slot, total, pass_key(seed, 0, 0) ^ 0x5107)
+                words = np.where(slot == n - 1, last, block)
+                columns = [place // SHARD_BLOCKS, place % SHARD_BLOCKS, np.full(len(slot), s), blocks_at(slot, blocks, lambda epoch: pass_key(seed, s, epoch)), words, slot // blocks]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["shard", "slot", "s", "block", "words", "epoch"])
+
+    mix = ranges.mapInArrow(slots, "shard long, slot long, s long, block long, words long, epoch long")
+    return plan.select("source", F.col("s").cast("int").alias("s"), F.col("size").alias("source_size"), "target"), mix
 
 
 def sized(docs: DataFrame) -> DataFrame:

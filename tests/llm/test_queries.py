@@ -145,6 +145,27 @@ def test_mixing(docs, texts):
     assert mixed == Counter({r.doc_id: r.taken for r in rows if r.taken})
 
 
+def test_mixing_of_many_sources(spark, docs, monkeypatch):
+    """A plan that stays a table reaches the same targets as one that is sent, in every source."""
+    many = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 7 > 0, F.concat(F.lit("é"), (F.col("doc_id") % 29).cast("string")))).withColumn("text", F.when(F.col("doc_id") % 29 != 5, F.col("text")))
+    sent = {r.doc_id: r for r in mixing.mixed_words(many).collect()}
+    monkeypatch.setattr(mixing, "SENT_SOURCES", 2)
+    monkeypatch.setattr(mixing, "RANGE_SLOTS", 7)
+    rows, taken, goal = mixing.mixed_words(many).collect(), defaultdict(int), {}
+    names = {r.doc_id: r.source for r in many.collect()}
+    assert len(rows) == len(sent) == len(names)
+    for r in rows:
+        other = sent[r.doc_id]
+        assert (r["size"], r.source_size) == (other["size"], other.source_size) and abs(r.target - other.target) < 1e-6 and r.taken <= 3 * r["size"]
+        taken[names[r.doc_id]] += r.taken
+        goal[names[r.doc_id]] = r.target
+    assert len(goal) > 20 and all(abs(taken[s] - t) <= 0.5 for s, t in goal.items())
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mixed_words(many.repartition(3)).collect()))
+    _, mix = mixing.mixture(mixing.sized(many))
+    places = [(r.shard, r.slot) for r in mix.collect()]
+    assert len(set(places)) == len(places) and max(places)[0] == (len(places) - 1) // mixing.SHARD_BLOCKS
+
+
 def test_quality(docs, texts, spark, data):
     rows = {r.doc_id: r for r in quality.quality(docs).collect()}
     labels = spark.read.parquet(f"{data}/labels.parquet").collect()
