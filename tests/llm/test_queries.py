@@ -121,8 +121,8 @@ def test_near_dedup_of_edited_copies(spark, docs, texts, monkeypatch):
     for i in range(len(rows)):
         groups[find(i)].add(i)
     want = sorted(str(rows[min(g, key=order.index)][0]) for g in groups.values())
-    for crowded in (64, 2):
-        monkeypatch.setattr(near_copies, "CROWDED", crowded)
+    for held in (64, 2):
+        monkeypatch.setattr(near_copies, "HELD", held)
         got = P.near_dedup(spark, df, "").collect()
         assert like > 100 and sorted(str(r.doc_id) for r in got) == want
 
@@ -363,16 +363,44 @@ def test_archive(spark, data, tmp_path):
     assert warc.archived(spark, empty).count() == 0
 
 
+def chains(rows, least=0.8):
+    """Row numbers of ``rows(doc_id, text)`` by group, by comparing all pairs of shingle sets."""
+    sets, root = [set(near_copies.shingles(t or "").tolist()) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            either = len(sets[i]) + len(sets[j]) - both
+            if not either or both / either >= least:
+                root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(i)
+    return groups.values()
+
+
 def test_pipeline(spark, data, docs):
+    """Each stage on what the one before kept, against brute force where a stage is not a model."""
     import corpus_pipeline as P
 
     assert [n for n, _ in P.STAGES] == ["quality_rules", "simhash_near_dedup", "source_mixing", "best_fit_packing"] and P.ORACLE_SQL is None
     good = {r.doc_id for r in quality.quality(docs).collect() if r.kept}
     kept = docs.where(F.col("doc_id").isin(sorted(good)))
-    first = {r.doc_id for r in simhash.near_duplicates(kept).collect() if r.doc_id == r.component_id}
-    taken = {r.doc_id for r in mixing.mixed_words(kept.where(F.col("doc_id").isin(sorted(first)))).collect() if r.taken}
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    first = {min(rows[i][0] for i in group) for group in chains(rows)}
+    assert len(first) < len(good)
+    taken = {r.doc_id: r.taken for r in mixing.mixed_words(kept.where(F.col("doc_id").isin(sorted(first)))).collect() if r.taken}
     rows = P.run(spark, data).collect()
-    assert {r.doc_id for r in rows} == taken and max(r.length for r in rows) <= 2048
+    assert {r.doc_id for r in rows} == set(taken) and max(r.length for r in rows) <= 2048
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert all(o == sum(n for _, n in sorted(parts)[:i]) for parts in places.values() for i, (o, _) in enumerate(sorted(parts)))
 
 
 def test_registry():
