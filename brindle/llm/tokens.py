@@ -28,7 +28,7 @@ _UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 _PLAIN = re.compile(r"[ -~¡-¬®-ɏ]+")
 _MARKS = frozenset(".,;:!?")
 #: Bytes of each generation of a cache; what an entry takes beside its characters; the longest key that is kept.
-CACHE_BYTES, ENTRY, LONGEST = 24 << 20, 180, 64
+CACHE_BYTES, ENTRY, LONGEST = 24 << 20, 110, 64
 #: How the byte-level vocabularies, and the one with word ends, split a text.
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_ENDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -72,7 +72,7 @@ class Generations(dict):
             value = self.make(key)
             if len(key) > LONGEST:
                 return value
-        self.used += ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+        self.used += ENTRY + 2 * len(key)
         if self.used > self.limit:
             self.old = dict(self)
             self.clear()
@@ -117,12 +117,7 @@ class PieceEncoder:
         self.cache = Generations(self._piece, limit)
 
     def _token(self, pre: str):
-        if self.keeps_spaces:
-            word = pre[1:]
-            letters = "Ġ" + word if pre[0] == " " and word.isalpha() and word.isascii() else pre.encode().decode("latin-1").translate(self.letters)
-        else:
-            letters = pre.encode().decode("latin-1").translate(self.letters)
-        return self.value([t.id for t in self.model.tokenize(letters)])
+        return self.value([t.id for t in self.model.tokenize(pre.encode().decode("latin-1").translate(self.letters))])
 
     def pre_tokens(self, piece: str) -> list[str] | None:
         """The pre-tokens of a piece; None: the library must split it."""
@@ -147,6 +142,10 @@ class PieceEncoder:
         return self.split(text if self.keeps_spaces else text.lower())
 
     def _piece(self, piece: str):
+        if piece.isascii() and piece.isalpha():  # most pieces: the letters stand for themselves
+            word, letters = (" " + piece, "Ġ" + piece) if self.keeps_spaces else (piece.lower(),) * 2
+            value = self.tokens.get(word)
+            return self.value([t.id for t in self.model.tokenize(letters)]) if value is None else value
         parts = self.pre_tokens(piece)
         if parts is None:
             return self.whole(piece if not self.keeps_spaces else piece[1:] if piece[:1] == "\t" else piece if piece[:1] == "\n" else " " + piece)
@@ -204,5 +203,5 @@ def id_encoder(name: str) -> PieceEncoder:
 def length_encoder(name: str) -> PieceEncoder:
     """The encoder to numbers of ids of this Python worker."""
     if (name, "lengths") not in _encoders:
-        _encoders[name, "lengths"] = PieceEncoder(name, len, sum, 2 * CACHE_BYTES)
+        _encoders[name, "lengths"] = PieceEncoder(name, len, sum, CACHE_BYTES)
     return _encoders[name, "lengths"]
