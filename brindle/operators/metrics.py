@@ -111,7 +111,7 @@ def all_matches(rows: DataFrame, text: str, rules: dict[str, list[str]]) -> Data
     return rows.withColumn("questions", F.array_distinct(F.concat(*lists)))
 
 
-#: Generic questions about a text, by its focus.
+#: Generic questions about a text, by its focus.
 QUESTION_FORMS = ("想請問：{}？", "{}要怎麼做？", "公司關於{}的規定是什麼？", "可以提供{}的流程/做法嗎？", "遇到{}時我該怎麼處理？", "{}有哪些重點？")
 
 

@@ -147,11 +147,6 @@ def sft_messages(s, d):
 
 
 def prompt_render(s, d):
-    t = F.lit("[{{ lang }}] {{text}} {{ missing }}|")
-    return table(s, d, "documents").select("doc_id", X.render(t, {"lang": F.col("lang"), "text": F.left("text", F.lit(40))}).alias("prompt"))
-
-
-def prompt_render_whole(s, d):
     t = F.lit("[{{ lang }}] {{text}} {{ missing }}|")
     return table(s, d, "documents").select("doc_id", X.render(t, {"lang": F.col("lang"), "text": F.col("text")}).alias("prompt"))
 
@@ -192,11 +187,6 @@ def topic_errors(s, d):
     return table(s, d, "documents").join(table(s, d, "labels"), "doc_id").groupBy(t.alias("topic")).agg(F.count("*").alias("n"), F.round(F.avg(1 - F.col("quality")), 6).alias("error_rate"))
 
 
-def answer_sources(s, d):
-    src = metrics.answer_source(F.col("text"), F.left("text", F.lit(200)), F.length("text") % 100, {"License": "(?i)license", "the": "(?i)the"})
-    return table(s, d, "documents").groupBy(src.alias("source_kind")).agg(F.count("*").alias("n"))
-
-
 def _turns(s, d):
     """Whole questions of the chats and the whole answers that follow them."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -207,7 +197,7 @@ def _turns(s, d):
 _TURNS = "(SELECT conv_id, turn, text AS q, a AS c FROM (SELECT *, lead(text) OVER w AS a, lead(role) OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND n = 'assistant')"
 
 
-def answer_sources_whole(s, d):
+def answer_sources(s, d):
     src = metrics.answer_source(F.col("q"), F.col("c"), F.length("q") % 100, {"License": "(?i)license", "the": "(?i)the"})
     return _turns(s, d).groupBy(src.alias("source_kind")).agg(F.count("*").alias("n"))
 
@@ -318,11 +308,6 @@ def semantic_insert(s, d):
 
 
 def answer_by_route(s, d):
-    rows = table(s, d, "documents").select("doc_id", F.left("text", F.lit(60)).alias("query"), F.substr("text", F.lit(61), F.lit(200)).alias("context"), ((F.col("doc_id") % 10) / 10 - 0.2).alias("max_score"), F.when(F.col("doc_id") % 3 == 0, "kb").otherwise("small_model").alias("target"))
-    return cache.answer_by_route(rows, 0.5).select("doc_id", "answer", "tokens", F.round("cost", 9).alias("cost"))
-
-
-def answer_by_route_whole(s, d):
     rows = _turns(s, d).select("conv_id", "turn", F.col("q").alias("query"), F.col("c").alias("context"), ((F.col("conv_id") % 10) / 10 - 0.2).alias("max_score"), F.when(F.col("conv_id") % 3 == 0, "kb").otherwise("small_model").alias("target"))
     return cache.answer_by_route(rows, 0.5).select("conv_id", "turn", "answer", "tokens", F.round("cost", 9).alias("cost"))
 
@@ -331,23 +316,13 @@ def _words_sql(x):
     return rf"(len(list_filter(string_split_regex(regexp_replace({x}, '^\s+|\s+$', '', 'g'), '\s+'), lambda w: regexp_matches(w, '[\x00-\x7F]'))) + len(regexp_extract_all({x}, '[一-鿿]')))"
 
 
-_BY_ROUTE = f"""WITH r AS (SELECT doc_id, left(text, 60) AS q, substr(text, 61, 200) AS c, doc_id % 10 > 2 AS hit, doc_id % 3 = 0 AS kb FROM documents),
-a AS (SELECT *, CASE WHEN hit THEN '{cache.FOUND}' || c ELSE '{cache.NO_HIT}' END AS s FROM r), t AS (SELECT *, CAST({_words_sql('q')} + {_words_sql('s')} AS INTEGER) AS n FROM a)
-SELECT doc_id, CASE WHEN kb THEN c ELSE s END AS answer, CASE WHEN kb THEN 0 ELSE n END AS tokens, CASE WHEN kb THEN 0 ELSE round(n / 1000 * 0.5e0, 9) END::DOUBLE AS cost FROM t"""
-
-
-_BY_ROUTE_WHOLE = f"""WITH r AS (SELECT *, conv_id % 10 > 2 AS hit, conv_id % 3 = 0 AS kb FROM {_TURNS}),
+_BY_ROUTE = f"""WITH r AS (SELECT *, conv_id % 10 > 2 AS hit, conv_id % 3 = 0 AS kb FROM {_TURNS}),
 a AS (SELECT *, CASE WHEN hit THEN '{cache.FOUND}' || c ELSE '{cache.NO_HIT}' END AS s FROM r), t AS (SELECT *, CAST({_words_sql('q')} + {_words_sql('s')} AS INTEGER) AS n FROM a)
 SELECT conv_id, turn, CASE WHEN kb THEN c ELSE s END AS answer, CASE WHEN kb THEN 0 ELSE n END AS tokens, CASE WHEN kb THEN 0 ELSE round(n / 1000 * 0.5e0, 9) END::DOUBLE AS cost FROM t"""
 
 
-def chain_route_whole(s, d):
-    kind = cache.chain_route(F.col("text"), ("under the", "en la"))
-    return table(s, d, "documents").groupBy(kind.alias("chain")).agg(F.count("*").alias("n"))
-
-
 def chain_route(s, d):
-    kind = cache.chain_route(F.when(F.col("doc_id") % 4 > 0, F.col("text")), ("under the", "en la"))
+    kind = cache.chain_route(F.col("text"), ("under the", "en la"))
     return table(s, d, "documents").groupBy(kind.alias("chain")).agg(F.count("*").alias("n"))
 
 
@@ -481,8 +456,8 @@ def exposition_forms(s, d):
 
 def change_gated(s, d):
     """Documents whose text isn't the one that an earlier run has seen."""
-    docs = table(s, d, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"))
-    seen = docs.where("path % 3 <> 0").withColumn("hash", F.when(F.col("path") % 5 == 0, "old").otherwise(F.col("hash")))
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"), "lang", "source")
+    seen = docs.where("lang <> 'de'").withColumn("hash", F.when(F.col("source") == "src1", "old").otherwise(F.col("hash")))
     return dedupe.changed_files(docs, seen).select(F.col("path").alias("doc_id"))
 
 
@@ -496,7 +471,7 @@ def mtime_sensor(s, d):
 def bank_questions(s, d):
     """Documents joined to a bank of questions by style; those without questions are left out."""
     styles = F.create_map(F.lit("plain"), F.array(F.lit("What is it?"), F.lit("Who says so?")), F.lit("short"), F.array(F.lit("What?")))
-    bank = table(s, d, "documents").where("doc_id % 3 = 0").select("doc_id", styles.alias("styles"))
+    bank = table(s, d, "documents").where("lang <> 'en'").select("doc_id", styles.alias("styles"))
     q = question_bank(bank)
     return table(s, d, "documents").select("doc_id", "lang").join(q, "doc_id")
 
@@ -530,9 +505,9 @@ QUERIES = {
     "request_outcomes": (request_outcomes, "SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS errors, round(avg(CASE WHEN value > 50 THEN 1 ELSE 0 END), 6) AS error_rate FROM events WHERE event_type <> 'view' GROUP BY event_type"),
     "latency_p95_by_minute": (p95_by_minute, "WITH b AS (" + _BUCKETS.replace("event_type", "date_trunc('minute', ts) AS minute").replace("GROUP BY date_trunc('minute', ts) AS minute", "GROUP BY 1") + "), w AS (SELECT *, max(n) OVER (PARTITION BY minute) AS total, coalesce(lag(n) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS low FROM b WINDOW w AS (PARTITION BY minute ORDER BY le)) SELECT minute, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (0.95 * total - below) / (n - below) END, 6) AS p95 FROM w WHERE n >= 0.95 * total AND below < 0.95 * total"),
     "exposition_forms": (exposition_forms, f"""SELECT '{{"name":"requests_total","labels":{{"event_type":"' || event_type || '"}},"value":' || count(*) || '}}' AS line FROM events GROUP BY event_type UNION ALL SELECT 'odd_total{{event_type="a\\"b\\\\c\\n' || event_type || '"}} ' || count(*) FROM events GROUP BY event_type UNION ALL SELECT 'latency_bucket{{event_type="' || event_type || '",le="' || CASE WHEN isinf(le) THEN '+Inf' ELSE CAST(CAST(le AS INTEGER) AS VARCHAR) END || '"}} ' || n FROM ({_BUCKETS})"""),
-    "change_gated": (change_gated, "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0"),
+    "change_gated": (change_gated, "SELECT doc_id FROM documents WHERE lang = 'de' OR source = 'src1'"),
     "mtime_sensor": (mtime_sensor, "SELECT user_id AS path, max(event_id) AS mtime, CAST(max(event_id) AS VARCHAR) AS run_key FROM events WHERE user_id % 4 <> 0 GROUP BY user_id"),
-    "bank_questions": (bank_questions, "SELECT doc_id, lang, style, question FROM documents, (VALUES ('plain', 'What is it?'), ('plain', 'Who says so?'), ('short', 'What?')) t(style, question) WHERE doc_id % 3 = 0"),
+    "bank_questions": (bank_questions, "SELECT doc_id, lang, style, question FROM documents, (VALUES ('plain', 'What is it?'), ('plain', 'Who says so?'), ('short', 'What?')) t(style, question) WHERE lang <> 'en'"),
     "policy_table": (policy_table, r"SELECT doc_id, v <> '' AS blocked, v AS violations FROM (SELECT doc_id, CASE WHEN regexp_matches(text, '\bthe\b') THEN 'input:\bthe\b' WHEN regexp_matches(text, '(?i)license') THEN 'input:(?i)license' ELSE '' END AS v FROM documents)"),
     "chained_programs": (chained_programs, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{\"n\":' || length(" + _FIRST.format("text").replace(r"\s", X.WS) + ") || '}' ELSE '{\"raw_output\":\"none\"}' END AS answer FROM documents WHERE length(text) >= 60"),
     "guard_input_enforce": (_gate("enforce"), _gate_sql("enforce")),
@@ -553,7 +528,6 @@ QUERIES = {
     "turn_islands": (turn_islands, "SELECT conv_id, turn, role, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS island FROM (SELECT *, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS n FROM conversations)"),
     "chatml_pairs": (chatml_pairs, r"WITH c AS (SELECT *, lead(text) OVER w AS a, lead(role) OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || a || '<|im_end|>' AS chat, regexp_replace(a, '^\s+|\s+$', '', 'g') AS answer FROM c WHERE role = 'user' AND n = 'assistant'"),
     "sft_messages": (sft_messages, "SELECT conv_id, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"),
-    "prompt_render": (prompt_render, "SELECT doc_id, '[' || lang || '] ' || left(text, 40) || ' |' AS prompt FROM documents"),
     "context_concat": (contexts, "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations WHERE role = 'assistant' GROUP BY conv_id"),
     "map_reduce_summary": (map_reduce, _SUMMARY),
     "judge_ensemble": (judge_ensemble, "SELECT doc_id, quality = 1 AND toxic = 0 AS all_ok, quality = 1 OR toxic = 0 AS any_ok, CASE WHEN quality = 1 AND toxic = 0 THEN 'OK' WHEN quality = 0 AND toxic = 1 THEN 'Hallucination' ELSE 'REVIEW' END AS consensus FROM labels"),
@@ -561,7 +535,6 @@ QUERIES = {
     "quality_bins": (quality_bins, "SELECT CASE WHEN value >= 85 THEN 'excellent' WHEN value >= 70 THEN 'good' WHEN value >= 50 THEN 'fair' ELSE 'poor' END AS bin, count(*) AS n FROM events GROUP BY 1"),
     "source_distribution": (source_distribution, "SELECT source, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS pct FROM documents GROUP BY source"),
     "topic_errors": (topic_errors, r"SELECT CASE WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'licence' WHEN regexp_matches(text, '\|') THEN 'table' WHEN regexp_matches(text, '[#*%&]{3}') THEN 'markup' ELSE 'other' END AS topic, count(*) AS n, round(avg(1 - quality), 6) AS error_rate FROM documents JOIN labels USING (doc_id) GROUP BY 1"),
-    "answer_sources": (answer_sources, "SELECT CASE WHEN (regexp_matches(text, '(?i)license') AND NOT contains(left(text, 200), 'License')) OR (regexp_matches(text, '(?i)the') AND NOT contains(left(text, 200), 'the')) THEN 'RULE_OVERRIDE' WHEN length(text) % 100 >= 80 THEN 'KB_MATCH' ELSE 'MODEL_GENERATED' END AS source_kind, count(*) AS n FROM documents GROUP BY 1"),
     "sft_questions": (questions, _questions_sql()),
     "registry_replay": (_replayed, f"{_LOG} SELECT * FROM replayed"),
     "registry_production": (lambda s, d: registry.production(_replayed(s, d)), f"{_LOG}, m AS (SELECT *, row_number() OVER (PARTITION BY model, version ORDER BY seq DESC) AS r FROM replayed WHERE status = 'ok' AND stage IS NOT NULL), p AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY seq DESC) AS n FROM m WHERE r = 1 AND stage = 'Production') SELECT model, version FROM p WHERE n = 1"),
@@ -580,12 +553,10 @@ QUERIES = {
     "cache_cascade": (cache_cascade, f"{_CASCADE} SELECT * FROM c"),
     "cache_summary": (cache_summary, f"{_CASCADE} SELECT count(*) AS requests, count(*) FILTER (source = 'prompt_cache') AS exact_hits, count(*) FILTER (source = 'semantic_cache') AS semantic_hits, count(*) FILTER (source = 'llm') AS misses, round(count(*) FILTER (source <> 'llm') / count(*), 6) AS hit_rate FROM c"),
     "semantic_cache_insert": (semantic_insert, "SELECT vec_id AS id, CAST(label AS VARCHAR) AS a FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT (SELECT max(vec_id) FROM embeddings WHERE vec_id % 2 = 0) + row_number() OVER (ORDER BY vec_id), CAST(label AS VARCHAR) FROM embeddings WHERE vec_id % 2 = 1"),
+    "prompt_render": (prompt_render, "SELECT doc_id, '[' || lang || '] ' || text || ' |' AS prompt FROM documents"),
+    "answer_sources": (answer_sources, f"SELECT CASE WHEN (regexp_matches(q, '(?i)license') AND NOT contains(c, 'License')) OR (regexp_matches(q, '(?i)the') AND NOT contains(c, 'the')) THEN 'RULE_OVERRIDE' WHEN length(q) % 100 >= 80 THEN 'KB_MATCH' ELSE 'MODEL_GENERATED' END AS source_kind, count(*) AS n FROM {_TURNS} GROUP BY 1"),
     "answer_by_route": (answer_by_route, _BY_ROUTE),
-    "chain_route": (chain_route, "SELECT CASE WHEN doc_id % 4 = 0 OR trim(text) = '' THEN 'summary' WHEN contains(lower(text), 'under the') OR contains(lower(text), 'en la') THEN 'pricing' ELSE 'faq' END AS chain, count(*) AS n FROM documents GROUP BY 1"),
-    "prompt_render_whole": (prompt_render_whole, "SELECT doc_id, '[' || lang || '] ' || text || ' |' AS prompt FROM documents"),
-    "answer_sources_whole": (answer_sources_whole, f"SELECT CASE WHEN (regexp_matches(q, '(?i)license') AND NOT contains(c, 'License')) OR (regexp_matches(q, '(?i)the') AND NOT contains(c, 'the')) THEN 'RULE_OVERRIDE' WHEN length(q) % 100 >= 80 THEN 'KB_MATCH' ELSE 'MODEL_GENERATED' END AS source_kind, count(*) AS n FROM {_TURNS} GROUP BY 1"),
-    "answer_by_route_whole": (answer_by_route_whole, _BY_ROUTE_WHOLE),
-    "chain_route_whole": (chain_route_whole, "SELECT CASE WHEN trim(text) = '' THEN 'summary' WHEN contains(lower(text), 'under the') OR contains(lower(text), 'en la') THEN 'pricing' ELSE 'faq' END AS chain, count(*) AS n FROM documents GROUP BY 1"),
+    "chain_route": (chain_route, "SELECT CASE WHEN trim(text) = '' THEN 'summary' WHEN contains(lower(text), 'under the') OR contains(lower(text), 'en la') THEN 'pricing' ELSE 'faq' END AS chain, count(*) AS n FROM documents GROUP BY 1"),
 }
 
 # the dialects' own class of white space is ASCII alone

@@ -218,8 +218,7 @@ def stream_dedupe(s, d):
 
 
 def question_status(s, d):
-    q = F.when(F.col("doc_id") % 5 == 0, " \n").otherwise(F.col("text"))
-    return D.asked(_docs(s, d).withColumn("q", q), "q").groupBy("status").agg(F.count("*").alias("n"))
+    return D.asked(_docs(s, d), "text").groupBy("status").agg(F.count("*").alias("n"))
 
 
 def export_slices(s, d):
@@ -261,7 +260,7 @@ QUERIES = {
     "model_names": (model_names, "SELECT doc_id, CASE WHEN lang = 'en' THEN source ELSE 'small' END AS model FROM documents"),
     "byte_vectors": (byte_vectors, "WITH b AS (SELECT doc_id, list_transform(range(0, 8), lambda i: CAST('0x' || substr(md5(text), 2 * i + 1, 2) AS INTEGER) / 255) AS v FROM documents), n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM b) SELECT doc_id, round(v[1] / n, 6) AS first, round(v[8] / n, 6) AS last, 0.0::DOUBLE AS zero, CAST(1536 AS INTEGER) AS dims FROM n"),
     "stream_dedupe": (stream_dedupe, "SELECT min(event_id) AS event_id FROM events GROUP BY user_id, date_trunc('hour', ts)"),
-    "question_status": (question_status, f"SELECT CAST(CASE WHEN doc_id % 5 = 0 OR coalesce({_STRIP.format('text')}, '') = '' THEN 400 ELSE 200 END AS INTEGER) AS status, count(*) AS n FROM documents GROUP BY 1"),
+    "question_status": (question_status, f"SELECT CAST(CASE WHEN coalesce({_STRIP.format('text')}, '') = '' THEN 400 ELSE 200 END AS INTEGER) AS status, count(*) AS n FROM documents GROUP BY 1"),
     "export_slices": (export_slices, "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, count(*) OVER () AS total FROM documents) SELECT 'cursor' AS kind, doc_id FROM r WHERE n > 100 UNION ALL SELECT 'since', doc_id FROM r WHERE n > total - 7 UNION ALL SELECT 'all', doc_id FROM r"),
     "mixed_sample": (mixed_sample, f"{_SAMPLED} SELECT doc_id, answerable FROM p"),
     "answer_split": (answer_split, f"{_SAMPLED} SELECT count(*) AS total, count(*) FILTER (answerable) AS n_answerable, count(*) FILTER (NOT answerable) AS n_unanswerable, round(100.0 * count(*) FILTER (answerable) / count(*), 6)::DOUBLE AS pct_answerable, round(100.0 * count(*) FILTER (NOT answerable) / count(*), 6)::DOUBLE AS pct_unanswerable FROM p"),
