@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Maps the bytes of A-Z to those of a-z.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BATCH_BYTES, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 

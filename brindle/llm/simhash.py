@@ -12,11 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pick, with_row_keys
+from . import near_copies
+from .common import LOWER, cut, pick, with_row_keys
 from .graph import connected, first_rows
 
 SHINGLE_WORDS, SEED, THRESHOLD = 3, 42, 2
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The places of the code's blocks in a fingerprint as (first bit, bits, generator polynomial, errors
 #: corrected): two binary Golay codes and a Hamming code, all perfect.  The last three bits are in no block.
 BLOCKS = ((0, 23, 0b110001110101, 3), (23, 23, 0b110001110101, 3), (46, 15, 0b10011, 1))
@@ -54,7 +54,7 @@ def fingerprints_of(texts: list[str], size: int = BITS_AT_ONCE) -> np.ndarray:
 
     waiting = 0
     for i, text in enumerate(texts):
-        words = text.encode().translate(_LOWER).split()
+        words = text.encode().translate(LOWER).split()
         n = len(words) - SHINGLE_WORDS + 1 if len(words) > SHINGLE_WORDS else min(len(words), 1)
         if n > size:
             ones = sum(_ones(_digests(words, at, min(at + size, n))) for at in range(0, n, size))
@@ -216,13 +216,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, words: int | None = None, least: float | None = None) -> DataFrame:
     """One row of each component of ``docs``, in all its columns: that of the smallest doc_id, null last.
 
-    A row is told by its id and text, so rows without an id, or with one id and different texts, are
+    With ``words`` and ``least``, texts are linked whose shingles of so many words are alike by ``least`` or
+    more.  Such texts differ in up to some 16 of 64 bits, which no anchors reach at a bearable number of
+    copies; candidates then come from bands of a MinHash signature, and whole sets decide (near_copies).
+
+    Else fingerprints within THRESHOLD bits are linked.  A row is told by its id and text, so rows without an id, or with one id and different texts, are
     dropped only for a row of their own component.  Of one id's rows that with the smallest fingerprint
     stays; of rows equal in id and text, any.
     """
+    if words is not None and least is not None:
+        return near_copies.keep_first(docs, words, least)
     plain, keyed = with_row_keys(docs)
     rows = cut(with_fingerprints(keyed))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "k1", "k2")

@@ -28,7 +28,7 @@ _UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 _PLAIN = re.compile(r"[ -~¡-¬®-ɏ]+")
 _MARKS = frozenset(".,;:!?")
 #: Bytes of each generation of a cache; what an entry takes beside its characters; the longest key that is kept.
-CACHE_BYTES, ENTRY, LONGEST = 24 << 20, 110, 64
+CACHE_BYTES, ENTRY, LONGEST = 32 << 20, 110, 64
 #: How the byte-level vocabularies, and the one with word ends, split a text.
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_ENDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
