@@ -91,7 +91,7 @@ def test_near_dedup_of_edited_copies(spark, docs, texts, monkeypatch):
     import corpus_pipeline as P
 
     rng = np.random.default_rng(3)
-    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, None), (None, "no id"), (7, "of one id"), (7, "and another text")]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, None), (None, "no id"), (None, "no id"), (7, "of one id"), (7, "of one id"), (7, "and another text")]
     for i, t in texts.items():
         w = t.split()
         if len(w) > 60:
@@ -121,8 +121,9 @@ def test_near_dedup_of_edited_copies(spark, docs, texts, monkeypatch):
     for i in range(len(rows)):
         groups[find(i)].add(i)
     want = sorted(str(rows[min(g, key=order.index)][0]) for g in groups.values())
-    for held in (64, 2):
+    for held, sent in ((64, 10_000), (2, 0)):
         monkeypatch.setattr(near_copies, "HELD", held)
+        monkeypatch.setattr(near_copies, "SENT_KEYS", sent)
         got = P.near_dedup(spark, df, "").collect()
         assert like > 100 and sorted(str(r.doc_id) for r in got) == want
 
