@@ -322,20 +322,22 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows of ``docs``: for each pass over its source, a row holds the words taken from it.
 
     A document taken whole keeps its text; one taken in part has the taken words, in order, with the
-    white space between them (a gap becomes a line break).  A document taken twice gives two rows.
+    white space between them (a gap becomes a line break).  A document taken twice gives two rows.  Rows
+    equal in id, text and source are documents of their own in the mix; its rows have the other columns of one of them.
     """
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     doc_id, text, source = (f"c{columns.index(c)}" for c in ("doc_id", "text", "source"))
-    keys = ["doc_id", "text_hash", "copy"]
-    # equal ids are told apart by the text, equal rows by a number
-    copies = F.expr("row_number() over (partition by doc_id, text_hash order by source)")
-    rows = cut(sized(docs).withColumn("copy", copies))
+    keys = ["doc_id", "source", "text_hash"]
+    grouped = cut(sized(docs).groupBy(*keys, "size").agg(F.count("*").alias("n")))
+    rows = grouped.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
     taken = taken_parts(rows, **options).where("take > 0")
-    taken = taken.groupBy(*keys, "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("from_word", "take"))).alias("spans"))
-    numbered = plain.withColumn("text_hash", F.xxhash64(text)).withColumn("copy", F.expr(f"row_number() over (partition by {doc_id}, text_hash order by {source})"))
-    taken = taken.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash").withColumnRenamed("copy", "_copy")
-    joined = numbered.join(taken, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & (F.col("copy") == F.col("_copy")))
+    taken = taken.groupBy(*keys, "copy", "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("from_word", "take"))).alias("spans"))
+    taken = taken.select(*[F.col(k).alias(f"_{k}") for k in keys], "size", "spans")
+    hashed = plain.withColumn("text_hash", F.xxhash64(text))
+    if not grouped.where("n > 1").isEmpty():
+        hashed = hashed.dropDuplicates([doc_id, source, "text_hash"])  # equal rows merge where they are, before they meet
+    joined = hashed.join(taken, F.col(doc_id).eqNullSafe(F.col("_doc_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("text_hash") == F.col("_text_hash")))
     word = re.compile(_WORD)
 
     @F.pandas_udf("string")

@@ -146,6 +146,19 @@ def test_mixing(docs, texts):
     assert mixed == Counter({r.doc_id: r.taken for r in rows if r.taken})
 
 
+def test_mixed_documents_of_equal_rows(spark):
+    """Equal rows are documents of their own: each word of them is taken as often as their words in all."""
+    rows = [(1, "one two three four", "a")] * 300 + [(None, "five six", None)] * 300 + [(2, "x y z " * 50, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    want = defaultdict(int)
+    for r in mixing.mixed_words(df, block=4).collect():
+        want[r.doc_id] += r.taken
+    got = defaultdict(int)
+    for r in mixing.mixed_documents(df, block=4).collect():
+        got[r.doc_id] += len(WORD.findall(r.text))
+    assert got == want and want[1] > 1200
+
+
 def test_mixing_of_many_sources(spark, docs, monkeypatch):
     """A plan that stays a table reaches the same targets as one that is sent, in every source."""
     many = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 7 > 0, F.concat(F.lit("é"), (F.col("doc_id") % 29).cast("string")))).withColumn("text", F.when(F.col("doc_id") % 29 != 5, F.col("text")))
