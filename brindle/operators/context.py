@@ -18,6 +18,17 @@ def prompt(instruction: str, context: Column, question: Column) -> Column:
     return F.concat(F.lit(f"{instruction}\n\n"), context, F.lit("\n\nQ: "), question, F.lit("\nA:"))
 
 
+#: What stands between snippets, and around a question and the snippets that are to answer it.
+SNIPPET_SEPARATOR = "\n---（片段分隔）---\n"
+SNIPPET_TASK = "你是一個樂於助人的助手。\n請僅根據下面提供的「{0}」回答問題。\n若在片段中找不到答案，請回答「我不知道」。\n\n問題："
+SNIPPET_LEAD, CHUNK_LEAD, ANSWER_TASK = ("上下文片段", "上下文片段"), ("高分片段", "高分片段（已重排）"), "\n\n請用完整句子作答："
+
+
+def snippet_prompt(question: Column, context: Column, names: tuple[str, str] = SNIPPET_LEAD) -> Column:
+    """A question over snippets (or, with CHUNK_LEAD, over reranked chunks) joined by SNIPPET_SEPARATOR."""
+    return F.concat(F.lit(SNIPPET_TASK.format(names[0])), question, F.lit(f"\n\n{names[1]}：\n"), context, F.lit(ANSWER_TASK))
+
+
 def map_reduce(docs: DataFrame, summarize, max_tokens: int = 100, overlap: int = 20, short: int = 60) -> DataFrame:
     """(doc_id, summary): chunks summarised, then their joined summaries; texts under ``short`` characters pass as they are.
 

@@ -8,6 +8,7 @@ from ..functions import chunking as C
 from ..functions import vectors as V
 from ..functions.similarity import ratcliff
 from ..functions.text import WS, content_hash
+from ..operators import context
 from ..operators import search as S
 from ..operators import tfidf as I
 from ..operators.dedupe import drifted
@@ -210,13 +211,24 @@ def hash_embed_topk(s, d):
     return S.best_of(scored.withColumn("score", F.round("score", 6)), K).select("qid", "doc_id", "score")
 
 
-def chunk_rescoring(s, d):
-    """The 3 chunks of each benchmark item's nearest documents that hold most of its words."""
+def _best_chunks(s, d):
     item = table(s, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("qid"), F.array_distinct(F.split(F.lower("text"), " ")).alias("words"))
     near = hash_embed_topk(s, d).select("qid", "doc_id")
     chunks = C.rows(table(s, d, "documents"), C.sliding("text", 400, 100)).join(near, "doc_id").join(item, "qid")
     score = F.size(F.array_intersect("words", F.split(F.lower("text"), " "))).cast("double") / F.size("words")
-    return S.top_chunks(chunks, F.round(score, 6), 3).select("qid", "doc_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    return S.top_chunks(chunks, F.round(score, 6), 3)
+
+
+def chunk_rescoring(s, d):
+    """The 3 chunks of each benchmark item's nearest documents that hold most of its words."""
+    return _best_chunks(s, d).select("qid", "doc_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def chunk_prompts(s, d):
+    """Each benchmark item as a question over its best chunks."""
+    joined = context.joined(_best_chunks(s, d), ["qid"], "rank", sep=context.SNIPPET_SEPARATOR)
+    items = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return joined.join(items, "qid").select("qid", context.snippet_prompt(F.col("question"), F.col("context"), context.CHUNK_LEAD).alias("prompt"))
 
 
 def rerank(s, d):
@@ -266,6 +278,8 @@ _NEAR = "WITH " + _HASHED.format("d", "doc_id", "documents") + ", " + _HASHED.fo
 s AS (SELECT q.id AS qid, d.id AS doc_id, round(sum(q.v * d.v), 6) AS score FROM nq q JOIN nd d USING (slot) WHERE q.v <> 0 AND d.v <> 0 GROUP BY ALL),
 near AS (SELECT qid, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= {K})"""
 
+_BEST_CHUNKS = _NEAR + """, c AS (SELECT doc_id, text, unnest(range(0, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE 1 + ceil(greatest(length(text) - 400, 0) / 300) END AS BIGINT))) AS i FROM documents), e AS (SELECT n.qid, c.doc_id, substr(c.text, i * 300 + 1, 400) AS part, b.text AS question, CAST(i AS INTEGER) AS chunk_id, list_distinct(string_split(lower(b.text), ' ')) AS w, string_split(lower(substr(c.text, i * 300 + 1, 400)), ' ') AS x FROM near n JOIN c USING (doc_id) JOIN benchmark b ON b.item_id = n.qid), r AS (SELECT qid, doc_id, chunk_id, part, question, round(len(list_filter(w, lambda a: list_contains(x, a))) / len(w), 6) AS score FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_id) AS rank FROM r)"""
+
 QUERIES = {
     "topk_cosine": (_top("cosine"), _top_sql("cosine")),
     "topk_l2": (_top("l2"), _top_sql("l2")),
@@ -273,7 +287,8 @@ QUERIES = {
     "tfidf_char_topk": (tfidf_char_topk, f"{_CHAR_GRAMS}{_WEIGHTS}, {_CHARS_TOP} SELECT qid, doc_id, rank, round(1 - score, 6) AS distance FROM k WHERE rank <= 3"),
     "tfidf_features": (tfidf_features, _SIGNALS.split("i AS (SELECT")[0] + "f AS (SELECT term, count(*) AS df FROM c GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 20000) SELECT term, round(ln((1.0 + (SELECT count(*) FROM t)) / (1 + df)) + 1, 6) AS idf FROM f"),
     "hash_embed_topk": (hash_embed_topk, f"{_NEAR} SELECT * FROM near"),
-    "chunk_rescoring": (chunk_rescoring, f"{_NEAR}, c AS (SELECT doc_id, text, unnest(range(0, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE 1 + ceil(greatest(length(text) - 400, 0) / 300) END AS BIGINT))) AS i FROM documents), e AS (SELECT n.qid, c.doc_id, CAST(i AS INTEGER) AS chunk_id, list_distinct(string_split(lower(b.text), ' ')) AS w, string_split(lower(substr(c.text, i * 300 + 1, 400)), ' ') AS x FROM near n JOIN c USING (doc_id) JOIN benchmark b ON b.item_id = n.qid), r AS (SELECT qid, doc_id, chunk_id, round(len(list_filter(w, lambda a: list_contains(x, a))) / len(w), 6) AS score FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_id) AS rank FROM r) SELECT * FROM k WHERE rank <= 3"),
+    "chunk_rescoring": (chunk_rescoring, f"{_BEST_CHUNKS} SELECT qid, doc_id, chunk_id, score, rank FROM k WHERE rank <= 3"),
+    "chunk_prompts": (chunk_prompts, f"{_BEST_CHUNKS} SELECT qid, '{context.SNIPPET_TASK.format(context.CHUNK_LEAD[0])}' || any_value(question) || chr(10) || chr(10) || '{context.CHUNK_LEAD[1]}：' || chr(10) || string_agg(part, '{context.SNIPPET_SEPARATOR}' ORDER BY rank) || '{context.ANSWER_TASK}' AS prompt FROM k WHERE rank <= 3 GROUP BY qid"),
     "rerank": (rerank, f"SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY label DESC, rank) AS rank FROM ({_ranked_sql('cosine', 10)}) JOIN embeddings USING (vec_id)"),
     "zipped_vectors": (zipped_vectors, "SELECT doc_id, lang, label FROM documents JOIN embeddings ON vec_id = doc_id"),
     "drift_gate": (drift_gate, f"SELECT a.vec_id, list_cosine_similarity({_DBL.format('a')}, {_DBL.format('b')}) < 0.1 AS drift FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"),

@@ -87,7 +87,7 @@ def test_pages(spark, data):
         texts = [t for _, t in sorted(found)]
         assert len(set(texts)) == len(texts) and all(len(t) >= 10 and t == t.strip() and "\n" not in t for t in texts)
         assert set(" ".join(texts).split()) <= set(normal("\n\n".join(bare(pages[page]))).split()) | set(normal(" ".join(bare(pages[page]))).split())
-    page = "<p>廣告</p><p>A paragraph of text, 10K long!!</p><script>no</script><p>A paragraph of text, 10K long!!</p><p>short</p>"
+    page = "<h2>Next page of it all</h2><p>廣告</p><p>A paragraph of text, 10K long!!</p><script>no</script><p>A paragraph of text, 10K long!!</p><p>short</p>"
     assert spark.createDataFrame([(page,)], "t string").select(X.clean_document("t")).first()[0] == ["A paragraph of text, 10,000 long!"]
 
 
