@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_BYTES, "8388608b")
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system: reused workers wait between tasks, several to an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone.
 

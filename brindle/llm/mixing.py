@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pick, running_totals, slice_count
+from .common import cut, give_back, pick, running_totals, slice_count
 
 #: Words of a block; blocks of an output shard; blocks whose shares are fixed together; seed; the cap on repeats.
 BLOCK_WORDS, SHARD_BLOCKS, GROUP_BLOCKS, SEED, MAX_EPOCHS = 256, 4096, 1 << 26, 17, 3.0
@@ -356,6 +356,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             else:
                 at = [m.span() for m in word.finditer(t)]
                 out.append("\n".join(t[at[a][0] : at[b - 1][1]] for a, b in runs))
+        give_back()
         return texts.__class__(out)
 
     changed = joined.withColumn("_text", spoken(text, "spans", "size"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, pick, shared_path, small_batches
+from .common import cut, give_back, pick, shared_path, small_batches
 
 _SYMBOLS = b"#*$%&|<>"
 _ENDS = (b".", b"!", b"?", b":", b";", b'"', "…".encode(), "”".encode(), "。".encode())
@@ -89,6 +89,7 @@ def measure(texts: list[str], size: int = 500_000) -> np.ndarray:
 def measures(texts: pa.Array) -> pa.Array:
     """MEASURES of each text, as a struct; only texts reach Python, and only numbers come back."""
     found = [measure([t.as_py() or "" for t in texts.slice(at, 200)]) for at in range(0, len(texts), 200)]
+    give_back()
     m = np.concatenate(found) if found else np.zeros((0, len(MEASURES)), dtype=np.int64)
     return pa.StructArray.from_arrays([pa.array(m[:, i]) for i in range(len(MEASURES))], list(MEASURES))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import LOWER, cut, pick, with_row_keys
+from .common import LOWER, cut, give_back, pick, with_row_keys
 from .graph import connected, first_rows
 
 SHINGLE_WORDS, SEED, THRESHOLD = 3, 42, 2
@@ -81,6 +81,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
             found = [fingerprints_of([t.as_py() or "" for t in b.column(1).slice(at, 500)]) for at in range(0, b.num_rows, 500)]
             fps = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *[f.name for f in others]])
+        give_back()
 
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in others)
     return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long{kinds}")

@@ -12,12 +12,11 @@ import os
 import re
 from array import array
 
-import pyarrow as pa
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-from .common import tokenizer_path  # noqa: E402
+from .common import give_back, tokenizer_path  # noqa: E402
 
 _SPACES = re.compile(r"\s")
 #: White space as Unicode has it; characters that other tables take for white space, or once did.
@@ -28,7 +27,7 @@ _UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 _PLAIN = re.compile(r"[ -~¡-¬®-ɏ]+")
 _MARKS = frozenset(".,;:!?")
 #: Bytes of each generation of a cache; what an entry takes beside its characters; the longest key that is kept.
-CACHE_BYTES, ENTRY, LONGEST = 32 << 20, 110, 64
+CACHE_BYTES, ENTRY, LONGEST = 16 << 20, 110, 64
 #: How the byte-level vocabularies, and the one with word ends, split a text.
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_ENDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -182,7 +181,7 @@ class PieceEncoder:
         self.cache.forget()
         self.misses.forget()
         self.tokens = self.misses
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def id_bytes(ids: list[int]) -> bytes:
