@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import cut, give_back, pick, shared_path, small_batches
 
@@ -85,19 +85,19 @@ def measure(texts: list[str], size: int = 500_000) -> np.ndarray:
     return out
 
 
-@F.arrow_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
-def measures(texts: pa.Array) -> pa.Array:
-    """MEASURES of each text, as a struct; only texts reach Python, and only numbers come back."""
-    found = [measure([t.as_py() or "" for t in texts.slice(at, 200)]) for at in range(0, len(texts), 200)]
-    give_back()
-    m = np.concatenate(found) if found else np.zeros((0, len(MEASURES)), dtype=np.int64)
-    return pa.StructArray.from_arrays([pa.array(m[:, i]) for i in range(len(MEASURES))], list(MEASURES))
+def with_measures(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the MEASURES of its column ``text``; a text goes to Python once."""
+    names = [*keep, *([] if text in keep else [text])]
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for some in (b.slice(at, 500) for at in range(0, b.num_rows, 500)):
+                m = measure([t.as_py() or "" for t in some.column(names.index(text))])
+                yield pa.RecordBatch.from_arrays([*[some.column(i) for i in range(len(keep))], *[pa.array(m[:, i]) for i in range(len(MEASURES))]], [*keep, *MEASURES])
+        give_back()
 
-def with_measures(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, whose last column is the text, with MEASURES in place of it."""
-    names = docs.columns[:-1]
-    return docs.select(*names, measures(docs.columns[-1]).alias("_m")).select(*names, "_m.*")
+    kinds = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in keep] + [f"{m} long" for m in MEASURES]
+    return docs.select(*names).mapInArrow(work, ", ".join(kinds))
 
 
 def _vote(good, bad):
@@ -194,7 +194,7 @@ def quality(docs: DataFrame) -> DataFrame:
     Repeated rows give repeated rows; null ids pass through; an empty table gives an empty one; other
     columns are ignored.
     """
-    measured = cut(with_measures(pick(docs, "doc_id", "text")).withColumn("code", code_or_null()))
+    measured = cut(with_measures(pick(docs, "doc_id", "text"), "text", ["doc_id"]).withColumn("code", code_or_null()))
     joined = measured.join(posteriors(measured.select("code")), "code", "left").withColumn("quality", F.coalesce("quality", F.lit(0.0)))
     return joined.withColumn("base_failed", F.col("code").isNull()).withColumn("kept", F.col("quality") >= 0.5).drop("code")
 
@@ -210,8 +210,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     own = [f"c{i}" for i in range(len(columns))]
     plain = docs.toDF(*own)
     path = shared_path(spark, "votes")
-    measured = plain.withColumn("_m", measures(f"c{columns.index('text')}")).select(*own, "_m.*")
-    measured.withColumn("code", code_or_null()).where("code is not null").select(*own, "code").write.parquet(path)
+    with_measures(plain, f"c{columns.index('text')}", own).withColumn("code", code_or_null()).where("code is not null").select(*own, "code").write.parquet(path)
     voted = spark.read.parquet(path)
     return voted.join(posteriors(voted.select("code")), "code").where("quality >= 0.5").select(*own).toDF(*columns)
 
