@@ -226,8 +226,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, shard
         docs, ends, data, total, seq, part = [], [], [], 0, 0, 0
         for b in batches:
             part = b.column(2)[0].as_py() if b.num_rows else part
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                data.append(b"".join(lib.values(text.as_py() or "")) + end)
+            ids, starts = lib.batch_ids(b.column(1))
+            every, places = memoryview(ids).cast("B"), (4 * starts).tolist()
+            for doc, first, last in zip(b.column(0).to_pylist(), places, places[1:]):
+                data.append(bytes(every[first:last]) + end)
                 total += len(data[-1]) // 4
                 docs.append(doc)
                 ends.append(total)

@@ -28,8 +28,10 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int =
         lib = id_encoder(vocabulary)
         for b in batches:
             row, piece, length, crc, ids = [], [], [], [], []
-            for i, text in enumerate(b.column(1)):
-                data = b"".join(lib.values(text.as_py() or "")) + end
+            ids_of, starts = lib.batch_ids(b.column(1))
+            every, places = memoryview(ids_of).cast("B"), (4 * starts).tolist()
+            for i, (first, last) in enumerate(zip(places, places[1:])):
+                data = bytes(every[first:last]) + end
                 for k, at in enumerate(range(0, len(data), width)):
                     some = data[at : at + width]
                     row.append(i)

@@ -12,6 +12,9 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -28,6 +31,7 @@ _PLAIN = re.compile(r"[ -~¡-¬®-ɏ]+")
 _MARKS = frozenset(".,;:!?")
 #: Bytes of each generation of a cache; what an entry takes beside its characters; the longest key that is kept.
 CACHE_BYTES, ENTRY, LONGEST = 16 << 20, 110, 64
+_TAIL = ".,;:!?#*$%&|<>()-"
 #: How the byte-level vocabularies, and the one with word ends, split a text.
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_ENDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -71,13 +75,16 @@ class Generations(dict):
             value = self.make(key)
             if len(key) > LONGEST:
                 return value
+        self._room(key)
+        self[key] = value
+        return value
+
+    def _room(self, key) -> None:
         self.used += ENTRY + 2 * len(key)
         if self.used > self.limit:
             self.old = dict(self)
             self.clear()
-            self.used = 0
-        self[key] = value
-        return value
+            self.used = ENTRY + 2 * len(key)
 
     def forget(self) -> None:
         self.clear()
@@ -116,7 +123,8 @@ class PieceEncoder:
         self.cache = Generations(self._piece, limit)
 
     def _token(self, pre: str):
-        return self.value([t.id for t in self.model.tokenize(pre.encode().decode("latin-1").translate(self.letters))])
+        letters = pre if pre.isalpha() and pre.isascii() else pre.encode().decode("latin-1").translate(self.letters)
+        return self.value([t.id for t in self.model.tokenize(letters)])
 
     def pre_tokens(self, piece: str) -> list[str] | None:
         """The pre-tokens of a piece; None: the library must split it."""
@@ -176,6 +184,49 @@ class PieceEncoder:
         pieces = self.pieces(text)
         return [self.whole(text)] if pieces is None else map(self.cache.__getitem__, pieces)
 
+    def batch_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a batch in one array, and where each text's begin (and the last one's end).
+
+        Only for an encoder whose values are id_bytes.  The texts' pieces are told apart by Arrow, so that Python
+        sees each different piece of a batch once.
+        """
+        texts = texts.fill_null("")
+        plain = [not any(s in t for s in self.special) and not (self.keeps_spaces and joins_spaces(t)) for t in texts.to_pylist()]
+        some = texts.filter(pa.array(plain, pa.bool_()))
+        if self.keeps_spaces:
+            some = pc.replace_substring(pc.binary_join_element_wise("\t", some, ""), "\n", " \n")
+        else:
+            some = pc.replace_substring(some, "\n", " ")
+        lists = pc.split_pattern(some, " ")
+        named = lists.flatten().dictionary_encode()
+        values = self._values(named.dictionary.to_pylist())
+        codes, sizes = named.indices, np.fromiter(map(len, values), np.int64, len(values)) // 4
+        every = pa.LargeListArray.from_arrays(pa.array(_starts(sizes)), pa.array(np.frombuffer(b"".join(values), np.uint32)))
+        ids = every.take(codes).flatten().to_numpy()
+        starts = _starts(sizes[codes.to_numpy()])[lists.offsets.to_numpy()] if len(some) else np.zeros(1, np.int64)
+        if all(plain):
+            return ids, starts
+        parts, lengths, nth = [], [], 0
+        for t, p in zip(texts, plain):
+            parts.append(ids[starts[nth] : starts[nth + 1]] if p else np.frombuffer(b"".join(self.values(t.as_py())), np.uint32))
+            lengths.append(len(parts[-1]))
+            nth += p
+        return np.concatenate(parts), _starts(np.array(lengths, np.int64))
+
+    def _values(self, pieces: list[str]) -> list:
+        """The values of different pieces.  Most are a word and marks behind it; the word alone is worth keeping."""
+        cache, tokens, space = self.cache, self.tokens, " " if self.keeps_spaces else ""
+        values = []
+        for piece in pieces:
+            word = piece.rstrip(_TAIL)
+            if word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
+                low = space + word if space else word.lower()
+                if space or low.isalpha():
+                    values.append(tokens[low] + tokens[piece[len(word) :]] if len(word) < len(piece) else tokens[low])
+                    continue
+            values.append(cache[piece])
+        return values
+
     def forget(self) -> None:
         """Empties the caches, at the end of a task: a worker that is used again holds nothing meanwhile."""
         self.cache.forget()
@@ -184,6 +235,11 @@ class PieceEncoder:
         give_back()
 
 
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    """Where parts of such sizes begin, one behind the other, and the end."""
+    return np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+
+
 def id_bytes(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit ids."""
     return array("I", ids).tobytes()

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -277,3 +278,9 @@ def test_pieces_equal_library(name):
     texts += ["".join(rng.choice(["a", "B", " ", "\n", ".", "é", "'s", "1", "\t", "ß", "中"]) for _ in range(rng.randrange(40))) for _ in range(400)]
     for t in texts:
         assert b"".join(e.values(t)) == tokens.id_bytes(e.library.encode(t, add_special_tokens=False).ids), repr(t)
+    texts += ["Word, word. WORD&&& x-- $$$ ẞß! ŉ.", "a.b.", "...", "ab)(", None, "q" * 500 + "."]
+    for some in (texts, texts[:1], ["plain words", "here."], []):
+        ids, starts = e.batch_ids(pa.array(some, pa.string()))
+        assert len(starts) == len(some) + 1 and starts[-1] == len(ids)
+        for t, a, z in zip(some, starts, starts[1:]):
+            assert ids[a:z].tolist() == e.library.encode(t or "", add_special_tokens=False).ids, repr(t)
