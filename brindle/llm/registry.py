@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, grammar, licences, mixing, packing, quality, simhash, token_counts, warc, winnowing
+from . import chat, divergence, grammar, hard_negatives, licences, mixing, packing, quality, shortest_pack, simhash, token_counts, warc, winnowing
 
 
 def queries():
@@ -17,8 +17,11 @@ def queries():
         "op8_chat_role_repair": chat.query,
         "op9_token_counts": token_counts.query,
         "op10_warc_archive": warc.query,
+        "op11_hard_negatives": hard_negatives.query,
+        "op12_shortest_pack_first": shortest_pack.query,
+        "op13_source_divergence": divergence.query,
     }
 
 
 def oracle_sql():
-    return {"op10_warc_archive": warc.SQL}
+    return {"op10_warc_archive": warc.SQL, "op11_hard_negatives": hard_negatives.SQL, "op13_source_divergence": divergence.SQL}

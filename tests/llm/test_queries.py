@@ -418,4 +418,4 @@ def test_pipeline(spark, data, docs):
 
 
 def test_registry():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 14))
