@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: A limiter's requests and seconds, a cache's seconds, a trigger's seconds.
 LIMIT, WINDOW_S, TTL_S, DEBOUNCE_S = 10, 60, 3600, 2
@@ -92,28 +93,83 @@ def debounce_batch(events: DataFrame, quiet: int = DEBOUNCE_S) -> DataFrame:
     return _batch(events, lambda times, last: fires(times, last, quiet), "fired")
 
 
-def _stream(events: DataFrame, decide: Callable, name: str, state: str) -> DataFrame:
-    """events(key string, event_id long, at long) as a stream; ``decide(times, state)`` gives decisions and new state."""
+class _Decider(StatefulProcessor):
+    """Decides a key's events from the times it keeps, which fall when they can't matter any more.
+
+    ``decide(times, kept)`` gives decisions and the new times to keep; the state lives for ``lives`` microseconds
+    after the last of them, by the events' clock: a timer clears it once the watermark is past that.
+    """
+
+    def __init__(self, decide: Callable, name: str, lives: int):
+        self.decide, self.name, self.lives = decide, name, lives
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("kept", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = [(r["event_id"].to_numpy(), r["at"].to_numpy().astype("datetime64[us]").astype("int64")) for r in rows]
+        ids, times = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((ids, times))
+        ids, times = ids[order], times[order]
+        decisions, kept = self.decide(times.tolist(), [r[0] for r in self.kept.get()])
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if kept:
+            self.kept.put([(t,) for t in kept])
+            self.handle.registerTimer((kept[-1] + self.lives) // 1000 + 1)
+        else:
+            self.kept.clear()
+        for first in range(0, len(ids), 10_000):
+            some = slice(first, first + 10_000)
+            yield pd.DataFrame({"key": key[0], "event_id": ids[some], "at": times[some].astype("datetime64[us]"), self.name: decisions[some]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _stream(events: DataFrame, decide: Callable, name: str, lives: int, late: str) -> DataFrame:
+    """events(key string, event_id long, at timestamp) as a stream, with the decision for each.
+
+    Events of a key may come in any order inside a micro-batch, and in order of time between them; what is behind
+    the watermark is dropped.  A key's events of one micro-batch are held as two numbers each.  State is kept in
+    RocksDB, which this sets where the session has chosen nothing.
+    """
+    conf, provider = events.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    if not conf.get(provider, "").endswith("RocksDBStateStoreProvider"):
+        conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = events.select("key", "event_id", "at").withWatermark("at", late)
+    return timed.groupBy("key").transformWithStateInPandas(_Decider(decide, name, lives), f"key string, event_id long, at timestamp, {name} boolean", "append", "EventTime")
+
+
+def limit_stream(events: DataFrame, limit: int = LIMIT, window: int = WINDOW_S, late: str = "10 seconds") -> DataFrame:
+    """A limiter of ``limit`` events in ``window`` seconds a key; its log falls ``window`` after the last that was admitted."""
+    us = window * 1_000_000
+    return _stream(events, lambda times, log: admit(times, log, limit, us), "admitted", us, late)
 
-    def one(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        decisions, new = decide(rows["at"].tolist(), kept.get[0] if kept.exists else None)
-        kept.update((new,))
-        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"], "at": rows["at"], name: decisions})
 
-    return events.groupBy("key").applyInPandasWithState(one, f"key string, event_id long, at long, {name} boolean", f"s {state}", "append", GroupStateTimeout.NoTimeout)
+def _of_one(decide: Callable, span: int) -> Callable:
+    """A decider whose state is one time or none."""
 
+    def work(times: list[int], kept: list[int]) -> tuple[list[bool], list[int]]:
+        out, last = decide(times, kept[0] if kept else None, span)
+        return out, [] if last is None else [last]
 
-def limit_stream(events: DataFrame, limit: int = LIMIT, window: int = WINDOW_S) -> DataFrame:
-    return _stream(events, lambda times, log: admit(times, log or [], limit, window), "admitted", "array<long>")
+    return work
 
 
-def cache_stream(events: DataFrame, ttl: int = TTL_S) -> DataFrame:
-    return _stream(events, lambda times, written: hits(times, written, ttl), "hit", "long")
+def cache_stream(events: DataFrame, ttl: int = TTL_S, late: str = "10 seconds") -> DataFrame:
+    """Whether each question finds its answer; an entry's state falls with the entry, ``ttl`` seconds after it was written."""
+    return _stream(events, _of_one(hits, ttl * 1_000_000), "hit", ttl * 1_000_000, late)
 
 
-def debounce_stream(events: DataFrame, quiet: int = DEBOUNCE_S) -> DataFrame:
-    return _stream(events, lambda times, last: fires(times, last, quiet), "fired", "long")
+def debounce_stream(events: DataFrame, quiet: int = DEBOUNCE_S, late: str = "10 seconds") -> DataFrame:
+    """Which events fire; a trigger's state falls ``quiet`` seconds after the last that fired."""
+    return _stream(events, _of_one(fires, quiet * 1_000_000), "fired", quiet * 1_000_000, late)
 
 
 def windowed_counts(events: DataFrame, time: str, label: str, length: str = "1 minute", late: str = "10 minutes", slide: str | None = None) -> DataFrame:

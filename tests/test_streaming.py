@@ -29,7 +29,7 @@ def test_edges():
 
 def events(spark, n=200):
     rng = random.Random(2)
-    return spark.createDataFrame([(f"k{rng.randrange(4)}", i, i // 3) for i in range(n)], "key string, event_id long, at long")
+    return spark.createDataFrame([(f"k{rng.randrange(4)}", i, 1000 + i // 3) for i in range(n)], "key string, event_id long, at long")
 
 
 def streamed(spark, tmp_path, df, start, name):
@@ -44,19 +44,36 @@ def streamed(spark, tmp_path, df, start, name):
     return spark.table(name)
 
 
-def test_limiter_stream_equals_batch(spark, tmp_path):
-    df = events(spark)
-    got = streamed(spark, tmp_path, df, lambda s: S.limit_stream(s, 3, 10), "limited")
-    want = S.limit_batch(df, 3, 10)
-    assert sorted((r.event_id, r.admitted) for r in got.collect()) == sorted((r.event_id, r.admitted) for r in want.collect())
+def decided(spark, tmp_path, df, start, flag):
+    got = streamed(spark, tmp_path, df.withColumn("at", F.timestamp_seconds("at")), start, f"decided_{flag}_{tmp_path.name}")
+    return sorted((r.event_id, r[flag]) for r in got.collect())
 
 
-def test_cache_and_debounce_streams(spark, tmp_path):
+def test_keyed_streams_equal_batch(spark, tmp_path):
     df = events(spark)
-    got = streamed(spark, tmp_path / "a", df, lambda s: S.cache_stream(s, 7), "cached")
-    assert sorted((r.event_id, r.hit) for r in got.collect()) == sorted((r.event_id, r.hit) for r in S.cache_batch(df, 7).collect())
-    got = streamed(spark, tmp_path / "b", df, lambda s: S.debounce_stream(s, 5), "bounced")
-    assert sorted((r.event_id, r.fired) for r in got.collect()) == sorted((r.event_id, r.fired) for r in S.debounce_batch(df, 5).collect())
+    for name, batch, stream, flag in (("l", S.limit_batch(df, 3, 10), lambda s: S.limit_stream(s, 3, 10), "admitted"), ("c", S.cache_batch(df, 7), lambda s: S.cache_stream(s, 7), "hit"), ("d", S.debounce_batch(df, 5), lambda s: S.debounce_stream(s, 5), "fired")):
+        assert decided(spark, tmp_path / name, df, stream, flag) == sorted((r.event_id, r[flag]) for r in batch.collect())
+
+
+def test_state_falls_with_the_watermark(spark, tmp_path):
+    """Keys whose events are long past hold nothing; one that comes back is as new, which is what its old state would say."""
+    df = spark.createDataFrame([(f"k{i % 50}" if i < 140 else "late" if i < 205 else "k3", i, 1000 + i // 70 * 1000 + i % 7) for i in range(210)], "key string, event_id long, at long")
+    kept = []
+
+    def start(stream):
+        return S.limit_stream(stream, 3, 10, "1 second")
+
+    src, cp = str(tmp_path / "src"), str(tmp_path / "cp")
+    timed = df.withColumn("at", F.timestamp_seconds("at"))
+    for i in range(3):
+        timed.where(F.floor(F.col("event_id") / 70) == i).coalesce(1).write.mode("append").parquet(src)
+        q = start(spark.readStream.schema(timed.schema).parquet(src)).writeStream.outputMode("append").format("parquet").option("checkpointLocation", cp).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(120)
+        assert q.exception() is None
+        kept.append(q.recentProgress[-1].stateOperators[0].numRowsTotal)
+    got = sorted((r.event_id, r.admitted) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((r.event_id, r.admitted) for r in S.limit_batch(df, 3, 10).collect())
+    assert kept[0] >= 50 and kept[2] < 10
 
 
 def test_windows_and_dedupe(spark, tmp_path, data):
