@@ -108,35 +108,34 @@ def yaml_version(document: dict | None) -> str:
 def pages_by(binary: DataFrame, extract, on_error: str = "skip") -> DataFrame:
     """(path, page, text) of documents with pages: ``extract(bytes)`` yields page texts; a failing page is skipped.
 
-    The extractor (for PDF and the like) is the caller's, as no such library is assumed.  Pages without text are
-    named in the task's log.
+    A table function in a lateral join: pages leave as the extractor gives them, and a document's pages are never
+    gathered.  The extractor (for PDF and the like) is the caller's, as no such library is assumed.  It may yield
+    None, or an exception, for a page that can't be read; one that it raises ends the document.  Pages without text
+    are named in the task's log.
     """
 
-    def rows(batches):
-        import pandas as pd
-
-        for b in batches:
-            out = []
-            for path, content in zip(b["path"], b["content"]):
-                pages = iter(extract(content))
-                n = 0
-                while True:
-                    try:
-                        text = next(pages)
-                    except StopIteration:
-                        break
-                    except Exception:
-                        if on_error != "skip":
-                            raise
-                        text = None
-                    if text is not None:
-                        if not text.strip():
-                            logging.getLogger(__name__).warning("%s: page %d has no text", path, n)
-                        out.append((path, n, text))
-                    n += 1
-            yield pd.DataFrame(out, columns=["path", "page", "text"])
-
-    return binary.select("path", "content").mapInPandas(rows, "path string, page int, text string")
+    class Pages:
+        def eval(self, path: str, content: bytes):
+            pages, n = iter(extract(content)), 0
+            while True:
+                try:
+                    text = next(pages)
+                except StopIteration:
+                    return
+                except Exception as failed:
+                    text = failed
+                if isinstance(text, Exception):
+                    if on_error != "skip":
+                        raise text
+                    text = None
+                if text is not None:
+                    if not text.strip():
+                        logging.getLogger(__name__).warning("%s: page %d has no text", path, n)
+                    yield n, text
+                n += 1
+
+    pages = F.udtf(Pages, returnType="page int, text string")
+    return binary.select("path", "content").lateralJoin(pages(F.col("path").outer(), F.col("content").outer())).select("path", "page", "text")
 
 
 def web_paragraphs(pages: DataFrame) -> DataFrame:

@@ -184,21 +184,59 @@ def dedupe_stream(events: DataFrame, key: str, time: str, late: str = "10 minute
     return events.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late).dropDuplicatesWithinWatermark([key]).drop("_t")
 
 
-def add_to_kb(path: str) -> Callable[[DataFrame, int], None]:
+def add_to_kb(path: str, buckets: int = 256) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: appends a batch's new texts to the knowledge base at ``path``, each with the version that added it.
 
-    A batch that is run again after a failure replaces its own folder, so nothing is added twice.
+    The base keeps each text's hash, and lies in folders by version and by bucket of the hash.  A batch hashes its own
+    texts alone, and reads the hashes, no texts, of the buckets that it touches.  A batch that is run again after a
+    failure replaces its own version's folder, so nothing is added twice.
     """
-    from ..operators.dedupe import new_texts
+    from ..functions.text import content_hash
+    from ..operators.dedupe import first_of_each
 
     def add(batch: DataFrame, version: int) -> None:
         spark = batch.sparkSession
+        hashed = batch.withColumn("text_hash", content_hash("text"))
+        hashed = hashed.withColumn("bucket", F.pmod(F.xxhash64("text_hash"), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in hashed.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
         try:
-            from_path = spark.read.parquet(path).where(F.col("kb_version") < version).select(*batch.columns)
+            base = spark.read.schema("text_hash string, kb_version long, bucket int").parquet(path)
+            known = base.where((F.col("kb_version") < version) & F.col("bucket").isin(touched)).select("text_hash", "bucket")
+            hashed = hashed.join(known, ["text_hash", "bucket"], "left_anti").select(*hashed.columns)
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            from_path = spark.createDataFrame([], batch.schema)
-        new_texts(batch, from_path).write.mode("overwrite").parquet(f"{path}/kb_version={version}")
+        new = first_of_each(hashed, F.col("text_hash"), "doc_id").repartition("bucket")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/kb_version={version}")
 
     return add
+
+
+#: The edges of the latency histogram, in seconds.
+LATENCY_EDGES = (0.01, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0)
+
+
+def _measured(keys: list) -> dict:
+    seconds = F.col("latency")
+    buckets = F.array(*[F.count_if(seconds <= e) for e in LATENCY_EDGES], F.count("latency"))
+    return {"requests": F.count("*"), "errors": F.count("error"), "seconds": F.sum(seconds), "buckets": buckets, "sketch": F.kll_sketch_agg_double(seconds)}
+
+
+def request_metrics(requests: DataFrame, length: str = "1 minute", late: str | None = "10 minutes") -> DataFrame:
+    """(start, route, method, status, error, requests, errors, seconds, buckets, sketch) of windows of a length.
+
+    ``requests(at timestamp, route, method, status, error, latency)``, a table or a stream; error is null where there
+    was none.  buckets: how many took LATENCY_EDGES seconds at most each, and in all; sketch: the latencies as a
+    mergeable KLL sketch, for ``latency_quantiles``.  Of a stream a window comes out once the watermark, ``late``
+    behind the newest request, has passed it; requests behind that are dropped.  late None: a table.
+    """
+    timed = requests.withWatermark("at", late) if late else requests
+    keys = [F.window("at", length).alias("w"), "route", "method", "status", "error"]
+    grouped = timed.groupBy(*keys).agg(*[c.alias(n) for n, c in _measured(keys).items()])
+    return grouped.select(F.col("w.start").alias("start"), *grouped.columns[1:])
+
+
+def latency_quantiles(measured: DataFrame, by: list[str], quantiles: list[float]) -> DataFrame:
+    """``by`` and quantiles of the latency from stored metrics: their sketches are merged, no request is read again."""
+    merged = measured.where("sketch is not null").groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("s"))
+    return merged.select(*by, F.kll_sketch_get_n_double("s").alias("n"), *[F.kll_sketch_get_quantile_double("s", F.lit(q)).alias(f"p{round(q * 100)}") for q in quantiles])
