@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -82,44 +84,57 @@ def _by_text(cut: Callable[[str], list[str]], c: Column | str) -> Column:
 
 
 def packed_lines(c: Column | str, most: int = 300) -> Column:
-    """Lines joined while the chunk, with one more character for each break, stays within ``most``."""
+    """Lines joined to chunks of ``most`` characters, breaks included; a longer line is a chunk, and none begins with an empty line.
+
+    The last line of a chunk is looked up among the places where lines end.
+    """
 
     def cut(text: str) -> list[str]:
-        done, held, size = [], [], 0  # size: characters of the open chunk, breaks included
-        for line in text.split("\n"):
-            if size + len(line) + 1 > most:
-                if size:
-                    done.append("\n".join(held))
-                held, size = ([line], len(line)) if line else ([], 0)
-            elif size:
-                held.append(line)
-                size += len(line) + 1
-            else:
-                held, size = ([line], len(line)) if line else ([], 0)
-        return done + (["\n".join(held)] if size else [])
+        lines = text.split("\n")
+        ends = [0, *accumulate(len(line) + 1 for line in lines)]
+        chunks, at = [], 0
+        while at < len(lines):
+            stop = at + 1
+            if lines[at]:
+                stop = max(stop, bisect_right(ends, ends[at] + most + 1) - 1)
+                chunks.append("\n".join(lines[at:stop]))
+            at = stop
+        return chunks
 
     return _by_text(cut, c)
 
 
 def packed_sentences(c: Column | str, most: int = 180, overlap: int = 40, ends: str = "。！？?") -> Column:
-    """Sentences joined by spaces up to ``most`` characters; the next chunk starts with the last ``overlap`` of this one.
+    """Sentences joined by spaces up to ``most`` characters; the next chunk opens with the last ``overlap`` of this one and a sentence.
 
-    A first sentence longer than a chunk is cut, and what is past the cut, with the overlap, stays open.
+    A first sentence longer than a chunk is cut, and what is past the cut, with the overlap, opens the next.  How many
+    sentences follow an opening is looked up among the places where sentences end.
     """
     end = re.compile(f"(?<=[{re.escape(ends)}])\\s*")
 
     def cut(text: str) -> list[str]:
-        done, opened = [], ""
-        for one in filter(None, map(str.strip, end.split(text))):
-            if len(opened) + len(one) + (opened != "") <= most:
-                opened = f"{opened} {one}".strip()
-            elif opened:
-                done.append(opened)
-                opened = f"{opened[-overlap:] if overlap else ''} {one}".strip()
-            else:
-                done.append(one[:most])
-                opened = one[max(0, most - overlap) :] if overlap else ""
-        return done + [opened] * (opened != "")
+        sentences = [s for s in map(str.strip, end.split(text)) if s]
+        places = [0, *accumulate(len(s) + 1 for s in sentences)]
+        chunks, at, opening = [], 0, ""
+
+        def fitting() -> int:
+            return max(at, bisect_right(places, places[at] + most - len(opening)) - 1)
+
+        while opening or at < len(sentences):
+            if not opening:
+                opening, at = sentences[at], at + 1
+                if len(opening) > most:
+                    chunks.append(opening[:most])
+                    opening = opening[max(0, most - overlap) :] if overlap else ""
+                    continue
+            stop = fitting()
+            if stop > at and opening[0].isspace():  # what a cut has left loses its spaces where something follows
+                opening = opening.lstrip()
+                stop = fitting()
+            chunks.append(" ".join([opening, *sentences[at:stop]]))
+            opening = f"{chunks[-1][-overlap:] if overlap else ''} {sentences[stop]}".strip() if stop < len(sentences) else ""
+            at = stop + 1
+        return chunks
 
     return _by_text(cut, c)
 
