@@ -121,13 +121,62 @@ def test_near_dedup_of_edited_copies(spark, docs, texts, monkeypatch):
     for i in range(len(rows)):
         groups[find(i)].add(i)
     want = sorted(str(rows[min(g, key=order.index)][0]) for g in groups.values())
-    for held, sent in ((64, 10_000), (2, 0)):
-        monkeypatch.setattr(near_copies, "HELD", held)
+    for together, sent in ((8192, 10_000), (4, 0)):
+        monkeypatch.setattr(near_copies, "TOGETHER", together)
         monkeypatch.setattr(near_copies, "SENT_KEYS", sent)
         got = P.near_dedup(spark, df, "").collect()
         assert like > 100 and sorted(str(r.doc_id) for r in got) == want
 
 
+def varied(rng, base, edits):
+    return " ".join([f"new{rng.integers(10**6)}" if i in edits else w for i, w in enumerate(base)])
+
+
+def groups_of_all_pairs(sets, least):
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if near_copies.similarity(sets[i], sets[j]) >= least:
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_a_band_loses_no_link():
+    """A thousand varied copies in one band: the same groups as all pairs, with few comparisons."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(220)]
+    texts = [varied(rng, base, set(rng.choice(220, rng.integers(0, 14), replace=False).tolist())) for _ in range(1000)]
+    sets = [near_copies.shingles(t) for t in texts]
+    near, links = near_copies.Neighbours(0.8), []
+    for i, s in enumerate(sets):
+        links += [(a, i) for a in near.add(i, s)]
+    want, got = groups_of_all_pairs(sets, 0.8), [near.root(i) for i in range(1000)]
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got)) == 1000 - len(links) and len(set(want)) > 20
+    assert all(near_copies.similarity(sets[a], sets[b]) >= 0.8 for a, b in links)
+
+
+def test_chains_behind_many_copies(spark, monkeypatch):
+    """Seventy copies of a text, one that is like them, and one that is like that one alone: one row of each group stays."""
+    import corpus_pipeline as P
+
+    rng, rows = np.random.default_rng(9), []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(300)]
+        rows += [varied(rng, base, {int(rng.integers(0, 5))}) for _ in range(70)]
+        b = varied(rng, base, {20, 60, 100, 140}).split()
+        rows += [" ".join(b), varied(rng, b, {160, 180, 200, 220, 240, 260})]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    for together in (8192, 40):
+        monkeypatch.setattr(near_copies, "TOGETHER", together)
+        assert sorted(r.doc_id for r in P.near_dedup(spark, df, "").collect()) == [72 * g for g in range(12)]
+
+
 def test_mixing(docs, texts):
     rows = mixing.mixed_words(docs).collect()
     sources = {r.doc_id: r.source for r in docs.collect()}
