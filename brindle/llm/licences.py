@@ -41,17 +41,41 @@ _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+\-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 _SEPARATE = re.compile(rb"[^ ]+")
-#: Families of the public SPDX list of licences, and how an identifier of each goes on after its name.
+#: Identifiers of the public SPDX list without a version; families with theirs; families whose
+#: versions may be followed by -only or -or-later; Creative Commons with theirs and their places' codes; BSD clauses.
+_PLAIN = (
+    "0bsd adsl afmparse aladdin antlr-pd apafml app-s2p beerware blessing clartistic curl dotseqn dsdp egenix eurosym fair fsfap fsful fsfullr ftl glide hpnd ibm-pibs icu ijg imatix imlib2 info-zip intel isc jpnic json "
+    "latex2e leptonica libpng libpng-2.0 linux-openib mit mit-0 mit-cmu mit-advertising mit-feh mit-enna mitnfa motosoto mpich2 ms-pl ms-rl mtll multics naumen ncsa net-snmp netcdf newsletr ngpl nlpl noweb nrl ntp oml openssl plexus postgresql "
+    "psfrag psutils qhull rdisc rsa-md rscpl ruby saxpath sendmail sleepycat smlnj snia swl tcl tcp-wrappers tmate tosl unicode-tou unlicense vim vostrom w3c wsuipa wtfpl x11 xerox xinetd xnet xpp xskat zed zlib zlib-acknowledgement"
+)
 _VERSIONS = {
-    "": "0bsd adsl afmparse aladdin antlr-pd apafml app-s2p beerware blessing blueoak-1.0.0 cc0-1.0 clartistic curl dotseqn dsdp egenix eurosym fair fsfap fsful fsfullr ftl glide hpnd ibm-pibs icu ijg imatix info-zip intel isc jasper-2.0 jpnic json "
-    "latex2e leptonica libpng linux-openib mit mit-0 mit-cmu mit-advertising mit-feh mit-enna mitnfa motosoto mpich2 mtll multics naumen ncsa net-snmp netcdf newsletr ngpl nlpl noweb nrl ntp oml openssl plexus postgresql psfrag psutils python-2.0 qhull rdisc rsa-md ruby saxpath sendmail "
-    "sgi-b-2.0 simpl-2.0 sissl sleepycat snia spl-1.0 swl tcl tcp-wrappers tmate tosl ucl-1.0 unicode-dfs-2016 unicode-tou unlicense upl-1.0 vim vostrom w3c wsuipa wtfpl x11 xerox xinetd xnet xpp xskat zed zlib zlib-acknowledgement",
-    r"-\d+(\.\d+)*": "apache artistic apsl bsl catosl cddl cecill cpal cpl cua-opl ecl efl epl erlpl eupl etalab eupl frameworx gfdl imlib2 lppl lpl mpl ms-pl mulanpsl nasa nbpl ngpl nosl npl odbl oclc odc-by ofl oldap osl osset-pl php qpl rpl rscpl sgi-b sissl spl upl vsl w3c watcom ypl zimbra zpl cern-ohl-p cern-ohl-s cern-ohl-w",
-    r"-\d+(\.\d+)*(-only|-or-later)?": "gpl lgpl agpl gfdl",
-    r"-\d+(\.\d+)*(-[a-z]{2,3})?": "cc-by cc-by-sa cc-by-nc cc-by-nd cc-by-nc-sa cc-by-nc-nd",
-    r"-\d-clause(-[a-z0-9-]+)?": "bsd",
-}
-_IDENTIFIER = re.compile("|".join(rf"(?:{'|'.join(re.escape(f) for f in names.split())}){more}" for more, names in _VERSIONS.items()) + r"|licenseref-[a-z0-9.\-]+|ms-(?:pl|rl)")
+    "afl": "1.1 1.2 2.0 2.1 3.0", "apache": "1.0 1.1 2.0", "apsl": "1.0 1.1 1.2 2.0", "artistic": "1.0 2.0", "blueoak": "1.0.0", "bsl": "1.0", "catosl": "1.1", "cc0": "1.0", "cddl": "1.0 1.1", "cecill": "1.0 1.1 2.0 2.1",
+    "cern-ohl-p": "2.0", "cern-ohl-s": "2.0", "cern-ohl-w": "2.0", "cpal": "1.0", "cpl": "1.0", "cua-opl": "1.0", "ecl": "1.0 2.0", "efl": "1.0 2.0", "epl": "1.0 2.0", "erlpl": "1.1", "etalab": "2.0", "eupl": "1.0 1.1 1.2",
+    "frameworx": "1.0", "jasper": "2.0", "lpl": "1.0 1.02", "lppl": "1.0 1.1 1.2 1.3a 1.3c", "mpl": "1.0 1.1 2.0", "mulanpsl": "1.0 2.0", "nasa": "1.3", "nbpl": "1.0", "nosl": "1.0", "npl": "1.0 1.1", "nposl": "3.0", "oclc": "2.0",
+    "odbl": "1.0", "odc-by": "1.0", "ofl": "1.0 1.1", "oldap": "1.1 1.2 1.3 1.4 2.0 2.0.1 2.1 2.2 2.2.1 2.2.2 2.3 2.4 2.5 2.6 2.7 2.8", "osl": "1.0 1.1 2.0 2.1 3.0", "oset-pl": "2.1", "php": "3.0 3.01", "python": "2.0 2.0.1", "qpl": "1.0",
+    "rpl": "1.1 1.5", "rpsl": "1.0", "sgi-b": "1.0 1.1 2.0", "simpl": "2.0", "sissl": "1.2", "spl": "1.0", "ucl": "1.0", "upl": "1.0", "vsl": "1.0", "watcom": "1.0", "ypl": "1.0 1.1", "zimbra": "1.3 1.4", "zpl": "1.1 2.0 2.1",
+}
+_OR_LATER = {"gpl": "1.0 2.0 3.0", "lgpl": "2.0 2.1 3.0", "agpl": "1.0 3.0", "gfdl": "1.1 1.2 1.3"}
+_COMMONS, _COMMONS_VERSIONS = "cc-by cc-by-sa cc-by-nc cc-by-nd cc-by-nc-sa cc-by-nc-nd", "1.0 2.0 2.5 3.0 4.0"
+_BSD = "1-clause 2-clause 2-clause-patent 2-clause-views 3-clause 3-clause-attribution 3-clause-clear 3-clause-lbnl 3-clause-modification 4-clause 4-clause-shortened 4-clause-uc"
+#: Exceptions of the public SPDX list, which may follow with.
+_EXCEPTIONS = frozenset(
+    "389-exception autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 clisp-exception-2.0 digirule-foss-exception ecos-exception-2.0 fawkes-runtime-exception fltk-exception "
+    "font-exception-2.0 freertos-exception-2.0 gcc-exception-2.0 gcc-exception-3.1 gnu-javamail-exception gpl-3.0-linking-exception gpl-3.0-linking-source-exception gpl-cc-1.0 gstreamer-exception-2005 gstreamer-exception-2008 "
+    "i2p-gpl-java-exception kicad-libraries-exception lgpl-3.0-linking-exception libtool-exception linux-syscall-note llvm-exception lzma-exception mif-exception ocaml-lgpl-linking-exception occt-exception-1.0 "
+    "openjdk-assembly-exception-1.0 openvpn-openssl-exception ps-or-pdf-font-exception-20170817 qt-gpl-exception-1.0 qt-lgpl-exception-1.1 qwt-exception-1.0 shl-2.0 shl-2.1 swift-exception u-boot-exception-2.0 "
+    "universal-foss-exception-1.0 wxwindows-exception-3.1".split()
+)
+
+
+def _identifiers() -> re.Pattern:
+    one_of = lambda names: "(?:" + "|".join(map(re.escape, names.split())) + ")"
+    kinds = [one_of(_PLAIN)] + [rf"{re.escape(f)}-{one_of(v)}" for f, v in _VERSIONS.items() if v] + [rf"{f}-{one_of(v)}(?:-only|-or-later)?" for f, v in _OR_LATER.items()]
+    kinds += [rf"{one_of(_COMMONS)}-{one_of(_COMMONS_VERSIONS)}(?:-[a-z]{{2,3}})?", rf"bsd-{one_of(_BSD)}", r"licenseref-[a-z0-9.\-]+"]
+    return re.compile("|".join(kinds))
+
+
+_IDENTIFIER = _identifiers()
 
 
 def family(identifier: str) -> str:
@@ -71,7 +95,7 @@ def evaluate(text: str, start: int = 0, stop: int | None = None) -> tuple[set[st
     Shunting-yard: with binds closer than and, and closer than or.  Or lets the user choose (the
     greater freedom counts), and binds to both (the lesser), with adds a little.  Reading ends at the
     first token that can't continue the expression, such as a word that is no identifier of a licence
-    (_IDENTIFIER; LicenseRef- names too); open brackets close there.
+    (_IDENTIFIER; LicenseRef- names too), or behind with no exception of the list; open brackets close there.
     """
     labels: set[str] = set()
     values: list = []
@@ -92,7 +116,7 @@ def evaluate(text: str, start: int = 0, stop: int | None = None) -> tuple[set[st
                 break
             else:
                 low = low.rstrip(".-")
-                if not low or not after_with and not _IDENTIFIER.fullmatch(low.rstrip("+")):
+                if not (low in _EXCEPTIONS if after_with else _IDENTIFIER.fullmatch(low.rstrip("+"))):
                     break
                 if after_with:
                     values.append(0.0)

@@ -59,10 +59,18 @@ def test_draws_add_up():
 def test_expressions():
     e = licences.evaluate
     assert e("MIT OR (Apache-2.0 AND GPL-2.0-only WITH Classpath-exception-2.0) end") == ({"mit", "apache-2", "gpl", "classpath-exception-2.0"}, 0.95)
-    assert e("MIT AND GPL-3.0-or-later")[1] == 0.5 and e("GPL-2.0 WITH x AND MIT")[1] == 0.6 and e("MIT OR AGPL-3.0 AND MIT")[1] == 0.95
+    assert e("MIT AND GPL-3.0-or-later")[1] == 0.5 and e("GPL-2.0 WITH GCC-exception-3.1 AND MIT")[1] == 0.6 and e("MIT OR AGPL-3.0 AND MIT")[1] == 0.95
     assert e("(MIT") == ({"mit"}, 0.95) and e("MIT AND") == ({"mit"}, 0.95) and e("") is None and e("AND MIT") is None and e("()") is None
 
 
+def test_only_listed_identifiers_and_exceptions():
+    e = licences.evaluate
+    assert e("MIT with the following changes") == ({"mit"}, 0.95) and e("GPL-2.0 WITH MIT") == ({"gpl"}, 0.5)
+    assert e("apache-77.3") is None and e("Apache-2.0")[0] == {"apache-2"} and e("gpl-9.0") is None and e("cc-by-4.1") is None
+    assert e("CC-BY-SA-3.0-de") is not None and e("LGPL-2.1-or-later") == ({"lgpl"}, 0.6)
+    assert e("BSD-3-Clause-Clear AND OLDAP-2.8 AND LicenseRef-x.y")[1] == 0.2
+
+
 def test_scan():
     m = licences.automaton()
     got = licences.scan("Under the MIT-License; under THE mit license! CC BY NC\n# SPDX-License-Identifier: MIT OR GPL-2.0\n", m)
