@@ -31,13 +31,13 @@ def _least(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(less | equal & (np.cumsum(equal, axis=1) <= wanted))
 
 
-def topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", query_id: str = "qid", base_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", query_id: str = "qid", base_id: str = "vec_id", vector: str = "embedding", digits: int | None = None) -> DataFrame:
     """(qid, vec_id, score, rank): the k best rows of ``base`` for each query, ties to the smaller id.
 
     metric: cosine or dot (large is near), l2 or l2sq (small is near).  Every row is compared.  The base
-    is never moved: each task multiplies its batches by the queries' matrix and keeps k candidates a query and
-    batch, and only these are shuffled.  The queries are a matrix of bounded size; where there are more of
-    them, it is one pass over the base for each such matrix.
+    is never moved: each task multiplies its batches by the queries' matrix and keeps the k best of each query over
+    all of them, and only these leave it.  The queries are a matrix of bounded size; where there are more of
+    them, it is one pass over the base for each such matrix.  digits: scores are rounded before they are compared.
     """
     near_is_small = metric in ("l2", "l2sq")
     spark = base.sparkSession
@@ -62,6 +62,7 @@ def topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", qu
             ids, q = shared.value
             qq = (q * q).sum(axis=1)
             at_once = max(1, SCORE_CELLS // len(ids))
+            best, worst = None, np.full(len(ids), np.inf)  # rows of the k best so far, and each query's k-th
             for b in (b.slice(at, at_once) for b in batches for at in range(0, b.num_rows, at_once)):
                 order = pc.sort_indices(b.column(0))
                 base_ids, x = b.column(0).take(order), _matrix(b.column(1), size)[order.to_numpy()]
@@ -72,9 +73,23 @@ def topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", qu
                     score = np.maximum(qq[:, None] - 2 * score + (x * x).sum(axis=1)[None, :], 0)
                     if metric == "l2":
                         score = np.sqrt(score)
+                if digits is not None:
+                    score = np.round(score, digits) + 0.0
                 key = score if near_is_small else -score
                 row, col = _least(key, min(k, len(base_ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), base_ids.take(pa.array(col)), pa.array(score[row, col])], ["qid", "vec_id", "score"])
+                key = np.where(np.isnan(key[row, col]), np.inf, key[row, col])
+                near = key <= worst[row]
+                row, col, key = row[near], col[near], key[near]
+                new = pa.table({"row": row, "key": key, "id": base_ids.take(pa.array(col)), "score": score[row, col]})
+                both = new if best is None else pa.concat_tables([best, new])
+                both = both.take(pc.sort_indices(both, [("row", "ascending"), ("key", "ascending"), ("id", "ascending")]))
+                row = both.column("row").to_numpy()
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                best = both.filter(pa.array(nth < k))
+                worst[row[nth == k - 1]] = both.column("key").to_numpy()[nth == k - 1]
+            if best is not None:
+                for some in best.combine_chunks().to_batches(10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids).take(some.column("row")), some.column("id"), some.column("score")], ["qid", "vec_id", "score"])
 
         found = base.select(F.col(base_id).alias("vec_id"), F.col(vector)).mapInArrow(work, schema)
         searched = found if searched is None else searched.union(found)

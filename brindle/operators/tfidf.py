@@ -50,24 +50,22 @@ def weigh(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(lengths, "id").select("id", "term", (F.col("w") / F.col("length")).alias("weight"))
 
 
-def signals(scored: DataFrame, queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(qid, max_score, avg_topk, num_docs, context_len) from (qid, doc_id, score) of pairs that share a term.
+def signals(ranked: DataFrame, hits: DataFrame, queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(qid, max_score, avg_topk, num_docs, context_len) from the k best (qid, doc_id, score) and the hits (qid, num_docs).
 
-    Documents that share none have score 0; they fill a top k that is short, in order of id.  avg_topk is
-    the mean of the positive scores in the top k; num_docs counts positive scores over all documents.
+    Documents that share no term with a query have score 0; they fill a top k that is short, in order of id.  avg_topk
+    is the mean of the positive scores in the top k; num_docs counts positive scores over all documents.
     """
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    ranked = scored.where("score > 0").withColumn("rank", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("qid")))
-    top = ranked.where(F.col("rank") <= k)
+    top = ranked.where("score > 0").select("qid", "doc_id", "score")
     # fillers: the first documents by id that aren't hits; k + k of them are enough
     fill = texts.orderBy("doc_id").limit(2 * k)
     short = queries.join(top.groupBy("qid").agg(F.count("*").alias("n_top")), "qid", "left").select("qid", F.coalesce("n_top", F.lit(0)).alias("n_top")).where(F.col("n_top") < k)
     spare = short.join(F.broadcast(fill.select("doc_id")), F.lit(True)).join(top.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
     spare = spare.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).where(F.col("r") + F.col("n_top") <= k).select("qid", "doc_id", F.lit(0.0).alias("score"))
-    chosen = top.select("qid", "doc_id", "score").union(spare).join(texts.select("doc_id", F.length("text").alias("chars")), "doc_id")
+    chosen = top.union(spare).join(texts.select("doc_id", F.length("text").alias("chars")), "doc_id")
     out = chosen.groupBy("qid").agg(F.max("score").alias("max_score"), F.coalesce(F.avg(F.when(F.col("score") > 0, F.col("score"))), F.lit(0.0)).alias("avg_topk"), F.sum("chars").alias("context_len"))
-    hits = top.groupBy("qid").agg(F.first("n").alias("num_docs"))
-    return out.join(hits, "qid", "left").select("qid", "max_score", "avg_topk", F.coalesce("num_docs", F.lit(0)).cast("long").alias("num_docs"), F.col("context_len").cast("long"))
+    num_docs = F.coalesce("num_docs", F.lit(0)).cast("long").alias("num_docs")
+    return out.join(hits, "qid", "left").select("qid", "max_score", "avg_topk", num_docs, F.col("context_len").cast("long"))
 
 
 #: Route to the knowledge base when its best score, or the mean of the best, reaches these.

@@ -10,6 +10,7 @@ from ..functions.similarity import ratcliff
 from ..functions.text import WS, content_hash
 from ..operators import context
 from ..operators import search as S
+from ..operators import maxscore as M
 from ..operators import tfidf as I
 from ..operators.dedupe import drifted
 from ..sources.tables import table
@@ -145,7 +146,9 @@ def _documents_tfidf(s, d):
     idf = I.fit(counts, docs.count())
     weights = I.weigh(counts, idf).withColumnRenamed("id", "doc_id")
     queries = I.weigh(I.term_counts(items, "item_id", I.word_grams("text")), idf).withColumnRenamed("id", "qid")
-    return I.signals(S.sparse_cosine(queries, weights), items.select(F.col("item_id").alias("qid")), docs.select("doc_id", "text"), 3)
+    known = queries.select("qid", "term")  # terms of some document
+    hits = M.hit_counts(known, docs.select(F.array_distinct(I.word_grams("text")).alias("terms")))
+    return I.signals(M.sparse_topk(queries, weights, 3), hits, items.select(F.col("item_id").alias("qid")), docs.select("doc_id", "text"), 3)
 
 
 def tfidf_word_signals(s, d):
@@ -193,8 +196,8 @@ def tfidf_char_topk(s, d):
     """The 3 items most like each benchmark item divisible by 20, with the distance."""
     b = table(s, d, "benchmark")
     w = _tfidf(b, "item_id", I.char_grams("text"), b.count())
-    scored = S.sparse_cosine(w.where("id % 20 = 0").withColumnRenamed("id", "qid"), w.withColumnRenamed("id", "doc_id"))
-    return S.best_of(scored.withColumn("score", F.round("score", 6)), 3).select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), F.round(1 - F.col("score"), 6).alias("distance"))
+    best = M.sparse_topk(w.where("id % 20 = 0").withColumnRenamed("id", "qid"), w.withColumnRenamed("id", "doc_id"), 3, digits=6)
+    return best.select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), F.round(1 - F.col("score"), 6).alias("distance"))
 
 
 def tfidf_features(s, d):
@@ -206,15 +209,17 @@ def tfidf_features(s, d):
 
 def hash_embed_topk(s, d):
     """The 5 documents most like each benchmark item divisible by 20, by hashed vectors."""
-    docs, items = V.hash_slots(table(s, d, "documents")), V.hash_slots(table(s, d, "benchmark").where("item_id % 20 = 0"), "item_id")
-    scored = S.sparse_cosine(items.select(F.col("doc_id").alias("qid"), F.col("slot").alias("term"), F.col("val").alias("weight")), docs.select("doc_id", F.col("slot").alias("term"), F.col("val").alias("weight")))
-    return S.best_of(scored.withColumn("score", F.round("score", 6)), K).select("qid", "doc_id", "score")
+    docs = table(s, d, "documents").select("doc_id", V.hash_vector("text").alias("embedding"))
+    items = table(s, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("doc_id"), V.hash_vector("text").alias("embedding"))
+    best = S.topk(items, docs, K, "dot", "doc_id", "doc_id", digits=6)
+    return best.where("score <> 0").select("qid", F.col("vec_id").alias("doc_id"), "score")
 
 
 def _best_chunks(s, d):
     item = table(s, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("qid"), F.array_distinct(F.split(F.lower("text"), " ")).alias("words"))
     near = hash_embed_topk(s, d).select("qid", "doc_id")
-    chunks = C.rows(table(s, d, "documents"), C.sliding("text", 400, 100)).join(near, "doc_id").join(item, "qid")
+    found = table(s, d, "documents").join(near.select("doc_id").distinct(), "doc_id", "left_semi")  # only these are cut
+    chunks = C.rows(found, C.sliding("text", 400, 100)).join(near, "doc_id").join(item, "qid")
     score = F.size(F.array_intersect("words", F.split(F.lower("text"), " "))).cast("double") / F.size("words")
     return S.top_chunks(chunks, F.round(score, 6), 3)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import vectors as V
-from brindle.operators import context, dedupe, guard, metrics, registry, search, tfidf
+from brindle.operators import maxscore, context, dedupe, guard, metrics, registry, search, tfidf
 
 
 def vectors(spark, rows, name="vec_id"):
@@ -81,7 +81,8 @@ def test_tfidf_and_routes(spark):
     assert all(abs(r.n - 1) < 1e-9 for r in w.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect())
     q = spark.createDataFrame([(9, "VPN"), (8, "nothing")], "doc_id long, text string")
     wq = tfidf.weigh(tfidf.term_counts(q, "doc_id", tfidf.word_grams("text")), idf).withColumnRenamed("id", "qid")
-    s = tfidf.signals(search.sparse_cosine(wq, w.withColumnRenamed("id", "doc_id")), q.select(F.col("doc_id").alias("qid")), docs, 2)
+    hits = maxscore.hit_counts(wq, docs.select(tfidf.word_grams("text").alias("terms")))
+    s = tfidf.signals(maxscore.sparse_topk(wq, w.withColumnRenamed("id", "doc_id"), 2), hits, q.select(F.col("doc_id").alias("qid")), docs, 2)
     got = {r.qid: r for r in tfidf.route(s).collect()}
     assert got[9].num_docs == 2 and got[9].target == "kb" and got[9].context_len == len("vpn setup guide") + len("vpn vpn login")
     assert (got[8].num_docs, got[8].max_score, got[8].avg_topk, got[8].target) == (0, 0.0, 0.0, "small_model") and got[8].context_len == len("vpn setup guide") + len("leave policy")
@@ -199,3 +200,62 @@ def test_random_replay_keeps_one_production(spark):
     rows = [(i, rng.choice(["create_model", "create_version", "transition", "transition"]), f"m{rng.randrange(3)}", f"v{rng.randrange(4)}", rng.choice(registry.STAGES), "x") for i in range(300)]
     out = registry.replay(spark.createDataFrame(rows, "seq long, action string, model string, version string, to_stage string, actor string"))
     assert registry.production(out).groupBy("model").count().where("count > 1").count() == 0
+
+
+def test_maxscore_is_exact_and_reads_little(spark, monkeypatch):
+    """Vectors with terms that most documents have: the same rows as all pairs, and few pairs are made."""
+    import random
+
+    rng = random.Random(4)
+    terms = [f"t{i}" for i in range(400)]
+    popular = [1 / (i + 1) for i in range(400)]
+
+    def vector(n):
+        return {t: rng.random() * (0.15 if t in ("t0", "t1", "t2", "t3") else 1.0) + 0.01 for t in rng.choices(terms, popular, k=n)}
+
+    docs = [vector(25) for _ in range(600)] + [{"t1": 0.5}] * 3
+    queries = [vector(8) for _ in range(12)] + [{"none": 1.0}, {"t0": 0.3, "t1": 0.2}]
+    as_rows = lambda vs, name: spark.createDataFrame([(i, t, w) for i, v in enumerate(vs) for t, w in v.items()], f"{name} long, term string, weight double")
+    q, d = as_rows(queries, "qid"), as_rows(docs, "doc_id")
+    want = []
+    for i, v in enumerate(queries):
+        scored = [(round(sum(w * x[t] for t, w in v.items() if t in x), 9), j) for j, x in enumerate(docs) if v.keys() & x.keys()]
+        want += [(i, j, s, n + 1) for n, (s, j) in enumerate(sorted(scored, key=lambda x: (-x[0], x[1]))[:5])]
+    monkeypatch.setattr(maxscore, "SEED_ENTRIES", 4)
+    got = sorted((r.qid, r["rank"], r.doc_id, r.score) for r in maxscore.sparse_topk(q, d, 5, digits=9).collect())
+    assert [(a, c, b) for a, b, c, _ in got] == [(i, j, n) for i, j, _, n in want]
+    assert all(abs(g[3] - w[2]) < 1e-8 for g, w in zip(got, want))
+    some, left = maxscore.candidates(maxscore.bounded(q, d), d, 5)
+    pairs = sum(bool(v.keys() & x.keys()) for v in queries for x in docs)
+    assert left.count() > 0 and some.count() < 0.5 * pairs < len(queries) * len(docs)
+    hits = {r.qid: r.num_docs for r in maxscore.hit_counts(q, spark.createDataFrame([(list(x),) for x in docs], "terms array<string>")).collect()}
+    assert hits == {i: n for i, v in enumerate(queries) if (n := sum(bool(v.keys() & x.keys()) for x in docs))}
+    monkeypatch.setattr(maxscore, "HELD_TERMS", 10)
+    assert {r.qid: r.num_docs for r in maxscore.hit_counts(q, spark.createDataFrame([(list(x),) for x in docs], "terms array<string>")).collect()} == hits
+    assert maxscore.sparse_topk(q.limit(0), d, 5).count() == 0 and maxscore.sparse_topk(q, d.limit(0), 5).count() == 0
+
+
+def test_topk_keeps_k_a_task(spark, monkeypatch):
+    """However small the slices, a task sends the k best of each query."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(500)]
+    monkeypatch.setattr(search, "SCORE_CELLS", 20)
+    b = spark.createDataFrame(base, "vec_id long, embedding array<float>").repartition(3)
+    q = spark.createDataFrame(base[:7], "qid long, embedding array<float>")
+    for metric in ("dot", "l2sq", "cosine"):
+        best = search.topk(q, b, 6, metric)
+        out = [(r.qid, r["rank"], r.vec_id) for r in best.collect()]
+        want = []
+        for i, v in base[:7]:
+            def score(w):
+                v_, w_ = np.array(v), np.array(w)
+                return -(v_ @ w_) if metric == "dot" else ((v_ - w_) ** 2).sum() if metric == "l2sq" else -round(float(v_ @ w_ / (np.linalg.norm(v_) * np.linalg.norm(w_))), 9) if v_.any() and w_.any() else np.inf
+            want += [(i, n + 1, j) for n, (_, j) in enumerate(sorted((score(w), j) for j, w in base)[:6])]
+        if metric != "cosine":
+            assert sorted(out) == sorted(want)
+        plan = best._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan
+    sent = search.topk(q, b, 6, "dot")
+    assert sent.count() == 42
