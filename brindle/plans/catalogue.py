@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import flagship, service_queries, source_queries, stream_queries, text_queries, vector_queries
+from . import flagship, language_queries, service_queries, source_queries, stream_queries, text_queries, vector_queries
 
-ALL = {**source_queries.QUERIES, **text_queries.QUERIES, **vector_queries.QUERIES, **service_queries.QUERIES, **stream_queries.QUERIES, "answer_contexts": (flagship.answer_contexts, None)}
+ALL = {**source_queries.QUERIES, **text_queries.QUERIES, **vector_queries.QUERIES, **service_queries.QUERIES, **stream_queries.QUERIES, **language_queries.QUERIES, "answer_contexts": (flagship.answer_contexts, None)}
 
 
 def queries():
