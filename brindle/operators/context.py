@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chunking import token_windows
+from ..functions.text import render
 
 
 def joined(rows: DataFrame, key: list[str], order: str, text: str = "text", sep: str = "\n\n", out: str = "context") -> DataFrame:
@@ -40,5 +41,16 @@ def map_reduce(docs: DataFrame, summarize, max_tokens: int = 100, overlap: int =
     return docs.where(brief).select("doc_id", F.col("text").alias("summary")).unionByName(reduced)
 
 
+def chain(rows: DataFrame, steps: list[tuple[str, str, dict[str, str]]], model) -> DataFrame:
+    """rows with a column for each step (name, template, inputs): the model's answer to the template, whose names are other columns.
+
+    A step's inputs may be answers of steps before it.  ``model(name, prompt)`` maps a prompt, a Column, to an answer; a
+    model outside Spark is a pandas UDF, and runs once a row and step.
+    """
+    for name, template, inputs in steps:
+        rows = rows.withColumn(name, model(name, render(F.lit(template), {k: F.col(c) for k, c in inputs.items()})))
+    return rows
+
+
 def first_sentence(c: Column) -> Column:
     return F.regexp_extract(c, r"^\s*([^.!?。！？]*[.!?。！？]?)", 1)

@@ -62,6 +62,12 @@ def chat_cost(prompt: Column, completion: Column) -> Column:
     return F.round(prompt / 1000 * PROMPT_PER_1K + completion / 1000 * COMPLETION_PER_1K, 6)
 
 
+def request_log(rows: DataFrame, started: str, ended: str, cost: Column) -> DataFrame:
+    """rows with latency_s, the seconds between two times to 3 places, and cost_usd to 6."""
+    micros = F.unix_micros(F.col(ended).cast("timestamp")) - F.unix_micros(F.col(started).cast("timestamp"))
+    return rows.withColumn("latency_s", F.round(micros / 1_000_000, 3)).withColumn("cost_usd", F.round(cost, 6))
+
+
 def score_bins(rows: DataFrame, score: str) -> DataFrame:
     """(bin, n) of similarities in percent: from 85, from 70, from 50, less."""
     b = F.when(F.col(score) >= 85, "excellent").when(F.col(score) >= 70, "good").when(F.col(score) >= 50, "fair").otherwise("poor")

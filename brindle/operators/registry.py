@@ -14,7 +14,7 @@ ALLOWED = (("None", "Staging"), ("Staging", "Production"), ("Staging", "Archived
 
 
 def replay(actions: DataFrame) -> DataFrame:
-    """Each action(seq, action, model, version, to_stage, actor) with status, from_stage and stage, in order of seq.
+    """Each action(seq, action, model, version, to_stage, actor, and rollback, if it is there) with status, from_stage and stage, in order of seq.
 
     Actions: create_model (again: ok, nothing changes), create_version (again: conflict), transition (unknown
     version: not_found; a step that isn't allowed: illegal; to Production: the version there before goes
@@ -62,8 +62,9 @@ def replay(actions: DataFrame) -> DataFrame:
                 known = known or r.action == "create_model"
             yield rows.assign(status=[o[0] for o in out], from_stage=[o[1] for o in out], stage=[o[2] for o in out])
 
-    schema = "seq long, action string, model string, version string, to_stage string, actor string, status string, from_stage string, stage string"
-    rows = actions.select("seq", "action", "model", "version", "to_stage", "actor")
+    schema = "seq long, action string, model string, version string, to_stage string, actor string, rollback boolean, status string, from_stage string, stage string"
+    rollback = F.coalesce("rollback", F.lit(False)) if "rollback" in actions.columns else F.lit(False)
+    rows = actions.select("seq", "action", "model", "version", "to_stage", "actor", rollback.alias("rollback"))
     return rows.repartition("model").sortWithinPartitions("model", "seq").mapInPandas(work, schema)
 
 
@@ -88,8 +89,12 @@ def production(replayed: DataFrame) -> DataFrame:
 
 
 def audit(replayed: DataFrame) -> DataFrame:
-    """(seq, model, version, action, actor, from_stage, to_stage) of what changed; the demotion of another version isn't listed."""
-    return replayed.where("status = 'ok' and action in ('create_version', 'transition')").select("seq", "model", "version", "action", "actor", "from_stage", F.col("stage").alias("to_stage"))
+    """(seq, model, version, action, actor, from_stage, to_stage, detail) of what changed; the demotion of another version isn't listed.
+
+    detail: whether a transition was a rollback, as JSON.
+    """
+    detail = F.when(F.col("action") == "transition", F.to_json(F.struct(F.col("rollback").alias("rollback_to"))))
+    return replayed.where("status = 'ok' and action in ('create_version', 'transition')").select("seq", "model", "version", "action", "actor", "from_stage", F.col("stage").alias("to_stage"), detail.alias("detail"))
 
 
 def resolve_prompts(requests: DataFrame, prompts: DataFrame, default: str = "v2") -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import cache, context, dedupe, guard, metrics, registry
-from ..sources.tables import candidates_json, exposition, exposition_json, latest, question_bank, table
+from ..operators import cache, context, dedupe, guard, maxscore, metrics, registry, tfidf
+from ..sources.tables import FAQ, candidates_json, exposition, exposition_json, latest, question_bank, scratch_path, table
+from ..sources.vector_store import VectorStore
 from ..streaming import stateful
 
 #: A policy whose patterns occur in the generated texts.
@@ -198,8 +199,35 @@ _TURNS = "(SELECT conv_id, turn, text AS q, a AS c FROM (SELECT *, lead(text) OV
 
 
 def answer_sources(s, d):
-    src = metrics.answer_source(F.col("q"), F.col("c"), F.length("q") % 100, {"License": "(?i)license", "the": "(?i)the"})
-    return _turns(s, d).groupBy(src.alias("source_kind")).agg(F.count("*").alias("n"))
+    """Answers by where they would come from: a rule that overrides them, a text of the knowledge base that they are like, or the model.
+
+    The likeness, in percent, is that of character n-grams, to the best of the benchmark's items.
+    """
+    kb, turns = table(s, d, "benchmark"), _turns(s, d).withColumn("qid", F.col("conv_id") * 1000 + F.col("turn"))
+    counts = tfidf.term_counts(kb, "item_id", tfidf.char_grams("text"))
+    idf = tfidf.fit(counts, kb.count())
+    weights = tfidf.weigh(counts, idf).withColumnRenamed("id", "doc_id")
+    asked = tfidf.weigh(tfidf.term_counts(turns, "qid", tfidf.char_grams("c")), idf).withColumnRenamed("id", "qid")
+    best = maxscore.sparse_topk(asked, weights, 1, digits=6).select("qid", (F.col("score") * 100).alias("best"))
+    src = metrics.answer_source(F.col("q"), F.col("c"), F.coalesce("best", F.lit(0.0)), {"License": "(?i)license", "the": "(?i)the"}, _KB_MATCH)
+    return turns.join(best, "qid", "left").groupBy(src.alias("source_kind")).agg(F.count("*").alias("n"))
+
+
+_KB_MATCH = 50.0
+_GRAMS = "unnest(flatten([list_transform(range(1, length(t) + 1), lambda i: substr(t, i, 1)), list_transform(range(1, length(t)), lambda i: substr(t, i, 2)), list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))])) AS term"
+_SOURCES = f"""
+WITH u AS {_TURNS}, kt AS (SELECT item_id AS id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM benchmark),
+ut AS (SELECT conv_id, turn, regexp_replace(lower(c), '\\s+', ' ', 'g') AS t FROM u),
+kc AS (SELECT id, term, count(*) AS tf FROM (SELECT id, {_GRAMS} FROM kt) GROUP BY ALL),
+i AS (SELECT term, ln((1.0 + (SELECT count(*) FROM kt)) / (1 + count(*))) + 1 AS idf FROM kc GROUP BY term),
+kw AS (SELECT id, term, tf * idf AS w FROM kc JOIN i USING (term)), kl AS (SELECT id, sqrt(sum(w * w)) AS l FROM kw GROUP BY id),
+uw AS (SELECT conv_id, turn, term, count(*) * any_value(idf) AS w FROM (SELECT conv_id, turn, {_GRAMS} FROM ut) JOIN i USING (term) GROUP BY ALL),
+ul AS (SELECT conv_id, turn, sqrt(sum(w * w)) AS l FROM uw GROUP BY ALL),
+p AS (SELECT conv_id, turn, id, sum(uw.w * kw.w) AS dot FROM uw JOIN kw USING (term) GROUP BY ALL),
+b AS (SELECT conv_id, turn, max(round(dot / ul.l / kl.l, 6)) * 100 AS best FROM p JOIN ul USING (conv_id, turn) JOIN kl USING (id) GROUP BY ALL)
+SELECT CASE WHEN (regexp_matches(q, '(?i)license') AND NOT contains(c, 'License')) OR (regexp_matches(q, '(?i)the') AND NOT contains(c, 'the')) THEN 'RULE_OVERRIDE'
+    WHEN coalesce(best, 0) >= {_KB_MATCH} THEN 'KB_MATCH' ELSE 'MODEL_GENERATED' END AS source_kind, count(*) AS n FROM u LEFT JOIN b USING (conv_id, turn) GROUP BY 1
+"""
 
 
 def questions(s, d):
@@ -213,7 +241,7 @@ def _actions(s, d):
     kind = F.col("o_orderkey") % 7
     action = F.when(kind == 0, "create_model").when(kind <= 2, "create_version").otherwise("transition")
     stage = F.element_at(F.array(*map(F.lit, ("staging", "Production", "Archived", "nowhere"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return o.select(F.col("o_orderkey").alias("seq"), action.alias("action"), F.concat(F.lit("m"), (F.col("o_custkey") % 50).cast("string")).alias("model"), F.concat(F.lit("v"), (F.col("o_custkey") % 350).cast("string")).alias("version"), stage.alias("to_stage"), F.lit("ci").alias("actor"))
+    return o.select(F.col("o_orderkey").alias("seq"), action.alias("action"), F.concat(F.lit("m"), (F.col("o_custkey") % 50).cast("string")).alias("model"), F.concat(F.lit("v"), (F.col("o_custkey") % 350).cast("string")).alias("version"), stage.alias("to_stage"), F.lit("ci").alias("actor"), (F.col("o_orderkey") % 3 == 0).alias("rollback"))
 
 
 def change_detect(s, d):
@@ -335,7 +363,7 @@ g AS (SELECT model, list({'seq': seq, 'action': action, 'version': version, 'to_
 f AS (SELECT model, list_reduce(list_prepend({'known': false, 'st': MAP {}::MAP(VARCHAR, VARCHAR), 'out': []::STRUCT(seq BIGINT, action VARCHAR, version VARCHAR, to_stage VARCHAR, status VARCHAR, from_stage VARCHAR, stage VARCHAR)[], 'a': NULL::STRUCT(seq BIGINT, action VARCHAR, version VARCHAR, to_stage VARCHAR)},
   list_transform(l, lambda a: {'known': false, 'st': MAP {}::MAP(VARCHAR, VARCHAR), 'out': []::STRUCT(seq BIGINT, action VARCHAR, version VARCHAR, to_stage VARCHAR, status VARCHAR, from_stage VARCHAR, stage VARCHAR)[], 'a': a})),
   lambda r, x: STEP) AS r FROM g),
-o AS (SELECT model, unnest(r.out) AS o FROM f), replayed AS (SELECT o.seq, o.action, model, o.version, o.to_stage, 'ci' AS actor, o.status, o.from_stage, o.stage FROM o)"""
+o AS (SELECT model, unnest(r.out) AS o FROM f), replayed AS (SELECT o.seq, o.action, model, o.version, o.to_stage, 'ci' AS actor, o.seq % 3 = 0 AS rollback, o.status, o.from_stage, o.stage FROM o)"""
 _BEFORE = "r.st[x.a.version]"
 _TO = "CASE x.a.to_stage WHEN 'staging' THEN 'Staging' WHEN 'nowhere' THEN NULL ELSE x.a.to_stage END"
 _LEGAL = f"coalesce(list_contains({[f'{a}>{b}' for a, b in registry.ALLOWED]}, {_BEFORE} || '>' || {_TO}), false)"
@@ -483,12 +511,45 @@ def policy_table(s, d):
     return table(s, d, "documents").select("doc_id", g.alias("g")).select("doc_id", "g.blocked", F.array_join("g.violations", "|").alias("violations"))
 
 
+#: Programs of a chain: a summary of the text, then questions about the summary with their answers as JSON.
+_ABOUT = "What is it about?"
+_PROGRAMS = [("summary", "Summarise:\n{{ context }}", {"context": "text"}), ("faq", "Context: {{ context }}\nQuestion: {{ question }}", {"context": "summary", "question": "question"})]
+
+
+def _stand_in(name, prompt):
+    """Answers by rule: the first sentence of what is to be summarised; what follows Context as the answer to the question, fenced."""
+    if name == "summary":
+        return context.first_sentence(F.substr(prompt, F.lit(len("Summarise:\n") + 1)))
+    said = F.regexp_extract(prompt, r"(?s)^Context: (.*)\nQuestion: (.*)$", 1)
+    asked = F.regexp_extract(prompt, r"(?s)^Context: (.*)\nQuestion: (.*)$", 2)
+    return F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(F.struct(asked.alias("q"), said.alias("a"))).alias("faqs"))), F.lit("\n```"))
+
+
 def chained_programs(s, d):
-    """A summary, then a question and answer about it as JSON, read back; what isn't JSON falls back to the raw text."""
-    docs = table(s, d, "documents").select("doc_id", "text").where(F.length("text") >= 60)
-    step = docs.withColumn("summary", context.first_sentence(F.col("text")))
-    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```json\n"), F.to_json(F.struct(F.length("summary").alias("n"))), F.lit("\n```"))).otherwise(F.lit("none"))
-    return step.select("doc_id", X.extract_json(X.strip_fences(said)).alias("answer"))
+    """Every text summarised, asked about its summary, and the answer's JSON read back as question and answer."""
+    docs = table(s, d, "documents").select("doc_id", "text").withColumn("question", F.lit(_ABOUT))
+    said = context.chain(docs, _PROGRAMS, _stand_in).withColumn("json", X.extract_json(X.strip_fences("faq")))
+    items = said.select("doc_id", F.explode(F.from_json("json", FAQ)["faqs"]).alias("faq"))
+    return items.select("doc_id", F.concat(F.lit("Q: "), F.col("faq.q"), F.lit(" A: "), F.col("faq.a")).alias("text"))
+
+
+def request_log(s, d):
+    """Each event as a request that took its value in hundredths of a second, with its cost."""
+    e = _events(s, d).withColumn("ended", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 12345).cast("long")))
+    return metrics.request_log(e, "ts", "ended", F.col("value") / 7000).select("event_id", "latency_s", "cost_usd")
+
+
+def vector_upserts(s, d):
+    """(vec_id, version, label, first): embeddings put into a store, then some of them again with other metadata, some taken out, and all merged."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"))
+    store = VectorStore(s, scratch_path(s, "vectors"))
+    store.upsert(e, 1)
+    again = e.where("id % 3 = 0").select("id", F.reverse("vector").alias("vector"), F.create_map(F.lit("label"), F.lit("changed")).alias("metadata"))
+    store.upsert(again, 2)
+    store.upsert(again, 2)  # the batch again, after a failure
+    store.delete(e.where("id % 10 = 9"), 3)
+    store.compact()
+    return store.rows().select(F.col("id").alias("vec_id"), F.col("metadata")["label"].alias("label"), F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
 
 
 QUERIES = {
@@ -509,7 +570,9 @@ QUERIES = {
     "mtime_sensor": (mtime_sensor, "SELECT user_id AS path, max(event_id) AS mtime, CAST(max(event_id) AS VARCHAR) AS run_key FROM events WHERE user_id % 4 <> 0 GROUP BY user_id"),
     "bank_questions": (bank_questions, "SELECT doc_id, lang, style, question FROM documents, (VALUES ('plain', 'What is it?'), ('plain', 'Who says so?'), ('short', 'What?')) t(style, question) WHERE lang <> 'en'"),
     "policy_table": (policy_table, r"SELECT doc_id, v <> '' AS blocked, v AS violations FROM (SELECT doc_id, CASE WHEN regexp_matches(text, '\bthe\b') THEN 'input:\bthe\b' WHEN regexp_matches(text, '(?i)license') THEN 'input:(?i)license' ELSE '' END AS v FROM documents)"),
-    "chained_programs": (chained_programs, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{\"n\":' || length(" + _FIRST.format("text").replace(r"\s", X.WS) + ") || '}' ELSE '{\"raw_output\":\"none\"}' END AS answer FROM documents WHERE length(text) >= 60"),
+    "chained_programs": (chained_programs, f"SELECT doc_id, 'Q: {_ABOUT} A: ' || " + _FIRST.format("coalesce(text, '')").replace(r"\s", X.WS) + " AS text FROM documents"),
+    "request_log": (request_log, "SELECT event_id, round(floor(value * 12345) / 1000000, 3) AS latency_s, round(value / 7000, 6) AS cost_usd FROM events"),
+    "vector_upserts": (vector_upserts, "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'changed' ELSE label::VARCHAR END AS label, round((CASE WHEN vec_id % 3 = 0 THEN embedding[len(embedding)] ELSE embedding[1] END)::DOUBLE, 6) AS first FROM embeddings WHERE vec_id % 10 <> 9"),
     "guard_input_enforce": (_gate("enforce"), _gate_sql("enforce")),
     "guard_input_report": (_gate("report"), _gate_sql("report")),
     "guard_output": (guard_output, f"SELECT doc_id, false AS blocked, {_hits(POLICY.output_patterns, 'output', 'report')} AS violations FROM documents"),
@@ -538,7 +601,7 @@ QUERIES = {
     "sft_questions": (questions, _questions_sql()),
     "registry_replay": (_replayed, f"{_LOG} SELECT * FROM replayed"),
     "registry_production": (lambda s, d: registry.production(_replayed(s, d)), f"{_LOG}, m AS (SELECT *, row_number() OVER (PARTITION BY model, version ORDER BY seq DESC) AS r FROM replayed WHERE status = 'ok' AND stage IS NOT NULL), p AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY seq DESC) AS n FROM m WHERE r = 1 AND stage = 'Production') SELECT model, version FROM p WHERE n = 1"),
-    "registry_audit": (lambda s, d: registry.audit(_replayed(s, d)), f"{_LOG} SELECT seq, model, version, action, actor, from_stage, stage AS to_stage FROM replayed WHERE status = 'ok' AND action IN ('create_version', 'transition')"),
+    "registry_audit": (lambda s, d: registry.audit(_replayed(s, d)), f"{_LOG} SELECT seq, model, version, action, actor, from_stage, stage AS to_stage, CASE WHEN action = 'transition' THEN '{{\"rollback_to\":' || rollback::VARCHAR || '}}' END AS detail FROM replayed WHERE status = 'ok' AND action IN ('create_version', 'transition')"),
     "change_detect": (change_detect, "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus IS DISTINCT FROM p) AS n_changed FROM (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders) GROUP BY o_custkey"),
     "version_diff": (version_diff, "WITH a AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 5 <> 0) SELECT CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' WHEN a.o_orderstatus = b.s THEN 'same' ELSE 'changed' END AS change, count(*) AS n FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey GROUP BY 1"),
     "version_compare": (version_compare, "SELECT p_partkey, [p_partkey % 12, p_size] > [p_size, p_partkey % 9] AS newer FROM part"),
@@ -554,7 +617,7 @@ QUERIES = {
     "cache_summary": (cache_summary, f"{_CASCADE} SELECT count(*) AS requests, count(*) FILTER (source = 'prompt_cache') AS exact_hits, count(*) FILTER (source = 'semantic_cache') AS semantic_hits, count(*) FILTER (source = 'llm') AS misses, round(count(*) FILTER (source <> 'llm') / count(*), 6) AS hit_rate FROM c"),
     "semantic_cache_insert": (semantic_insert, "SELECT vec_id AS id, CAST(label AS VARCHAR) AS a FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT (SELECT max(vec_id) FROM embeddings WHERE vec_id % 2 = 0) + row_number() OVER (ORDER BY vec_id), CAST(label AS VARCHAR) FROM embeddings WHERE vec_id % 2 = 1"),
     "prompt_render": (prompt_render, "SELECT doc_id, '[' || lang || '] ' || text || ' |' AS prompt FROM documents"),
-    "answer_sources": (answer_sources, f"SELECT CASE WHEN (regexp_matches(q, '(?i)license') AND NOT contains(c, 'License')) OR (regexp_matches(q, '(?i)the') AND NOT contains(c, 'the')) THEN 'RULE_OVERRIDE' WHEN length(q) % 100 >= 80 THEN 'KB_MATCH' ELSE 'MODEL_GENERATED' END AS source_kind, count(*) AS n FROM {_TURNS} GROUP BY 1"),
+    "answer_sources": (answer_sources, _SOURCES),
     "answer_by_route": (answer_by_route, _BY_ROUTE),
     "chain_route": (chain_route, "SELECT CASE WHEN trim(text) = '' THEN 'summary' WHEN contains(lower(text), 'under the') OR contains(lower(text), 'en la') THEN 'pricing' ELSE 'faq' END AS chain, count(*) AS n FROM documents GROUP BY 1"),
 }

@@ -68,12 +68,12 @@ def _redaction():
     return f"""WITH a AS (SELECT doc_id, text, {email} AS e FROM documents), b AS (SELECT *, {local} AS l FROM a), c AS (SELECT *, {phone} AS p FROM b)
 SELECT doc_id, regexp_replace(p, '{X.API_KEY}', '{X.KEY_MARK}', 'g') AS redacted,
 CAST(len(regexp_extract_all(text, '{X.EMAIL}')) AS INTEGER) AS n_email,
-CAST(len(regexp_extract_all(e, '{X.LOCAL_PHONE}')) + len(regexp_extract_all(l, '{X.PHONE}')) AS INTEGER) AS n_phone FROM c"""
+CAST(len(regexp_extract_all(e, '{X.LOCAL_PHONE}')) + len(regexp_extract_all(l, '{X.PHONE}')) AS INTEGER) AS n_phone, length(text) > 1000000 AS truncated FROM c"""
 
 
 def pii_redact(s, d):
     r = _docs(s, d).select("doc_id", X.redact("text").alias("r"))
-    return r.select("doc_id", F.col("r.text").alias("redacted"), F.col("r.stats")["email"].alias("n_email"), F.col("r.stats")["phone"].alias("n_phone"))
+    return r.select("doc_id", F.col("r.text").alias("redacted"), F.col("r.stats")["email"].alias("n_email"), F.col("r.stats")["phone"].alias("n_phone"), "r.truncated")
 
 
 def pii_totals(s, d):

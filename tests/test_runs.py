@@ -190,3 +190,41 @@ def test_late_requests_are_dropped_and_quantiles_hold(spark, data):
         values = sorted(x.latency for x in r.where(F.col("route") == row.route).collect())
         for q, v in ((0.5, row.p50), (0.95, row.p95)):
             assert abs(sum(x <= v for x in values) / len(values) - q) < 0.03
+
+
+def test_vector_store(spark, tmp_path):
+    from brindle.sources.vector_store import VectorStore
+
+    store = VectorStore(spark, str(tmp_path / "v"), 4)
+    rows = lambda *items: spark.createDataFrame(list(items), "id long, vector array<float>, metadata map<string,string>")
+    assert store.rows().count() == 0
+    store.compact()
+    store.upsert(rows((1, [1.0, 0.0], {"a": "1"}), (2, [0.0, 1.0], None), (2, [0.0, 1.0], None)), 1)
+    store.upsert(rows((2, [1.0, 1.0], {"a": "2"}), (3, [0.0, 2.0], {"a": "3"})), 2)
+    store.upsert(rows((2, [1.0, 1.0], {"a": "2"}), (3, [0.0, 2.0], {"a": "3"})), 2)
+    store.delete(spark.createDataFrame([(1,), (9,)], "id long"), 3)
+    want = [(2, [1.0, 1.0], {"a": "2"}), (3, [0.0, 2.0], {"a": "3"})]
+    seen = lambda: sorted((r.id, r.vector, r.metadata) for r in store.rows().collect())
+    assert seen() == want and store.versions().count() == 6
+    store.compact()
+    assert seen() == want and store.versions().count() == 2
+    store.upsert(rows((1, [2.0, 2.0], {"a": "4"})), 4)
+    assert [r.id for r in store.rows([1, 7]).collect()] == [1] and store.rows().count() == 3
+    q = spark.createDataFrame([(0, [0.0, 1.0])], "qid long, vector array<float>")
+    near = store.nearest(q, 2, where=F.col("metadata")["a"] != "4").orderBy("rank").collect()
+    assert [(r.vec_id, r.metadata["a"]) for r in near] == [(3, "3"), (2, "2")]
+
+
+def test_chain_feeds_answers_on(spark):
+    from brindle.operators import context
+
+    rows = spark.createDataFrame([(1, "abc"), (2, None)], "id long, text string")
+    out = context.chain(rows, [("one", "<{{ t }}>", {"t": "text"}), ("two", "{{ a }}{{ b }}{{ none }}!", {"a": "one", "b": "id"})], lambda name, p: F.concat(F.lit(name + ":"), p))
+    assert [(r.one, r.two) for r in out.orderBy("id").collect()] == [("one:<abc>", "two:one:<abc>1!"), ("one:<>", "two:one:<>2!")]
+
+
+def test_request_log(spark):
+    from brindle.operators import metrics
+
+    r = metrics.request_log(spark.sql("select timestamp'2024-01-01 00:00:00' a, timestamp'2024-01-01 00:00:01.234567' b"), "a", "b", F.lit(0.00012345678)).first()
+    assert (r.latency_s, r.cost_usd) == (1.235, 0.000123)
