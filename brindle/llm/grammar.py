@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, shared_path
+from .common import give_back, pick, shared_path
 from .tokens import id_bytes, id_encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -236,9 +236,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, shard
                 if total >= shard_tokens:
                     yield pa.RecordBatch.from_pylist([_record(part, seq, terminals, docs, ends, data)], _ARROW)
                     docs, ends, data, total, seq = [], [], [], 0, seq + 1
-        lib.forget()
         if docs:
             yield pa.RecordBatch.from_pylist([_record(part, seq, terminals, docs, ends, data)], _ARROW)
+        give_back()  # the worker keeps its cache for the next task, which meets the same frequent words
 
     ordered.mapInArrow(work, _FORMAT).write.option("compression", "zstd").parquet(path)
 

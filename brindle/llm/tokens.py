@@ -30,8 +30,9 @@ _UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
 _PLAIN = re.compile(r"[ -~¡-¬®-ɏ]+")
 _MARKS = frozenset(".,;:!?")
 #: Bytes of each generation of a cache; what an entry takes beside its characters; the longest key that is kept.
-CACHE_BYTES, ENTRY, LONGEST = 16 << 20, 110, 64
-_TAIL = ".,;:!?#*$%&|<>()-"
+CACHE_BYTES, ENTRY, LONGEST = 24 << 20, 110, 64
+#: Marks that a word may end with; words whose lower case every table has alike.
+_TAIL, _SIMPLE = ".,;:!?#*$%&|<>()-", "^[A-Za-zª-įı-ɏ]+$"
 #: How the byte-level vocabularies, and the one with word ends, split a text.
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_ENDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -75,16 +76,13 @@ class Generations(dict):
             value = self.make(key)
             if len(key) > LONGEST:
                 return value
-        self._room(key)
-        self[key] = value
-        return value
-
-    def _room(self, key) -> None:
         self.used += ENTRY + 2 * len(key)
         if self.used > self.limit:
             self.old = dict(self)
             self.clear()
-            self.used = ENTRY + 2 * len(key)
+            self.used = 0
+        self[key] = value
+        return value
 
     def forget(self) -> None:
         self.clear()
@@ -123,8 +121,7 @@ class PieceEncoder:
         self.cache = Generations(self._piece, limit)
 
     def _token(self, pre: str):
-        letters = pre if pre.isalpha() and pre.isascii() else pre.encode().decode("latin-1").translate(self.letters)
-        return self.value([t.id for t in self.model.tokenize(letters)])
+        return self.value([t.id for t in self.model.tokenize(pre.encode().decode("latin-1").translate(self.letters))])
 
     def pre_tokens(self, piece: str) -> list[str] | None:
         """The pre-tokens of a piece; None: the library must split it."""
@@ -187,8 +184,8 @@ class PieceEncoder:
     def batch_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a batch in one array, and where each text's begin (and the last one's end).
 
-        Only for an encoder whose values are id_bytes.  The texts' pieces are told apart by Arrow, so that Python
-        sees each different piece of a batch once.
+        Only for an encoder whose values are id_bytes.  The texts' pieces are told apart by Arrow, and words from the
+        marks behind them, so that Python sees each different word of a batch once.
         """
         texts = texts.fill_null("")
         plain = [not any(s in t for s in self.special) and not (self.keeps_spaces and joins_spaces(t)) for t in texts.to_pylist()]
@@ -199,11 +196,17 @@ class PieceEncoder:
             some = pc.replace_substring(some, "\n", " ")
         lists = pc.split_pattern(some, " ")
         named = lists.flatten().dictionary_encode()
-        values = self._values(named.dictionary.to_pylist())
-        codes, sizes = named.indices, np.fromiter(map(len, values), np.int64, len(values)) // 4
+        words, tails = self._parts(named.dictionary)
+        values = list(map(self.cache.__getitem__, words.dictionary.to_pylist())) + list(map(self.tokens.__getitem__, tails.dictionary.to_pylist())) + [b""]
+        # each piece is a word and a tail; no tail is the last value
+        of = np.empty((len(words), 2), dtype=np.int64)
+        of[:, 0] = words.indices.to_numpy()
+        of[:, 1] = tails.indices.fill_null(len(tails.dictionary)).to_numpy(zero_copy_only=False) + len(words.dictionary)
+        codes = of[named.indices.to_numpy()].ravel()
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
         every = pa.LargeListArray.from_arrays(pa.array(_starts(sizes)), pa.array(np.frombuffer(b"".join(values), np.uint32)))
-        ids = every.take(codes).flatten().to_numpy()
-        starts = _starts(sizes[codes.to_numpy()])[lists.offsets.to_numpy()] if len(some) else np.zeros(1, np.int64)
+        ids = every.take(pa.array(codes)).flatten().to_numpy()
+        starts = _starts(sizes[codes])[2 * lists.offsets.to_numpy()] if len(some) else np.zeros(1, np.int64)
         if all(plain):
             return ids, starts
         parts, lengths, nth = [], [], 0
@@ -213,19 +216,20 @@ class PieceEncoder:
             nth += p
         return np.concatenate(parts), _starts(np.array(lengths, np.int64))
 
-    def _values(self, pieces: list[str]) -> list:
-        """The values of different pieces.  Most are a word and marks behind it; the word alone is worth keeping."""
-        cache, tokens, space = self.cache, self.tokens, " " if self.keeps_spaces else ""
-        values = []
-        for piece in pieces:
-            word = piece.rstrip(_TAIL)
-            if word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
-                low = space + word if space else word.lower()
-                if space or low.isalpha():
-                    values.append(tokens[low] + tokens[piece[len(word) :]] if len(word) < len(piece) else tokens[low])
-                    continue
-            values.append(cache[piece])
-        return values
+    def _parts(self, pieces: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
+        """The word that each piece is, and the marks behind it (else null), where that is all; else the piece itself."""
+        words = pc.utf8_rtrim(pieces, characters=_TAIL)
+        simple = pc.and_(pc.utf8_is_alpha(words), pc.match_substring_regex(words, _SIMPLE))
+        if not self.keeps_spaces:
+            words = pc.utf8_lower(words)
+        words = pc.if_else(simple, words, pieces)
+        more = pc.subtract(pc.binary_length(pieces), pc.binary_length(words)).to_numpy()
+        at = np.flatnonzero(more > 0) if len(more) else np.zeros(0, np.int64)
+        found = [p[-n:] for p, n in zip(pieces.take(pa.array(at)).to_pylist(), more[at].tolist())]
+        rows = np.full(len(pieces), -1, dtype=np.int64)
+        rows[at] = np.arange(len(at))
+        tails = pa.array(found, pa.string()).take(pa.array(rows, mask=rows < 0))
+        return words.dictionary_encode(), tails.dictionary_encode()
 
     def forget(self) -> None:
         """Empties the caches, at the end of a task: a worker that is used again holds nothing meanwhile."""
@@ -258,5 +262,5 @@ def id_encoder(name: str) -> PieceEncoder:
 def length_encoder(name: str) -> PieceEncoder:
     """The encoder to numbers of ids of this Python worker."""
     if (name, "lengths") not in _encoders:
-        _encoders[name, "lengths"] = PieceEncoder(name, len, sum, CACHE_BYTES)
+        _encoders[name, "lengths"] = PieceEncoder(name, len, sum, CACHE_BYTES * 2 // 3)
     return _encoders[name, "lengths"]
