@@ -91,7 +91,7 @@ def slice_count(rows: int, per_slice: int = 50_000) -> int:
     return max(16, -(-rows // per_slice))
 
 
-def running_totals(df: DataFrame, group: list[str], spread: str, order: list[str], amount: str | None, slices: int, out: str) -> DataFrame:
+def running_totals(df: DataFrame, group: list[str], spread: list[str], order: list[str], amount: str | None, slices: int, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``amount`` (None: the number of rows) over the rows before, within ``group``.
 
     A group may hold most rows, so it is never one task: its rows fall into ``slices`` slices by a
@@ -99,7 +99,7 @@ def running_totals(df: DataFrame, group: list[str], spread: str, order: list[str
     Slice totals are added up first; there are at most ``slices`` of them in a group.
     """
     value = F.lit(1).cast("long") if amount is None else F.col(amount)
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(slices)).cast("int"))
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*spread), F.lit(slices)).cast("int"))
     keys = [*group, "_slice"]
     totals = sliced.groupBy(*keys).agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

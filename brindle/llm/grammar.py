@@ -215,11 +215,13 @@ def _record(part: int, seq: int, terminals: int, docs: list, ends: list[int], da
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS) -> None:
     """Writes the ids of every row of ``docs(doc_id, text)``, each with the end id, in ascending order of doc_id.
 
-    A null text is an empty one; null ids come first; equal ids are ordered by text.  Shards follow one
+    Ids are whole numbers that fit a long.  A null text is an empty one; null ids come first; equal ids are ordered by text.  Shards follow one
     another by (part, seq); each has its rules, its symbols, the token place of every SAMPLE-th symbol, and its
     documents' ids and places.  A file is committed by Spark's writer, so a lost task is written again.
     """
-    ordered = pick(docs, "doc_id", "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    # rows of one id, or without one, may be most: their texts' beginnings part them
+    ranges = pick(docs, "doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 32))
+    ordered = ranges.sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = id_encoder(vocabulary)
         terminals, end = lib.library.get_vocab_size(), id_bytes([END_ID])

@@ -221,7 +221,9 @@ def _parts(docs: DataFrame, table: DataFrame, rows: int, block: int, salts: int
         named = salted.join(copies, same & (F.col("_salt") == F.col("_copy"))).drop("_source", "_copy", "_salt")
     else:
         named = docs.join(F.broadcast(table), same).drop("_source")
-    placed = running_totals(named, ["s"], "doc_id", ["doc_id", "size", *[c for c in docs.columns if c not in ("doc_id", "size", "source")]], "size", slice_count(rows), "start")
+    # rows without an id, or with one id, are spread by their texts; not by numbers that another run would give them
+    order = ["doc_id", "size", *[c for c in docs.columns if c not in ("doc_id", "size", "source")]]
+    placed = running_totals(named, ["s"], [c for c in order if c not in ("_row", "copy")], order, "size", slice_count(rows), "start")
     end = F.col("start") + F.col("size")
     inside = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")))
     parts = placed.withColumn("block", F.explode_outer(inside))

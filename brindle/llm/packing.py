@@ -107,7 +107,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = SEQUENCE
     pieces = cut(token_pieces(pick(docs, "doc_id", "text"), vocabulary, capacity, keep_ids))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = sorted(best_fit_runs(counts, capacity))
-    ranked = running_totals(pieces, ["length"], "doc_id", ["doc_id", "piece", "ids_crc32"], None, slice_count(sum(counts.values())), "rank")
+    numbered = pieces.withColumn("_row", F.monotonically_increasing_id())  # pieces are in files by now, and rows keep their numbers
+    ranked = running_totals(numbered, ["length"], ["_row"], ["doc_id", "piece", "ids_crc32"], None, slice_count(sum(counts.values())), "rank").drop("_row")
     # the runs of a length start at ascending ranks; (length, rank) as one number finds a piece's run
     table = docs.sparkSession.sparkContext.broadcast(np.array(runs, dtype=np.int64).reshape(-1, 5))
     names = [f.name for f in pieces.schema.fields]

@@ -119,3 +119,27 @@ def test_packing_ties_and_missing_ids(spark):
 def test_posteriors_meet_rows_by_join(docs):
     plan = quality.quality(docs)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and np.isfinite([r.quality for r in quality.quality(docs).collect()]).all()
+
+
+def test_rows_without_ids_are_spread(spark, tmp_path):
+    """A third of all rows without an id, and rows that repeat one id: neither is one task's."""
+    df = spark.createDataFrame([(None if i % 3 else 7, f"text {i} of many", "a") for i in range(3000)], "doc_id long, text string, source string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    try:
+        grammar.write_tokens(df, str(tmp_path / "t"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = spark.read.parquet(str(tmp_path / "t"))
+    assert parts.count() >= 4 and max(r.n_tokens for r in parts.collect()) < 0.5 * sum(r.n_tokens for r in parts.collect())
+    got = sorted(grammar.stored_tokens(spark, str(tmp_path / "t")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 2000 + [7] * 1000 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    order = ["doc_id", "size", "text_hash"]
+    slices = mixing.sized(df).select(F.pmod(F.xxhash64(*order), F.lit(16)).alias("s")).groupBy("s").count().collect()
+    assert len(slices) == 16 and max(r["count"] for r in slices) < 400
+    taken = mixing.mixed_words(df).collect()
+    assert len(taken) == 3000 and all(r.taken <= 3 * r["size"] for r in taken)
+    rows = packing.pack(df).collect()
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert len(rows) == 3000 and all(o == sum(n for _, n in sorted(p)[:i]) for p in places.values() for i, (o, _) in enumerate(sorted(p)))
