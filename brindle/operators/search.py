@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -31,13 +31,14 @@ def _least(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(less | equal & (np.cumsum(equal, axis=1) <= wanted))
 
 
-def topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", query_id: str = "qid", base_id: str = "vec_id", vector: str = "embedding", digits: int | None = None) -> DataFrame:
+def topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", query_id: str = "qid", base_id: str = "vec_id", vector: str = "embedding", digits: int | None = None, embed: Callable[[list[str]], np.ndarray] | None = None, text: str = "text") -> DataFrame:
     """(qid, vec_id, score, rank): the k best rows of ``base`` for each query, ties to the smaller id.
 
     metric: cosine or dot (large is near), l2 or l2sq (small is near).  Every row is compared.  The base
     is never moved: each task multiplies its batches by the queries' matrix and keeps the k best of each query over
     all of them, and only these leave it.  The queries are a matrix of bounded size; where there are more of
     them, it is one pass over the base for each such matrix.  digits: scores are rounded before they are compared.
+    embed: makes the base's vectors of its column ``text`` where they are searched, so that no vector leaves a worker.
     """
     near_is_small = metric in ("l2", "l2sq")
     spark = base.sparkSession
@@ -65,7 +66,8 @@ def topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", qu
             best, worst = None, np.full(len(ids), np.inf)  # rows of the k best so far, and each query's k-th
             for b in (b.slice(at, at_once) for b in batches for at in range(0, b.num_rows, at_once)):
                 order = pc.sort_indices(b.column(0))
-                base_ids, x = b.column(0).take(order), _matrix(b.column(1), size)[order.to_numpy()]
+                x = _matrix(b.column(1), size) if embed is None else embed(b.column(1).to_pylist())
+                base_ids, x = b.column(0).take(order), x[order.to_numpy()]
                 score = q @ x.T
                 if metric == "cosine":
                     score /= np.sqrt(qq)[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
@@ -91,7 +93,7 @@ def topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", qu
                 for some in best.combine_chunks().to_batches(10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(ids).take(some.column("row")), some.column("id"), some.column("score")], ["qid", "vec_id", "score"])
 
-        found = base.select(F.col(base_id).alias("vec_id"), F.col(vector)).mapInArrow(work, schema)
+        found = base.select(F.col(base_id).alias("vec_id"), F.col(text if embed else vector)).mapInArrow(work, schema)
         searched = found if searched is None else searched.union(found)
     order = F.col("score").asc() if near_is_small else F.col("score").desc()
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(order, "vec_id"))

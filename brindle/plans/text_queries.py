@@ -126,6 +126,15 @@ def contamination(s, d):
     return sentences(table(s, d, "benchmark"), "item_id").join(sentences(_docs(s, d)), "h", "left_semi").groupBy("item_id").agg(F.count("*").alias("n"))
 
 
+_NUMBER = r"\b(\d+(?:\.\d+)?)([kKmM])\b"
+_GROWN = "CAST(left(m, length(m) - 1) AS DOUBLE) * CASE WHEN lower(right(m, 1)) = 'k' THEN 1e3 ELSE 1e6 END"
+_UNITS = rf"""
+WITH p AS (SELECT doc_id, string_split_regex(text, '{_NUMBER}') AS gaps,
+    list_transform(regexp_extract_all(text, '{_NUMBER}'), lambda m: CASE WHEN ({_GROWN}) = floor({_GROWN}) THEN format('{{:,}}', CAST({_GROWN} AS BIGINT)) ELSE regexp_replace(format('{{:,.3f}}', {_GROWN}), '\.?0+$', '') END) AS grown FROM documents)
+SELECT doc_id, regexp_replace(replace(array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(grown[i], '')), ''), 'NT$', 'NTD '), '\bNTD\s*(\d)', 'NTD \1', 'g') AS expanded FROM p
+"""
+
+
 def num_units(s, d):
     return _docs(s, d).select("doc_id", X.expand_units("text").alias("expanded"))
 
@@ -272,7 +281,7 @@ QUERIES = {
     "punct_collapse": (_map(lambda: X.collapse_punctuation("text"), "t"), _sql(_collapsed("text"), "t")),
     "normal_spacing": (_map(lambda: X.normal_spacing("text"), "t"), _sql(_spaced("text"), "t")),
     "normalize_text": (lambda s, d: _docs(s, d).select("doc_id", X.normalize("text").alias("t")), None),
-    "num_units": (num_units, None),
+    "num_units": (num_units, _UNITS),
     "reflow": (_map(lambda: X.reflow("text"), "t"), None),
     "html_strip": (lambda s, d: table(s, d, "pages").select("page_id", X.strip_html("html").alias("t")), f"SELECT page_id, {_html('html')} AS t FROM pages"),
     "html_blocks": (lambda s, d: table(s, d, "pages").select("page_id", X.html_blocks("html").alias("t")), None),
