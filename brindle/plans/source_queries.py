@@ -18,6 +18,13 @@ def _one_file(s, rows, kind):
     return path
 
 
+def _files_of_one(s, rows, kind):
+    """Rows as JSON documents, each a file of its own, written where the rows are."""
+    path = T.scratch_path(s, kind)
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 def json_document(s, d):
     """A file that is one JSON array."""
     return T.json_document(s, _one_file(s, T.table(s, d, "region"), "json"), _REGION)
@@ -42,14 +49,14 @@ def json_lines_strict(s, d):
 def candidates(s, d):
     """Candidate lists of the parts of each brand, written as JSON and read back."""
     p = T.table(s, d, "part").select(F.col("p_brand").alias("query"), F.col("p_size").alias("rank"), F.col("p_partkey").alias("idx"), F.col("p_name").alias("text"), F.col("p_retailprice").alias("retriever_score"))
-    return T.candidates(s, _one_file(s, T.candidates_json(p), "candidates")).withColumn("retriever_score", F.round("retriever_score", 4))
+    return T.candidates(s, _files_of_one(s, T.candidates_json(p), "candidates")).withColumn("retriever_score", F.round("retriever_score", 4))
 
 
 def reranked(s, d):
     """The first items of reranked lists."""
     item = F.struct(F.col("p_partkey").cast("int").alias("idx"), F.col("p_name").alias("text"))
     lists = T.table(s, d, "part").groupBy(F.col("p_brand").alias("query")).agg(F.sort_array(F.collect_list(item)).alias("reranked"))
-    return T.reranked(s, _one_file(s, lists, "reranked"), 2).select("query", "pos", "idx", "text")
+    return T.reranked(s, _files_of_one(s, lists, "reranked"), 2).select("query", "pos", "idx", "text")
 
 
 def faq_texts(s, d):
