@@ -132,7 +132,8 @@ def answer_split(sample: DataFrame, answerable: Column) -> DataFrame:
     """One row (total, n_answerable, n_unanswerable, pct_answerable, pct_unanswerable)."""
     n = sample.agg(F.count("*").alias("total"), F.count_if(answerable).alias("n_answerable"))
     pct = lambda c: F.when(F.col("total") > 0, 100.0 * c / F.col("total")).otherwise(0.0)
-    return n.withColumn("n_unanswerable", F.col("total") - F.col("n_answerable")).select("*", pct(F.col("n_answerable")).alias("pct_answerable"), pct(F.col("n_unanswerable")).alias("pct_unanswerable"))
+    return n.withColumn("n_unanswerable", F.col("total") - F.col("n_answerable")).select("*", pct(F.col("n_answerable")).alias("pct_answerable"),
+        pct(F.col("n_unanswerable")).alias("pct_unanswerable"))
 
 
 def changed_files(files: DataFrame, seen: DataFrame) -> DataFrame:

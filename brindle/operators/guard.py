@@ -112,11 +112,13 @@ def guarded(requests: DataFrame, answer: Column, policy: Policy, mode: str | Non
     rows = requests.withColumn("clean", sanitize("text")).withColumn("_in", check_input(F.col("clean"), policy, mode))
     rows = rows.withColumn("routed_to", route_document(F.col("clean"), rules, default)).withColumn("_acl", enforce_acl(F.col("role"), F.array("routed_to"), policy, mode))
     # what a gate before has blocked has no answer to redact, and the patterns are costly
-    rows = rows.withColumn("_red", F.when(~F.col("_in.blocked") & F.col("_acl.allowed"), redact(answer, mode, policy.redact, policy.max_input_length))).withColumn("_out", check_output(F.col("_red.text"), policy, mode))
+    rows = rows.withColumn("_red", F.when(~F.col("_in.blocked") & F.col("_acl.allowed"), redact(answer, mode, policy.redact,
+        policy.max_input_length))).withColumn("_out", check_output(F.col("_red.text"), policy, mode))
     reason = F.when(F.col("_in.blocked"), "input").when(~F.col("_acl.allowed"), "acl").when(F.col("_out.blocked"), "output")
     counts = F.aggregate(F.map_values("_red.stats"), F.lit(0), lambda a, b: a + b) + F.col("_red.truncated").cast("int")
     rows = rows.withColumn("reason", reason).withColumn("status", F.when(reason.isNull(), "ok").otherwise("blocked"))
-    rows = rows.withColumn("answer", F.when(reason.isNull(), F.col("_red.text"))).withColumn("n_redacted", F.when(F.col("reason").isNull() | (F.col("reason") == "output"), counts).otherwise(0))
+    rows = rows.withColumn("answer", F.when(reason.isNull(), F.col("_red.text"))).withColumn("n_redacted",
+        F.when(F.col("reason").isNull() | (F.col("reason") == "output"), counts).otherwise(0))
     return rows.withColumn("violations", F.concat("_in.violations", "_acl.violations", "_out.violations")).drop("_in", "_acl", "_red", "_out")
 
 

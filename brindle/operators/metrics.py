@@ -38,7 +38,8 @@ def bucket_quantile(buckets: DataFrame, labels: list[str], q: float) -> DataFram
     """(labels, value): the quantile read off cumulative buckets, linear inside a bucket; past the last edge, that edge."""
     w = Window.partitionBy(*labels).orderBy("le")
     whole = Window.partitionBy(*labels)
-    rows = buckets.withColumn("total", F.max("n").over(whole)).withColumn("below", F.coalesce(F.lag("n").over(w), F.lit(0))).withColumn("low", F.coalesce(F.lag("le").over(w), F.lit(0.0)))
+    rows = buckets.withColumn("total", F.max("n").over(whole)).withColumn("below", F.coalesce(F.lag("n").over(w), F.lit(0))).withColumn("low",
+        F.coalesce(F.lag("le").over(w), F.lit(0.0)))
     hit = rows.where((F.col("n") >= q * F.col("total")) & (F.col("below") < q * F.col("total")))
     inside = F.col("low") + (F.col("le") - F.col("low")) * (q * F.col("total") - F.col("below")) / (F.col("n") - F.col("below"))
     return hit.select(*labels, F.when(F.col("le") == float("inf"), F.col("low")).otherwise(inside).alias("value"))
@@ -125,7 +126,8 @@ def questions(rows: DataFrame, focus: Column, rules: dict[str, list[str]], text:
     """(…, question): questions of matching rules and generic ones, at least 4 characters, each once, ``most`` a row in an order fixed by the seed."""
     generic = F.array(*[F.concat(F.lit(f.split("{}")[0]), focus, F.lit(f.split("{}")[1])) for f in forms])
     both = all_matches(rows, text, rules).withColumn("questions", F.concat("questions", generic))
-    cleaned = F.array_distinct(F.filter(F.transform("questions", lambda q: F.replace(F.regexp_replace(q, "^[？? ]+|[？? ]+$", ""), F.lit("  "), F.lit(" "))), lambda q: F.length(q) >= 4))
+    cleaned = F.array_distinct(F.filter(F.transform("questions", lambda q: F.replace(F.regexp_replace(q, "^[？? ]+|[？? ]+$", ""), F.lit("  "),
+        F.lit(" "))), lambda q: F.length(q) >= 4))
     shuffled = F.array_sort(F.transform(cleaned, lambda q: F.struct(F.md5(F.concat(F.lit(seed), q)).alias("k"), q.alias("q"))))
     return both.withColumn("question", F.explode(F.slice(F.transform(shuffled, lambda s: s["q"]), 1, most))).drop("questions")
 

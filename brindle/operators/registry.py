@@ -94,7 +94,8 @@ def audit(replayed: DataFrame) -> DataFrame:
     detail: whether a transition was a rollback, as JSON.
     """
     detail = F.when(F.col("action") == "transition", F.to_json(F.struct(F.col("rollback").alias("rollback_to"))))
-    return replayed.where("status = 'ok' and action in ('create_version', 'transition')").select("seq", "model", "version", "action", "actor", "from_stage", F.col("stage").alias("to_stage"), detail.alias("detail"))
+    return replayed.where("status = 'ok' and action in ('create_version', 'transition')").select("seq", "model", "version", "action", "actor",
+        "from_stage", F.col("stage").alias("to_stage"), detail.alias("detail"))
 
 
 def resolve_prompts(requests: DataFrame, prompts: DataFrame, default: str = "v2") -> DataFrame:
@@ -114,4 +115,5 @@ def kb_version(docs: DataFrame, previous: int, dim: int, model: str, stamp: int
     """One row, a knowledge base's manifest after an update: kb_version, version ("4-kb", or "4-kb+stamp"), doc_count, dim, model."""
     now = previous + 1
     name = f"{now}-kb" + (f"+{stamp}" if stamp is not None else "")
-    return docs.agg(F.count("*").alias("doc_count")).select(F.lit(now).alias("kb_version"), F.lit(name).alias("version"), "doc_count", F.lit(dim).alias("dim"), F.lit(model).alias("model"))
+    return docs.agg(F.count("*").alias("doc_count")).select(F.lit(now).alias("kb_version"), F.lit(name).alias("version"), "doc_count",
+        F.lit(dim).alias("dim"), F.lit(model).alias("model"))

@@ -33,7 +33,8 @@ def _least(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(less | equal & (np.cumsum(equal, axis=1) <= wanted))
 
 
-def topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", query_id: str = "qid", base_id: str = "vec_id", vector: str = "embedding", digits: int | None = None, embed: Callable[[list[str]], np.ndarray] | None = None, text: str = "text") -> DataFrame:
+def topk(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", query_id: str = "qid", base_id: str = "vec_id",
+    vector: str = "embedding", digits: int | None = None, embed: Callable[[list[str]], np.ndarray] | None = None, text: str = "text") -> DataFrame:
     """(qid, vec_id, score, rank): the k best rows of ``base`` for each query, ties to the smaller id.
 
     metric: cosine or dot (large is near), l2 or l2sq (small is near).  Every row is compared.  The base
@@ -218,7 +219,8 @@ def best_alike(queries: DataFrame, base: DataFrame, most_chars: int = 8_000_000)
                         now = SequenceMatcher(None, question, texts[i]).ratio()
                         if now > score or now == score and ids[i] < other:
                             best[qid] = (now, ids[i])
-            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array([i for _, i in best.values()], pa.int64()), pa.array([100 * s for s, _ in best.values()], pa.float64())], ["qid", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array([i for _, i in best.values()], pa.int64()),
+                pa.array([100 * s for s, _ in best.values()], pa.float64())], ["qid", "id", "score"])
 
         got = base.select("id", "text").mapInArrow(work, "qid long, id long, score double")
         found = got if found is None else found.union(got)

@@ -61,9 +61,12 @@ def signals(ranked: DataFrame, hits: DataFrame, queries: DataFrame, texts: DataF
     fill = texts.orderBy("doc_id").limit(2 * k)
     short = queries.join(top.groupBy("qid").agg(F.count("*").alias("n_top")), "qid", "left").select("qid", F.coalesce("n_top", F.lit(0)).alias("n_top")).where(F.col("n_top") < k)
     spare = short.join(F.broadcast(fill.select("doc_id")), F.lit(True)).join(top.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
-    spare = spare.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).where(F.col("r") + F.col("n_top") <= k).select("qid", "doc_id", F.lit(0.0).alias("score"))
+    spare = spare.withColumn("r",
+        F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).where(F.col("r") + F.col("n_top") <= k).select("qid", "doc_id",
+        F.lit(0.0).alias("score"))
     chosen = top.union(spare).join(texts.select("doc_id", F.length("text").alias("chars")), "doc_id")
-    out = chosen.groupBy("qid").agg(F.max("score").alias("max_score"), F.coalesce(F.avg(F.when(F.col("score") > 0, F.col("score"))), F.lit(0.0)).alias("avg_topk"), F.sum("chars").alias("context_len"))
+    out = chosen.groupBy("qid").agg(F.max("score").alias("max_score"), F.coalesce(F.avg(F.when(F.col("score") > 0, F.col("score"))),
+        F.lit(0.0)).alias("avg_topk"), F.sum("chars").alias("context_len"))
     num_docs = F.coalesce("num_docs", F.lit(0)).cast("long").alias("num_docs")
     return out.join(hits, "qid", "left").select("qid", "max_score", "avg_topk", num_docs, F.col("context_len").cast("long"))
 

@@ -20,7 +20,8 @@ def answer_contexts(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
     docs, cut = table(spark, sf_dir, "documents"), C.sliding("text", 1000, 100)
     chunks = C.rows(docs, cut).withColumn("chunk", F.concat_ws(":", "doc_id", F.lpad(F.col("chunk_id").cast("string"), 9, "0")))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), hash_vector("text").alias("embedding"))
-    best = topk(items, chunks, k, "dot", base_id="chunk", digits=6, embed=hash_matrix).withColumn("doc_id", F.split("vec_id", ":")[0].cast("long")).withColumn("at", F.split("vec_id", ":")[1].cast("int"))
+    best = topk(items, chunks, k, "dot", base_id="chunk", digits=6, embed=hash_matrix).withColumn("doc_id", F.split("vec_id",
+        ":")[0].cast("long")).withColumn("at", F.split("vec_id", ":")[1].cast("int"))
     found = best.join(docs.select("doc_id", "text"), "doc_id").select("qid", "rank", F.element_at(cut, F.col("at") + 1).alias("text"))
     return joined(found, ["qid"], "rank")
 

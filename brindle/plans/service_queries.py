@@ -12,7 +12,8 @@ from ..sources.vector_store import VectorStore
 from ..streaming import stateful
 
 #: A policy whose patterns occur in the generated texts.
-POLICY = guard.Policy(input_patterns=(r"(?i)licensed under", r"token = ", r"\bthe the\b", *guard.INPUT_PATTERNS), output_patterns=(r"REDACTED_PHONE", r"(?i)all rights reserved", *guard.OUTPUT_PATTERNS), doc_roles={"doc_src0": ("en", "fr"), "doc_other": ("en",)})
+POLICY = guard.Policy(input_patterns=(r"(?i)licensed under", r"token = ", r"\bthe the\b", *guard.INPUT_PATTERNS), output_patterns=(r"REDACTED_PHONE",
+    r"(?i)all rights reserved", *guard.OUTPUT_PATTERNS), doc_roles={"doc_src0": ("en", "fr"), "doc_other": ("en",)})
 ROUTES = {"doc_src0": ("of the", "en la")}
 
 
@@ -21,7 +22,8 @@ def _requests(s, d):
 
 
 def _gate(mode):
-    return lambda s, d: _requests(s, d).select("doc_id", guard.check_input(F.col("text"), POLICY, mode).alias("g")).select("doc_id", "g.blocked", F.array_join("g.violations", "|").alias("violations"))
+    return lambda s, d: _requests(s, d).select("doc_id", guard.check_input(F.col("text"), POLICY, mode).alias("g")).select("doc_id", "g.blocked",
+        F.array_join("g.violations", "|").alias("violations"))
 
 
 def _hits(patterns, stage, mode, text="text"):
@@ -83,7 +85,8 @@ def _events(s, d):
 
 
 def latency_histogram(s, d):
-    return metrics.histogram(_events(s, d), ["event_type"], "value", (1.0, 5.0, 10.0, 25.0, 50.0, 100.0)).select("event_type", F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("int").cast("string")).alias("le"), "n")
+    return metrics.histogram(_events(s, d), ["event_type"], "value", (1.0, 5.0, 10.0, 25.0, 50.0, 100.0)).select("event_type",
+        F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("int").cast("string")).alias("le"), "n")
 
 
 _EDGES = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0)
@@ -162,7 +165,8 @@ def map_reduce(s, d):
 
 
 def _answers(s, d):
-    return table(s, d, "labels").withColumn("a", F.when(F.col("quality") == 1, "OK").otherwise("Hallucination")).withColumn("b", F.when(F.col("toxic") == 0, "OK").otherwise("Hallucination"))
+    return table(s, d, "labels").withColumn("a", F.when(F.col("quality") == 1, "OK").otherwise("Hallucination")).withColumn("b",
+        F.when(F.col("toxic") == 0, "OK").otherwise("Hallucination"))
 
 
 def judge_ensemble(s, d):
@@ -185,7 +189,8 @@ def source_distribution(s, d):
 def topic_errors(s, d):
     """Labelled texts by the first topic that they match, with the share of bad ones."""
     t = metrics.first_match(F.col("text"), {"licence": "(?i)licen[sc]e", "table": r"\|", "markup": r"[#*%&]{3}"}, "other")
-    return table(s, d, "documents").join(table(s, d, "labels"), "doc_id").groupBy(t.alias("topic")).agg(F.count("*").alias("n"), F.round(F.avg(1 - F.col("quality")), 6).alias("error_rate"))
+    return table(s, d, "documents").join(table(s, d, "labels"), "doc_id").groupBy(t.alias("topic")).agg(F.count("*").alias("n"),
+        F.round(F.avg(1 - F.col("quality")), 6).alias("error_rate"))
 
 
 def _turns(s, d):
@@ -241,7 +246,9 @@ def _actions(s, d):
     kind = F.col("o_orderkey") % 7
     action = F.when(kind == 0, "create_model").when(kind <= 2, "create_version").otherwise("transition")
     stage = F.element_at(F.array(*map(F.lit, ("staging", "Production", "Archived", "nowhere"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return o.select(F.col("o_orderkey").alias("seq"), action.alias("action"), F.concat(F.lit("m"), (F.col("o_custkey") % 50).cast("string")).alias("model"), F.concat(F.lit("v"), (F.col("o_custkey") % 350).cast("string")).alias("version"), stage.alias("to_stage"), F.lit("ci").alias("actor"), (F.col("o_orderkey") % 3 == 0).alias("rollback"))
+    return o.select(F.col("o_orderkey").alias("seq"), action.alias("action"), F.concat(F.lit("m"),
+        (F.col("o_custkey") % 50).cast("string")).alias("model"), F.concat(F.lit("v"), (F.col("o_custkey") % 350).cast("string")).alias("version"),
+        stage.alias("to_stage"), F.lit("ci").alias("actor"), (F.col("o_orderkey") % 3 == 0).alias("rollback"))
 
 
 def change_detect(s, d):
@@ -274,7 +281,8 @@ def exposition_lines(s, d):
 def candidate_rows(s, d):
     """The three first-priced parts of each brand as a candidate list."""
     w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
-    p = table(s, d, "part").withColumn("rank", F.row_number().over(w)).where("rank <= 3").select(F.col("p_brand").alias("query"), "rank", F.col("p_partkey").alias("idx"), F.col("p_name").alias("text"), F.col("p_retailprice").alias("retriever_score"))
+    p = table(s, d, "part").withColumn("rank", F.row_number().over(w)).where("rank <= 3").select(F.col("p_brand").alias("query"), "rank",
+        F.col("p_partkey").alias("idx"), F.col("p_name").alias("text"), F.col("p_retailprice").alias("retriever_score"))
     return candidates_json(p).select("query", F.array_join(F.transform("candidates", lambda c: c["idx"].cast("string")), ",").alias("ids"))
 
 
@@ -282,7 +290,8 @@ def windowed(slide):
     def run(s, d):
         e = _events(s, d).withColumn("t", F.col("ts").cast("timestamp"))
         w = F.window("t", "1 hour", slide)
-        return e.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+        return e.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"),
+            4).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
     return run
 
@@ -290,12 +299,14 @@ def windowed(slide):
 def session_counts(s, d):
     """Sessions of each user, 30 minutes without an event apart."""
     e = _events(s, d).withColumn("t", F.col("ts").cast("timestamp"))
-    return e.groupBy("user_id", F.session_window("t", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    return e.groupBy("user_id", F.session_window("t", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id",
+        F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 def revenue_rollup(s, d):
     l, o, c, n, r = (table(s, d, t) for t in ("lineitem", "orders", "customer", "nation", "region"))
-    j = l.join(o, l.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    j = l.join(o, l.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n,
+        F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     v = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
     return j.withColumn("v", v).rollup("r_name", "n_name").agg(F.sum("v").cast("double").alias("revenue"), F.count("*").alias("n"))
 
@@ -304,13 +315,15 @@ def semi_anti(s, d):
     c, o = table(s, d, "customer"), table(s, d, "orders")
     with_orders = c.join(o, c.c_custkey == o.o_custkey, "left_semi").groupBy("c_mktsegment").agg(F.count("*").alias("n_with"))
     without = c.join(o, c.c_custkey == o.o_custkey, "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n_without"))
-    return with_orders.join(without, "c_mktsegment", "full_outer").select("c_mktsegment", F.coalesce("n_with", F.lit(0)).alias("n_with"), F.coalesce("n_without", F.lit(0)).alias("n_without"))
+    return with_orders.join(without, "c_mktsegment", "full_outer").select("c_mktsegment", F.coalesce("n_with", F.lit(0)).alias("n_with"),
+        F.coalesce("n_without", F.lit(0)).alias("n_without"))
 
 
 def _cascade(s, d):
     """Every vector whose id is divisible by 20 asks; labels under 3 are in the exact cache, odd vectors in the semantic one."""
     e = table(s, d, "embeddings")
-    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("question"), F.col("embedding").alias("v"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.concat(F.lit("label "),
+        F.col("label").cast("string")).alias("question"), F.col("embedding").alias("v"))
     exact = s.createDataFrame([(f"label {i}", f"exact {i}") for i in range(3)], "question string, answer string").select(F.sha2("question", 256).alias("key"), "answer")
     semantic = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("id"), F.concat(F.lit("near "), F.col("label").cast("string")).alias("a"), F.col("embedding").alias("v"))
     return cache.cascade(asked, exact, semantic, F.lit("generated"), 0.3)
@@ -336,7 +349,8 @@ def semantic_insert(s, d):
 
 
 def answer_by_route(s, d):
-    rows = _turns(s, d).select("conv_id", "turn", F.col("q").alias("query"), F.col("c").alias("context"), ((F.col("conv_id") % 10) / 10 - 0.2).alias("max_score"), F.when(F.col("conv_id") % 3 == 0, "kb").otherwise("small_model").alias("target"))
+    rows = _turns(s, d).select("conv_id", "turn", F.col("q").alias("query"), F.col("c").alias("context"),
+        ((F.col("conv_id") % 10) / 10 - 0.2).alias("max_score"), F.when(F.col("conv_id") % 3 == 0, "kb").otherwise("small_model").alias("target"))
     return cache.answer_by_route(rows, 0.5).select("conv_id", "turn", "answer", "tokens", F.round("cost", 9).alias("cost"))
 
 
@@ -403,7 +417,8 @@ SELECT doc_id, question FROM (SELECT *, row_number() OVER (PARTITION BY doc_id O
 def registry_tables(s, d):
     """Versions beside their models, from tables with a foreign key: nations of their regions."""
     models = table(s, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit("team").alias("owner"))
-    versions = table(s, d, "nation").select(F.col("n_regionkey").alias("model_id"), F.col("n_name").alias("version"), F.when(F.col("n_nationkey") % 2 == 0, "Production").otherwise("Staging").alias("stage"))
+    versions = table(s, d, "nation").select(F.col("n_regionkey").alias("model_id"), F.col("n_name").alias("version"),
+        F.when(F.col("n_nationkey") % 2 == 0, "Production").otherwise("Staging").alias("stage"))
     return registry.models_with_versions(models, versions)
 
 
@@ -418,7 +433,8 @@ _PROMPTS = [("faq", "v1", "A {{ q }}"), ("faq", "v2", "B {{ q }}"), ("faq", "v10
 def prompt_resolve(s, d):
     """Each chat turn's prompt: the version in its header, its body, or the default."""
     prompts = s.createDataFrame(_PROMPTS, "name string, version string, template string")
-    c = table(s, d, "conversations").select("conv_id", "turn", F.lit("faq").alias("name"), F.when(F.col("turn") % 3 == 0, "v1").alias("header_version"), F.when(F.col("conv_id") % 2 == 0, "v10").alias("body_version"))
+    c = table(s, d, "conversations").select("conv_id", "turn", F.lit("faq").alias("name"), F.when(F.col("turn") % 3 == 0,
+        "v1").alias("header_version"), F.when(F.col("conv_id") % 2 == 0, "v10").alias("body_version"))
     return registry.resolve_prompts(c, prompts).select("conv_id", "turn", "prompt_id", "template")
 
 
@@ -464,7 +480,8 @@ def cache_live(s, d):
 
 
 def request_outcomes(s, d):
-    e = _events(s, d).select(F.when(F.col("event_type") == "view", "/metrics").otherwise(F.col("event_type")).alias("event_type"), F.when(F.col("value") > 50, 500).otherwise(200).alias("status"))
+    e = _events(s, d).select(F.when(F.col("event_type") == "view", "/metrics").otherwise(F.col("event_type")).alias("event_type"),
+        F.when(F.col("value") > 50, 500).otherwise(200).alias("status"))
     return metrics.request_outcomes(e).select("event_type", "n", "errors", F.round("error_rate", 6).alias("error_rate"))
 
 
@@ -479,7 +496,8 @@ def exposition_forms(s, d):
     n = metrics.counters(_events(s, d), ["event_type"])
     odd = n.withColumn("event_type", F.concat(F.lit('a"b\\c\n'), "event_type"))
     h = latency_histogram(s, d)
-    return exposition_json(n, "requests_total", ["event_type"], "n").unionByName(exposition(odd, "odd_total", ["event_type"], "n")).unionByName(exposition(h, "latency_bucket", ["event_type", "le"], "n"))
+    return exposition_json(n, "requests_total", ["event_type"], "n").unionByName(exposition(odd, "odd_total", ["event_type"],
+        "n")).unionByName(exposition(h, "latency_bucket", ["event_type", "le"], "n"))
 
 
 def change_gated(s, d):
@@ -513,7 +531,8 @@ def policy_table(s, d):
 
 #: Programs of a chain: a summary of the text, then questions about the summary with their answers as JSON.
 _ABOUT = "What is it about?"
-_PROGRAMS = [("summary", "Summarise:\n{{ context }}", {"context": "text"}), ("faq", "Context: {{ context }}\nQuestion: {{ question }}", {"context": "summary", "question": "question"})]
+_PROGRAMS = [("summary", "Summarise:\n{{ context }}", {"context": "text"}), ("faq", "Context: {{ context }}\nQuestion: {{ question }}",
+    {"context": "summary", "question": "question"})]
 
 
 def _stand_in(name, prompt):
@@ -541,7 +560,8 @@ def request_log(s, d):
 
 def vector_upserts(s, d):
     """(vec_id, version, label, first): embeddings put into a store, then some of them again with other metadata, some taken out, and all merged."""
-    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"))
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.create_map(F.lit("label"),
+        F.col("label").cast("string")).alias("metadata"))
     store = VectorStore(s, scratch_path(s, "vectors"))
     store.upsert(e, 1)
     again = e.where("id % 3 = 0").select("id", F.reverse("vector").alias("vector"), F.create_map(F.lit("label"), F.lit("changed")).alias("metadata"))
@@ -553,73 +573,155 @@ def vector_upserts(s, d):
 
 
 QUERIES = {
-    "registry_tables": (registry_tables, "SELECT r_name AS name, 'team' AS owner, n_name AS version, CASE WHEN n_nationkey % 2 = 0 THEN 'Production' ELSE 'Staging' END AS stage FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "registry_tables": (registry_tables,
+        "SELECT r_name AS name, 'team' AS owner, n_name AS version, CASE WHEN n_nationkey % 2 = 0 THEN 'Production' ELSE 'Staging' END AS stage FROM nation "
+        "JOIN region ON n_regionkey = r_regionkey"),
     "registry_at_stage": (at_stage, "SELECT doc_id FROM documents WHERE source = 'src0' AND lang = 'en'"),
-    "prompt_resolve": (prompt_resolve, "WITH v AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'v1' WHEN conv_id % 2 = 0 THEN 'v10' ELSE 'v2' END AS v FROM conversations) SELECT conv_id, turn, 'faq:' || v AS prompt_id, CASE v WHEN 'v1' THEN 'A' WHEN 'v2' THEN 'B' ELSE 'C' END || ' {{ q }}' AS template FROM v"),
+    "prompt_resolve": (prompt_resolve,
+        "WITH v AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'v1' WHEN conv_id % 2 = 0 THEN 'v10' ELSE 'v2' END AS v FROM conversations) "
+        "SELECT conv_id, turn, 'faq:' || v AS prompt_id, CASE v WHEN 'v1' THEN 'A' WHEN 'v2' THEN 'B' ELSE 'C' END || ' {{ q }}' AS template FROM v"),
     "prompt_versions": (prompt_versions, "SELECT 'v1,v10,v2' AS versions"),
-    "kb_manifest": (kb_manifest, "SELECT CAST(4 AS INTEGER) AS kb_version, v AS version, count(*) AS doc_count, CAST(384 AS INTEGER) AS dim, 'hash' AS model FROM documents, (VALUES ('4-kb'), ('4-kb+1700000000')) t(v) GROUP BY v"),
-    "context_prompts": (prompts, "SELECT conv_id, 'Answer from the context.' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) || 'Q: What was said?' || chr(10) || 'A:' AS prompt FROM conversations WHERE role = 'assistant' GROUP BY conv_id"),
+    "kb_manifest": (kb_manifest,
+        "SELECT CAST(4 AS INTEGER) AS kb_version, v AS version, count(*) AS doc_count, CAST(384 AS INTEGER) AS dim, 'hash' AS model FROM documents, "
+        "(VALUES ('4-kb'), ('4-kb+1700000000')) t(v) GROUP BY v"),
+    "context_prompts": (prompts, "SELECT conv_id, 'Answer from the context.' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) "
+        "ORDER BY turn) || chr(10) || chr(10) || 'Q: What was said?' || chr(10) || 'A:' AS prompt FROM conversations WHERE role = 'assistant' GROUP BY conv_id"),
     "missing_templates": (missing_templates, "SELECT DISTINCT lang FROM documents WHERE lang NOT IN ('en', 'de')"),
-    "debounce": (debounce, _FOLDED.format(key="user_id", init="NULL", fire="a.last IS NULL OR (b.x.t - a.last >= 7200000000 AND b.x.t <> a.last)", flag="fired", order="ts, event_id")),
-    "cache_ttl": (cache_ttl, _FOLDED.format(key="user_id, event_type", init="NULL", fire="a.last IS NULL OR b.x.t - a.last >= 86400000000", flag="miss", order="ts, event_id").replace("o.miss FROM", "NOT o.miss AS hit FROM")),
+    "debounce": (debounce, _FOLDED.format(key="user_id", init="NULL", fire="a.last IS NULL OR (b.x.t - a.last >= 7200000000 AND b.x.t <> a.last)",
+        flag="fired", order="ts, event_id")),
+    "cache_ttl": (cache_ttl, _FOLDED.format(key="user_id, event_type", init="NULL", fire="a.last IS NULL OR b.x.t - a.last >= 86400000000",
+        flag="miss", order="ts, event_id").replace("o.miss FROM", "NOT o.miss AS hit FROM")),
     "cache_live": (cache_live, "SELECT count(*) AS size FROM events WHERE ts <= TIMESTAMP '2024-01-15' AND ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-15' UNION ALL SELECT 0"),
-    "request_outcomes": (request_outcomes, "SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS errors, round(avg(CASE WHEN value > 50 THEN 1 ELSE 0 END), 6) AS error_rate FROM events WHERE event_type <> 'view' GROUP BY event_type"),
-    "latency_p95_by_minute": (p95_by_minute, "WITH b AS (" + _BUCKETS.replace("event_type", "date_trunc('minute', ts) AS minute").replace("GROUP BY date_trunc('minute', ts) AS minute", "GROUP BY 1") + "), w AS (SELECT *, max(n) OVER (PARTITION BY minute) AS total, coalesce(lag(n) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS low FROM b WINDOW w AS (PARTITION BY minute ORDER BY le)) SELECT minute, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (0.95 * total - below) / (n - below) END, 6) AS p95 FROM w WHERE n >= 0.95 * total AND below < 0.95 * total"),
-    "exposition_forms": (exposition_forms, f"""SELECT '{{"name":"requests_total","labels":{{"event_type":"' || event_type || '"}},"value":' || count(*) || '}}' AS line FROM events GROUP BY event_type UNION ALL SELECT 'odd_total{{event_type="a\\"b\\\\c\\n' || event_type || '"}} ' || count(*) FROM events GROUP BY event_type UNION ALL SELECT 'latency_bucket{{event_type="' || event_type || '",le="' || CASE WHEN isinf(le) THEN '+Inf' ELSE CAST(CAST(le AS INTEGER) AS VARCHAR) END || '"}} ' || n FROM ({_BUCKETS})"""),
+    "request_outcomes": (request_outcomes,
+        "SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS errors, round(avg(CASE WHEN value > 50 THEN 1 ELSE 0 END), 6) AS error_rate "
+        "FROM events WHERE event_type <> 'view' GROUP BY event_type"),
+    "latency_p95_by_minute": (p95_by_minute, "WITH b AS (" + _BUCKETS.replace("event_type",
+        "date_trunc('minute', ts) AS minute").replace("GROUP BY date_trunc('minute', ts) AS minute",
+        "GROUP BY 1") + "), w AS (SELECT *, max(n) OVER (PARTITION BY minute) AS total, coalesce(lag(n) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS low "
+        "FROM b WINDOW w AS (PARTITION BY minute ORDER BY le)) SELECT minute, round(CASE WHEN isinf(le) THEN low "
+        "ELSE low + (le - low) * (0.95 * total - below) / (n - below) END, 6) AS p95 FROM w WHERE n >= 0.95 * total AND below < 0.95 * total"),
+    "exposition_forms": (exposition_forms,
+        f"""SELECT '{{"name":"requests_total","labels":{{"event_type":"' || event_type || '"}},"value":' || count(*) || '}}' AS line FROM events GROUP BY event_type UNION ALL SELECT 'odd_total{{event_type="a\\"b\\\\c\\n' || event_type || '"}} ' || count(*) FROM events GROUP BY event_type UNION ALL SELECT 'latency_bucket{{event_type="' || event_type || '",le="' || CASE WHEN isinf(le) THEN '+Inf' ELSE CAST(CAST(le AS INTEGER) AS VARCHAR) END || '"}} ' || n FROM ({_BUCKETS})"""),
     "change_gated": (change_gated, "SELECT doc_id FROM documents WHERE lang = 'de' OR source = 'src1'"),
     "mtime_sensor": (mtime_sensor, "SELECT user_id AS path, max(event_id) AS mtime, CAST(max(event_id) AS VARCHAR) AS run_key FROM events WHERE user_id % 4 <> 0 GROUP BY user_id"),
-    "bank_questions": (bank_questions, "SELECT doc_id, lang, style, question FROM documents, (VALUES ('plain', 'What is it?'), ('plain', 'Who says so?'), ('short', 'What?')) t(style, question) WHERE lang <> 'en'"),
-    "policy_table": (policy_table, r"SELECT doc_id, v <> '' AS blocked, v AS violations FROM (SELECT doc_id, CASE WHEN regexp_matches(text, '\bthe\b') THEN 'input:\bthe\b' WHEN regexp_matches(text, '(?i)license') THEN 'input:(?i)license' ELSE '' END AS v FROM documents)"),
+    "bank_questions": (bank_questions,
+        "SELECT doc_id, lang, style, question FROM documents, (VALUES ('plain', 'What is it?'), ('plain', 'Who says so?'), ('short', 'What?')) t(style, "
+        "question) WHERE lang <> 'en'"),
+    "policy_table": (policy_table,
+        r"SELECT doc_id, v <> '' AS blocked, v AS violations FROM (SELECT doc_id, CASE WHEN regexp_matches(text, '\bthe\b') THEN 'input:\bthe\b' "
+        r"WHEN regexp_matches(text, '(?i)license') THEN 'input:(?i)license' ELSE '' END AS v FROM documents)"),
     "chained_programs": (chained_programs, f"SELECT doc_id, 'Q: {_ABOUT} A: ' || " + _FIRST.format("coalesce(text, '')").replace(r"\s", X.WS) + " AS text FROM documents"),
     "request_log": (request_log, "SELECT event_id, round(floor(value * 12345) / 1000000, 3) AS latency_s, round(value / 7000, 6) AS cost_usd FROM events"),
-    "vector_upserts": (vector_upserts, "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'changed' ELSE label::VARCHAR END AS label, round((CASE WHEN vec_id % 3 = 0 THEN embedding[len(embedding)] ELSE embedding[1] END)::DOUBLE, 6) AS first FROM embeddings WHERE vec_id % 10 <> 9"),
+    "vector_upserts": (vector_upserts,
+        "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'changed' ELSE label::VARCHAR END AS label, round((CASE WHEN vec_id % 3 = 0 "
+        "THEN embedding[len(embedding)] ELSE embedding[1] END)::DOUBLE, 6) AS first FROM embeddings WHERE vec_id % 10 <> 9"),
     "guard_input_enforce": (_gate("enforce"), _gate_sql("enforce")),
     "guard_input_report": (_gate("report"), _gate_sql("report")),
     "guard_output": (guard_output, f"SELECT doc_id, false AS blocked, {_hits(POLICY.output_patterns, 'output', 'report')} AS violations FROM documents"),
-    "acl_enforce": (acl_enforce, "WITH v AS (SELECT doc_id, list_filter([CASE WHEN lang NOT IN ('en', 'fr') THEN 'acl_denied:doc_src0' END, CASE WHEN lang <> 'en' THEN 'acl_denied:doc_other' END, 'acl_denied:doc_unknown'], lambda x: x IS NOT NULL) AS v FROM documents) SELECT doc_id, false AS allowed, v[1] AS first, array_to_string(v, '|') AS every FROM v"),
-    "acl_join": (acl_join, "SELECT doc_id AS req_id, source AS doc_id, lang AS role FROM documents WHERE NOT EXISTS (SELECT 1 FROM (VALUES ('src0', 'en'), ('src0', 'fr'), ('src1', 'en'), ('src2', 'de')) g(a, b) WHERE a = source AND b = lang)"),
+    "acl_enforce": (acl_enforce,
+        "WITH v AS (SELECT doc_id, list_filter([CASE WHEN lang NOT IN ('en', 'fr') THEN 'acl_denied:doc_src0' END, CASE WHEN lang <> 'en' "
+        "THEN 'acl_denied:doc_other' END, 'acl_denied:doc_unknown'], lambda x: x IS NOT NULL) AS v FROM documents) SELECT doc_id, false AS allowed, "
+        "v[1] AS first, array_to_string(v, '|') AS every FROM v"),
+    "acl_join": (acl_join,
+        "SELECT doc_id AS req_id, source AS doc_id, lang AS role FROM documents WHERE NOT EXISTS (SELECT 1 FROM (VALUES ('src0', 'en'), ('src0', 'fr'), "
+        "('src1', 'en'), ('src2', 'de')) g(a, b) WHERE a = source AND b = lang)"),
     "guard_pipeline": (guard_pipeline, _pipeline_sql()),
-    "request_counters": (lambda s, d: metrics.counters(_events(s, d), ["event_type"], "value").select("event_type", "n", F.round("total", 4).alias("total")), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type"),
-    "metrics_rollup": (lambda s, d: metrics.rollup(_events(s, d).withColumn("u", F.col("user_id") % 3), ["event_type", "u"], "value").select("event_type", "u", "n", F.round("total", 4).alias("total")), "SELECT event_type, user_id % 3 AS u, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP (event_type, u)"),
+    "request_counters": (lambda s, d: metrics.counters(_events(s, d), ["event_type"], "value").select("event_type", "n", F.round("total",
+        4).alias("total")), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type"),
+    "metrics_rollup": (lambda s, d: metrics.rollup(_events(s, d).withColumn("u", F.col("user_id") % 3), ["event_type", "u"],
+        "value").select("event_type", "u", "n", F.round("total", 4).alias("total")),
+        "SELECT event_type, user_id % 3 AS u, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP (event_type, u)"),
     "latency_histogram": (latency_histogram, f"SELECT event_type, CASE WHEN isinf(le) THEN '+Inf' ELSE CAST(CAST(le AS INTEGER) AS VARCHAR) END AS le, n FROM ({_BUCKETS})"),
-    "latency_p95_bucket": (latency_p95_bucket, f"WITH b AS (SELECT *, max(n) OVER (PARTITION BY event_type) AS total, coalesce(lag(n) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS low FROM ({_BUCKETS}) WINDOW w AS (PARTITION BY event_type ORDER BY le)) SELECT event_type, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (0.95 * total - below) / (n - below) END, 6) AS p95 FROM b WHERE n >= 0.95 * total AND below < 0.95 * total"),
+    "latency_p95_bucket": (latency_p95_bucket,
+        f"WITH b AS (SELECT *, max(n) OVER (PARTITION BY event_type) AS total, coalesce(lag(n) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS low "
+        f"FROM ({_BUCKETS}) WINDOW w AS (PARTITION BY event_type ORDER BY le)) SELECT event_type, round(CASE WHEN isinf(le) THEN low "
+        f"ELSE low + (le - low) * (0.95 * total - below) / (n - below) END, 6) AS p95 FROM b WHERE n >= 0.95 * total AND below < 0.95 * total"),
     "latency_p95_exact": (latency_p95_exact, "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type"),
     "cost_rate_1m": (cost_rate, "SELECT date_trunc('minute', ts) AS start, round(sum(value) / 60, 6) AS rate FROM events GROUP BY 1"),
-    "cost_by_model": (cost_by_model, "WITH c AS (SELECT CASE role WHEN 'user' THEN 'gpt-4o-mini' WHEN 'assistant' THEN 'gpt-4o' ELSE 'other' END AS model, CAST(greatest(1, floor(length(text) / 4)) AS INTEGER) AS n FROM conversations) SELECT model, CAST(sum(n) AS BIGINT) AS tokens, round(sum(n * CASE model WHEN 'gpt-4o-mini' THEN 0.15e-6 + 0.60e-6 WHEN 'gpt-4o' THEN 2.5e-6 + 10e-6 ELSE 0e0 END), 9) AS cost, round(sum(round(n / 1000 * 0.003e0 + n / 1000 * 0.006e0, 6)), 6) AS flat_cost FROM c GROUP BY model"),
-    "cache_exact_hits": (cache_hits, "SELECT r > 1 AS hit, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS r FROM conversations WHERE role = 'user') GROUP BY 1"),
+    "cost_by_model": (cost_by_model,
+        "WITH c AS (SELECT CASE role WHEN 'user' THEN 'gpt-4o-mini' WHEN 'assistant' THEN 'gpt-4o' ELSE 'other' END AS model, CAST(greatest(1, "
+        "floor(length(text) / 4)) AS INTEGER) AS n FROM conversations) SELECT model, CAST(sum(n) AS BIGINT) AS tokens, round(sum(n * CASE model "
+        "WHEN 'gpt-4o-mini' THEN 0.15e-6 + 0.60e-6 WHEN 'gpt-4o' THEN 2.5e-6 + 10e-6 ELSE 0e0 END), 9) AS cost, "
+        "round(sum(round(n / 1000 * 0.003e0 + n / 1000 * 0.006e0, 6)), 6) AS flat_cost FROM c GROUP BY model"),
+    "cache_exact_hits": (cache_hits,
+        "SELECT r > 1 AS hit, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS r FROM conversations "
+        "WHERE role = 'user') GROUP BY 1"),
     "rate_limit": (rate_limit, _LIMITED),
-    "turn_islands": (turn_islands, "SELECT conv_id, turn, role, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS island FROM (SELECT *, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS n FROM conversations)"),
-    "chatml_pairs": (chatml_pairs, r"WITH c AS (SELECT *, lead(text) OVER w AS a, lead(role) OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || a || '<|im_end|>' AS chat, regexp_replace(a, '^\s+|\s+$', '', 'g') AS answer FROM c WHERE role = 'user' AND n = 'assistant'"),
+    "turn_islands": (turn_islands,
+        "SELECT conv_id, turn, role, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS island FROM (SELECT *, CASE WHEN role IS DISTINCT "
+        "FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS n FROM conversations)"),
+    "chatml_pairs": (chatml_pairs,
+        r"WITH c AS (SELECT *, lead(text) OVER w AS a, lead(role) OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) "
+        r"SELECT conv_id, turn, "
+        r"'<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || a || '<|im_end|>' AS chat, "
+        r"regexp_replace(a, '^\s+|\s+$', '', 'g') AS answer FROM c WHERE role = 'user' AND n = 'assistant'"),
     "sft_messages": (sft_messages, "SELECT conv_id, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"),
     "context_concat": (contexts, "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations WHERE role = 'assistant' GROUP BY conv_id"),
     "map_reduce_summary": (map_reduce, _SUMMARY),
-    "judge_ensemble": (judge_ensemble, "SELECT doc_id, quality = 1 AND toxic = 0 AS all_ok, quality = 1 OR toxic = 0 AS any_ok, CASE WHEN quality = 1 AND toxic = 0 THEN 'OK' WHEN quality = 0 AND toxic = 1 THEN 'Hallucination' ELSE 'REVIEW' END AS consensus FROM labels"),
-    "confusion_counts": (confusion_counts, "SELECT CASE WHEN quality = 1 THEN 'OK → Hallucination' ELSE 'Hallucination → OK' END AS pair, count(*) AS n FROM labels WHERE quality = toxic GROUP BY 1"),
-    "quality_bins": (quality_bins, "SELECT CASE WHEN value >= 85 THEN 'excellent' WHEN value >= 70 THEN 'good' WHEN value >= 50 THEN 'fair' ELSE 'poor' END AS bin, count(*) AS n FROM events GROUP BY 1"),
+    "judge_ensemble": (judge_ensemble,
+        "SELECT doc_id, quality = 1 AND toxic = 0 AS all_ok, quality = 1 OR toxic = 0 AS any_ok, CASE WHEN quality = 1 AND toxic = 0 THEN 'OK' "
+        "WHEN quality = 0 AND toxic = 1 THEN 'Hallucination' ELSE 'REVIEW' END AS consensus FROM labels"),
+    "confusion_counts": (confusion_counts,
+        "SELECT CASE WHEN quality = 1 THEN 'OK → Hallucination' ELSE 'Hallucination → OK' END AS pair, count(*) AS n FROM labels WHERE quality = toxic "
+        "GROUP BY 1"),
+    "quality_bins": (quality_bins,
+        "SELECT CASE WHEN value >= 85 THEN 'excellent' WHEN value >= 70 THEN 'good' WHEN value >= 50 THEN 'fair' ELSE 'poor' END AS bin, count(*) AS n "
+        "FROM events GROUP BY 1"),
     "source_distribution": (source_distribution, "SELECT source, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS pct FROM documents GROUP BY source"),
-    "topic_errors": (topic_errors, r"SELECT CASE WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'licence' WHEN regexp_matches(text, '\|') THEN 'table' WHEN regexp_matches(text, '[#*%&]{3}') THEN 'markup' ELSE 'other' END AS topic, count(*) AS n, round(avg(1 - quality), 6) AS error_rate FROM documents JOIN labels USING (doc_id) GROUP BY 1"),
+    "topic_errors": (topic_errors,
+        r"SELECT CASE WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'licence' WHEN regexp_matches(text, '\|') THEN 'table' WHEN regexp_matches(text, "
+        r"'[#*%&]{3}') THEN 'markup' ELSE 'other' END AS topic, count(*) AS n, round(avg(1 - quality), 6) AS error_rate FROM documents "
+        r"JOIN labels USING (doc_id) GROUP BY 1"),
     "sft_questions": (questions, _questions_sql()),
     "registry_replay": (_replayed, f"{_LOG} SELECT * FROM replayed"),
-    "registry_production": (lambda s, d: registry.production(_replayed(s, d)), f"{_LOG}, m AS (SELECT *, row_number() OVER (PARTITION BY model, version ORDER BY seq DESC) AS r FROM replayed WHERE status = 'ok' AND stage IS NOT NULL), p AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY seq DESC) AS n FROM m WHERE r = 1 AND stage = 'Production') SELECT model, version FROM p WHERE n = 1"),
-    "registry_audit": (lambda s, d: registry.audit(_replayed(s, d)), f"{_LOG} SELECT seq, model, version, action, actor, from_stage, stage AS to_stage, CASE WHEN action = 'transition' THEN '{{\"rollback_to\":' || rollback::VARCHAR || '}}' END AS detail FROM replayed WHERE status = 'ok' AND action IN ('create_version', 'transition')"),
-    "change_detect": (change_detect, "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus IS DISTINCT FROM p) AS n_changed FROM (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders) GROUP BY o_custkey"),
-    "version_diff": (version_diff, "WITH a AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 5 <> 0) SELECT CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' WHEN a.o_orderstatus = b.s THEN 'same' ELSE 'changed' END AS change, count(*) AS n FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey GROUP BY 1"),
+    "registry_production": (lambda s, d: registry.production(_replayed(s, d)),
+        f"{_LOG}, m AS (SELECT *, row_number() OVER (PARTITION BY model, version ORDER BY seq DESC) AS r FROM replayed WHERE status = 'ok' "
+        f"AND stage IS NOT NULL), p AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY seq DESC) AS n FROM m WHERE r = 1 AND stage = 'Production') "
+        f"SELECT model, version FROM p WHERE n = 1"),
+    "registry_audit": (lambda s, d: registry.audit(_replayed(s, d)),
+        f"{_LOG} SELECT seq, model, version, action, actor, from_stage, stage AS to_stage, CASE WHEN action = 'transition' "
+        f"THEN '{{\"rollback_to\":' || rollback::VARCHAR || '}}' END AS detail FROM replayed WHERE status = 'ok' AND action IN ('create_version', 'transition')"),
+    "change_detect": (change_detect, "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus IS DISTINCT FROM p) AS n_changed FROM (SELECT *, "
+        "lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders) GROUP BY o_custkey"),
+    "version_diff": (version_diff,
+        "WITH a AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'X' "
+        "ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 5 <> 0) SELECT CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL "
+        "THEN 'removed' WHEN a.o_orderstatus = b.s THEN 'same' ELSE 'changed' END AS change, count(*) AS n FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey "
+        "GROUP BY 1"),
     "version_compare": (version_compare, "SELECT p_partkey, [p_partkey % 12, p_size] > [p_size, p_partkey % 9] AS newer FROM part"),
     "latest_upsert": (latest_events, "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL"),
     "exposition": (exposition_lines, "SELECT 'requests_total{event_type=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type"),
-    "candidates_json": (candidate_rows, "SELECT p_brand AS query, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY r) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r <= 3 GROUP BY p_brand"),
+    "candidates_json": (candidate_rows,
+        "SELECT p_brand AS query, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY r) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY p_brand "
+        "ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r <= 3 GROUP BY p_brand"),
     "tumbling_counts": (windowed("1 hour"), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
-    "sliding_counts": (windowed("30 minutes"), "WITH w AS (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start, event_type, value FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL"),
-    "session_counts": (session_counts, "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts, n DESC ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k"),
-    "rollup_revenue": (revenue_rollup, "SELECT r_name, n_name, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)"),
-    "semi_anti": (semi_anti, "SELECT c_mktsegment, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS n_with, count(*) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders)) AS n_without FROM customer GROUP BY 1"),
+    "sliding_counts": (windowed("30 minutes"),
+        "WITH w AS (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start, event_type, value "
+        "FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL"),
+    "session_counts": (session_counts,
+        "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n "
+        "FROM events), s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts, n DESC ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, "
+        "min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k"),
+    "rollup_revenue": (revenue_rollup,
+        "SELECT r_name, n_name, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue, count(*) AS n FROM lineitem "
+        "JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey "
+        "JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)"),
+    "semi_anti": (semi_anti,
+        "SELECT c_mktsegment, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS n_with, count(*) FILTER (c_custkey NOT IN (SELECT o_custkey "
+        "FROM orders)) AS n_without FROM customer GROUP BY 1"),
     "cache_cascade": (cache_cascade, f"{_CASCADE} SELECT * FROM c"),
-    "cache_summary": (cache_summary, f"{_CASCADE} SELECT count(*) AS requests, count(*) FILTER (source = 'prompt_cache') AS exact_hits, count(*) FILTER (source = 'semantic_cache') AS semantic_hits, count(*) FILTER (source = 'llm') AS misses, round(count(*) FILTER (source <> 'llm') / count(*), 6) AS hit_rate FROM c"),
-    "semantic_cache_insert": (semantic_insert, "SELECT vec_id AS id, CAST(label AS VARCHAR) AS a FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT (SELECT max(vec_id) FROM embeddings WHERE vec_id % 2 = 0) + row_number() OVER (ORDER BY vec_id), CAST(label AS VARCHAR) FROM embeddings WHERE vec_id % 2 = 1"),
+    "cache_summary": (cache_summary, f"{_CASCADE} SELECT count(*) AS requests, count(*) FILTER (source = 'prompt_cache') AS exact_hits, "
+        f"count(*) FILTER (source = 'semantic_cache') AS semantic_hits, count(*) FILTER (source = 'llm') AS misses, "
+        f"round(count(*) FILTER (source <> 'llm') / count(*), 6) AS hit_rate FROM c"),
+    "semantic_cache_insert": (semantic_insert,
+        "SELECT vec_id AS id, CAST(label AS VARCHAR) AS a FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT (SELECT max(vec_id) FROM embeddings "
+        "WHERE vec_id % 2 = 0) + row_number() OVER (ORDER BY vec_id), CAST(label AS VARCHAR) FROM embeddings WHERE vec_id % 2 = 1"),
     "prompt_render": (prompt_render, "SELECT doc_id, '[' || lang || '] ' || text || ' |' AS prompt FROM documents"),
     "answer_sources": (answer_sources, _SOURCES),
     "answer_by_route": (answer_by_route, _BY_ROUTE),
-    "chain_route": (chain_route, "SELECT CASE WHEN trim(text) = '' THEN 'summary' WHEN contains(lower(text), 'under the') OR contains(lower(text), 'en la') THEN 'pricing' ELSE 'faq' END AS chain, count(*) AS n FROM documents GROUP BY 1"),
+    "chain_route": (chain_route,
+        "SELECT CASE WHEN trim(text) = '' THEN 'summary' WHEN contains(lower(text), 'under the') OR contains(lower(text), 'en la') THEN 'pricing' "
+        "ELSE 'faq' END AS chain, count(*) AS n FROM documents GROUP BY 1"),
 }
 
 # the dialects' own class of white space is ASCII alone

@@ -48,7 +48,8 @@ def json_lines_strict(s, d):
 
 def candidates(s, d):
     """Candidate lists of the parts of each brand, written as JSON and read back."""
-    p = T.table(s, d, "part").select(F.col("p_brand").alias("query"), F.col("p_size").alias("rank"), F.col("p_partkey").alias("idx"), F.col("p_name").alias("text"), F.col("p_retailprice").alias("retriever_score"))
+    p = T.table(s, d, "part").select(F.col("p_brand").alias("query"), F.col("p_size").alias("rank"), F.col("p_partkey").alias("idx"),
+        F.col("p_name").alias("text"), F.col("p_retailprice").alias("retriever_score"))
     return T.candidates(s, _files_of_one(s, T.candidates_json(p), "candidates")).withColumn("retriever_score", F.round("retriever_score", 4))
 
 
@@ -61,7 +62,8 @@ def reranked(s, d):
 
 def faq_texts(s, d):
     """Question and answer texts from JSON strings."""
-    faqs = F.to_json(F.struct(F.array(F.struct(F.col("n_name").alias("q"), F.concat(F.lit("is "), F.col("n_name")).alias("a")), F.struct(F.lit("x").alias("q"), F.lit("y").alias("a"))).alias("faqs")))
+    faqs = F.to_json(F.struct(F.array(F.struct(F.col("n_name").alias("q"), F.concat(F.lit("is "), F.col("n_name")).alias("a")),
+        F.struct(F.lit("x").alias("q"), F.lit("y").alias("a"))).alias("faqs")))
     return T.faq_texts(T.table(s, d, "nation").select(faqs.alias("json")))
 
 
@@ -153,7 +155,9 @@ QUERIES = {
     "json_lines": (json_lines, "SELECT * FROM nation"),
     "json_lines_strict": (json_lines_strict, "SELECT * FROM nation"),
     "candidates_scan": (candidates, "SELECT p_brand AS query, p_size AS rank, p_partkey AS idx, p_name AS text, round(p_retailprice, 4) AS retriever_score FROM part"),
-    "reranked_scan": (reranked, "SELECT query, CAST(r - 1 AS INTEGER) AS pos, idx, text FROM (SELECT p_brand AS query, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r, CAST(p_partkey AS INTEGER) AS idx, p_name AS text FROM part) WHERE r <= 2"),
+    "reranked_scan": (reranked,
+        "SELECT query, CAST(r - 1 AS INTEGER) AS pos, idx, text FROM (SELECT p_brand AS query, row_number() OVER (PARTITION BY p_brand "
+        "ORDER BY p_partkey) AS r, CAST(p_partkey AS INTEGER) AS idx, p_name AS text FROM part) WHERE r <= 2"),
     "faq_texts": (faq_texts, "SELECT CAST(0 AS INTEGER) AS pos, 'Q: ' || n_name || ' A: is ' || n_name AS text FROM nation UNION ALL SELECT 1, 'Q: x A: y' FROM nation"),
     "yaml_files": (yaml_files, "SELECT '1.' || r_regionkey AS version, 'who' AS q, r_name AS a FROM region"),
     "whole_files": (whole_files, "SELECT r_name || chr(10) AS text FROM region"),

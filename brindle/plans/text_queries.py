@@ -199,7 +199,8 @@ def time_formats(s, d):
 
 def fences(s, d):
     t = F.concat(F.lit("```json\n"), F.to_json(F.struct("item_id")), F.lit("\n```"))
-    return table(s, d, "benchmark").select("item_id", X.strip_fences(t).alias("t"), X.extract_json(X.strip_fences(t)).alias("j"), X.extract_json(F.concat(F.lit("so <|x|>: "), F.to_json(F.struct("item_id")), F.lit(" end"))).alias("inner"))
+    return table(s, d, "benchmark").select("item_id", X.strip_fences(t).alias("t"), X.extract_json(X.strip_fences(t)).alias("j"),
+        X.extract_json(F.concat(F.lit("so <|x|>: "), F.to_json(F.struct("item_id")), F.lit(" end"))).alias("inner"))
 
 
 def judged_labels(s, d):
@@ -217,7 +218,8 @@ def model_names(s, d):
 
 def byte_vectors(s, d):
     v = byte_vector("text")
-    return _docs(s, d).select("doc_id", F.round(v[0], 6).alias("first"), F.round(v[7], 6).alias("last"), F.round(F.aggregate(zero_vector(1536), F.lit(0.0), lambda a, x: a + x), 6).alias("zero"), F.size(zero_vector(1536)).alias("dims"))
+    return _docs(s, d).select("doc_id", F.round(v[0], 6).alias("first"), F.round(v[7], 6).alias("last"), F.round(F.aggregate(zero_vector(1536),
+        F.lit(0.0), lambda a, x: a + x), 6).alias("zero"), F.size(zero_vector(1536)).alias("dims"))
 
 
 def stream_dedupe(s, d):
@@ -260,23 +262,41 @@ _FIRST = r"regexp_extract({0}, '^\s*([^.!?。！？]*[.!?。！？]?)', 1)"
 
 QUERIES = {
     "clean_document": (clean_document, None),
-    "reply_texts": (reply_texts, _bullets().replace("AS points FROM u", "AS points FROM u)").replace("SELECT doc_id, array_to_string", ", v AS (SELECT doc_id, array_to_string").replace("WITH t0", "WITH t0") + f" SELECT doc_id, '{X.REPLY_HEAD}' || points || '{X.REPLY_TAIL}' || '2024-05-06）' AS reply FROM v"),
-    "other_token_estimates": (other_token_estimates, "SELECT conv_id, turn, CAST(floor(length(text) / 4 + length(role) / 4) AS INTEGER) AS pair, CAST(floor(length(text) / 4) AS INTEGER) AS floor, CAST(greatest(5, floor(length(text) / 4)) AS INTEGER) AS least_5 FROM conversations"),
+    "reply_texts": (reply_texts, _bullets().replace("AS points FROM u", "AS points FROM u)").replace("SELECT doc_id, array_to_string",
+        ", v AS (SELECT doc_id, array_to_string").replace("WITH t0",
+        "WITH t0") + f" SELECT doc_id, '{X.REPLY_HEAD}' || points || '{X.REPLY_TAIL}' || '2024-05-06）' AS reply FROM v"),
+    "other_token_estimates": (other_token_estimates,
+        "SELECT conv_id, turn, CAST(floor(length(text) / 4 + length(role) / 4) AS INTEGER) AS pair, CAST(floor(length(text) / 4) AS INTEGER) AS floor, "
+        "CAST(greatest(5, floor(length(text) / 4)) AS INTEGER) AS least_5 FROM conversations"),
     "time_formats": (time_formats, "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS clock, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events"),
-    "fenced_json": (fences, "SELECT item_id, '{\"item_id\":' || item_id || '}' AS t, '{\"item_id\":' || item_id || '}' AS j, '{\"item_id\":' || item_id || '}' AS inner FROM benchmark"),
+    "fenced_json": (fences,
+        "SELECT item_id, '{\"item_id\":' || item_id || '}' AS t, '{\"item_id\":' || item_id || '}' AS j, '{\"item_id\":' || item_id || '}' AS inner "
+        "FROM benchmark"),
     "judged_labels": (judged_labels, "SELECT doc_id, CASE WHEN quality = 1 THEN 'OK' ELSE 'Hallucination' END AS label FROM labels"),
     "template_dialect": (template_dialect, r"SELECT doc_id, regexp_replace('{{ a }} {{b}} ' || text, '\{\{\s*(\w+)\s*\}\}', '{\1}', 'g') AS t FROM documents"),
     "model_names": (model_names, "SELECT doc_id, CASE WHEN lang = 'en' THEN source ELSE 'small' END AS model FROM documents"),
-    "byte_vectors": (byte_vectors, "WITH b AS (SELECT doc_id, list_transform(range(0, 8), lambda i: CAST('0x' || substr(md5(text), 2 * i + 1, 2) AS INTEGER) / 255) AS v FROM documents), n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM b) SELECT doc_id, round(v[1] / n, 6) AS first, round(v[8] / n, 6) AS last, 0.0::DOUBLE AS zero, CAST(1536 AS INTEGER) AS dims FROM n"),
+    "byte_vectors": (byte_vectors,
+        "WITH b AS (SELECT doc_id, list_transform(range(0, 8), lambda i: CAST('0x' || substr(md5(text), 2 * i + 1, 2) AS INTEGER) / 255) AS v FROM documents), "
+        "n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM b) SELECT doc_id, round(v[1] / n, 6) AS first, round(v[8] / n, 6) AS last, "
+        "0.0::DOUBLE AS zero, CAST(1536 AS INTEGER) AS dims FROM n"),
     "stream_dedupe": (stream_dedupe, "SELECT min(event_id) AS event_id FROM events GROUP BY user_id, date_trunc('hour', ts)"),
-    "question_status": (question_status, f"SELECT CAST(CASE WHEN coalesce({_STRIP.format('text')}, '') = '' THEN 400 ELSE 200 END AS INTEGER) AS status, count(*) AS n FROM documents GROUP BY 1"),
-    "export_slices": (export_slices, "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, count(*) OVER () AS total FROM documents) SELECT 'cursor' AS kind, doc_id FROM r WHERE n > 100 UNION ALL SELECT 'since', doc_id FROM r WHERE n > total - 7 UNION ALL SELECT 'all', doc_id FROM r"),
+    "question_status": (question_status,
+        f"SELECT CAST(CASE WHEN coalesce({_STRIP.format('text')}, '') = '' THEN 400 ELSE 200 END AS INTEGER) AS status, count(*) AS n FROM documents GROUP BY 1"),
+    "export_slices": (export_slices,
+        "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, count(*) OVER () AS total FROM documents) SELECT 'cursor' AS kind, doc_id FROM r "
+        "WHERE n > 100 UNION ALL SELECT 'since', doc_id FROM r WHERE n > total - 7 UNION ALL SELECT 'all', doc_id FROM r"),
     "mixed_sample": (mixed_sample, f"{_SAMPLED} SELECT doc_id, answerable FROM p"),
-    "answer_split": (answer_split, f"{_SAMPLED} SELECT count(*) AS total, count(*) FILTER (answerable) AS n_answerable, count(*) FILTER (NOT answerable) AS n_unanswerable, round(100.0 * count(*) FILTER (answerable) / count(*), 6)::DOUBLE AS pct_answerable, round(100.0 * count(*) FILTER (NOT answerable) / count(*), 6)::DOUBLE AS pct_unanswerable FROM p"),
+    "answer_split": (answer_split,
+        f"{_SAMPLED} SELECT count(*) AS total, count(*) FILTER (answerable) AS n_answerable, count(*) FILTER (NOT answerable) AS n_unanswerable, "
+        f"round(100.0 * count(*) FILTER (answerable) / count(*), 6)::DOUBLE AS pct_answerable, round(100.0 * count(*) FILTER (NOT answerable) / count(*), "
+        f"6)::DOUBLE AS pct_unanswerable FROM p"),
     "norm_ws": (_map(lambda: X.norm_ws("text"), "norm"), _sql(_NORM.format("text"), "norm")),
     "content_hash": (_map(lambda: X.content_hash("text"), "h"), _sql(f"sha256({_NORM.format('text')})", "h")),
-    "kb_records": (lambda s, d: kb_records(_docs(s, d)), f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_NORM.format('text')} AS text, sha256({_NORM.format('text')}) AS text_hash FROM documents"),
-    "clean_lines": (_map(lambda: X.clean_lines("text"), "clean"), _sql(rf"array_to_string(list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r]'), lambda x: {_STRIP.format('x')}), lambda x: x <> ''), chr(10))", "clean")),
+    "kb_records": (lambda s, d: kb_records(_docs(s, d)),
+        f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_NORM.format('text')} AS text, sha256({_NORM.format('text')}) AS text_hash FROM documents"),
+    "clean_lines": (_map(lambda: X.clean_lines("text"), "clean"),
+        _sql(rf"array_to_string(list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r]'), lambda x: {_STRIP.format('x')}), lambda x: x <> ''), chr(10))",
+        "clean")),
     "one_line": (_map(lambda: X.one_line("text"), "line"), _sql(_NORM.format("regexp_replace(text, '<[^>]+>', ' ', 'g')"), "line")),
     "punct_collapse": (_map(lambda: X.collapse_punctuation("text"), "t"), _sql(_collapsed("text"), "t")),
     "normal_spacing": (_map(lambda: X.normal_spacing("text"), "t"), _sql(_spaced("text"), "t")),
@@ -285,51 +305,100 @@ QUERIES = {
     "reflow": (_map(lambda: X.reflow("text"), "t"), None),
     "html_strip": (lambda s, d: table(s, d, "pages").select("page_id", X.strip_html("html").alias("t")), f"SELECT page_id, {_html('html')} AS t FROM pages"),
     "html_blocks": (lambda s, d: table(s, d, "pages").select("page_id", X.html_blocks("html").alias("t")), None),
-    "html_paragraphs": (lambda s, d: web_paragraphs(table(s, d, "pages")), rf"WITH p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1), lambda x: {_NORM.format("regexp_replace(x, '<[^>]+>', ' ', 'g')")}), lambda x: x <> '') AS l FROM pages) SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS text FROM p"),
+    "html_paragraphs": (lambda s, d: web_paragraphs(table(s, d, "pages")),
+        rf"WITH p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1), "
+        rf"lambda x: {_NORM.format("regexp_replace(x, '<[^>]+>', ' ', 'g')")}), lambda x: x <> '') AS l FROM pages) SELECT page_id, CAST(generate_subscripts(l, "
+        rf"1) - 1 AS INTEGER) AS pos, unnest(l) AS text FROM p"),
     "page_noise_filter": (
         lambda s, d: web_paragraphs(table(s, d, "pages")).select("page_id", "pos", X.drop_noise("text", ("The", "ing")).alias("text")).where("text is not null"),
-        rf"WITH p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1), lambda x: {_NORM.format("regexp_replace(x, '<[^>]+>', ' ', 'g')")}), lambda x: x <> '') AS l FROM pages), q AS (SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS t FROM p), r AS (SELECT page_id, pos, replace(t, 'The', '') AS t FROM q WHERE t <> 'The') SELECT page_id, pos, replace(t, 'ing', '') AS text FROM r WHERE {_STRIP.format('t')} <> 'ing'",
+        rf"WITH p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1), "
+            rf"lambda x: {_NORM.format("regexp_replace(x, '<[^>]+>', ' ', 'g')")}), lambda x: x <> '') AS l FROM pages), q AS (SELECT page_id, "
+            rf"CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS t FROM p), r AS (SELECT page_id, pos, replace(t, 'The', '') AS t FROM q "
+            rf"WHERE t <> 'The') SELECT page_id, pos, replace(t, 'ing', '') AS text FROM r WHERE {_STRIP.format('t')} <> 'ing'",
     ),
     "pii_redact": (pii_redact, _redaction()),
-    "pii_totals": (pii_totals, f"WITH r AS ({_redaction()}) SELECT 'email' AS kind, CAST(sum(n_email) AS BIGINT) AS n FROM r UNION ALL SELECT 'phone', CAST(sum(n_phone) AS BIGINT) FROM r"),
+    "pii_totals": (pii_totals,
+        f"WITH r AS ({_redaction()}) SELECT 'email' AS kind, CAST(sum(n_email) AS BIGINT) AS n FROM r UNION ALL SELECT 'phone', CAST(sum(n_phone) AS BIGINT) "
+        f"FROM r"),
     "sanitize": (_map(lambda: X.sanitize("text"), "t"), _sql(_sanitized("text"), "t")),
-    "snippet_window": (snippet, "SELECT doc_id, CASE WHEN instr(lower(text), 'license') = 0 THEN left(text, 120) ELSE substr(text, greatest(0, instr(lower(text), 'license') - 61) + 1, least(length(text), instr(lower(text), 'license') + 59) - greatest(0, instr(lower(text), 'license') - 61)) END AS snippet FROM documents"),
+    "snippet_window": (snippet,
+        "SELECT doc_id, CASE WHEN instr(lower(text), 'license') = 0 THEN left(text, 120) ELSE substr(text, greatest(0, instr(lower(text), "
+        "'license') - 61) + 1, least(length(text), instr(lower(text), 'license') + 59) - greatest(0, instr(lower(text), 'license') - 61)) END AS snippet "
+        "FROM documents"),
     "bulletize": (_map(lambda: X.numbered(X.bulletize("text")), "points"), _bullets()),
     "focus": (_map(lambda: X.focus("text"), "focus"), _sql(rf"left(regexp_replace({_STRIP.format('text')}, '[。；；，,.;]\s*$', ''), 20)", "focus")),
     "token_estimate": (
         lambda s, d: table(s, d, "conversations").select("conv_id", "turn", X.tokens_by_length("text").alias("by_length"), X.tokens_by_words("text").alias("by_words")),
-        rf"SELECT conv_id, turn, CAST(greatest(1, floor(length(text) / 4)) AS INTEGER) AS by_length, CAST(len(list_filter(string_split_regex({_STRIP.format('text')}, '\s+'), lambda w: regexp_matches(w, '[\x00-\x7F]'))) + len(regexp_extract_all(text, '[一-鿿]')) AS INTEGER) AS by_words FROM conversations",
+        rf"SELECT conv_id, turn, CAST(greatest(1, floor(length(text) / 4)) AS INTEGER) AS by_length, "
+            rf"CAST(len(list_filter(string_split_regex({_STRIP.format('text')}, '\s+'), lambda w: regexp_matches(w, '[\x00-\x7F]'))) + len(regexp_extract_all(text, "
+            rf"'[一-鿿]')) AS INTEGER) AS by_words FROM conversations",
     ),
     "answer_issues": (
         lambda s, d: table(s, d, "pages").select("page_id", F.array_join(X.answer_issues("html"), ",").alias("issues")),
-        "SELECT page_id, array_to_string(list_filter([CASE WHEN contains(html, '/etc/') THEN 'server_path' END, CASE WHEN contains(html, 'http') AND NOT regexp_matches(html, 'https?://') THEN 'no_valid_url' END, CASE WHEN contains(html, '{') AND NOT contains(html, '}') THEN 'open_json' END], lambda x: x IS NOT NULL), ',') AS issues FROM pages",
+        "SELECT page_id, array_to_string(list_filter([CASE WHEN contains(html, '/etc/') THEN 'server_path' END, CASE WHEN contains(html, 'http') "
+            "AND NOT regexp_matches(html, 'https?://') THEN 'no_valid_url' END, CASE WHEN contains(html, '{') AND NOT contains(html, '}') THEN 'open_json' END], "
+            "lambda x: x IS NOT NULL), ',') AS issues FROM pages",
     ),
-    "lang_filter": (lambda s, d: D.keep_languages(_docs(s, d), ["en-US", "fr"]).select("doc_id", "lang"), "SELECT doc_id, lang FROM documents WHERE lang LIKE 'en%' OR lang = 'fr'"),
+    "lang_filter": (lambda s, d: D.keep_languages(_docs(s, d), ["en-US", "fr"]).select("doc_id", "lang"),
+        "SELECT doc_id, lang FROM documents WHERE lang LIKE 'en%' OR lang = 'fr'"),
     "drop_short": (lambda s, d: _docs(s, d).where(F.length(X.strip("text")) >= 200).select("doc_id"), f"SELECT doc_id FROM documents WHERE length({_STRIP.format('text')}) >= 200"),
-    "paragraph_dedupe": (lambda s, d: D.distinct_paragraphs(_docs(s, d)), rf"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, {_STRIP.format('unnest(l)')} AS text FROM l) SELECT doc_id, min(pos) AS pos, text FROM p WHERE length(text) >= 10 GROUP BY doc_id, text"),
+    "paragraph_dedupe": (lambda s, d: D.distinct_paragraphs(_docs(s, d)),
+        rf"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, CAST(generate_subscripts(l, "
+        rf"1) - 1 AS INTEGER) AS pos, {_STRIP.format('unnest(l)')} AS text FROM l) SELECT doc_id, min(pos) AS pos, text FROM p WHERE length(text) >= 10 "
+        rf"GROUP BY doc_id, text"),
     "dedupe_exact": (dedupe_exact, f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {_NORM.format('text')}"),
-    "dedupe_against_existing": (new_texts, f"WITH h AS (SELECT doc_id, lang, sha256({_NORM.format('text')}) AS text_hash FROM documents) SELECT min(doc_id) AS doc_id, text_hash FROM h WHERE lang <> 'en' AND text_hash NOT IN (SELECT text_hash FROM h WHERE lang = 'en') GROUP BY text_hash"),
-    "overlap_ratio": (overlap_sources, f"WITH h AS (SELECT source, sha256({_NORM.format('text')}) AS h FROM documents), a AS (SELECT DISTINCT h FROM h WHERE source = 'src0'), b AS (SELECT DISTINCT h FROM h WHERE source <> 'src0'), c AS (SELECT count(*) AS n_left, count(b.h) AS n_common FROM a LEFT JOIN b ON a.h = b.h) SELECT n_left, n_common, round(n_common / n_left, 6) AS ratio, n_common / n_left > 0.3 AS alarm FROM c"),
-    "contamination_overlap": (contamination, rf"WITH d AS (SELECT DISTINCT {_NORM.format('x')} AS t FROM (SELECT unnest(string_split_regex(text, '[。！？.!?\n]')) AS x FROM documents)), b AS (SELECT DISTINCT item_id, {_NORM.format('x')} AS t FROM (SELECT item_id, unnest(string_split_regex(text, '[。！？.!?\n]')) AS x FROM benchmark) WHERE length({_STRIP.format('x')}) >= 20) SELECT item_id, count(*) AS n FROM b WHERE t IN (SELECT t FROM d) GROUP BY item_id"),
+    "dedupe_against_existing": (new_texts,
+        f"WITH h AS (SELECT doc_id, lang, sha256({_NORM.format('text')}) AS text_hash FROM documents) SELECT min(doc_id) AS doc_id, text_hash FROM h "
+        f"WHERE lang <> 'en' AND text_hash NOT IN (SELECT text_hash FROM h WHERE lang = 'en') GROUP BY text_hash"),
+    "overlap_ratio": (overlap_sources,
+        f"WITH h AS (SELECT source, sha256({_NORM.format('text')}) AS h FROM documents), a AS (SELECT DISTINCT h FROM h WHERE source = 'src0'), "
+        f"b AS (SELECT DISTINCT h FROM h WHERE source <> 'src0'), c AS (SELECT count(*) AS n_left, count(b.h) AS n_common FROM a LEFT JOIN b ON a.h = b.h) "
+        f"SELECT n_left, n_common, round(n_common / n_left, 6) AS ratio, n_common / n_left > 0.3 AS alarm FROM c"),
+    "contamination_overlap": (contamination,
+        rf"WITH d AS (SELECT DISTINCT {_NORM.format('x')} AS t FROM (SELECT unnest(string_split_regex(text, '[。！？.!?\n]')) AS x FROM documents)), "
+        rf"b AS (SELECT DISTINCT item_id, {_NORM.format('x')} AS t FROM (SELECT item_id, unnest(string_split_regex(text, '[。！？.!?\n]')) AS x FROM benchmark) "
+        rf"WHERE length({_STRIP.format('x')}) >= 20) SELECT item_id, count(*) AS n FROM b WHERE t IN (SELECT t FROM d) GROUP BY item_id"),
     "seeded_sample": (seeded_sample, "SELECT doc_id, lang, md5('s1:' || doc_id) AS sample_key FROM documents ORDER BY 3, 1 LIMIT 300"),
     "split_by_key": (split_by_key, "SELECT doc_id, CASE WHEN CAST(('0x' || md5('s1:' || doc_id)[1:8]) AS BIGINT) % 10 = 0 THEN 'eval' ELSE 'train' END AS split FROM documents"),
     "last_n": (lambda s, d: D.last_rows(_docs(s, d).select("doc_id", "lang"), 50, "doc_id"), "SELECT doc_id, lang FROM documents ORDER BY doc_id DESC LIMIT 50"),
     "chunk_fixed": (_chunks(lambda: C.fixed("text", 200, 50)), _chunk_sql("list_transform(range(0, length(text), 150), lambda i: substr(text, i + 1, 200))")),
-    "chunk_overlap": (_chunks(lambda: C.sliding("text")), _chunk_sql("list_transform(range(0, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE 1 + ceil(greatest(length(text) - 180, 0) / 140) END AS BIGINT)), lambda i: substr(text, i * 140 + 1, 180))")),
-    "chunk_sentence": (_chunks(lambda: C.sentences("text", _SENT)), _chunk_sql(rf"list_filter(list_transform(string_split_regex(text, '[。！？.!?\n]'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')")),
-    "chunk_sentence_keep": (_chunks(lambda: C.kept_sentences("text", "。！？.!?")), _chunk_sql(rf"list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?])\s*', '\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')")),
-    "chunk_para_cap": (_chunks(lambda: C.paragraphs_capped("text")), _chunk_sql(rf"CASE WHEN regexp_matches(text, '\S') THEN flatten(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> ''), lambda x: list_transform(range(0, length(x), 400), lambda i: substr(x, i + 1, 400)))) ELSE ['(空文件)'] END")),
-    "chunk_pack_lines": (_chunks(lambda: C.packed_lines("text")), _packed("string_split(text, chr(10))", "length(acc.open) + length(x.open) + 1 > 300", "x.open", "CASE WHEN acc.open = '' THEN x.open ELSE acc.open || chr(10) || x.open END", "CASE WHEN acc.open = '' THEN acc.done ELSE list_append(acc.done, acc.open) END")),
+    "chunk_overlap": (_chunks(lambda: C.sliding("text")),
+        _chunk_sql("list_transform(range(0, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE 1 + ceil(greatest(length(text) - 180, 0) / 140) END AS BIGINT)), "
+        "lambda i: substr(text, i * 140 + 1, 180))")),
+    "chunk_sentence": (_chunks(lambda: C.sentences("text", _SENT)),
+        _chunk_sql(rf"list_filter(list_transform(string_split_regex(text, '[。！？.!?\n]'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')")),
+    "chunk_sentence_keep": (_chunks(lambda: C.kept_sentences("text", "。！？.!?")),
+        _chunk_sql(rf"list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?])\s*', '\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP.format('x')}), "
+        rf"lambda x: x <> '')")),
+    "chunk_para_cap": (_chunks(lambda: C.paragraphs_capped("text")),
+        _chunk_sql(rf"CASE WHEN regexp_matches(text, '\S') THEN flatten(list_transform(list_filter(list_transform(string_split(text, chr(10)), "
+        rf"lambda x: {_STRIP.format('x')}), lambda x: x <> ''), lambda x: list_transform(range(0, length(x), 400), lambda i: substr(x, i + 1, 400)))) "
+        rf"ELSE ['(空文件)'] END")),
+    "chunk_pack_lines": (_chunks(lambda: C.packed_lines("text")), _packed("string_split(text, chr(10))",
+        "length(acc.open) + length(x.open) + 1 > 300", "x.open", "CASE WHEN acc.open = '' THEN x.open ELSE acc.open || chr(10) || x.open END",
+        "CASE WHEN acc.open = '' THEN acc.done ELSE list_append(acc.done, acc.open) END")),
     "chunk_pack_sentences": (
         _chunks(lambda: C.packed_sentences("text", 200, 40, "。！？.!?")),
-        _packed(_KEPT, "length(acc.open) + length(x.open) + CASE WHEN acc.open = '' THEN 0 ELSE 1 END > 200", f"CASE WHEN acc.open = '' THEN substr(x.open, 161) ELSE {_STRIP.format("right(acc.open, 40) || ' ' || x.open")} END", _STRIP.format("acc.open || ' ' || x.open"), "list_append(acc.done, CASE WHEN acc.open = '' THEN left(x.open, 200) ELSE acc.open END)"),
+        _packed(_KEPT, "length(acc.open) + length(x.open) + CASE WHEN acc.open = '' THEN 0 ELSE 1 END > 200",
+            f"CASE WHEN acc.open = '' THEN substr(x.open, 161) ELSE {_STRIP.format("right(acc.open, 40) || ' ' || x.open")} END",
+            _STRIP.format("acc.open || ' ' || x.open"), "list_append(acc.done, CASE WHEN acc.open = '' THEN left(x.open, 200) ELSE acc.open END)"),
     ),
-    "chunk_semantic": (_chunks(lambda: C.by_topic("text", ("the", "and"), "。！？.!?", ".")), _islands(rf"list_filter(list_transform(string_split_regex(text, '[。！？.!?]'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')", "CASE WHEN n = 1 OR (contains(x, 'the') OR contains(x, 'and')) <> lag(contains(x, 'the') OR contains(x, 'and')) OVER (PARTITION BY doc_id ORDER BY n) THEN 1 ELSE 0 END", "string_agg(x || '.', '' ORDER BY n)")),
-    "chunk_rules": (_chunks(lambda: C.by_rules("text", r"^[A-Z]\w* \|")), _islands(rf"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')", r"CASE WHEN n = 1 OR regexp_matches(x, '^[A-Z][\p{L}\p{N}_]* \|') THEN 1 ELSE 0 END", _NORM.format("string_agg(x, ' ' ORDER BY n)"))),
-    "chunk_tokens": (_chunks(lambda: C.token_windows("text", 100, 20)), _chunk_sql(r"list_transform(range(0, CAST(CASE WHEN len(w) = 0 THEN 0 ELSE 1 + ceil(greatest(len(w) - 100, 0) / 80) END AS BIGINT)), lambda i: array_to_string(w[i * 80 + 1 : i * 80 + 100], ' '))").replace("FROM documents)", r"FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents))")),
+    "chunk_semantic": (_chunks(lambda: C.by_topic("text", ("the", "and"), "。！？.!?", ".")),
+        _islands(rf"list_filter(list_transform(string_split_regex(text, '[。！？.!?]'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')",
+        "CASE WHEN n = 1 OR (contains(x, 'the') OR contains(x, 'and')) <> lag(contains(x, 'the') OR contains(x, 'and')) OVER (PARTITION BY doc_id ORDER BY n) "
+        "THEN 1 ELSE 0 END", "string_agg(x || '.', '' ORDER BY n)")),
+    "chunk_rules": (_chunks(lambda: C.by_rules("text", r"^[A-Z]\w* \|")),
+        _islands(rf"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')",
+        r"CASE WHEN n = 1 OR regexp_matches(x, '^[A-Z][\p{L}\p{N}_]* \|') THEN 1 ELSE 0 END", _NORM.format("string_agg(x, ' ' ORDER BY n)"))),
+    "chunk_tokens": (_chunks(lambda: C.token_windows("text", 100, 20)),
+        _chunk_sql(r"list_transform(range(0, CAST(CASE WHEN len(w) = 0 THEN 0 ELSE 1 + ceil(greatest(len(w) - 100, 0) / 80) END AS BIGINT)), "
+        r"lambda i: array_to_string(w[i * 80 + 1 : i * 80 + 100], ' '))").replace("FROM documents)",
+        r"FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents))")),
     "hash_embed_sparse": (hash_embed, HASH_SQL),
-    "hash_embed_dense": (hash_embed_dense, HASH_SQL[: HASH_SQL.rindex("SELECT")] + "SELECT doc_id, CAST(384 AS INTEGER) AS dims, CASE WHEN l > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length2 FROM documents LEFT JOIN l USING (doc_id)"),
-    "language_counts": (lambda s, d: _docs(s, d).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")), "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL"),
+    "hash_embed_dense": (hash_embed_dense,
+        HASH_SQL[: HASH_SQL.rindex("SELECT")] + "SELECT doc_id, CAST(384 AS INTEGER) AS dims, CASE WHEN l > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length2 FROM documents LEFT JOIN l USING (doc_id)"),
+    "language_counts": (lambda s, d: _docs(s, d).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")),
+        "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL"),
 }
 
 # the dialects' own class of white space is ASCII alone

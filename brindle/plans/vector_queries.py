@@ -90,7 +90,9 @@ def consecutive_cosine(s, d):
     """Cosine, in three conventions for zero vectors, of each vector and the one whose id is next."""
     b = table(s, d, "embeddings")
     pairs = b.select(F.col("vec_id"), F.col("embedding").alias("x")).join(b.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y")), "vec_id")
-    return pairs.select("vec_id", F.round(V.cosine("x", "y"), 6).alias("plain"), F.round(V.cosine("x", "y", "one"), 6).alias("guarded"), F.round(V.cosine("x", "y", "eps"), 6).alias("eps"), F.round(V.l2("x", "y"), 6).alias("l2"), F.round(V.similarity_of_l2sq(V.l2sq("x", "y")), 6).alias("from_l2"))
+    return pairs.select("vec_id", F.round(V.cosine("x", "y"), 6).alias("plain"), F.round(V.cosine("x", "y", "one"), 6).alias("guarded"),
+        F.round(V.cosine("x", "y", "eps"), 6).alias("eps"), F.round(V.l2("x", "y"), 6).alias("l2"), F.round(V.similarity_of_l2sq(V.l2sq("x", "y")),
+        6).alias("from_l2"))
 
 
 CONSECUTIVE_SQL = f"""
@@ -271,7 +273,8 @@ def collection_stats(s, d):
 
 
 def keyword_docs(s, d):
-    return S.keyword_docs(table(s, d, "documents").select("doc_id", "text"), {"license": "doc_licence", "token": "doc_secret", "the": "doc_en"}, "doc_any").select("doc_id", F.array_join("doc_ids", ",").alias("docs"))
+    return S.keyword_docs(table(s, d, "documents").select("doc_id", "text"), {"license": "doc_licence", "token": "doc_secret", "the": "doc_en"},
+        "doc_any").select("doc_id", F.array_join("doc_ids", ",").alias("docs"))
 
 
 _CHARS_TOP = f"s AS (SELECT a.id AS qid, b.id AS doc_id, round(sum(a.w * b.w), 6) AS score FROM w a JOIN w b USING (term) WHERE a.id % 20 = 0 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s)"
@@ -290,27 +293,55 @@ QUERIES = {
     "topk_l2": (_top("l2"), _top_sql("l2")),
     "ratcliff_similarity": (ratcliff_similarity, None),
     "tfidf_char_topk": (tfidf_char_topk, f"{_CHAR_GRAMS}{_WEIGHTS}, {_CHARS_TOP} SELECT qid, doc_id, rank, round(1 - score, 6) AS distance FROM k WHERE rank <= 3"),
-    "tfidf_features": (tfidf_features, _SIGNALS.split("i AS (SELECT")[0] + "f AS (SELECT term, count(*) AS df FROM c GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 20000) SELECT term, round(ln((1.0 + (SELECT count(*) FROM t)) / (1 + df)) + 1, 6) AS idf FROM f"),
+    "tfidf_features": (tfidf_features,
+        _SIGNALS.split("i AS (SELECT")[0] + "f AS (SELECT term, count(*) AS df FROM c GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 20000) SELECT term, round(ln((1.0 + (SELECT count(*) "
+        "FROM t)) / (1 + df)) + 1, 6) AS idf FROM f"),
     "hash_embed_topk": (hash_embed_topk, f"{_NEAR} SELECT * FROM near"),
     "chunk_rescoring": (chunk_rescoring, f"{_BEST_CHUNKS} SELECT qid, doc_id, chunk_id, score, rank FROM k WHERE rank <= 3"),
-    "chunk_prompts": (chunk_prompts, f"{_BEST_CHUNKS} SELECT qid, '{context.SNIPPET_TASK.format(context.CHUNK_LEAD[0])}' || any_value(question) || chr(10) || chr(10) || '{context.CHUNK_LEAD[1]}：' || chr(10) || string_agg(part, '{context.SNIPPET_SEPARATOR}' ORDER BY rank) || '{context.ANSWER_TASK}' AS prompt FROM k WHERE rank <= 3 GROUP BY qid"),
-    "rerank": (rerank, f"SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY label DESC, rank) AS rank FROM ({_ranked_sql('cosine', 10)}) JOIN embeddings USING (vec_id)"),
+    "chunk_prompts": (chunk_prompts, f"{_BEST_CHUNKS} SELECT qid, "
+        f"'{context.SNIPPET_TASK.format(context.CHUNK_LEAD[0])}' || any_value(question) || chr(10) || chr(10) || '{context.CHUNK_LEAD[1]}：' || chr(10) || string_agg(part, "
+        f"'{context.SNIPPET_SEPARATOR}' ORDER BY rank) || '{context.ANSWER_TASK}' AS prompt FROM k WHERE rank <= 3 GROUP BY qid"),
+    "rerank": (rerank,
+        f"SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY label DESC, rank) AS rank FROM ({_ranked_sql('cosine', 10)}) "
+        f"JOIN embeddings USING (vec_id)"),
     "zipped_vectors": (zipped_vectors, "SELECT doc_id, lang, label FROM documents JOIN embeddings ON vec_id = doc_id"),
-    "drift_gate": (drift_gate, f"SELECT a.vec_id, list_cosine_similarity({_DBL.format('a')}, {_DBL.format('b')}) < 0.1 AS drift FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"),
-    "filtered_topk": (filtered_topk, f"SELECT qid, vec_id, round(score, 6) AS score, CAST(3 AS INTEGER) AS label FROM ({_ranked_sql('cosine').replace('WHERE q.vec_id % 20 = 0', 'WHERE q.vec_id % 20 = 0 AND b.label = 3')})"),
+    "drift_gate": (drift_gate, f"SELECT a.vec_id, list_cosine_similarity({_DBL.format('a')}, {_DBL.format('b')}) < 0.1 AS drift FROM embeddings a "
+        f"JOIN embeddings b ON b.vec_id = a.vec_id + 1"),
+    "filtered_topk": (filtered_topk, f"SELECT qid, vec_id, round(score, 6) AS score, CAST(3 AS INTEGER) AS label "
+        f"FROM ({_ranked_sql('cosine').replace('WHERE q.vec_id % 20 = 0', 'WHERE q.vec_id % 20 = 0 AND b.label = 3')})"),
     "collection_stats": (collection_stats, "SELECT count(*) AS total_count, CAST(max(len(embedding)) AS INTEGER) AS dims FROM embeddings"),
-    "keyword_docs": (keyword_docs, "SELECT doc_id, CASE WHEN k = '' THEN 'doc_any' ELSE k END AS docs FROM (SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)license') THEN 'doc_licence' END, CASE WHEN regexp_matches(text, '(?i)token') THEN 'doc_secret' END, CASE WHEN regexp_matches(text, '(?i)the') THEN 'doc_en' END], lambda x: x IS NOT NULL), ',') AS k FROM documents)"),
+    "keyword_docs": (keyword_docs,
+        "SELECT doc_id, CASE WHEN k = '' THEN 'doc_any' ELSE k END AS docs FROM (SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, "
+        "'(?i)license') THEN 'doc_licence' END, CASE WHEN regexp_matches(text, '(?i)token') THEN 'doc_secret' END, CASE WHEN regexp_matches(text, '(?i)the') "
+        "THEN 'doc_en' END], lambda x: x IS NOT NULL), ',') AS k FROM documents)"),
     "topk_l2sq": (_top("l2sq"), _top_sql("l2sq")),
     "topk_overlap": (topk_overlap, f"SELECT qid, count(*) AS n_common FROM ({_ranked_sql('cosine')}) a JOIN ({_ranked_sql('l2sq')}) b USING (qid, vec_id) GROUP BY qid"),
-    "nearest_threshold": (nearest_threshold, f"SELECT qid, arg_max(vec_id, score) AS vec_id, round(max(score), 6) AS score FROM ({_ranked_sql('cosine', 2)}) WHERE vec_id <> qid GROUP BY qid HAVING max(score) >= 0.3"),
-    "distance_gate": (distance_gate, f"SELECT qid, CASE WHEN score > 1.8 THEN 'no answer' ELSE 'label ' || label END AS answer FROM ({_ranked_sql('l2sq', 1)}) JOIN embeddings USING (vec_id)"),
-    "overfetch_dedupe": (overfetch_dedupe, f"WITH p AS (SELECT qid, vec_id, score, rank, sha256({_NORM.format('text')}) AS h FROM ({_ranked_sql('cosine', 25)}) JOIN documents ON doc_id = vec_id), f AS (SELECT *, row_number() OVER (PARTITION BY qid, h ORDER BY rank) AS n FROM p), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INTEGER) AS r FROM f WHERE n = 1) SELECT qid, vec_id, round(score, 6) AS score, r AS rank FROM r WHERE r <= {K}"),
-    "knn_label_vote": (knn_label_vote, f"WITH v AS (SELECT qid, label, count(*) AS votes FROM ({_ranked_sql('cosine', 10)}) JOIN embeddings USING (vec_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, label) AS r FROM v) SELECT qid, label, votes FROM r WHERE r = 1"),
+    "nearest_threshold": (nearest_threshold,
+        f"SELECT qid, arg_max(vec_id, score) AS vec_id, round(max(score), 6) AS score FROM ({_ranked_sql('cosine', 2)}) WHERE vec_id <> qid "
+        f"GROUP BY qid HAVING max(score) >= 0.3"),
+    "distance_gate": (distance_gate,
+        f"SELECT qid, CASE WHEN score > 1.8 THEN 'no answer' ELSE 'label ' || label END AS answer FROM ({_ranked_sql('l2sq', 1)}) JOIN embeddings USING (vec_id)"),
+    "overfetch_dedupe": (overfetch_dedupe,
+        f"WITH p AS (SELECT qid, vec_id, score, rank, sha256({_NORM.format('text')}) AS h FROM ({_ranked_sql('cosine', 25)}) "
+        f"JOIN documents ON doc_id = vec_id), f AS (SELECT *, row_number() OVER (PARTITION BY qid, h ORDER BY rank) AS n FROM p), r AS (SELECT *, "
+        f"CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INTEGER) AS r FROM f WHERE n = 1) SELECT qid, vec_id, round(score, 6) AS score, r AS rank "
+        f"FROM r WHERE r <= {K}"),
+    "knn_label_vote": (knn_label_vote,
+        f"WITH v AS (SELECT qid, label, count(*) AS votes FROM ({_ranked_sql('cosine', 10)}) JOIN embeddings USING (vec_id) GROUP BY ALL), r AS (SELECT *, "
+        f"row_number() OVER (PARTITION BY qid ORDER BY votes DESC, label) AS r FROM v) SELECT qid, label, votes FROM r WHERE r = 1"),
     "consecutive_cosine": (consecutive_cosine, CONSECUTIVE_SQL),
-    "l2_normalize": (l2_normalize, f"WITH v AS (SELECT vec_id, {_DBL.format('embeddings')} AS x FROM embeddings), n AS (SELECT vec_id, list_transform(x, lambda a: a / sqrt(list_dot_product(x, x))) AS v FROM v) SELECT vec_id, round(v[1], 6) AS first, round(list_sum(v), 5) AS total FROM n"),
-    "fitted_vectors": (fitted_vectors, f"WITH v AS (SELECT vec_id, list_slice({_DBL.format('embeddings')}, 1, 16) AS x FROM embeddings) SELECT vec_id, round(x[4] / sqrt(list_dot_product(x, x)), 6) AS short_4, CAST(80 AS INTEGER) AS long_size FROM v"),
-    "label_similarity": (label_similarity, f"SELECT e.label, round(avg(score), 6) AS mean, round(min(score), 6) AS least, round(max(score), 6) AS greatest FROM ({_ranked_sql('cosine', 10)}) r JOIN embeddings e ON e.vec_id = qid WHERE r.vec_id <> qid GROUP BY e.label"),
-    "tfidf_char_pairs": (tfidf_char_pairs, f"{_CHAR_GRAMS}{_WEIGHTS} SELECT a.id AS qid, b.id AS doc_id, round(sum(a.w * b.w), 6) AS score FROM w a JOIN w b USING (term) WHERE a.id % 20 = 0 GROUP BY ALL"),
+    "l2_normalize": (l2_normalize,
+        f"WITH v AS (SELECT vec_id, {_DBL.format('embeddings')} AS x FROM embeddings), n AS (SELECT vec_id, list_transform(x, "
+        f"lambda a: a / sqrt(list_dot_product(x, x))) AS v FROM v) SELECT vec_id, round(v[1], 6) AS first, round(list_sum(v), 5) AS total FROM n"),
+    "fitted_vectors": (fitted_vectors,
+        f"WITH v AS (SELECT vec_id, list_slice({_DBL.format('embeddings')}, 1, 16) AS x FROM embeddings) SELECT vec_id, round(x[4] / sqrt(list_dot_product(x, "
+        f"x)), 6) AS short_4, CAST(80 AS INTEGER) AS long_size FROM v"),
+    "label_similarity": (label_similarity,
+        f"SELECT e.label, round(avg(score), 6) AS mean, round(min(score), 6) AS least, round(max(score), 6) AS greatest FROM ({_ranked_sql('cosine', 10)}) r "
+        f"JOIN embeddings e ON e.vec_id = qid WHERE r.vec_id <> qid GROUP BY e.label"),
+    "tfidf_char_pairs": (tfidf_char_pairs,
+        f"{_CHAR_GRAMS}{_WEIGHTS} SELECT a.id AS qid, b.id AS doc_id, round(sum(a.w * b.w), 6) AS score FROM w a JOIN w b USING (term) WHERE a.id % 20 = 0 "
+        f"GROUP BY ALL"),
     "tfidf_word_signals": (tfidf_word_signals, f"{_SIGNALS} SELECT qid, round(max_score, 6) AS max_score, round(avg_topk, 6) AS avg_topk, num_docs, context_len FROM o"),
     "route_decision": (route_decision, f"{_SIGNALS} SELECT qid, CASE WHEN max_score >= 0.30 OR avg_topk >= 0.12 THEN 'kb' ELSE 'small_model' END AS target FROM o"),
     "kb_best_match": (kb_best_match, None),

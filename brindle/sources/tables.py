@@ -148,7 +148,8 @@ def kb_records(docs: DataFrame) -> DataFrame:
     from ..functions.text import norm_ws
 
     text = norm_ws("text")
-    return docs.select(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("doc_"), F.left(F.sha2(text, 256), F.lit(8)))).alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("text_hash"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("doc_"), F.left(F.sha2(text, 256), F.lit(8)))).alias("doc_id"),
+        text.alias("text"), F.sha2(text, 256).alias("text_hash"))
 
 
 # sinks

@@ -37,7 +37,8 @@ class VectorStore:
     def upsert(self, batch: DataFrame, version: int) -> None:
         """Puts in batch(id, vector, metadata); of an id that is there more than once, the row with the greatest ``version`` counts,
         and inside a batch the last by metadata and vector."""
-        rows = batch.select("id", F.col("vector").cast("array<float>").alias("vector"), F.col("metadata").cast("map<string,string>").alias("metadata"), F.lit(False).alias("deleted"))
+        rows = batch.select("id", F.col("vector").cast("array<float>").alias("vector"),
+            F.col("metadata").cast("map<string,string>").alias("metadata"), F.lit(False).alias("deleted"))
         order = F.struct(F.to_json("metadata"), "vector")
         one = rows.groupBy("id").agg(F.max_by(F.struct("vector", "metadata", "deleted"), order).alias("r")).select("id", "r.*")
         self._write(one, version)

@@ -140,7 +140,8 @@ def test_contexts(spark, data):
 
 @pytest.mark.parametrize("name", ["packed_lines", "packed_sentences", "by_topic", "by_rules", "sliding", "fixed"])
 def test_long_texts_take_linear_time(spark, name):
-    cut = {"packed_lines": C.packed_lines, "packed_sentences": lambda c: C.packed_sentences(c, 200, 40, "."), "by_topic": lambda c: C.by_topic(c, ("x1",), ".", "."), "by_rules": lambda c: C.by_rules(c, "^zz"), "sliding": C.sliding, "fixed": C.fixed}[name]
+    cut = {"packed_lines": C.packed_lines, "packed_sentences": lambda c: C.packed_sentences(c, 200, 40, "."), "by_topic": lambda c: C.by_topic(c,
+        ("x1",), ".", "."), "by_rules": lambda c: C.by_rules(c, "^zz"), "sliding": C.sliding, "fixed": C.fixed}[name]
     text = "\n".join(f"word x{i}. And more." for i in range(100_000))
     df = spark.createDataFrame([(text,)], "text string")
     began = time.time()

@@ -37,7 +37,8 @@ def test_short_and_empty_texts(spark, model):
 
 
 def test_sample_is_bounded(spark):
-    df = spark.range(5000).selectExpr("concat('word', id, ' some letters') as text", "'en' as lang").union(spark.range(50).selectExpr("concat('zz qq ', id) as text", "'xx' as lang"))
+    df = spark.range(5000).selectExpr("concat('word', id, ' some letters') as text",
+        "'en' as lang").union(spark.range(50).selectExpr("concat('zz qq ', id) as text", "'xx' as lang"))
     m = language.fit(df, sample=100, kept=50)
     assert len(m.grams) <= 100 and m.detect("some letters") == "en" and m.detect("zz qq") == "xx"
 
@@ -88,7 +89,8 @@ def test_segmentation_is_the_likeliest():
     assert segment.Dictionary({}).cut("ab") == ["a", "b"] and segment.Dictionary({}).cut("") == []
 
 
-COUNTS = {"公司": 900, "設定": 700, "密碼": 500, "登入": 500, "系統": 600, "請假": 400, "流程": 500, "如何": 800, "怎麼": 700, "我要": 600, "怎麼辦": 300, "多少": 500, "下載": 300, "新版": 200, "客戶": 400, "客戶端": 100, "提交": 300, "假單": 50, "並": 900, "以": 2000}
+COUNTS = {"公司": 900, "設定": 700, "密碼": 500, "登入": 500, "系統": 600, "請假": 400, "流程": 500, "如何": 800, "怎麼": 700, "我要": 600, "怎麼辦": 300, "多少": 500,
+    "下載": 300, "新版": 200, "客戶": 400, "客戶端": 100, "提交": 300, "假單": 50, "並": 900, "以": 2000}
 
 
 def test_words_with_a_users_dictionary(spark):

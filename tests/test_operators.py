@@ -19,7 +19,8 @@ def test_topk_is_brute_force(spark, metric, monkeypatch):
     rng = np.random.default_rng(3)
     base, queries = rng.normal(size=(60, 4)).astype("float32"), rng.normal(size=(5, 4)).astype("float32")
     base[7] = base[3]
-    got = search.topk(vectors(spark, [(i, q.tolist()) for i, q in enumerate(queries)], "qid"), vectors(spark, [(i, b.tolist()) for i, b in enumerate(base)]).repartition(4), 6, metric).collect()
+    got = search.topk(vectors(spark, [(i, q.tolist()) for i, q in enumerate(queries)], "qid"), vectors(spark, [(i, b.tolist()) for i,
+        b in enumerate(base)]).repartition(4), 6, metric).collect()
     for i, q in enumerate(queries.astype(float)):
         b = base.astype(float)
         score = {"dot": b @ q, "cosine": b @ q / np.linalg.norm(b, axis=1) / np.linalg.norm(q), "l2": np.linalg.norm(b - q, axis=1), "l2sq": ((b - q) ** 2).sum(1)}[metric]
@@ -37,7 +38,9 @@ def test_topk_edges(spark):
 
 def test_vector_functions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<float>, z array<float>")
-    r = df.select(V.norm("a").alias("n"), V.cosine("a", "z").alias("nan"), V.cosine("a", "z", "one").alias("one"), V.cosine("a", "z", "eps").alias("eps"), V.normalized("a").alias("u"), V.normalized("z").alias("zero"), V.fitted("a", 3).alias("f"), V.l2("a", "z").alias("l2"), V.byte_vector(F.lit("x")).alias("b"), V.zero_vector(3).alias("e")).first()
+    r = df.select(V.norm("a").alias("n"), V.cosine("a", "z").alias("nan"), V.cosine("a", "z", "one").alias("one"), V.cosine("a", "z",
+        "eps").alias("eps"), V.normalized("a").alias("u"), V.normalized("z").alias("zero"), V.fitted("a", 3).alias("f"), V.l2("a", "z").alias("l2"),
+        V.byte_vector(F.lit("x")).alias("b"), V.zero_vector(3).alias("e")).first()
     assert r.n == 5 and math.isnan(r.nan) and r.one == 0 and r.eps == 0 and r.u == [0.6, 0.8] and r.zero == [0, 0] and r.f == [0.6, 0.8, 0] and r.l2 == 5
     assert len(r.b) == 8 and abs(sum(x * x for x in r.b) - 1) < 1e-9 and r.e == [0, 0, 0]
 
@@ -56,7 +59,8 @@ def test_hash_embedder(spark):
 
 
 def test_overfetch(spark):
-    ranked = spark.createDataFrame([(1, 10, 0.9, 1, "a"), (1, 11, 0.8, 2, "a"), (1, 12, 0.7, 3, "b"), (1, 13, 0.6, 4, "c")], "qid long, vec_id long, score double, rank int, h string")
+    ranked = spark.createDataFrame([(1, 10, 0.9, 1, "a"), (1, 11, 0.8, 2, "a"), (1, 12, 0.7, 3, "b"), (1, 13, 0.6, 4, "c")],
+        "qid long, vec_id long, score double, rank int, h string")
     assert [(r.vec_id, r["rank"]) for r in search.overfetch_dedupe(ranked, "h", 2).orderBy("rank").collect()] == [(10, 1), (12, 2)]
 
 
@@ -85,7 +89,8 @@ def test_tfidf_and_routes(spark):
     s = tfidf.signals(maxscore.sparse_topk(wq, w.withColumnRenamed("id", "doc_id"), 2), hits, q.select(F.col("doc_id").alias("qid")), docs, 2)
     got = {r.qid: r for r in tfidf.route(s).collect()}
     assert got[9].num_docs == 2 and got[9].target == "kb" and got[9].context_len == len("vpn setup guide") + len("vpn vpn login")
-    assert (got[8].num_docs, got[8].max_score, got[8].avg_topk, got[8].target) == (0, 0.0, 0.0, "small_model") and got[8].context_len == len("vpn setup guide") + len("leave policy")
+    assert (got[8].num_docs, got[8].max_score, got[8].avg_topk, got[8].target) == (0, 0.0, 0.0,
+        "small_model") and got[8].context_len == len("vpn setup guide") + len("leave policy")
     assert got[8].reason == "max=0.00 avg=0.00 docs=0 → small_model"
     grams = spark.createDataFrame([("Ab  c",)], "t string").select(tfidf.char_grams("t", 1, 2).alias("g")).first().g
     assert sorted(grams) == sorted(["a", "b", " ", "c", "ab", "b ", " c"])
@@ -119,7 +124,8 @@ def test_guard_modes(spark):
 
 @pytest.mark.parametrize("role,docs,mode,allowed,n", [
     ("admin", ["doc_finance"], "enforce", True, 0), ("employee", ["doc_finance"], "enforce", False, 1), ("employee", ["doc_finance", "x"], "enforce", False, 1),
-    ("employee", ["doc_finance", "x"], "report", True, 2), ("guest", ["doc_handbook"], "off", True, 0), ("admin", [], "enforce", True, 0), (None, ["doc_handbook"], "enforce", False, 1),
+    ("employee", ["doc_finance", "x"], "report", True, 2), ("guest", ["doc_handbook"], "off", True, 0), ("admin", [], "enforce", True, 0), (None,
+        ["doc_handbook"], "enforce", False, 1),
 ])
 def test_acl(spark, role, docs, mode, allowed, n):
     df = spark.createDataFrame([(role, docs)], "role string, docs array<string>")
@@ -137,8 +143,10 @@ def test_guard_pipeline(spark):
 
 def test_registry(spark):
     log = [
-        ("create_model", None, None), ("create_model", None, None), ("create_version", "v1", None), ("create_version", "v1", None), ("transition", "v1", "production"), ("transition", "v1", "STAGING"),
-        ("transition", "v1", "Production"), ("create_version", "v2", None), ("transition", "v2", "Staging"), ("transition", "v2", "Production"), ("transition", "v1", "Staging"), ("transition", "v9", "Staging"), ("transition", "v2", "nowhere"),
+        ("create_model", None, None), ("create_model", None, None), ("create_version", "v1", None), ("create_version", "v1", None), ("transition",
+            "v1", "production"), ("transition", "v1", "STAGING"),
+        ("transition", "v1", "Production"), ("create_version", "v2", None), ("transition", "v2", "Staging"), ("transition", "v2", "Production"),
+            ("transition", "v1", "Staging"), ("transition", "v9", "Staging"), ("transition", "v2", "nowhere"),
     ]
     df = spark.createDataFrame([(i, a, "m", v, s, "me") for i, (a, v, s) in enumerate(log)], "seq long, action string, model string, version string, to_stage string, actor string")
     out = registry.replay(df)
@@ -159,14 +167,16 @@ def test_metrics(spark):
     assert [r.n for r in h] == [1, 2, 2, 3, 3, 3, 4, 5]
     assert metrics.bucket_quantile(metrics.histogram(df, ["m"], "v"), ["m"], 0.95).first().value == 10.0
     assert abs(metrics.bucket_quantile(metrics.histogram(df, ["m"], "v"), ["m"], 0.3).first().value - 0.02) < 1e-9
-    costs = spark.createDataFrame([("gpt-4o-mini", 120, 180), ("other", 1, 1)], "m string, p long, c long").select(metrics.model_cost(F.col("m"), F.col("p"), F.col("c")).alias("x"), metrics.chat_cost(F.lit(4), F.lit(8)).alias("y")).collect()
+    costs = spark.createDataFrame([("gpt-4o-mini", 120, 180), ("other", 1, 1)], "m string, p long, c long").select(metrics.model_cost(F.col("m"),
+        F.col("p"), F.col("c")).alias("x"), metrics.chat_cost(F.lit(4), F.lit(8)).alias("y")).collect()
     assert abs(costs[0].x - 0.000126) < 1e-12 and costs[1].x == 0 and costs[0].y == 0.00006
     bins = metrics.score_bins(spark.createDataFrame([(85.0,), (84.9,), (70.0,), (50.0,), (49.0,)], "s double"), "s")
     assert {r.bin: r.n for r in bins.collect()} == {"excellent": 1, "good": 2, "fair": 1, "poor": 1}
     v = spark.createDataFrame([(1, "OK"), (1, "OK"), (2, "OK"), (2, "Hallucination")], "k long, label string")
     assert {r.k: (r.all_ok, r.any_ok, r.consensus) for r in metrics.ensemble(v, "k", "label").collect()} == {1: (True, True, "OK"), 2: (False, True, "REVIEW")}
     src = spark.createDataFrame([("how is vpn", "no idea", 10.0), ("how is vpn", "VPN is", 90.0), ("x", "y", 79.0)], "q string, a string, b double")
-    assert [r.s for r in src.select(metrics.answer_source(F.col("q"), F.col("a"), F.col("b"), {"VPN": "(?i)vpn"}).alias("s")).collect()] == ["RULE_OVERRIDE", "KB_MATCH", "MODEL_GENERATED"]
+    assert [r.s for r in src.select(metrics.answer_source(F.col("q"), F.col("a"), F.col("b"),
+        {"VPN": "(?i)vpn"}).alias("s")).collect()] == ["RULE_OVERRIDE", "KB_MATCH", "MODEL_GENERATED"]
 
 
 def test_questions(spark):
@@ -197,7 +207,8 @@ def test_context(spark):
 
 def test_random_replay_keeps_one_production(spark):
     rng = random.Random(5)
-    rows = [(i, rng.choice(["create_model", "create_version", "transition", "transition"]), f"m{rng.randrange(3)}", f"v{rng.randrange(4)}", rng.choice(registry.STAGES), "x") for i in range(300)]
+    rows = [(i, rng.choice(["create_model", "create_version", "transition", "transition"]), f"m{rng.randrange(3)}", f"v{rng.randrange(4)}",
+        rng.choice(registry.STAGES), "x") for i in range(300)]
     out = registry.replay(spark.createDataFrame(rows, "seq long, action string, model string, version string, to_stage string, actor string"))
     assert registry.production(out).groupBy("model").count().where("count > 1").count() == 0
 
@@ -251,7 +262,8 @@ def test_topk_keeps_k_a_task(spark, monkeypatch):
         for i, v in base[:7]:
             def score(w):
                 v_, w_ = np.array(v), np.array(w)
-                return -(v_ @ w_) if metric == "dot" else ((v_ - w_) ** 2).sum() if metric == "l2sq" else -round(float(v_ @ w_ / (np.linalg.norm(v_) * np.linalg.norm(w_))), 9) if v_.any() and w_.any() else np.inf
+                return -(v_ @ w_) if metric == "dot" else ((v_ - w_) ** 2).sum() if metric == "l2sq" else -round(float(v_ @ w_ / (np.linalg.norm(v_) * np.linalg.norm(w_))),
+                    9) if v_.any() and w_.any() else np.inf
             want += [(i, n + 1, j) for n, (_, j) in enumerate(sorted((score(w), j) for j, w in base)[:6])]
         if metric != "cosine":
             assert sorted(out) == sorted(want)

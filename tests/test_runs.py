@@ -85,7 +85,9 @@ def test_write_back_over_documents(spark, data):
 def look(spark, tmp_path, interval="0"):
     changes.register(spark)
     before = {tuple(r) for r in read_log(spark, tmp_path)}
-    q = spark.readStream.format("file_changes").option("intervalSeconds", interval).load(str(tmp_path / "in")).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q = spark.readStream.format("file_changes").option("intervalSeconds",
+        interval).load(str(tmp_path / "in")).writeStream.format("parquet").option("checkpointLocation",
+        str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
     q.awaitTermination(60)
     assert q.exception() is None
     return sorted((os.path.basename(p), n) for p, _, n in {tuple(r) for r in read_log(spark, tmp_path)} - before)

@@ -51,13 +51,15 @@ def decided(spark, tmp_path, df, start, flag):
 
 def test_keyed_streams_equal_batch(spark, tmp_path):
     df = events(spark)
-    for name, batch, stream, flag in (("l", S.limit_batch(df, 3, 10), lambda s: S.limit_stream(s, 3, 10), "admitted"), ("c", S.cache_batch(df, 7), lambda s: S.cache_stream(s, 7), "hit"), ("d", S.debounce_batch(df, 5), lambda s: S.debounce_stream(s, 5), "fired")):
+    for name, batch, stream, flag in (("l", S.limit_batch(df, 3, 10), lambda s: S.limit_stream(s, 3, 10), "admitted"), ("c", S.cache_batch(df, 7),
+        lambda s: S.cache_stream(s, 7), "hit"), ("d", S.debounce_batch(df, 5), lambda s: S.debounce_stream(s, 5), "fired")):
         assert decided(spark, tmp_path / name, df, stream, flag) == sorted((r.event_id, r[flag]) for r in batch.collect())
 
 
 def test_state_falls_with_the_watermark(spark, tmp_path):
     """Keys whose events are long past hold nothing; one that comes back is as new, which is what its old state would say."""
-    df = spark.createDataFrame([(f"k{i % 50}" if i < 140 else "late" if i < 205 else "k3", i, 1000 + i // 70 * 1000 + i % 7) for i in range(210)], "key string, event_id long, at long")
+    df = spark.createDataFrame([(f"k{i % 50}" if i < 140 else "late" if i < 205 else "k3", i, 1000 + i // 70 * 1000 + i % 7) for i in range(210)],
+        "key string, event_id long, at long")
     kept = []
 
     def start(stream):
@@ -67,7 +69,8 @@ def test_state_falls_with_the_watermark(spark, tmp_path):
     timed = df.withColumn("at", F.timestamp_seconds("at"))
     for i in range(3):
         timed.where(F.floor(F.col("event_id") / 70) == i).coalesce(1).write.mode("append").parquet(src)
-        q = start(spark.readStream.schema(timed.schema).parquet(src)).writeStream.outputMode("append").format("parquet").option("checkpointLocation", cp).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q = start(spark.readStream.schema(timed.schema).parquet(src)).writeStream.outputMode("append").format("parquet").option("checkpointLocation",
+            cp).trigger(availableNow=True).start(str(tmp_path / "out"))
         q.awaitTermination(120)
         assert q.exception() is None
         kept.append(q.recentProgress[-1].stateOperators[0].numRowsTotal)
@@ -80,7 +83,8 @@ def test_windows_and_dedupe(spark, tmp_path, data):
     e = spark.read.parquet(f"{data}/events.parquet").withColumn("day", F.to_date("ts"))
     got = streamed(spark, tmp_path / "w", e, lambda s: S.windowed_counts(s, "ts", "event_type", "1 day", "1 hour"), "windows")
     closed = {(r.start, r.event_type): r.n for r in got.collect()}
-    batch = {(r.start, r.event_type): r.n for r in e.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n").collect()}
+    batch = {(r.start, r.event_type): r.n for r in e.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"),
+        "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n").collect()}
     assert closed and all(batch[k] == n for k, n in closed.items())
     twice = e.union(e)
     got = streamed(spark, tmp_path / "d", twice, lambda s: S.dedupe_stream(s, "event_id", "ts", "40 days"), "once")
@@ -107,7 +111,8 @@ def test_sources(spark, tmp_path):
     faq = spark.createDataFrame([('{"faqs": [{"q": "Q1", "a": "A1"}]}',)], "json string")
     assert tables.faq_texts(faq).first().text == "Q: Q1 A: A1"
     (tmp_path / "p_v1.yaml").write_text("version: v1\nprompts:\n  - {name: a, template: 'hi {{ x }}'}\n")
-    rows = tables.yaml_files(spark, str(tmp_path / "p_v*.yaml"), "version string, name string, template string", lambda d: [(d["version"], p["name"], p["template"]) for p in d["prompts"]])
+    rows = tables.yaml_files(spark, str(tmp_path / "p_v*.yaml"), "version string, name string, template string", lambda d: [(d["version"], p["name"],
+        p["template"]) for p in d["prompts"]])
     assert [tuple(r) for r in rows.collect()] == [("v1", "a", "hi {{ x }}")]
     files = tables.file_versions(spark, str(tmp_path / "r.json")).first()
     assert len(files.sha256) == 64 and len(files.md5) == 32

@@ -22,7 +22,8 @@ def many(spark, column, texts):
 
 
 def test_normalize(spark):
-    cases = {"好好。。。！！": "好好。!", "a\r\n\n\n\nb": "a\n\nb", "10K and 1.5m": "10,000 and 1,500,000", "NT$5, NTD  7": "NTD 5, NTD 7", "０１　x": "01 x", "0.1234567k": "123.457", "1.5k!!": "1,500!"}
+    cases = {"好好。。。！！": "好好。!", "a\r\n\n\n\nb": "a\n\nb", "10K and 1.5m": "10,000 and 1,500,000", "NT$5, NTD  7": "NTD 5, NTD 7", "０１　x": "01 x",
+        "0.1234567k": "123.457", "1.5k!!": "1,500!"}
     for given_, want in cases.items():
         assert one(spark, X.normalize("text"), given_) == want, given_
 
@@ -46,7 +47,8 @@ def test_html(spark):
 
 
 def test_sanitize(spark):
-    cases = {None: "", "a\x00b\nc": "abc", "<script>x</script>": "x", "a & b < c": "a &amp; b &lt; c", "\"q\" 'r'": "&quot;q&quot; &#x27;r&#x27;", "<" + "a" * 101 + ">": "&lt;" + "a" * 101 + "&gt;"}
+    cases = {None: "", "a\x00b\nc": "abc", "<script>x</script>": "x", "a & b < c": "a &amp; b &lt; c", "\"q\" 'r'": "&quot;q&quot; &#x27;r&#x27;",
+        "<" + "a" * 101 + ">": "&lt;" + "a" * 101 + "&gt;"}
     assert many(spark, X.sanitize("text"), list(cases)) == list(cases.values())
     assert one(spark, X.sanitize("text", 3), "abcdef") == "abc"
 
