@@ -92,7 +92,8 @@ def path(roles: list[int], entry: int, leave: int | None) -> list[tuple]:
     state = min(range(4), key=lambda s: costs[-1][s] + end_cost(s)[0]) if leave is None else leave
     done = []
     for i in range(len(roles) - 1, -1, -1):
-        state, what = next((before, w) for before in range(4) if costs[i][before] < NONE for c, after, w in _MOVES[roles[i]][before] if after == state and costs[i][before] + c == costs[i + 1][state])
+        state, what = next((before, w) for before in range(4) if costs[i][before] < NONE for c, after,
+            w in _MOVES[roles[i]][before] if after == state and costs[i][before] + c == costs[i + 1][state])
         done.append(what)
     return done[::-1]
 
@@ -154,7 +155,9 @@ def repaired(chats: DataFrame) -> DataFrame:
         if found:
             if len(found) == 1:
                 found = [*found, (None, 0, [[0] * 4] * 4)]
-            yield pa.RecordBatch.from_arrays([pa.array([part] * 2, pa.int32()), pa.array([0, 1], pa.int32()), pa.array([f[0] for f in found], id_type), pa.array([f[1] for f in found], pa.int64()), pa.array([[x for row in f[2] for x in row] for f in found], pa.list_(pa.int64()))], ["part", "which", "conv_id", "turns", "cost"])
+            yield pa.RecordBatch.from_arrays([pa.array([part] * 2, pa.int32()), pa.array([0, 1], pa.int32()), pa.array([f[0] for f in found],
+                id_type), pa.array([f[1] for f in found], pa.int64()), pa.array([[x for row in f[2] for x in row] for f in found], pa.list_(pa.int64()))], ["part",
+                "which", "conv_id", "turns", "cost"])
 
     id_type, turn_type = (to_arrow_type(rows.schema[n].dataType) for n in ("conv_id", "turn"))
     found = rows.mapInArrow(ends, f"part int, which int, conv_id {ids}, turns long, cost array<long>").collect()
@@ -210,7 +213,8 @@ def repaired(chats: DataFrame) -> DataFrame:
             held.clear()
             kinds = [id_type, turn_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
             for a in range(0, len(out), 5_000):
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out[a : a + 5_000]], k) for i, k in enumerate(kinds)], ["conv_id", "turn", "position", "given_role", "role", "action", "inserted", "rendered"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out[a : a + 5_000]], k) for i, k in enumerate(kinds)], ["conv_id", "turn",
+                    "position", "given_role", "role", "action", "inserted", "rendered"])
 
         for b in batches:
             for row in zip(*[b.column(i).to_pylist() for i in range(5)]):

@@ -37,7 +37,8 @@ def _runs(docs: DataFrame) -> DataFrame:
                 start = lang.encode() + b"\0"
                 keys = pa.array([start + w for w in words], pa.binary())
                 n = len(keys)
-                columns = [keys, pa.array([source] * n, pa.string()), pa.array(np.full(n, document)), pa.array(map(docs.__getitem__, words), pa.int64(), size=n), pa.array(words.values(), pa.int64(), size=n)]
+                columns = [keys, pa.array([source] * n, pa.string()), pa.array(np.full(n, document)), pa.array(map(docs.__getitem__, words),
+                    pa.int64(), size=n), pa.array(words.values(), pa.int64(), size=n)]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "source", "document", "n_docs", "n"])
             groups.clear()
 
@@ -82,7 +83,8 @@ def kept_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     def row(key: bytes, sources: dict[str, int]) -> pa.RecordBatch:
         lang, term = key.rsplit(b"\0", 1)
         k = len(sources)
-        columns = [pa.array([x.decode()] * k, pa.string()) for x in (lang, term)] + [pa.array(list(sources), pa.string()), pa.array(list(sources.values()), pa.int64()), pa.array([sum(sources.values())] * k, pa.int64()), pa.array([1] + [0] * (k - 1), pa.int32())]
+        columns = [pa.array([x.decode()] * k, pa.string()) for x in (lang, term)] + [pa.array(list(sources), pa.string()),
+            pa.array(list(sources.values()), pa.int64()), pa.array([sum(sources.values())] * k, pa.int64()), pa.array([1] + [0] * (k - 1), pa.int32())]
         return pa.RecordBatch.from_arrays(columns, names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +177,8 @@ def _differences(scored: DataFrame, groups: DataFrame, slices: int) -> DataFrame
                 i, j = np.nonzero(total)
                 a, b = np.minimum(at[i], at[j]), np.maximum(at[i], at[j])
                 own = (a // TILE == low) & (b // TILE == high)  # pairs inside one tile belong to the tile with itself
-                yield pa.RecordBatch.from_arrays([pa.array([now[0]] * int(own.sum()), pa.string()), pa.array(a[own], pa.int32()), pa.array(b[own], pa.int32()), pa.array(total[i, j][own])], ["lang", "a", "b", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]] * int(own.sum()), pa.string()), pa.array(a[own], pa.int32()), pa.array(b[own],
+                    pa.int32()), pa.array(total[i, j][own])], ["lang", "a", "b", "d"])
 
         last, held = None, 0
         for b in batches:
@@ -221,7 +224,8 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, term_ranks: int =
     path = shared_path(spark, "groups")
     groups.write.parquet(path)
     groups = spark.read.parquet(path)
-    scored = kept.join(groups, ["lang", "source"]).withColumn("p", _p(F.col("n"), F.col("own_n"), F.col("terms"))).withColumn("q", _p(F.col("total"), F.col("lang_n"), F.col("terms")))
+    scored = kept.join(groups, ["lang", "source"]).withColumn("p", _p(F.col("n"), F.col("own_n"), F.col("terms"))).withColumn("q", _p(F.col("total"),
+        F.col("lang_n"), F.col("terms")))
 
     def ranked(rows: DataFrame, part: str) -> DataFrame:
         order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

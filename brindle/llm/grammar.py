@@ -194,7 +194,8 @@ def compress(ids: np.ndarray, terminals: int, least: int = LEAST) -> Shard:
 
 
 _FORMAT = "part int, seq int, terminals int, rules binary, lengths binary, symbols_low binary, symbols_high binary, samples binary, doc_ids binary, null_ids binary, doc_starts binary, n_tokens long"
-_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("terminals", pa.int32())] + [(n, pa.binary()) for n in ("rules", "lengths", "symbols_low", "symbols_high", "samples", "doc_ids", "null_ids", "doc_starts")] + [("n_tokens", pa.int64())])
+_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("terminals", pa.int32())] + [(n, pa.binary()) for n in ("rules", "lengths",
+    "symbols_low", "symbols_high", "samples", "doc_ids", "null_ids", "doc_starts")] + [("n_tokens", pa.int64())])
 
 
 def _record(part: int, seq: int, terminals: int, docs: list, ends: list[int], data: list[bytes]) -> dict:
@@ -261,7 +262,8 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_first"))
     inner = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return shards.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(parts, "part").select("part", "seq", (F.col("part_first") + F.col("inner")).alias("first"))
+    return shards.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(parts, "part").select("part", "seq",
+        (F.col("part_first") + F.col("inner")).alias("first"))
 
 
 def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
@@ -276,7 +278,8 @@ def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataF
                 n = len(docs)
                 at = starts.tolist()
                 crc = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip(at, at[1:])]
-                columns = [pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), pa.array(docs, mask=np.frombuffer(row["null_ids"], dtype=np.uint8).astype(bool)), pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crc, pa.int64())]
+                columns = [pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), pa.array(docs,
+                    mask=np.frombuffer(row["null_ids"], dtype=np.uint8).astype(bool)), pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crc, pa.int64())]
                 if keep_ids:
                     columns.append(pa.array([bytes(data[4 * a : 4 * z]) for a, z in zip(at, at[1:])], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["part", "seq", "doc_id", "inner", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids)

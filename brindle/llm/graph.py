@@ -33,7 +33,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = downward(large)
         smallest = least(large)
-        small = large.join(smallest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = large.join(smallest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u",
+            F.col("m").alias("v")))).alias("e")).select("e.*")
         now = cut(downward(small))
         before, seen = seen, state(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -27,7 +27,8 @@ BLOCK_ROWS, LEAF_ROWS, LEAVES, GROUPS, SAMPLE_ROWS, MEET = 1 << _BITS, 32, 64, 1
 _LEAST = -(2**63)
 _BLOCK = "block long, cell int, n int, min_label long, max_label long, center binary, radius double, reach double, width int, wide boolean, ids array<long>, labels array<long>, keys array<long>, vectors binary"
 _BLOCK_TYPE = pa.schema(
-    [("block", pa.int64()), ("cell", pa.int32()), ("n", pa.int32()), ("min_label", pa.int64()), ("max_label", pa.int64()), ("center", pa.binary()), ("radius", pa.float64()), ("reach", pa.float64()), ("width", pa.int32()),
+    [("block", pa.int64()), ("cell", pa.int32()), ("n", pa.int32()), ("min_label", pa.int64()), ("max_label", pa.int64()), ("center", pa.binary()),
+        ("radius", pa.float64()), ("reach", pa.float64()), ("width", pa.int32()),
      ("wide", pa.bool_()), ("ids", pa.list_(pa.int64())), ("labels", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("vectors", pa.binary())]
 )
 
@@ -276,7 +277,8 @@ def _blocks(rows: DataFrame, tree, depth: int, path: str) -> DataFrame:
             number = now[0] << 40 | now[1] << 20 | nth
             labels, keys = [r[1] for r in open_rows], [number << _BITS | i if r[2] is None else r[2] for i, r in enumerate(open_rows)]
             wide, data = _stored(matrix)
-            row = {"block": number, "cell": now[0], "n": len(matrix), "min_label": min(labels), "max_label": max(labels), "center": center.tobytes(), "radius": radius, "reach": float(np.sqrt(((m - c) ** 2).sum(axis=1).max())),
+            row = {"block": number, "cell": now[0], "n": len(matrix), "min_label": min(labels), "max_label": max(labels), "center": center.tobytes(),
+                "radius": radius, "reach": float(np.sqrt(((m - c) ** 2).sum(axis=1).max())),
                    "width": matrix.shape[1], "wide": wide, "ids": [r[0] for r in open_rows], "labels": labels, "keys": keys, "vectors": data}
             return pa.RecordBatch.from_pylist([row], _BLOCK_TYPE)
 
@@ -309,7 +311,8 @@ def _candidates(rows: DataFrame, tree, slices: dict[int, int], path: str) -> Dat
             parts = (b.column("n").to_numpy()[at] >> 8 & 0xFFFFFFFF) % np.array([slices.get(c, 1) for c in cells.tolist()], dtype=np.int64) if len(at) else at
             where = pa.array(at)
             vectors = pa.array([r[:n].astype("<f8").tobytes() for r, n in zip(rows, sizes.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(parts, pa.int32()), b.column("vec_id").take(where), b.column("label").take(where), pa.nulls(len(at), pa.int64()), vectors], names)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(parts, pa.int32()), b.column("vec_id").take(where),
+                b.column("label").take(where), pa.nulls(len(at), pa.int64()), vectors], names)
 
     placed = rows.select("vec_id", "label", "embedding", "n", "group").mapInArrow(place, "cell int, slice int, vec_id long, label long, key long, vector binary")
     return _blocks(placed, tree, -1, path)
@@ -326,7 +329,8 @@ def _anchors(blocks: DataFrame, tree, depth: int, slices: dict[int, int], path:
                 at = [i for i, x in enumerate(r["ids"]) if x is not None and x % ANCHOR_EVERY == 0]
                 cell = r["cell"] // LEAVES * LEAVES + (r["cell"] % LEAVES >> up)
                 matrix, n = _read(r), slices.get(cell, 1)
-                columns = [pa.array([cell] * len(at), pa.int32()), pa.array([r["keys"][i] * 0x9E3779B1 % (1 << 61) % n for i in at], pa.int32()), *[pa.array([r[c][i] for i in at], pa.int64()) for c in ("ids", "labels", "keys")]]
+                columns = [pa.array([cell] * len(at), pa.int32()), pa.array([r["keys"][i] * 0x9E3779B1 % (1 << 61) % n for i in at], pa.int32()),
+                    *[pa.array([r[c][i] for i in at], pa.int64()) for c in ("ids", "labels", "keys")]]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([matrix[i].astype("<f8").tobytes() for i in at], pa.binary())], names)
 
     return _blocks(blocks.mapInArrow(place, "cell int, slice int, vec_id long, label long, key long, vector binary"), tree, depth, path)
@@ -344,7 +348,8 @@ def _pairs(anchors: DataFrame, blocks: DataFrame, tree: TopTree, depth: int, sam
     """
     spark = blocks.sparkSession
     one, two = _cells(anchors, F.min("low").alias("low"), F.max("high").alias("high")), _cells(blocks)
-    low, most = intervals(tree.centers[depth][[r.cell % LEAVES for r in one]], np.array([r.reach for r in one]), tree.centers[-1][[r.cell % LEAVES for r in two]], np.array([r.reach for r in two]))
+    low, most = intervals(tree.centers[depth][[r.cell % LEAVES for r in one]], np.array([r.reach for r in one]),
+        tree.centers[-1][[r.cell % LEAVES for r in two]], np.array([r.reach for r in two]))
     fits = (most >= np.array([r.low for r in one], dtype=float)[:, None]) & (low <= np.array([r.high for r in one], dtype=float)[:, None])
     (a0, a1), (c0, c1) = (np.array([(r.min_label, r.max_label) for r in x]).T for x in (one, two))
     if same_label:
@@ -354,8 +359,10 @@ def _pairs(anchors: DataFrame, blocks: DataFrame, tree: TopTree, depth: int, sam
     i, j = np.nonzero(fits)
     cells = spark.createDataFrame(pa.table({"cell": pa.array([one[x].cell for x in i], pa.int32()), "other": pa.array([two[x].cell for x in j], pa.int32())}))
     parts = max(1, -(-blocks.count() // MEET))
-    ours = anchors.select("cell", F.col("block").alias("mine"), F.col("center").alias("c1"), F.col("radius").alias("r1"), F.col("min_label").alias("a0"), F.col("max_label").alias("a1"), "low", "high")
-    theirs = blocks.select(F.col("cell").alias("other"), "block", F.col("center").alias("c2"), F.col("radius").alias("r2"), F.col("min_label").alias("b0"), F.col("max_label").alias("b1"))
+    ours = anchors.select("cell", F.col("block").alias("mine"), F.col("center").alias("c1"), F.col("radius").alias("r1"),
+        F.col("min_label").alias("a0"), F.col("max_label").alias("a1"), "low", "high")
+    theirs = blocks.select(F.col("cell").alias("other"), "block", F.col("center").alias("c2"), F.col("radius").alias("r2"),
+        F.col("min_label").alias("b0"), F.col("max_label").alias("b1"))
     wanted = F.expr("a0 <= b1 and b0 <= a1") if same_label else F.expr("not (a0 = a1 and b0 = b1 and a0 = b0)")
     met = ours.join(cells, "cell").join(theirs, "other").where(wanted).select("mine", "block", "c1", "r1", "c2", "r2", "low", "high")
 
@@ -378,7 +385,8 @@ def _searched(anchors: DataFrame, blocks: DataFrame, pairs: DataFrame, best: int
     """
     pairs = cut(pairs)
     body = ["n", "width", "wide", "ids", "labels", "keys", "vectors"]
-    heads = pairs.select("mine", "part").distinct().join(anchors.select(F.col("block").alias("mine"), *body, "slots"), "mine").select("mine", "part", F.lit(None).cast("double").alias("most"), *body, "slots")
+    heads = pairs.select("mine", "part").distinct().join(anchors.select(F.col("block").alias("mine"), *body, "slots"), "mine").select("mine", "part",
+        F.lit(None).cast("double").alias("most"), *body, "slots")
     tails = pairs.join(blocks.select("block", *body), "block").select("mine", "part", "most", *body, F.lit(None).cast(anchors.schema["slots"].dataType).alias("slots"))
     ordered = heads.unionByName(tails).repartition("mine", "part").sortWithinPartitions("mine", "part", F.desc_nulls_first("most"))
     names = ["mine", "anchor", "anchor_id", "slot", "positive_id", "positive_score", "score", "id", "key"]
@@ -393,7 +401,9 @@ def _searched(anchors: DataFrame, blocks: DataFrame, pairs: DataFrame, best: int
             ids, keys = (np.array([0 if x is None else x for x in head[c]], dtype=np.int64) for c in ("ids", "keys"))
             slots = head["slots"]
             of = [slots[i][s] for i, s in zip(who.tolist(), nth.tolist())] if not same_label else [{"id": None, "score": None}] * len(who)
-            columns = [pa.array(np.full(len(who), mine)), pa.array(keys[who]), pa.array(ids[who]), pa.array(nth, pa.int32()), pa.array([x["id"] for x in of], pa.int64()), pa.array([x["score"] for x in of], pa.int64()), pa.array(score), pa.array(ident, mask=null.astype(bool)), pa.array(key)]
+            columns = [pa.array(np.full(len(who), mine)), pa.array(keys[who]), pa.array(ids[who]), pa.array(nth, pa.int32()),
+                pa.array([x["id"] for x in of], pa.int64()), pa.array([x["score"] for x in of], pa.int64()), pa.array(score), pa.array(ident,
+                mask=null.astype(bool)), pa.array(key)]
             return pa.RecordBatch.from_arrays(columns, names)
 
         for b in batches:
@@ -450,9 +460,11 @@ def hard_negatives(vectors: DataFrame) -> DataFrame:
     near = cut(near.withColumn("nth", F.row_number().over(Window.partitionBy("anchor").orderBy(*order))).where(F.col("nth") <= POSITIVES))
     # each anchors' block gets its anchors' positives, POSITIVES for each row at most
     each = near.groupBy("mine", "anchor").agg(F.array_sort(F.collect_list(F.struct("nth", "id", "score"))).alias("best"))
-    wanted = near.withColumn("least", -F.floor(-F.col("score").cast("decimal(20,0)") * LOW / 100)).withColumn("most", F.floor(F.col("score").cast("decimal(20,0)") * HIGH / 100)).where("least <= most")
+    wanted = near.withColumn("least", -F.floor(-F.col("score").cast("decimal(20,0)") * LOW / 100)).withColumn("most",
+        F.floor(F.col("score").cast("decimal(20,0)") * HIGH / 100)).where("least <= most")
     limits = wanted.groupBy(F.col("mine").alias("block")).agg(F.min("least").cast("long").alias("low"), F.max("most").cast("long").alias("high"))
-    given = each.groupBy(F.col("mine").alias("block")).agg(F.map_from_entries(F.collect_list(F.struct("anchor", F.expr("transform(best, x -> struct(x.id as id, x.score as score))").alias("s")))).alias("given"))
+    given = each.groupBy(F.col("mine").alias("block")).agg(F.map_from_entries(F.collect_list(F.struct("anchor",
+        F.expr("transform(best, x -> struct(x.id as id, x.score as score))").alias("s")))).alias("given"))
     ready = anchors.join(limits, "block").join(given, "block")
     ready = cut(ready.withColumn("slots", F.expr(f"cast(transform(keys, x -> coalesce(given[x], array())) as {slot})")).drop("given"))
     if ready.isEmpty():

@@ -49,11 +49,16 @@ _PLAIN = (
     "psfrag psutils qhull rdisc rsa-md rscpl ruby saxpath sendmail sleepycat smlnj snia swl tcl tcp-wrappers tmate tosl unicode-tou unlicense vim vostrom w3c wsuipa wtfpl x11 xerox xinetd xnet xpp xskat zed zlib zlib-acknowledgement"
 )
 _VERSIONS = {
-    "afl": "1.1 1.2 2.0 2.1 3.0", "apache": "1.0 1.1 2.0", "apsl": "1.0 1.1 1.2 2.0", "artistic": "1.0 2.0", "blueoak": "1.0.0", "bsl": "1.0", "catosl": "1.1", "cc0": "1.0", "cddl": "1.0 1.1", "cecill": "1.0 1.1 2.0 2.1",
-    "cern-ohl-p": "2.0", "cern-ohl-s": "2.0", "cern-ohl-w": "2.0", "cpal": "1.0", "cpl": "1.0", "cua-opl": "1.0", "ecl": "1.0 2.0", "efl": "1.0 2.0", "epl": "1.0 2.0", "erlpl": "1.1", "etalab": "2.0", "eupl": "1.0 1.1 1.2",
-    "frameworx": "1.0", "jasper": "2.0", "lpl": "1.0 1.02", "lppl": "1.0 1.1 1.2 1.3a 1.3c", "mpl": "1.0 1.1 2.0", "mulanpsl": "1.0 2.0", "nasa": "1.3", "nbpl": "1.0", "nosl": "1.0", "npl": "1.0 1.1", "nposl": "3.0", "oclc": "2.0",
-    "odbl": "1.0", "odc-by": "1.0", "ofl": "1.0 1.1", "oldap": "1.1 1.2 1.3 1.4 2.0 2.0.1 2.1 2.2 2.2.1 2.2.2 2.3 2.4 2.5 2.6 2.7 2.8", "osl": "1.0 1.1 2.0 2.1 3.0", "oset-pl": "2.1", "php": "3.0 3.01", "python": "2.0 2.0.1", "qpl": "1.0",
-    "rpl": "1.1 1.5", "rpsl": "1.0", "sgi-b": "1.0 1.1 2.0", "simpl": "2.0", "sissl": "1.2", "spl": "1.0", "ucl": "1.0", "upl": "1.0", "vsl": "1.0", "watcom": "1.0", "ypl": "1.0 1.1", "zimbra": "1.3 1.4", "zpl": "1.1 2.0 2.1",
+    "afl": "1.1 1.2 2.0 2.1 3.0", "apache": "1.0 1.1 2.0", "apsl": "1.0 1.1 1.2 2.0", "artistic": "1.0 2.0", "blueoak": "1.0.0", "bsl": "1.0",
+        "catosl": "1.1", "cc0": "1.0", "cddl": "1.0 1.1", "cecill": "1.0 1.1 2.0 2.1",
+    "cern-ohl-p": "2.0", "cern-ohl-s": "2.0", "cern-ohl-w": "2.0", "cpal": "1.0", "cpl": "1.0", "cua-opl": "1.0", "ecl": "1.0 2.0", "efl": "1.0 2.0",
+        "epl": "1.0 2.0", "erlpl": "1.1", "etalab": "2.0", "eupl": "1.0 1.1 1.2",
+    "frameworx": "1.0", "jasper": "2.0", "lpl": "1.0 1.02", "lppl": "1.0 1.1 1.2 1.3a 1.3c", "mpl": "1.0 1.1 2.0", "mulanpsl": "1.0 2.0",
+        "nasa": "1.3", "nbpl": "1.0", "nosl": "1.0", "npl": "1.0 1.1", "nposl": "3.0", "oclc": "2.0",
+    "odbl": "1.0", "odc-by": "1.0", "ofl": "1.0 1.1", "oldap": "1.1 1.2 1.3 1.4 2.0 2.0.1 2.1 2.2 2.2.1 2.2.2 2.3 2.4 2.5 2.6 2.7 2.8",
+        "osl": "1.0 1.1 2.0 2.1 3.0", "oset-pl": "2.1", "php": "3.0 3.01", "python": "2.0 2.0.1", "qpl": "1.0",
+    "rpl": "1.1 1.5", "rpsl": "1.0", "sgi-b": "1.0 1.1 2.0", "simpl": "2.0", "sissl": "1.2", "spl": "1.0", "ucl": "1.0", "upl": "1.0", "vsl": "1.0",
+        "watcom": "1.0", "ypl": "1.0 1.1", "zimbra": "1.3 1.4", "zpl": "1.1 2.0 2.1",
 }
 _OR_LATER = {"gpl": "1.0 2.0 3.0", "lgpl": "2.0 2.1 3.0", "agpl": "1.0 3.0", "gfdl": "1.1 1.2 1.3"}
 _COMMONS, _COMMONS_VERSIONS = "cc-by cc-by-sa cc-by-nc cc-by-nd cc-by-nc-sa cc-by-nc-nd", "1.0 2.0 2.5 3.0 4.0"

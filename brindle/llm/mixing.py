@@ -201,7 +201,8 @@ def mixture(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, weights
                     words[at : at + n] = np.where(slot == plan.slots[s] - 1, plan.last[s], plan.block)
                     at += n
                 order = np.random.default_rng([plan.seed, shard, 7]).permutation(len(source))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(source), shard)), pa.array(np.arange(len(source))), *[pa.array(x[order]) for x in (source, blocks, words, epochs)]], ["shard", "slot", "s", "block", "words", "epoch"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(source), shard)), pa.array(np.arange(len(source))),
+                    *[pa.array(x[order]) for x in (source, blocks, words, epochs)]], ["shard", "slot", "s", "block", "words", "epoch"])
 
     shards = int(first[-1])
     mix = spark.range(0, shards, 1, max(1, min(shards, 10_000))).mapInArrow(slots, "shard long, slot long, s long, block long, words long, epoch long")
@@ -228,7 +229,8 @@ def _parts(docs: DataFrame, table: DataFrame, rows: int, block: int, salts: int
     inside = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")))
     parts = placed.withColumn("block", F.explode_outer(inside))
     begin = F.greatest("start", F.col("block") * block)
-    return parts.withColumn("offset", begin - F.col("block") * block).withColumn("from_word", begin - F.col("start")).withColumn("n_words", F.least(end, (F.col("block") + 1) * block) - begin)
+    return parts.withColumn("offset", begin - F.col("block") * block).withColumn("from_word", begin - F.col("start")).withColumn("n_words",
+        F.least(end, (F.col("block") + 1) * block) - begin)
 
 
 def _water_level(table: DataFrame, most: float) -> float | None:
@@ -257,9 +259,11 @@ def _many_sources(summed: DataFrame, block: int, seed: int, weights: tuple[float
     def before(df: DataFrame, amount, out: str) -> DataFrame:
         """Adds ``out``: the sum of ``amount`` over the sources before; ranges are added up first."""
         sums = df.groupBy("_part").agg(F.sum(amount).alias("_sum"))  # a row for each range
-        starts = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+        starts = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding,
+            -1)), F.lit(0)).alias("_start"))
         inner = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn("_in", F.coalesce(F.sum(amount).over(inner), F.lit(0))).join(starts, F.col("_part") == F.col("_p")).withColumn(out, (F.col("_start") + F.col("_in")).cast("long")).drop("_in", "_p", "_start")
+        return df.withColumn("_in", F.coalesce(F.sum(amount).over(inner), F.lit(0))).join(starts, F.col("_part") == F.col("_p")).withColumn(out,
+            (F.col("_start") + F.col("_in")).cast("long")).drop("_in", "_p", "_start")
 
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("s") % len(weights) + 1).cast("int"))
     table = cut(before(ranged, F.lit(1), "s").withColumn("weight", weight))
@@ -270,14 +274,16 @@ def _many_sources(summed: DataFrame, block: int, seed: int, weights: tuple[float
 
     def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [slots_of(n, round(want), block, lambda epoch, s=s: pass_key(seed, s, epoch)) for s, n, want in zip(*(b.column(c).to_pylist() for c in ("s", "size", "target")))]
+            found = [slots_of(n, round(want), block, lambda epoch, s=s: pass_key(seed, s, epoch)) for s, n,
+                want in zip(*(b.column(c).to_pylist() for c in ("s", "size", "target")))]
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]], [*b.schema.names, "slots", "last"])
 
     plain = table.select("source", "s", "size", "target", "_part", "_at")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
     plan = cut(before(plain.mapInArrow(planned, f"{kinds}, slots long, last long"), F.col("slots"), "first"))
     total = int(plan.agg(F.sum("slots")).first()[0] or 0)
-    ranges = plan.where("slots > 0").select("s", "size", "slots", "last", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {RANGE_SLOTS}"))).alias("_range")).repartition("s", "_range")
+    ranges = plan.where("slots > 0").select("s", "size", "slots", "last", "first", F.explode(F.sequence(F.lit(0).cast("long"),
+        F.expr(f"(slots - 1) div {RANGE_SLOTS}"))).alias("_range")).repartition("s", "_range")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,7 +292,8 @@ def _many_sources(summed: DataFrame, block: int, seed: int, weights: tuple[float
                 blocks = -(-size // block)
                 place = permuted(first + slot, total, pass_key(seed, 0, 0) ^ 0x5107)
                 words = np.where(slot == n - 1, last, block)
-                columns = [place // SHARD_BLOCKS, place % SHARD_BLOCKS, np.full(len(slot), s), blocks_at(slot, blocks, lambda epoch: pass_key(seed, s, epoch)), words, slot // blocks]
+                columns = [place // SHARD_BLOCKS, place % SHARD_BLOCKS, np.full(len(slot), s), blocks_at(slot, blocks, lambda epoch: pass_key(seed, s,
+                    epoch)), words, slot // blocks]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["shard", "slot", "s", "block", "words", "epoch"])
 
     mix = ranges.mapInArrow(slots, "shard long, slot long, s long, block long, words long, epoch long")
@@ -316,7 +323,8 @@ def mixed_words(docs: DataFrame, **options) -> DataFrame:
     """
     keys = ["s", "start", "doc_id", "size", "text_hash", "_row"]
     rows = cut(sized(docs).withColumn("_row", F.monotonically_increasing_id()))
-    sums = taken_parts(rows, **options).groupBy(*keys).agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("take").cast("long").alias("taken"))
+    sums = taken_parts(rows, **options).groupBy(*keys).agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"),
+        F.sum("take").cast("long").alias("taken"))
     return sums.select("doc_id", "size", "source_size", "target", "taken")
 
 

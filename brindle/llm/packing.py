@@ -41,7 +41,8 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int =
                     if keep_ids:
                         ids.append(some)
             pieces = np.array(piece, dtype=np.int32)
-            columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(pieces), pa.array(pieces.astype(np.int64) * capacity), pa.array(length, pa.int32()), pa.array(crc, pa.int64())]
+            columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(pieces), pa.array(pieces.astype(np.int64) * capacity), pa.array(length,
+                pa.int32()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * keep_ids, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
         lib.forget()
 

@@ -58,11 +58,14 @@ def _encoded(docs: DataFrame, vocabulary: str, capacity: int, cut_one_in: int) -
                 docs_seen += 1
             columns = list(zip(*rows)) or [()] * 8
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(columns[0], pa.int64())), pa.array([part] * len(rows), pa.int32()), *[pa.array(c, pa.int64()) for c in columns[1:7]], pa.array(columns[7], pa.binary())], _NAMES
+                [b.column(0).take(pa.array(columns[0], pa.int64())), pa.array([part] * len(rows), pa.int32()), *[pa.array(c,
+                    pa.int64()) for c in columns[1:7]], pa.array(columns[7], pa.binary())], _NAMES
             )
         lib.forget()
 
-    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part int, class long, nth long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    return docs.mapInArrow(work,
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part int, class long, nth long, start long, length long, ids_crc32 long, doc_tokens long, "
+        f"ids binary")
 
 
 def _stored(vocabulary_size: int) -> str:

@@ -54,7 +54,8 @@ def write_archive(pages: DataFrame, path: str) -> None:
     rows = pick(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.encode(F.lit(""), "UTF-8")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("check", F.xxhash64("payload"))
     keyed = rows.select("page_id", "url", "digest", "bytes", "check")
-    groups = keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.min("bytes").alias("b1"), F.max("bytes").alias("b2"))
+    groups = keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.min("check").alias("c1"), F.max("check").alias("c2"),
+        F.min("bytes").alias("b1"), F.max("bytes").alias("b2"))
     clash = (F.col("c1") != F.col("c2")) | (F.col("b1") != F.col("b2"))
     groups = groups.select("digest", F.when(clash, F.raise_error(F.lit("two payloads share a digest"))).otherwise(F.col("refers_to")).alias("refers_to"))
     revisit = (F.col("bytes") >= LEAST_BYTES) & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
@@ -81,7 +82,8 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, header, and what the header says: digest, record_type, refers_to (a record's id)."""
     rows = spark.read.schema("page_id long, url string, digest string, header binary").parquet(f"{path}/records").withColumn("text", F.decode("header", "UTF-8"))
-    return rows.select("page_id", "url", "header", F.regexp_replace(_header("WARC-Payload-Digest"), "^sha256:", "").alias("digest"), _header("WARC-Type").alias("record_type"), _header("WARC-Refers-To").alias("refers_to"))
+    return rows.select("page_id", "url", "header", F.regexp_replace(_header("WARC-Payload-Digest"), "^sha256:", "").alias("digest"),
+        _header("WARC-Type").alias("record_type"), _header("WARC-Refers-To").alias("refers_to"))
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
@@ -99,7 +101,8 @@ def archived(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, from the files alone."""
     sizes = read_payloads(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
     to = F.regexp_extract("refers_to", "^<urn:page:(-?[0-9]+)>$", 1)
-    return read_records(spark, path).join(sizes, "digest").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.when(to != "", to.cast("long")).alias("refers_to"))
+    return read_records(spark, path).join(sizes, "digest").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type",
+        F.when(to != "", to.cast("long")).alias("refers_to"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

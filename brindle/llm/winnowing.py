@@ -97,7 +97,8 @@ def in_order(docs: DataFrame, slices: int) -> DataFrame:
     ids = docs.select("doc_id")
     bounds = ids.where("doc_id is not null").agg(F.percentile_approx("doc_id", [(i + 1) / slices for i in range(slices - 1)], 100_000).alias("b")).first().b if slices > 1 else None
     bounds = sorted(set(bounds or ()))
-    number = F.lit(0) if not bounds else F.when(F.col("doc_id").isNull(), 0).otherwise(F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda n, b: n + (b < F.col("doc_id")).cast("int")))
+    number = F.lit(0) if not bounds else F.when(F.col("doc_id").isNull(), 0).otherwise(F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0),
+        lambda n, b: n + (b < F.col("doc_id")).cast("int")))
     if len(bounds) > 256:  # too long for an expression: a search in the sorted bounds
         at = np.array(bounds)
         number = F.when(F.col("doc_id").isNull(), 0).otherwise(F.pandas_udf(lambda s: s.__class__(np.searchsorted(at, s.fillna(at[0]).to_numpy(), side="left")), "int")("doc_id"))
@@ -109,7 +110,8 @@ def in_order(docs: DataFrame, slices: int) -> DataFrame:
         return sliced.withColumn("halo", F.lit(False))
     table = spark.createDataFrame([(s, head, found[i - 1][0]) for i, (s, head) in enumerate(found)], f"_s int, _head {docs.schema['doc_id'].dataType.simpleString()}, _before int")
     first = F.col("doc_id").eqNullSafe(F.col("_head")) & (F.col("slice") == F.col("_s"))
-    halo = F.when(F.col("_before").isNotNull(), F.array(F.struct(F.col("slice"), F.lit(False).alias("halo")), F.struct(F.col("_before").alias("slice"), F.lit(True).alias("halo")))).otherwise(F.array(F.struct(F.col("slice"), F.lit(False).alias("halo"))))
+    halo = F.when(F.col("_before").isNotNull(), F.array(F.struct(F.col("slice"), F.lit(False).alias("halo")),
+        F.struct(F.col("_before").alias("slice"), F.lit(True).alias("halo")))).otherwise(F.array(F.struct(F.col("slice"), F.lit(False).alias("halo"))))
     both = sliced.join(F.broadcast(table), first, "left").select("doc_id", "text", F.explode(halo).alias("to"))
     return both.select("to.slice", "doc_id", "text", "to.halo")
 

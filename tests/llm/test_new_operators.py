@@ -59,14 +59,16 @@ def test_hard_negatives_of_small_blocks(spark, monkeypatch):
 
 def test_hard_negatives_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, 1, [1.0, 2.0]), (100, 2, [1.0]), (200, 1, []), (None, 1, [3.0, 1.0]), (None, 2, [0.5, 0.75]), (1, None, [1.0, 1.0]), (2, 1, None), (3, 1, [None, 1.0]), (4, 1, [nan, 1.0]), (300, 1, [inf, 1.0])]
+    rows = [(0, 1, [1.0, 2.0]), (100, 2, [1.0]), (200, 1, []), (None, 1, [3.0, 1.0]), (None, 2, [0.5, 0.75]), (1, None, [1.0, 1.0]), (2, 1, None), (3,
+        1, [None, 1.0]), (4, 1, [nan, 1.0]), (300, 1, [inf, 1.0])]
     rows += [(7, 1, [0.5, 1.0]), (8, 1, [0.5, 1.0]), (9, 2, [0.25, 0.5]), (10, 2, [0.25, 0.5]), (11, 3, [0.25, 0.5]), (-100, 1, [-1.0, -2.0]), (12, -5, [0.4, 0.4])]
     want = [x for x in negatives([(i, k, v if v is None else [*v, *[0.0] * (2 - len(v))]) for i, k, v in rows])]
     assert mined(spark, rows) == want and want
     assert mined(spark, []) == [] and mined(spark, rows[5:10]) == []
     big = [(100 * i, i % 2, [1.0e6 * (i + 1), 0.3e6 * i]) for i in range(8)]  # sums beyond 2 ** 53
     assert mined(spark, big, "double") == negatives(big)
-    df = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "vec_id long, label int, embedding array<float>, score int, n double").toDF("vec_id", "label", "embedding", "LABEL", "n")
+    df = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "vec_id long, label int, embedding array<float>, score int, n double").toDF("vec_id",
+        "label", "embedding", "LABEL", "n")
     assert sorted(map(tuple, hard_negatives.hard_negatives(df).collect()), key=str) == want
 
 
@@ -82,7 +84,8 @@ def test_pairs_of_nodes_are_dropped():
     """Of far clusters whole groups of anchors are ruled out before a score is made."""
     rng = np.random.default_rng(2)
     near, far = (np.round(rng.normal(size=(256, 8)) + shift) for shift in (50, -50))
-    row = lambda m, at: {"n": len(m), "width": 8, "wide": False, "vectors": m.astype("<i2").tobytes(), "labels": [1] * len(m), "keys": list(range(at, at + len(m))), "ids": list(range(at, at + len(m)))}
+    row = lambda m, at: {"n": len(m), "width": 8, "wide": False, "vectors": m.astype("<i2").tobytes(), "labels": [1] * len(m), "keys": list(range(at,
+        at + len(m))), "ids": list(range(at, at + len(m)))}
     s = hard_negatives.Search(row(near, 0), np.zeros((256, 1), np.int64), np.full((256, 1), 2**62), 3, True)
     alive, _ = s._descend(hard_negatives.BlockTree(far))
     assert not alive.any()
@@ -169,7 +172,8 @@ def test_shortest_pack(spark, data, capacity):
 def test_shortest_pack_of_odd_rows(spark):
     rows = [(None, None)] * 90 + [(1, ""), (1, ""), (2, "Some words. " * 9000), (3, " "), (4, "x")] + [(5, "the same words")] * 50
     for kind in ("long", "string"):
-        df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, length int").selectExpr(f"cast(doc_id as {kind}) doc_id", "text", "length LENGTH", "1 offset")
+        df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, length int").selectExpr(f"cast(doc_id as {kind}) doc_id",
+            "text", "length LENGTH", "1 offset")
         for one_in in (1, 3, 1000):
             got = shortest_pack.pack(df, cut_one_in=one_in, capacity=64)
             assert got.schema["doc_id"].dataType.simpleString() == {"long": "bigint"}.get(kind, kind)
@@ -217,14 +221,16 @@ def test_divergence_equals_sql(spark, data):
 def test_divergence_is_brute_force(spark, monkeypatch, small):
     rng = random.Random(5)
     words = ["Ab", "ab", "É", "é", "中文", "x" * 300, "q r", "it's", "a1b", "_z_"] + [f"w{chr(97 + i)}" for i in range(26)]
-    rows = [(" ".join(rng.choice(words) for _ in range(rng.randrange(30))) if rng.random() < 0.9 else None, rng.choice(["en", "en", None, "", "d\0e"]), rng.choice(["s1", "s2", "s3", None, "", "é", "Z"])) for _ in range(300)]
+    rows = [(" ".join(rng.choice(words) for _ in range(rng.randrange(30))) if rng.random() < 0.9 else None, rng.choice(["en", "en", None, "",
+        "d\0e"]), rng.choice(["s1", "s2", "s3", None, "", "é", "Z"])) for _ in range(300)]
     rows += [("the same text of many rows", "en", "s1")] * 200 + [("rare", "alone", "s1"), (None, "alone", "s2")]
     if small:
         for name, value in (("TILE", 2), ("CHUNK", 3), ("HELD", 20)):
             monkeypatch.setattr(divergence, name, value)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        df = spark.createDataFrame([(*r, 1, 2) for r in rows], "text string, lang string, source string, place int, p0 int").toDF("text", "lang", "source", "TERM", "p0").repartition(3)
+        df = spark.createDataFrame([(*r, 1, 2) for r in rows], "text string, lang string, source string, place int, p0 int").toDF("text", "lang",
+            "source", "TERM", "p0").repartition(3)
         assert sorted(map(tuple, divergence.divergence(df, 4, 5).collect())) == compared(rows, 4, 5)
         assert divergence.divergence(df.limit(0)).count() == 0
     finally:

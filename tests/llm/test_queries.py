@@ -17,7 +17,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "Grande palabra única, and more of it. " * 4000
 ROWS = [
     (1, None, "a"), (2, "", "a"), (3, " \n\t", None), (4, LONG, "b"), (5, "twice the very same row here", "a"), (5, "twice the very same row here", "a"),
-    (None, "a row without an id, but with words", "b"), (6, "equal texts of two documents, long enough to be kept as they are here", "a"), (7, "equal texts of two documents, long enough to be kept as they are here", None), (8, "x", "a"),
+    (None, "a row without an id, but with words", "b"), (6, "equal texts of two documents, long enough to be kept as they are here", "a"), (7,
+        "equal texts of two documents, long enough to be kept as they are here", None), (8, "x", "a"),
 ]
 
 
@@ -35,7 +36,8 @@ def texts(docs):
 def odd(spark):
     """Nulls, empty and long texts, equal rows, and other columns with names that operators use."""
     df = spark.createDataFrame([(i, t, s, 1, 2, "x", 3.0) for i, t, s in ROWS], "doc_id long, text string, source string, size int, block int, fp string, rank double")
-    return df.withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long")).toDF("doc_id", "text", "source", "TEXT", "block", "fp", "rank", "lang", "n_chars")
+    return df.withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long")).toDF("doc_id", "text", "source", "TEXT", "block",
+        "fp", "rank", "lang", "n_chars")
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +46,8 @@ def empty(odd):
 
 
 OPERATORS = {
-    "mixing": mixing.mixed_words, "licences": licences.licences, "quality": quality.quality, "winnowing": winnowing.fingerprints, "packing": packing.pack, "simhash": simhash.near_duplicates, "tokens": token_counts.token_counts,
+    "mixing": mixing.mixed_words, "licences": licences.licences, "quality": quality.quality, "winnowing": winnowing.fingerprints,
+        "packing": packing.pack, "simhash": simhash.near_duplicates, "tokens": token_counts.token_counts,
     "mixed": mixing.mixed_documents, "good": quality.keep_good, "first": simhash.keep_first,
 }
 
@@ -210,7 +213,8 @@ def test_mixed_documents_of_equal_rows(spark):
 
 def test_mixing_of_many_sources(spark, docs, monkeypatch):
     """A plan that stays a table reaches the same targets as one that is sent, in every source."""
-    many = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 7 > 0, F.concat(F.lit("é"), (F.col("doc_id") % 29).cast("string")))).withColumn("text", F.when(F.col("doc_id") % 29 != 5, F.col("text")))
+    many = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 7 > 0, F.concat(F.lit("é"),
+        (F.col("doc_id") % 29).cast("string")))).withColumn("text", F.when(F.col("doc_id") % 29 != 5, F.col("text")))
     sent = {r.doc_id: r for r in mixing.mixed_words(many).collect()}
     monkeypatch.setattr(mixing, "SENT_SOURCES", 2)
     monkeypatch.setattr(mixing, "RANGE_SLOTS", 7)
@@ -407,7 +411,8 @@ def test_archive(spark, data, tmp_path):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     assert spark_rows(warc.query(spark, data)) == duck_rows(warc.SQL, data)
     big = "long payload " * 20
-    odd = spark.createDataFrame([(3, "u", big), (2, "v\r\nX: y", big), (2, "v", big), (None, None, big), (5, "w", None), (6, "w", ""), (7, "s", "short"), (8, "s", "short"), (None, "n", "é" * 60)], "page_id long, url string, html string")
+    odd = spark.createDataFrame([(3, "u", big), (2, "v\r\nX: y", big), (2, "v", big), (None, None, big), (5, "w", None), (6, "w", ""), (7, "s",
+        "short"), (8, "s", "short"), (None, "n", "é" * 60)], "page_id long, url string, html string")
     path = str(tmp_path / "odd")
     warc.write_archive(odd.withColumn("digest", F.lit("x")), path)
     got = {(r.page_id, r.payload_digest[:4], r.record_type, r.refers_to) for r in warc.archived(spark, path).collect()}

@@ -31,7 +31,8 @@ def expected(text):
 
 def test_labels_and_scores(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
-    more = ["// SPDX-License-Identifier: MIT OR GPL-2.0-only\ncode", "# SPDX-License-Identifier: Apache-2.0 AND BSD-3-Clause", "SPDX-License-Identifier: MIT with the following changes", "All Rights Reserved. Public domain", "SPDX License Identifier: apache-77.3"]
+    more = ["// SPDX-License-Identifier: MIT OR GPL-2.0-only\ncode", "# SPDX-License-Identifier: Apache-2.0 AND BSD-3-Clause",
+        "SPDX-License-Identifier: MIT with the following changes", "All Rights Reserved. Public domain", "SPDX License Identifier: apache-77.3"]
     rows = docs.unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(more)], "doc_id long, text string"))
     texts = {r.doc_id: r.text or "" for r in rows.collect()}
     got = {r.doc_id: (r.labels, r.score) for r in licences.licences(rows).collect()}
@@ -50,8 +51,10 @@ def votes(m):
     repeated, again, ended, variety = m["n_repeat_words"] / words, m["n_dup_lines"] / lines, m["n_ended_lines"] / lines, m["n_distinct_words"] / words
     digits, layout = m["n_digits"] / chars, m["n_words"] / lines
     return [
-        vote(m["n_words"] >= 50, m["n_words"] < 10), vote(symbols < 0.02 and density < 0.004, symbols > 0.1 or density > 0.025), vote(marked == 0, marked > 0.3), vote(2.5 <= size <= 9, size < 2 or size > 12),
-        vote(repeated < 0.05, repeated > 0.2), vote(again == 0, again > 0.3), vote(ended > 0.9, ended < 0.5), vote(variety > 0.25, variety < 0.1), vote(digits < 0.1, digits > 0.3), vote(layout >= 5, layout < 2),
+        vote(m["n_words"] >= 50, m["n_words"] < 10), vote(symbols < 0.02 and density < 0.004, symbols > 0.1 or density > 0.025), vote(marked == 0,
+            marked > 0.3), vote(2.5 <= size <= 9, size < 2 or size > 12),
+        vote(repeated < 0.05, repeated > 0.2), vote(again == 0, again > 0.3), vote(ended > 0.9, ended < 0.5), vote(variety > 0.25, variety < 0.1),
+            vote(digits < 0.1, digits > 0.3), vote(layout >= 5, layout < 2),
     ]
 
 

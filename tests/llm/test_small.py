@@ -280,7 +280,8 @@ def test_role_repair_is_cheapest():
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_equal_library(name):
     e = tokens.id_encoder(name)
-    texts = ["", " ", "  a b", "a\n\nb", "x <|endoftext|> y", "7 7a b7", "\n", "a\nb c\n d", " a", "a ", "\tq w", "don't I'll  's 'S x's\n's", "１２ ²", "é é ́x", "İI ΑΣ Σ", "a\x1cb c\xa0d \xad", "Ünï\ncödé \n", "\U0001f600 x\U0001f600", "a\r\nb"]
+    texts = ["", " ", "  a b", "a\n\nb", "x <|endoftext|> y", "7 7a b7", "\n", "a\nb c\n d", " a", "a ", "\tq w", "don't I'll  's 'S x's\n's", "１２ ²",
+        "é é ́x", "İI ΑΣ Σ", "a\x1cb c\xa0d \xad", "Ünï\ncödé \n", "\U0001f600 x\U0001f600", "a\r\nb"]
     rng = random.Random(4)
     texts += ["a  b\n\n\nc", "x\u3000 y \n z  ", "\n\n \nq", "a\x85 b\u200b \n c\r\n\r\nd", " \t's  's"]
     texts += ["".join(rng.choice(["a", "B", " ", "\n", ".", "é", "'s", "1", "\t", "ß", "中"]) for _ in range(rng.randrange(40))) for _ in range(400)]

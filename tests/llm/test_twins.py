@@ -80,7 +80,8 @@ def test_very_long_texts(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
     text = " ".join(rng.choice(words) for _ in range(600_000))
-    df = spark.createDataFrame([(1, text, "a"), (2, "x" * 2_000_000, "a"), (3, "\n" * 1_000_000, "b"), (4, " under the mit license" * 50_000, None)], "doc_id long, text string, source string")
+    df = spark.createDataFrame([(1, text, "a"), (2, "x" * 2_000_000, "a"), (3, "\n" * 1_000_000, "b"), (4, " under the mit license" * 50_000, None)],
+        "doc_id long, text string, source string")
     assert {r.doc_id: r.n_words for r in quality.quality(df).collect()} == {1: 600_000, 2: 1, 3: 0, 4: 200_000}
     assert {r.doc_id: r.n_base for r in licences.licences(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 50_000}
     tokens = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df).collect()}
@@ -92,7 +93,8 @@ def test_very_long_texts(spark):
 
 def test_keys_of_other_types(spark):
     for kind in ("smallint", "int", "string"):
-        df = spark.createDataFrame([("1", "some words of a text", "a"), (None, "no id", None), ("2", None, "a")], "doc_id string, text string, source string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        df = spark.createDataFrame([("1", "some words of a text", "a"), (None, "no id", None), ("2", None, "a")],
+            "doc_id string, text string, source string").withColumn("doc_id", F.col("doc_id").cast(kind))
         for operator in (licences.licences, quality.quality, token_counts.token_counts, packing.pack, simhash.near_duplicates, mixing.mixed_words):
             out = operator(df)
             assert out.count() == 3 and out.schema["doc_id"].dataType.simpleString() == kind
