@@ -32,6 +32,13 @@ def _met(queries: DataFrame, docs: DataFrame, slices: int) -> DataFrame:
     return q.join(d, ["term", "_slice"]).groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("weight")).alias("score"))
 
 
+def kept(rows: DataFrame, kind: str) -> DataFrame:
+    """rows, computed once: written and read again."""
+    path = scratch_path(rows.sparkSession, kind)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def bounded(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """queries(qid, term, weight) as (qid, term, wq, df, bound, seen, rest): by rising df, entries before, and bounds from here on."""
     stats = docs.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("most"))
@@ -58,13 +65,12 @@ def sparse_topk(queries: DataFrame, docs: DataFrame, k: int, digits: int | None
     """(qid, doc_id, score, rank): each query's k best of the documents that share a term with it, ties to the smaller id.
 
     ``queries(qid, term, weight)``, ``docs(doc_id, term, weight)``, weights positive, each term once in a vector.  digits:
-    scores are rounded before they are compared.  Documents' vectors are written once, and read by each step.
+    scores are rounded before they are compared.  What several steps read is written once.
     """
-    path = scratch_path(docs.sparkSession, "postings")
-    docs.select("doc_id", "term", "weight").write.parquet(path)
-    docs = docs.sparkSession.read.parquet(path)
-    terms = bounded(queries, docs)
+    docs = kept(docs.select("doc_id", "term", "weight"), "postings")
+    terms = kept(bounded(queries, docs), "bounds")
     some, left = candidates(terms, docs, k)
+    some, left = kept(some, "candidates"), kept(left, "unread")
     # what survives is looked up in the lists that weren't read
     hot = docs.join(left.select("term").distinct(), "term", "left_semi").join(some.select("doc_id").distinct(), "doc_id", "left_semi")
     more = some.select("qid", "doc_id").join(hot, "doc_id").join(left.select("qid", "term", "wq"), ["qid", "term"])
@@ -82,7 +88,7 @@ def hit_counts(queries: DataFrame, docs: DataFrame) -> DataFrame:
     query and document leaves it.  More than HELD_TERMS terms: several passes over the documents.
     """
     spark = docs.sparkSession
-    pairs = queries.select("qid", "term").distinct()
+    pairs = kept(queries.select("qid", "term").distinct(), "hits")
     passes = max(1, -(-pairs.count() // HELD_TERMS))
     found = None
     for p in range(passes):

@@ -147,7 +147,7 @@ def _documents_tfidf(s, d):
     counts = I.term_counts(docs, "doc_id", I.word_grams("text"))
     idf = I.fit(counts, docs.count())
     weights = I.weigh(counts, idf).withColumnRenamed("id", "doc_id")
-    queries = I.weigh(I.term_counts(items, "item_id", I.word_grams("text")), idf).withColumnRenamed("id", "qid")
+    queries = M.kept(I.weigh(I.term_counts(items, "item_id", I.word_grams("text")), idf).withColumnRenamed("id", "qid"), "queries")
     known = queries.select("qid", "term")  # terms of some document
     hits = M.hit_counts(known, docs.select(F.array_distinct(I.word_grams("text")).alias("terms")))
     return I.signals(M.sparse_topk(queries, weights, 3), hits, items.select(F.col("item_id").alias("qid")), docs.select("doc_id", "text"), 3)
