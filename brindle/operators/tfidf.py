@@ -19,16 +19,20 @@ def char_grams(text: Column | str, low: int = 1, high: int = 3) -> Column:
     return let(folded, lambda t: F.concat(*[grams(t, n) for n in range(low, high + 1)]))
 
 
+def words(text: Column | str) -> Column:
+    """Words of the lower-cased text, split at white space."""
+    return F.filter(F.split(F.lower(F.col(text) if isinstance(text, str) else text), f"{WS}+"), lambda w: w != "")
+
+
 def word_grams(text: Column | str) -> Column:
     """Words of the lower-cased text, split at white space, and pairs of neighbours."""
-    words = F.filter(F.split(F.lower(F.col(text) if isinstance(text, str) else text), f"{WS}+"), lambda w: w != "")
 
     def both(w: Column) -> Column:
         after = F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))
         pairs = F.zip_with(w, after, lambda a, b: F.concat(a, F.lit(" "), b))
         return F.concat(w, F.filter(pairs, lambda p: p.isNotNull()))
 
-    return let(words, both)
+    return let(words(text), both)
 
 
 def term_counts(docs: DataFrame, doc_id: str, grams: Column) -> DataFrame:
