@@ -1,6 +1,7 @@
 """Operator 7 where texts, not fingerprints, are compared: word shingles with a Jaccard similarity of 0.8 or more.
 
-Candidates meet in bands of a MinHash signature; every link is checked on the whole shingle sets.
+Candidates are told by SimHash fingerprints and meet, where these differ too much, in bands of a MinHash signature; every
+link is checked on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, cut, give_back, shared_path, with_row_keys
-from .graph import first_rows
+from .graph import connected, first_rows
 
 SHINGLE_WORDS, SIMILARITY, SEED = 5, 0.8, 42
 #: A pair of similarity s meets in a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9997 at 0.8.
@@ -54,6 +55,12 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def fingerprint(own: np.ndarray) -> np.int64:
+    """SimHash of a set of shingles: a bit is set if it is in over half the hashes."""
+    ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(own)).view(np.int64)[0]
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sets of distinct values; of two empty ones 1."""
     either = len(a) + len(b)
@@ -62,9 +69,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _shingled(keyed: DataFrame, words: int) -> DataFrame:
-    """doc_id, k1, k2, point (a 128-bit hash of the shingle set), size, shingles (32-bit hashes) and bands of each row."""
+    """doc_id, k1, k2, point (a 128-bit hash of the shingle set), size, shingles (32-bit hashes), bands and fp (SimHash) of each row."""
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "k1", "k2", "point", "size", "shingles", "bands"]
+    names = ["doc_id", "k1", "k2", "point", "size", "shingles", "bands", "fp"]
 
     def lists(parts: list[np.ndarray], kind: type) -> pa.Array:
         ends = np.cumsum([0, *map(len, parts)])
@@ -84,10 +91,10 @@ def _shingled(keyed: DataFrame, words: int) -> DataFrame:
                 # half the bits are enough to compare two texts: of 20,000 words each they share a tenth of one by chance
                 short = [np.unique(s >> np.uint64(32)).astype(np.uint32) for s in sets]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), some.column(3), points, pa.array([len(s) for s in sets],
-                    pa.int64()), lists(short, np.int32), lists(banded, np.int64)], names)
+                    pa.int64()), lists(short, np.int32), lists(banded, np.int64), pa.array([fingerprint(s) for s in sets], pa.int64())], names)
         give_back()
 
-    return keyed.mapInArrow(work, f"doc_id {kind}, k1 long, k2 long, point binary, size long, shingles array<int>, bands array<long>")
+    return keyed.mapInArrow(work, f"doc_id {kind}, k1 long, k2 long, point binary, size long, shingles array<int>, bands array<long>, fp long")
 
 
 class Neighbours:
@@ -163,19 +170,26 @@ def _linked(met: DataFrame, least: float) -> DataFrame:
 def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, least: float = SIMILARITY) -> DataFrame:
     """One row of each group of near copies in ``docs``, in all its columns: that of the smallest doc_id, null last.
 
-    Groups are chains of links between texts whose shingle sets are ``least`` alike or more.  Of texts that share a
+    Groups are chains of links between texts whose shingle sets are ``least`` alike or more.  Candidates are texts whose
+    SimHash fingerprints lie within operator 7's threshold, found by its anchors, and, as texts just alike enough differ
+    in more bits than anchors reach, those that share a band.  Of texts that share a fingerprint's chain or a
     band no link is lost; bands where the same texts meet are looked at once, and a band of more than TOGETHER texts
     is split into slices, each two of which meet in a task.
     Null texts, and texts without a word, are copies of one another; equal texts too, however many.
     """
+    from .simhash import links
+
     spark = docs.sparkSession
     plain, keyed = with_row_keys(docs)
     path = shared_path(spark, "bands")
     _shingled(keyed, words).drop("shingles").write.parquet(path)
     rows = spark.read.parquet(path)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "point", "k1", "k2")
-    points = cut(rows.select("point", "bands", first.alias("first")).groupBy("point").agg(F.min("first").alias("first"), F.first("bands").alias("bands")))
-    sent = points.select("point", "first", F.explode("bands").alias("band"))
+    points = cut(rows.select("point", "bands", "fp", first.alias("first")).groupBy("point").agg(F.min("first").alias("first"), F.first("bands").alias("bands"), F.first("fp").alias("fp")))
+    # fingerprints within operator 7's few bits, by its anchors, and chains of them: one more band
+    roots = connected(links(points.where(F.size("bands") > 0).select("fp").distinct())).withColumnRenamed("node", "fp")
+    alike = points.where(F.size("bands") > 0).join(roots, "fp", "left").withColumn("band", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")))
+    sent = points.select("point", "first", F.explode("bands").alias("band")).union(alike.select("point", "first", "band"))
     # a set of texts is told by how many they are and two sums of their hashes
     sums = [F.sum(F.xxhash64(F.lit(i), "point").cast("decimal(20,0)")).alias(f"h{i}") for i in (1, 2)]
     shared = sent.groupBy("band").agg(F.count("*").alias("n"), *sums).where("n > 1").groupBy("n", "h1", "h2").agg(F.min("band").alias("band"))

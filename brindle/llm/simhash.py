@@ -221,8 +221,9 @@ def keep_first(docs: DataFrame, words: int | None = None, least: float | None =
     """One row of each component of ``docs``, in all its columns: that of the smallest doc_id, null last.
 
     With ``words`` and ``least``, texts are linked whose shingles of so many words are alike by ``least`` or
-    more.  Such texts differ in up to some 16 of 64 bits, which no anchors reach at a bearable number of
-    copies; candidates then come from bands of a MinHash signature, and whole sets decide (near_copies).
+    more.  Candidates are those whose fingerprints the anchors link, and, as such texts may differ in some 16 of 64
+    bits, which no anchors reach at a bearable number of copies, those that meet in bands of a MinHash signature
+    too; whole sets decide (near_copies).
 
     Else fingerprints within THRESHOLD bits are linked.  A row is told by its id and text, so rows without an id, or with one id and different texts, are
     dropped only for a row of their own component.  Of one id's rows that with the smallest fingerprint
