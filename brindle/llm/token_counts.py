@@ -1,4 +1,4 @@
-"""Operator 9: token counts by a two-tier lookup inside the map tasks, without any shuffle of pre-tokens."""
+"""Operator 9: token counts by a two-tier lookup inside the map tasks; no text's pre-tokens are shuffled."""
 
 from __future__ import annotations
 
@@ -13,42 +13,44 @@ from .common import pick
 from .tokens import LONGEST, PieceEncoder, length_encoder
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries of the broadcast table, documents it is fitted on, and pre-tokens that a task tells of for each of them:
-#: the driver gets SAMPLE_DOCS * TOLD entries, a few MB, whatever the corpus and however many tasks.
-TABLE_ENTRIES, SAMPLE_DOCS, TOLD = 65_536, 1_000, 128
+#: Entries of the broadcast table, which is all that the driver gets, and of a task's counts, which it sends when they are more.
+TABLE_ENTRIES, COUNTED = 65_536, 300_000
 TOKEN_LIMIT = 1024
 
 
-def frequent_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, entries: int = TABLE_ENTRIES, sample_docs: int = SAMPLE_DOCS, told: int = TOLD) -> dict[str, int]:
-    """Token lengths of pre-tokens that are frequent in a sample of about ``sample_docs`` documents.
+def frequent_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, entries: int = TABLE_ENTRIES) -> dict[str, int]:
+    """Token lengths of the pre-tokens that are most frequent in all documents, ties in their order.
 
-    The table only saves work: pre-tokens outside it are encoded by the library in the worker that meets
-    them, so no count depends on the sample.  Each task counts the pre-tokens of its sampled documents and
-    sends the most frequent ones, ``told`` a document; nothing is shuffled.
+    The table only saves work: pre-tokens outside it are encoded by the library in the worker that meets them.
+    Tasks add up the pre-tokens of their whole texts; only these sums are shuffled, for the table.
     """
-    total = docs.count()
-    if not total:
-        return {}
-    every = max(1, total // sample_docs)
-    texts = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(every)) == 0).select("text")
+    counted = COUNTED
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, pieces, found, n = length_encoder(vocabulary), Counter(), Counter(), 0
+        cutter, pieces, found = length_encoder(vocabulary), Counter(), Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                pieces.update(cutter.pieces(t or "") or ())
-                n += 1
+            for t in b.column(0):
+                pieces.update(cutter.pieces(t.as_py() or "") or ())
                 if len(pieces) > entries:
                     _spread(pieces, cutter, found)
+                    if len(found) > counted:
+                        yield from _told(found)
         _spread(pieces, cutter, found)
-        best = found.most_common(told * n)
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], ["token", "n"])
+        yield from _told(found)
+        cutter.forget()
 
-    found = Counter()
-    for r in texts.mapInArrow(count, "token string, n long").collect():
-        found[r.token] += r.n
+    sums = docs.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     library = PieceEncoder(vocabulary, len, sum)
-    return {p: library._token(p) for p, _ in found.most_common(entries)}
+    return {r.token: library._token(r.token) for r in sums.orderBy(F.desc("n"), "token").limit(entries).select("token").collect()}
+
+
+def _told(found: Counter) -> Iterator[pa.RecordBatch]:
+    """The counts in batches; they are emptied."""
+    rows = list(found.items())
+    found.clear()
+    for at in range(0, len(rows), 50_000):
+        tokens, n = zip(*rows[at : at + 50_000])
+        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(n, pa.int64())], ["token", "n"])
 
 
 def _spread(pieces: Counter, cutter: PieceEncoder, found: Counter) -> None:
