@@ -210,3 +210,70 @@ def topk(queries: DataFrame, docs: DataFrame, k: int, words: Column, doc_id: str
     for a, b in zip(tops[1:], hits[1:]):
         top, n = top.union(a), n.union(b)
     return top, n
+
+
+def most_frequent(docs: DataFrame, words: Column, most: int) -> DataFrame:
+    """(term, idf) of the ``most`` most frequent words and pairs of neighbours in ``docs``, ties in term order.
+
+    Occurrences are added up by hashed slots first: no term occurs more often than its slot.  Only terms of the slots
+    that hold most are counted on their own; if the last of the best doesn't occur as often as the fullest slot that
+    wasn't looked at, more slots are.  A row is a document.
+    """
+    spark, n_docs = docs.sparkSession, docs.count()
+    hashed = kept(_hashed(docs, "doc_id", words), "words")
+    slots = SLOTS
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(slots, dtype=np.int64)
+        for _, _, terms, tf in _counted(batches):
+            n += np.bincount(terms & (slots - 1), tf, slots).astype(np.int64)
+        some = np.flatnonzero(n)
+        for i in range(0, len(some), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 100_000]), pa.array(n[some[i : i + 100_000]])], ["slot", "n"])
+
+    got = hashed.mapInArrow(add_up, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    totals = np.zeros(slots, dtype=np.int64)
+    totals[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    wanted = 2 * most
+    while True:
+        least = int(np.sort(totals)[-min(wanted, slots)]) or 1
+        sent = spark.sparkContext.broadcast(totals >= least)
+
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            looked = sent.value
+            for b in batches:
+                for at in range(0, b.num_rows, AT_ONCE):
+                    lists = b.column(1).slice(at, AT_ONCE)
+                    sizes = np.array(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+                    rows, first = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy()
+                    same = np.flatnonzero(rows[1:] == rows[:-1])
+                    first, second = np.concatenate((first, first[same])), np.concatenate((np.zeros(len(first), np.int64), first[same + 1]))
+                    pair = np.arange(len(first)) >= len(rows)
+                    rows, terms = _with_pairs(rows, first[: len(rows)])
+                    some = np.flatnonzero(looked[terms & (len(looked) - 1)])
+                    order = some[np.lexsort((rows[some], terms[some]))]
+                    rows, terms = rows[order], terms[order]
+                    if not len(terms):
+                        continue
+                    new = np.append(True, terms[1:] != terms[:-1])
+                    firsts = np.flatnonzero(new)
+                    df = np.add.reduceat(new | np.append(True, rows[1:] != rows[:-1]), firsts, dtype=np.int64)
+                    one = order[firsts]
+                    yield pa.RecordBatch.from_arrays([pa.array(terms[firsts]), pa.array(first[one]), pa.array(second[one], mask=~pair[one]), pa.array(df),
+                        pa.array(np.diff(np.append(firsts, len(terms))))], ["hash", "first", "second", "df", "total"])
+
+        sums = hashed.mapInArrow(count, "hash long, first long, second long, df long, total long").groupBy("hash").agg(F.first("first").alias("first"),
+            F.first("second").alias("second"), F.sum("df").alias("df"), F.sum("total").alias("total"))
+        sums = kept(sums, "counted")
+        last = sums.orderBy(F.desc("total")).limit(most).agg(F.count("*").alias("n"), F.min("total").alias("total")).first()
+        if least == 1 or wanted >= slots or last.n == most and last.total >= least:
+            break
+        wanted *= 4
+    best = sums.where(F.col("total") >= (last.total if last.n == most else 0))
+    known = best.select(F.explode(F.array("first", "second")).alias("h")).where("h is not null").distinct()
+    spelt = docs.select(F.explode(F.array_distinct(words)).alias("word")).withColumn("h", F.xxhash64("word")).join(F.broadcast(known), "h").distinct()
+    spelt = kept(spelt, "spelt")
+    named = best.join(spelt.select(F.col("h").alias("first"), F.col("word").alias("a")), "first").join(spelt.select(F.col("h").alias("second"), F.col("word").alias("b")), "second", "left")
+    term = F.when(F.col("second").isNull(), F.col("a")).otherwise(F.concat("a", F.lit(" "), "b"))
+    top = named.select(term.alias("term"), "df", "total").orderBy(F.desc("total"), "term").limit(most)
+    return top.select("term", (F.log((1.0 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))

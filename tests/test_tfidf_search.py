@@ -52,3 +52,24 @@ def test_best_by_bound_are_the_best(spark, monkeypatch):
     assert rows and max(rows) < len(texts) / 2
     assert tfidf_search.topk(queries.limit(0), docs, 3, tfidf.words("text"))[0].count() == 0
     assert tfidf_search.topk(queries, docs.where(F.lit(False)), 3, tfidf.words("text"))[1].count() == 0
+
+
+def test_most_frequent_terms(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefghij", range(1, 11), k=rng.randrange(30))) for _ in range(60)] + ["", "A b"]
+    counts = [grams(t) for t in texts]
+    total, df = sum(counts, Counter()), Counter(t for c in counts for t in c)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    # slots so few that the first look isn't enough; slots for each term; more terms than there are
+    for slots, most in ((64, 12), (1 << 16, 12), (1 << 16, 500)):
+        monkeypatch.setattr(tfidf_search, "SLOTS", slots)
+        got = {r.term: r.idf for r in tfidf_search.most_frequent(docs, tfidf.words("text"), most).collect()}
+        best = sorted(total, key=lambda t: (-total[t], t))[:most]
+        assert set(got) == set(best) and all(abs(got[t] - math.log((1.0 + len(texts)) / (1 + df[t])) - 1) < 1e-9 for t in best)
+
+
+def test_tables_go_to_python_in_small_batches(spark, data):
+    from brindle.sources.tables import table
+
+    table(spark, data, "region")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
