@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,41 +13,129 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_document, norm_ws
+from ..functions.text import clean_document, strip
 
 #: Texts a language that the model is fitted on, n-grams a language that it keeps, and the lengths of n-grams.
 SAMPLE_TEXTS, KEPT, LENGTHS = 200, 3000, (1, 2, 3)
-#: Shorter texts are padded with this mark to so many characters; a language must lead by this much, or it is unknown.
-PAD_TO, PAD, LEAD = 40, "。", 0.0
+#: A language must lead by this much, or it is unknown.
+LEAD = 0.0
 UNKNOWN = "unknown"
 
 
+#: Characters of texts that are looked up together; a longer text is looked up alone.
+SLICE_CHARS = 500_000
+#: Numbers of n-grams up to which a length has a table of all of them, 4 bytes each.
+DIRECT = 4_000_000
+
+
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
 @dataclass
 class Model:
     """Logarithms of smoothed frequencies of n-grams in each language; an n-gram that no language keeps says nothing."""
 
     languages: list[str]
     grams: dict[str, np.ndarray]
-
-    def scores(self, text: str) -> np.ndarray:
-        counts = grams(text)
-        total = np.zeros(len(self.languages))
-        for g, n in counts.items():
-            row = self.grams.get(g)
-            if row is not None:
-                total += n * row
-        return total
+    _tables: tuple | None = field(default=None, init=False, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_tables": None}
+
+    def _lookup(self) -> tuple:
+        """Small numbers of the characters of n-grams (0: of none, 1: a space), how many, the rows, and for each length the sorted n-grams as numbers, their rows' places, and these by number where the numbers are few."""
+        if self._tables is None:
+            names = list(self.grams)
+            known = sorted({ord(c) for g in names for c in g} - {ord(" ")})
+            ids, base = np.zeros(0x110000, np.int64), len(known) + 2
+            ids[[ord(" "), *known]] = range(1, base)
+            tables = []
+            for n in LENGTHS:
+                places = np.array([i for i, g in enumerate(names) if len(g) == n], np.int64)
+                keys = np.zeros(len(places), np.int64)
+                for k in range(n):
+                    keys = keys * base + ids[[ord(names[i][k]) for i in places]]
+                order = np.argsort(keys)
+                keys, places = keys[order], places[order]
+                direct = None
+                if base**n <= DIRECT:
+                    direct = np.full(base**n, -1, np.int32)
+                    direct[keys] = places
+                tables.append((n, keys, places, direct))
+            rows = np.array([self.grams[g] for g in names], float).reshape(len(names), len(self.languages))
+            self._tables = ids, base, rows, tables
+        return self._tables
+
+    def scores(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row of each text's scores by language, and whether it has a letter.
+
+        The texts' n-grams, those of ``grams``, are looked up together; a text's are added in the order in which they are
+        first found, so that its scores don't depend on the texts beside it.
+        """
+        ids, base, rows, tables = self._lookup()
+        low = [t.lower() for t in texts]
+        codes = np.frombuffer(f" {' '.join(low)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter, owner = _letters()[codes], np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
+        # between words, and so between texts, one space is left, and one at either end
+        stays = letter.copy()
+        stays[:-1] |= letter[1:]
+        stays[-1] = True
+        x, owner, letter = np.where(letter, ids[codes], 1)[stays], np.concatenate([[0], owner])[stays], letter[stays]
+        found, owners = [], []
+        for n, keys, places, direct in tables:
+            m = len(x) - n + 1
+            if m <= 0 or not len(keys):
+                continue
+            key = x[:m]
+            for k in range(1, n):
+                key = key * base + x[k : m + k]
+            if direct is None:
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                place = np.where(keys[at] == key, places[at], -1)
+            else:
+                place = direct[key]
+            # an n-gram is that text's whose letters it has; those that join two texts are none's
+            first, last = (np.where(letter[i : m + i], owner[i : m + i], owner[j : m + j]) for i, j in ((0, min(1, n - 1)), (n - 1, max(0, n - 2))))
+            hit = (place >= 0) & (first == last) & (letter[:m] if n == 1 else True)
+            found.append(place[hit])
+            owners.append(first[hit])
+        total = np.zeros((len(low), len(self.languages)))
+        if found:
+            gram, text = np.concatenate(found), np.concatenate(owners)
+            # text, n-gram and place sorted as one number: each n-gram's count goes to the place where its text has it first
+            bits = len(gram).bit_length()
+            key = np.sort((text * len(rows) + gram) << bits | np.arange(len(gram)))
+            begin = np.flatnonzero(np.diff(key >> bits, prepend=-1))
+            n = np.zeros(len(gram))
+            n[key[begin] & (1 << bits) - 1] = np.diff(begin, append=len(key))
+            first = np.flatnonzero(n)
+            text, weighted = text[first], n[first, None] * rows[gram[first]]
+            for i in range(len(self.languages)):
+                total[:, i] = np.bincount(text, weighted[:, i], len(low))
+        return total, np.bincount(owner[letter], minlength=len(low)) > 0
+
+    def detect_all(self, texts: Sequence[str | None]) -> list[str]:
+        """The likeliest language of each text; unknown for one without a letter, or one that no language is ahead for."""
+        whole, out, first = [t if isinstance(t, str) else "" for t in texts], [], 0
+        while first < len(whole) and self.languages:
+            last, chars = first + 1, len(whole[first])
+            while last < len(whole) and chars + len(whole[last]) <= SLICE_CHARS:
+                chars += len(whole[last])
+                last += 1
+            scores, spoken = self.scores(whole[first:last])
+            best = np.argsort(-scores, axis=1, kind="stable")
+            if len(self.languages) > 1:
+                top = np.take_along_axis(scores, best[:, :2], 1)
+                spoken &= top[:, 0] - top[:, 1] > LEAD
+            out += [self.languages[b] if s else UNKNOWN for b, s in zip(best[:, 0], spoken)]
+            first = last
+        return out or [UNKNOWN] * len(whole)
 
     def detect(self, text: str | None) -> str:
-        """The likeliest language; unknown for a text without a letter, or one that no language is ahead for."""
-        if not self.languages or not text or not any(map(str.isalpha, text)):
-            return UNKNOWN
-        text = text.strip()
-        scores = self.scores(text + PAD * (PAD_TO - len(text)))
-        order = np.argsort(-scores, kind="stable")
-        if len(order) > 1 and scores[order[0]] - scores[order[1]] <= LEAD:
-            return UNKNOWN
-        return self.languages[order[0]]
+        return self.detect_all([text])[0]
 
 
 def grams(text: str) -> Counter:
@@ -66,7 +155,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample: in
     Texts' n-grams are counted where they lie and added up by language; the driver gets the ``kept`` most frequent of
     each language and their totals.  Languages are as many as labels; each costs the model a column.
     """
-    known = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (norm_ws(text) != "")).select(F.col(text).alias("t"), F.col(label).alias("l"))
+    known = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (strip(text) != "")).select(F.col(text).alias("t"), F.col(label).alias("l"))
     sizes = known.groupBy("l").agg(F.count("*").alias("n"))
     share = known.join(F.broadcast(sizes), "l").where(F.pmod(F.xxhash64("t"), F.greatest(F.lit(1), F.floor(F.col("n") / sample)).cast("long")) == 0)
 
@@ -99,7 +188,7 @@ def detected(rows: DataFrame, model: Model, text: str = "text", out: str = "lang
 
     @F.pandas_udf("string")
     def detect(texts: pd.Series) -> pd.Series:
-        return texts.map(shared.value.detect)
+        return pd.Series(shared.value.detect_all(list(texts)), dtype=object)
 
     return rows.withColumn(out, detect(text))
 
@@ -108,7 +197,7 @@ def in_languages(paragraphs: DataFrame, model: Model, keep: list[str], text: str
     """The paragraphs in one of these languages or in none known; empty ones go.  zh and en take their variants."""
     from .dedupe import keep_languages
 
-    marked = detected(paragraphs.where(norm_ws(text) != ""), model, text, "_language")
+    marked = detected(paragraphs.where(strip(text) != ""), model, text, "_language")
     return keep_languages(marked, keep, "_language").drop("_language")
 
 
@@ -129,6 +218,7 @@ def clean_paragraphs(raw: DataFrame, model: Model, keep: list[str], text: str =
     @F.pandas_udf("array<string>")
     def in_them(lists: pd.Series) -> pd.Series:
         model, wanted = shared.value
-        return lists.map(lambda ps: None if ps is None else [p for p in ps if model.detect(p) in wanted])
+        found = iter(model.detect_all([p for ps in lists if ps is not None for p in ps]))
+        return pd.Series([None if ps is None else [p for p in ps if next(found) in wanted] for ps in lists], dtype=object)
 
     return whole.withColumn("paragraphs", F.filter(in_them("_paragraphs"), lambda p: F.length(p) >= min_chars)).drop("_paragraphs")

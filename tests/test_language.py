@@ -128,3 +128,27 @@ def test_segmented_words(spark, data):
     for i, t in text.items():
         assert rows[i] == " ".join(segment.words(t.lower().replace(" ", ""), dictionary, language_queries.LETTERS))
     assert sum(len(set(w.split()) & set(text[i].lower().replace(".", " ").replace(",", " ").split())) for i, w in rows.items()) > 0
+
+
+def test_texts_are_scored_together_as_one_by_one(model):
+    """Scores are those of adding each text's n-grams up in the order in which they are found, to the last bit; with n-grams looked up directly and by search."""
+    rnd = random.Random(3)
+    odd = "abcé ΣσςİıA1²½。\n\t'ﬁ漢한\U00010400　"
+    texts = ["".join(rnd.choices(odd, k=rnd.randrange(9))) for _ in range(300)] + ["the house of the people " * 40, "la casa de la gente"] * 3
+
+    def plainly(text):
+        total = sum((n * model.grams[g] for g, n in language.grams(text).items() if g in model.grams), start=model.grams["e"] * 0)
+        order = total.argsort(kind="stable")
+        ahead = len(total) < 2 or total[order[-1]] > total[order[-2]]
+        return total, model.languages[total.argmax()] if any(map(str.isalpha, text)) and ahead else language.UNKNOWN
+
+    want = [plainly(t) for t in texts]
+    for direct in (language.DIRECT, 0):
+        one = language.Model(model.languages, model.grams)
+        language.DIRECT, before = direct, language.DIRECT
+        try:
+            scores, spoken = one.scores(texts)
+        finally:
+            language.DIRECT = before
+        assert all((s == w).all() for s, (w, _), any_letter in zip(scores, want, spoken) if any_letter)
+        assert one.detect_all(texts) == [w for _, w in want]
