@@ -143,3 +143,16 @@ def test_other_chunks(spark):
     assert one(spark, C.by_rules("text"), "序\n第一章 甲\n內文\n1. 乙\n 丙 ") == ["序", "第一章 甲 內文", "1. 乙 丙"]
     assert one(spark, C.token_windows("text", 3, 1), "a b c d e") == ["a b c", "c d e"] and one(spark, C.token_windows("text", 3, 1), " a ") == ["a"]
     assert one(spark, C.kept_sentences("text"), "一。 二？三") == ["一。", "二？", "三"]
+
+
+def test_white_space_is_found_alike_by_trimming_and_by_patterns(spark):
+    """The ends are looked at alone; what goes is what the pattern of white space takes away, each character of it, in any run."""
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = [f"{w}a{w}{w}b {w}{v}" for w in spaces for v in ("", "\n", "\x85", "!")] + ["", " ", "​ a", "﻿", "a~ !", "".join(spaces), None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select("text", X.strip("text").alias("s"), X.norm_ws("text").alias("n"), F.regexp_replace("text", f"^{X.WS}+|{X.WS}+$", "").alias("want")).collect():
+        assert r.s == r.want == (r.text if r.text is None else r.text.strip()), repr(r.text)
+        assert r.n == (r.text if r.text is None else " ".join(r.text.split())), repr(r.text)
+    # the trimming has no pattern that is tried at every character of a text
+    plan = df.select(X.strip("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
