@@ -7,6 +7,7 @@ table, ``…_stream`` over a stream with the state kept between micro-batches.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -93,11 +94,16 @@ def debounce_batch(events: DataFrame, quiet: int = DEBOUNCE_S) -> DataFrame:
     return _batch(events, lambda times, last: fires(times, last, quiet), "fired")
 
 
+#: Groups that a stream's keys fall into by their hash: a call, its state and its timer are a group's, not a key's.
+GROUPS = 128
+
+
 class _Decider(StatefulProcessor):
-    """Decides a key's events from the times it keeps, which fall when they can't matter any more.
+    """Decides events from the times that their keys keep, which fall when they can't matter any more.
 
-    ``decide(times, kept)`` gives decisions and the new times to keep; the state lives for ``lives`` microseconds
-    after the last of them, by the events' clock: a timer clears it once the watermark is past that.
+    ``decide(times, kept)`` gives a key's decisions and its new times to keep; these live for ``lives`` microseconds
+    after the last of them, by the events' clock.  A group's timer is set for the first of its keys' times to fall, and
+    once the watermark is past that clears all that have.
     """
 
     def __init__(self, decide: Callable, name: str, lives: int):
@@ -105,27 +111,52 @@ class _Decider(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getListState("kept", "at long")
+        self.kept = handle.getMapState("kept", "key string", "at array<long>")
+
+    def _falls(self, times: list[int]) -> int:
+        """The millisecond at which a key's times fall."""
+        return (times[-1] + self.lives) // 1000 + 1
+
+    def _load(self) -> dict[str | None, list[int]]:
+        """The times of all keys; a key that isn't null is stored behind a mark."""
+        return {key[0][1:] if key[0] else None: list(times[0]) for key, times in self.kept.iterator()}
+
+    def _store(self, kept: dict[str | None, list[int]], new: dict[str | None, list[int]]) -> None:
+        """Writes what is new of a group's times, and sets its timer."""
+        for name, times in new.items():
+            key = ("" if name is None else "k" + name,)
+            if times:
+                self.kept.updateValue(key, (times,))
+            elif name in kept:
+                self.kept.removeKey(key)
+        falls = min((self._falls(times) for times in (kept | new).values() if times), default=None)
+        for old in list(self.handle.listTimers()):
+            if old != falls:
+                self.handle.deleteTimer(old)
+        if falls is not None:
+            self.handle.registerTimer(falls)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parts = [(r["event_id"].to_numpy(), r["at"].to_numpy().astype("datetime64[us]").astype("int64")) for r in rows]
-        ids, times = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((ids, times))
-        ids, times = ids[order], times[order]
-        decisions, kept = self.decide(times.tolist(), [r[0] for r in self.kept.get()])
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if kept:
-            self.kept.put([(t,) for t in kept])
-            self.handle.registerTimer((kept[-1] + self.lives) // 1000 + 1)
-        else:
-            self.kept.clear()
+        parts = [(r["key"].to_numpy(object), r["event_id"].to_numpy(), r["at"].to_numpy().astype("datetime64[us]").astype("int64")) for r in rows]
+        keys, ids, times = (np.concatenate(x) for x in zip(*parts))
+        codes = pd.factorize(keys, use_na_sentinel=False)[0]
+        order = np.lexsort((ids, times, codes))
+        keys, ids, times, codes = keys[order], ids[order], times[order], codes[order]
+        edges = [*np.flatnonzero(np.diff(codes, prepend=-1)).tolist(), len(codes)]
+        kept, new, decisions = self._load(), {}, []
+        for first, last in pairwise(edges):
+            name = keys[first] if isinstance(keys[first], str) else None
+            made, new[name] = self.decide(times[first:last].tolist(), kept.get(name, []))
+            decisions += made
+        self._store(kept, new)
         for first in range(0, len(ids), 10_000):
             some = slice(first, first + 10_000)
-            yield pd.DataFrame({"key": key[0], "event_id": ids[some], "at": times[some].astype("datetime64[us]"), self.name: decisions[some]})
+            yield pd.DataFrame({"key": keys[some], "event_id": ids[some], "at": times[some].astype("datetime64[us]"), self.name: decisions[some]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.kept.clear()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        kept = self._load()
+        self._store(kept, {name: [] for name, times in kept.items() if self._falls(times) <= now})
         return iter(())
 
     def close(self) -> None:
@@ -136,14 +167,16 @@ def _stream(events: DataFrame, decide: Callable, name: str, lives: int, late: st
     """events(key string, event_id long, at timestamp) as a stream, with the decision for each.
 
     Events of a key may come in any order inside a micro-batch, and in order of time between them; what is behind
-    the watermark is dropped.  A key's events of one micro-batch are held as two numbers each.  State is kept in
+    the watermark is dropped.  Keys come in GROUPS groups: a call for each key and micro-batch costs far more than its
+    events.  A group's events of one micro-batch are held; of its state, a row a key, what has changed is written.  State is kept in
     RocksDB, which this sets where the session has chosen nothing.
     """
     conf, provider = events.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
     if not conf.get(provider, "").endswith("RocksDBStateStoreProvider"):
         conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    timed = events.select("key", "event_id", "at").withWatermark("at", late)
-    return timed.groupBy("key").transformWithStateInPandas(_Decider(decide, name, lives), f"key string, event_id long, at timestamp, {name} boolean", "append", "EventTime")
+    group = F.pmod(F.xxhash64("key"), F.lit(GROUPS)).cast("int").alias("group")
+    timed = events.select(group, "key", "event_id", "at").withWatermark("at", late)
+    return timed.groupBy("group").transformWithStateInPandas(_Decider(decide, name, lives), f"key string, event_id long, at timestamp, {name} boolean", "append", "EventTime")
 
 
 def limit_stream(events: DataFrame, limit: int = LIMIT, window: int = WINDOW_S, late: str = "10 seconds") -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -124,3 +125,27 @@ def test_sources(spark, tmp_path):
     up = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "k string, ver int")
     assert sorted(tuple(r) for r in tables.latest(up, ["k"], "ver").collect()) == [("a", 2), ("b", 1)]
     assert first_of_each(up, F.col("k"), "ver").count() == 2
+
+
+def test_a_call_decides_all_keys_of_a_group():
+    """One call and one timer for a group's keys; each falls at its own time, a null key is one like others."""
+    state, timers = {}, set()
+
+    class Kept:
+        iterator, updateValue, removeKey = staticmethod(lambda: iter(list(state.items()))), staticmethod(state.__setitem__), staticmethod(state.pop)
+
+    class Handle:
+        getMapState = staticmethod(lambda *a: Kept)
+        listTimers, registerTimer, deleteTimer = staticmethod(lambda: list(timers)), staticmethod(timers.add), staticmethod(timers.discard)
+
+    class Time:
+        getCurrentWatermarkInMs = getExpiryTimeInMs = staticmethod(lambda: 12_001)
+
+    one = S._Decider(S._of_one(S.hits, 10_000_000), "hit", 10_000_000)
+    one.init(Handle)
+    rows = [("a", 1, 0), ("b", 2, 2), ("a", 3, 9), (None, 5, 3), ("b", 4, 2), (None, 6, 14)]
+    made = [r for df in one.handleInputRows((7,), iter([pd.DataFrame({"key": [k], "event_id": [i], "at": [pd.Timestamp(t, unit="s")]}) for k, i, t in rows]), None) for r in df.itertuples(index=False)]
+    assert {(r.key, r.event_id, r.hit) for r in made} == {("a", 1, False), ("a", 3, True), ("b", 2, False), ("b", 4, True), (None, 5, False), (None, 6, False)}
+    assert state == {("ka",): ([0],), ("kb",): ([2_000_000],), ("",): ([14_000_000],)} and timers == {10_001}
+    list(one.handleExpiredTimer((7,), Time, Time))
+    assert state == {("",): ([14_000_000],)} and timers == {24_001}
