@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, let
+from ..functions.text import WS, WS_RUN, let
+
+#: Weights of a knowledge base that a task holds, 20 bytes each and a term's text.
+HELD_WEIGHTS = 2_000_000
+
+
+def folded(text: Column | str) -> Column:
+    """The text in lower case, runs of white space as one space."""
+    return F.regexp_replace(F.lower(F.col(text) if isinstance(text, str) else text), WS_RUN, " ")
 
 
 def char_grams(text: Column | str, low: int = 1, high: int = 3) -> Column:
     """All character n-grams of the lower-cased text, runs of white space as one space."""
-    folded = F.regexp_replace(F.lower(F.col(text) if isinstance(text, str) else text), f"{WS}+", " ")
 
     def grams(t: Column, n: int) -> Column:
         some = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))
         return F.when(F.length(t) >= n, some).otherwise(F.array().cast("array<string>"))
 
-    return let(folded, lambda t: F.concat(*[grams(t, n) for n in range(low, high + 1)]))
+    return let(folded(text), lambda t: F.concat(*[grams(t, n) for n in range(low, high + 1)]))
 
 
 def words(text: Column | str) -> Column:
@@ -54,6 +66,42 @@ def weigh(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(lengths, "id").select("id", "term", (F.col("w") / F.col("length")).alias("weight"))
 
 
+def best_likeness(idf: DataFrame, weights: DataFrame, low: int = 1, high: int = 3) -> Callable[[Column | str], Column] | None:
+    """The likeness of a text's character n-grams to the most like of a small base, null where they share none; None for a base of more than HELD_WEIGHTS weights.
+
+    ``idf(term, idf)`` and ``weights(doc_id, term, weight)`` of the base, no more than HELD_WEIGHTS rows each, are sent to the
+    tasks; a text's terms are counted and multiplied in its row, so texts are read once and nothing is shuffled.
+    """
+    rows = weights.select("doc_id", "term", "weight").limit(HELD_WEIGHTS + 1).collect()
+    if len(rows) > HELD_WEIGHTS:
+        return None
+    fitted = sorted((r.term, r.idf) for r in idf.collect())  # each is a term of the base
+    place = {t: i for i, (t, _) in enumerate(fitted)}
+    item = {d: i for i, d in enumerate(sorted({r.doc_id for r in rows}))}
+    rows.sort(key=lambda r: place[r.term])
+    ends = np.cumsum(np.bincount([place[r.term] for r in rows], minlength=len(fitted)))
+    arrays = (np.array([x for _, x in fitted]), ends, np.array([item[r.doc_id] for r in rows], np.int32), np.array([r.weight for r in rows], float))
+    shared = weights.sparkSession.sparkContext.broadcast((place, *arrays))
+
+    def best(text: str | None) -> float | None:
+        place, idf, ends, items, weight = shared.value
+        found = Counter(i for n in range(low, high + 1) for j in range(len(text or "") - n + 1) if (i := place.get(text[j : j + n])) is not None)
+        if not found:
+            return None
+        terms = np.fromiter(found, np.int64, len(found))
+        w = np.fromiter(found.values(), float, len(found)) * idf[terms]
+        n = ends[terms] - np.where(terms > 0, ends[terms - 1], 0)
+        # the lists of these terms, one behind the other
+        at = np.arange(n.sum()) + np.repeat(ends[terms] - np.cumsum(n), n)
+        return float(np.bincount(items[at], np.repeat(w, n) * weight[at]).max() / np.sqrt(w @ w))
+
+    @F.pandas_udf("double")
+    def likeness(texts: pd.Series) -> pd.Series:
+        return pd.Series([best(t) for t in texts], dtype=object)
+
+    return lambda text: likeness(folded(text))
+
+
 def signals(ranked: DataFrame, hits: DataFrame, queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(qid, max_score, avg_topk, num_docs, context_len) from the k best (qid, doc_id, score) and the hits (qid, num_docs).
 

@@ -208,14 +208,20 @@ def answer_sources(s, d):
 
     The likeness, in percent, is that of character n-grams, to the best of the benchmark's items.
     """
-    kb, turns = table(s, d, "benchmark"), _turns(s, d).withColumn("qid", F.col("conv_id") * 1000 + F.col("turn"))
+    kb, turns = table(s, d, "benchmark"), _turns(s, d)
     counts = tfidf.term_counts(kb, "item_id", tfidf.char_grams("text"))
     idf = tfidf.fit(counts, kb.count())
     weights = tfidf.weigh(counts, idf).withColumnRenamed("id", "doc_id")
-    asked = tfidf.weigh(tfidf.term_counts(turns, "qid", tfidf.char_grams("c")), idf).withColumnRenamed("id", "qid")
-    best = maxscore.sparse_topk(asked, weights, 1, digits=6).select("qid", (F.col("score") * 100).alias("best"))
-    src = metrics.answer_source(F.col("q"), F.col("c"), F.coalesce("best", F.lit(0.0)), {"License": "(?i)license", "the": "(?i)the"}, _KB_MATCH)
-    return turns.join(best, "qid", "left").groupBy(src.alias("source_kind")).agg(F.count("*").alias("n"))
+    likeness = tfidf.best_likeness(idf, weights)
+    if likeness:
+        scored = turns.withColumn("score", F.round(likeness("c"), 6))
+    else:  # a base that tasks can't hold is searched by its lists
+        turns = turns.withColumn("qid", F.col("conv_id") * 1000 + F.col("turn"))
+        asked = tfidf.weigh(tfidf.term_counts(turns, "qid", tfidf.char_grams("c")), idf).withColumnRenamed("id", "qid")
+        scored = turns.join(maxscore.sparse_topk(asked, weights, 1, digits=6).select("qid", "score"), "qid", "left")
+    best = F.coalesce(F.col("score") * 100, F.lit(0.0))
+    src = metrics.answer_source(F.col("q"), F.col("c"), best, {"License": "(?i)license", "the": "(?i)the"}, _KB_MATCH)
+    return scored.groupBy(src.alias("source_kind")).agg(F.count("*").alias("n"))
 
 
 _KB_MATCH = 50.0

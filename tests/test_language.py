@@ -152,3 +152,20 @@ def test_texts_are_scored_together_as_one_by_one(model):
             language.DIRECT = before
         assert all((s == w).all() for s, (w, _), any_letter in zip(scores, want, spoken) if any_letter)
         assert one.detect_all(texts) == [w for _, w in want]
+
+
+def test_a_small_base_is_held_and_a_large_one_searched_by_lists(spark, monkeypatch):
+    """The likeness in a text's row is that of the search by inverted lists; a base that tasks can't hold has none."""
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choices("abcde \té漢\U00010400", k=n))
+    base = spark.createDataFrame([(i, text(30)) for i in range(12)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, text(rnd.randrange(60))) for i in range(40)] + [(40, None), (41, ""), (42, "zz"), (43, "A"), (44, " ")], "qid long, text string")
+    counts = tfidf.term_counts(base, "doc_id", tfidf.char_grams("text"))
+    idf = tfidf.fit(counts, 12)
+    weights = tfidf.weigh(counts, idf).withColumnRenamed("id", "doc_id")
+    got = {r.qid: r.s for r in asked.select("qid", F.round(tfidf.best_likeness(idf, weights)("text"), 6).alias("s")).collect() if r.s is not None}
+    q = tfidf.weigh(tfidf.term_counts(asked, "qid", tfidf.char_grams("text")), idf).withColumnRenamed("id", "qid")
+    want = {r.qid: r.score for r in maxscore.sparse_topk(q, weights, 1, digits=6).collect()}
+    assert got == pytest.approx(want, abs=1.1e-6) and {40, 41, 42}.isdisjoint(got) and 43 in got
+    monkeypatch.setattr(tfidf, "HELD_WEIGHTS", 10)
+    assert tfidf.best_likeness(idf, weights) is None
