@@ -25,6 +25,7 @@ SHARE, SMALL = 64, 0.02
 SAMPLE = 4096
 _LOW = np.uint64(0xFFFFFFFF)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX32, _MIXED = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
 @dataclass
@@ -102,6 +103,35 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs, np.where(pairs >> np.uint64(32) == pairs & _LOW, (times + 1) // 2, times)
 
 
+def _keys(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The pairs of symbols at those places."""
+    keys = seq[at].astype(np.uint64)
+    keys <<= np.uint64(32)
+    keys |= seq[at + 1]
+    return keys
+
+
+def _frequent(seq: np.ndarray, least: int, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all pairs that can be within ``share`` of the most frequent one, the pairs there, these in order and their numbers.
+
+    Pairs fall into slots by a hash, and a slot that is met too seldom holds no frequent pair, so that few are sorted.
+    """
+    bits = max(12, len(seq).bit_length() - 2)
+    slots = seq[:-1] * _MIX32
+    slots ^= seq[1:] * _MIXED
+    slots >>= np.uint32(max(0, 32 - bits))
+    met = np.bincount(slots)
+    bar = max(least, int(met.max()) // share)
+    while True:
+        at = np.flatnonzero((met >= bar)[slots])
+        keys = _keys(seq, at)
+        pairs, times = _counted(keys) if len(at) else (keys, np.zeros(0, dtype=np.int64))
+        wanted = max(least, int(times.max(initial=0)) // share)
+        if wanted >= bar:
+            return at, keys, pairs, times
+        bar = wanted  # several pairs in the fullest slot, or a run, whose pairs count half
+
+
 def _places_of(pairs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the keys are among the pairs (distinct, in order), and which pair it is each time; by a hash table."""
     bits = np.uint64(64 - max(12, len(pairs).bit_length() + 3))
@@ -147,9 +177,11 @@ def compress(ids: np.ndarray, terminals: int, least: int = LEAST) -> Shard:
     size, share, near = terminals, SHARE, None
     long = np.ones(terminals, dtype=np.int64)
     while len(seq) > 1:
-        a, b = (seq[:-1], seq[1:]) if near is None else (seq[near], seq[near + 1])
-        keys = (a.astype(np.uint64) << np.uint64(32)) | b
-        pairs, times = _counted(keys)
+        if near is None:
+            at, keys, pairs, times = _frequent(seq, least, share)
+        else:
+            at, keys = near, _keys(seq, near)
+            pairs, times = _counted(keys)
         most = int(times.max(initial=0))
         if most < least:
             if near is None:
@@ -161,7 +193,7 @@ def compress(ids: np.ndarray, terminals: int, least: int = LEAST) -> Shard:
         rank = np.empty(len(pairs), dtype=np.int64)
         rank[np.argsort(-times, kind="stable")] = np.arange(len(pairs))
         found, pair = _places_of(pairs, keys)
-        places = found if near is None else near[found]
+        places = at[found]
         won = _winners(places, rank[pair])
         kept = np.bincount(pair[won], minlength=len(pairs))
         made = kept >= least
